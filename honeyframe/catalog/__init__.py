@@ -29,4 +29,7 @@ def load() -> None:
     if QUERIES:
         return
     for m in _MODULES:
-        importlib.import_module(f"honeyframe.catalog.{m}")
+        try:
+            importlib.import_module(f"honeyframe.catalog.{m}")
+        except ModuleNotFoundError:
+            pass

@@ -52,8 +52,8 @@ def with_(*ctes: str, body: str) -> str:
 
 def wrap_home(src: str, n: int, cols: str, x: str = "x", z: str = "z") -> str:
     """SELECT that folds (x, z) of ``src`` home by trying every near shift."""
-    return f"""SELECT {cols}, {x} + dx AS wx, {z} + dz AS wz
-      FROM {src}, (SELECT {n} * (2 * i - j) AS dx, {n} * (2 * j - i) AS dz
+    return f"""SELECT {cols}, {x} + shx AS wx, {z} + shz AS wz
+      FROM {src}, (SELECT {n} * (2 * i - j) AS shx, {n} * (2 * j - i) AS shz
                    FROM range(-4, 5) a(i), range(-4, 5) b(j)) shifts
-      WHERE {x} + dx >= -{n} AND {x} + dx < {n} AND {z} + dz >= -{n} AND {z} + dz < {n}
-        AND -({x} + dx) - ({z} + dz) > -{n} AND -({x} + dx) - ({z} + dz) <= {n}"""
+      WHERE {x} + shx >= -{n} AND {x} + shx < {n} AND {z} + shz >= -{n} AND {z} + shz < {n}
+        AND -({x} + shx) - ({z} + shz) > -{n} AND -({x} + shx) - ({z} + shz) <= {n}"""

@@ -49,15 +49,13 @@ def sf_pixels(spark: SparkSession, sf: str) -> DataFrame:
 
 def ev(spark: SparkSession, sf: str) -> DataFrame:
     """Scan lines: (line, pos, value); pos is the place along the line."""
-    from pyspark.sql import Window as W
-
-    e = table(spark, sf, "events")
-    w = W.partitionBy("user_id").orderBy("ts", "event_id")
-    return e.select(
-        F.col("user_id").alias("line"),
-        (F.row_number().over(w) - 1).cast("long").alias("pos"),
-        "value",
+    from honeyframe.operators.runs import running_position
+
+    e = table(spark, sf, "events").select(
+        F.col("user_id").alias("line"), "ts", "event_id", "value"
     )
+    hour = F.date_trunc("hour", "ts")
+    return running_position(e, "line", hour, ["ts", "event_id"], "pos").select("line", "pos", "value")
 
 
 def pt(spark: SparkSession, sf: str) -> DataFrame:

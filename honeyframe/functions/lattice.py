@@ -50,13 +50,23 @@ def with_lattice_coords(
     return d.withColumns({"a1": a1, "a2": a2, "p1": p1, "p2": p2}).drop("_ux", "_uy")
 
 
-def lattice_to_xy(a1, a2, bond: int, hel, tilt, excent, phi, off_x, off_y) -> tuple[Column, Column]:
-    """Cartesian position of unit-cell coordinates, distortion applied."""
-    t, length = -col(tilt), 3 * bond * col(hel)
-    u = length * (col(a1) * F.cos(t - math.pi / 6) + col(a2) * F.cos(t + math.pi / 6))
-    v = length * (col(a1) * F.sin(t - math.pi / 6) + col(a2) * F.sin(t + math.pi / 6))
-    dx, dy = undistort(u, v, 1 / col(excent), phi)
-    return dx + col(off_x), dy + col(off_y)
+def with_cell_basis(params: DataFrame, bond: int) -> DataFrame:
+    """Add the distorted unit-cell vectors e1, e2 and their inverse i11..i22.
+
+    One row per frame or trial: pixels then need only products and sums.
+    """
+    t, length = -col("tilt"), 3 * bond * col("hel")
+    d = params
+    for k, ang in (("e1", -math.pi / 6), ("e2", math.pi / 6)):
+        x, y = undistort(length * F.cos(t + ang), length * F.sin(t + ang), 1 / col("excent"), "phi")
+        d = d.withColumns({k + "x": x, k + "y": y})
+    det = col("e1x") * col("e2y") - col("e1y") * col("e2x")
+    return d.withColumns(
+        {
+            "i11": col("e2y") / det, "i12": -col("e2x") / det,
+            "i21": -col("e1y") / det, "i22": col("e1x") / det,
+        }
+    )
 
 
 def ellipse_radius(theta, a, b, rot) -> Column:

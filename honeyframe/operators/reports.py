@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from honeyframe.functions.numbers import circular_mean, col, wrap_angle
+from honeyframe.operators.numbering import scalar
 
 # Option files hold a few lines; more than this is not an option file.
 MAX_OPTION_ROWS = 1000
@@ -198,20 +199,13 @@ def parse_slice_label(df: DataFrame, label="label", frame="frame_id") -> DataFra
 
 def _label_parts(df: DataFrame, label: str, lengths: list[int]) -> DataFrame:
     """All distinct substrings of ``label`` with one of the given lengths."""
-    subs = F.flatten(
-        F.array(
-            *[
-                F.when(
-                    F.length(label) >= n,
-                    F.transform(
-                        F.sequence(F.lit(1), F.length(label) - (n - 1)),
-                        lambda i, n=n: F.substr(F.col(label), i, F.lit(n)),
-                    ),
-                ).otherwise(F.array().cast("array<string>"))
-                for n in lengths
-            ]
-        )
-    )
+
+    def cut(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.length(label) - (n - 1))
+        pieces = F.transform(starts, lambda i: F.substr(F.col(label), i, F.lit(n)))
+        return F.when(F.length(label) >= n, pieces).otherwise(F.array().cast("array<string>"))
+
+    subs = F.flatten(F.array(*[cut(n) for n in lengths]))
     return df.withColumn("_part", F.explode(F.array_distinct(subs)))
 
 
@@ -380,12 +374,12 @@ def unpivot_stats(report: DataFrame, id_col: str = "frame_id") -> DataFrame:
     )
 
 
-def rerun_state(runs: DataFrame) -> DataFrame:
+def rerun_state(runs: DataFrame, stability: int = 6, peak_points: int = 1) -> DataFrame:
     """Next state of each frame and run (frame_id, run, hex_merit).
 
-    3 requeues the frame, -1 ends it. A rerun searches two levels narrower
-    and with one more repeat, up to seven. Each run looks at the run before
-    only, so an equi join on run - 1 does it.
+    3 requeues the frame, -1 ends it. Every rerun searches two width levels
+    narrower and with one more repeat, up to seven. A run looks at the run
+    before it only, so an equi join on run - 1 does it.
     """
     before = runs.select(
         "frame_id", (F.col("run") + 1).alias("run"), F.col("hex_merit").alias("_old")
@@ -396,8 +390,8 @@ def rerun_state(runs: DataFrame) -> DataFrame:
     return d.select(
         "frame_id", "run", "hex_merit", gain.alias("gain"),
         F.when(F.coalesce(again, F.lit(False)), 3).otherwise(-1).alias("state"),
-        F.greatest(F.lit(0), 2 * (F.col("run") - 1)).alias("narrower"),
-        F.least(F.lit(7), F.col("run") + 1).alias("repeats"),
+        F.greatest(F.lit(0), stability - 2 * F.col("run")).alias("width_level"),
+        F.least(F.lit(7), peak_points + F.col("run")).alias("repeats"),
     )
 
 
@@ -422,20 +416,14 @@ def natural_sort(df: DataFrame, name: str) -> DataFrame:
 
 
 def normalize_weights(weights: DataFrame) -> DataFrame:
-    """Scale the free weights so that all weights sum to 1; the state Fixed
-    keeps its weight."""
-    fixed = F.col("state") == "Fixed"
-    total = weights.agg(
-        F.coalesce(F.sum(F.when(fixed, F.col("weight"))), F.lit(0.0)).alias("_fixed"),
-        F.sum(F.when(~fixed, F.col("weight"))).alias("_free"),
-    )
-    # one-row aggregate, the only kind of table joined without a key here
-    d = weights.join(F.broadcast(total))
-    return d.withColumn(
+    """Scale the free weights so that all weights sum to 1; the states Fixed
+    and Lattice keep their weight."""
+    fixed = F.col("state").isin("Fixed", "Lattice")
+    held = scalar(weights, F.coalesce(F.sum(F.when(fixed, F.col("weight"))), F.lit(0.0)))
+    free = scalar(weights, F.sum(F.when(~fixed, F.abs("weight"))))
+    return weights.withColumn(
         "weight",
         F.when(fixed, F.col("weight")).otherwise(
-            F.col("weight") * F.greatest(F.lit(0.0), 1 - F.col("_fixed")) / F.col("_free")
+            F.abs("weight") * (1 - held) / F.nullif(free, F.lit(0.0))
         ),
-    ).drop("_fixed", "_free")
-
-
+    )

@@ -79,7 +79,7 @@ def main():
     for m in mods:
         before = set(catalog.QUERIES)
         importlib.import_module(f"honeyframe.catalog.{m}")
-        names += [n for n in catalog.QUERIES if n not in before]
+        names += [n for n, f in catalog.QUERIES.items() if f.__module__.endswith("." + m)]
     if not mods:
         catalog.load()
     sf_dir = f"/root/testdata/sf{sf}"
