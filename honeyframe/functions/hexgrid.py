@@ -65,31 +65,24 @@ def in_hexagon(q, r, center: tuple[int, int], n: int, full: bool = False) -> Col
 def with_wrap(df: DataFrame, n: int, x: str = "x", y: str = "y", z: str = "z") -> DataFrame:
     """Fold x, y, z into the home hexagon.
 
-    The shift lattice is spanned by (2n,-n,-n) and (-n,-n,2n). The two floors
-    give the lattice cell, and one of its four corners is the home shift.
+    The shift lattice is spanned by (2n,-n,-n) and (-n,-n,2n). Cut the plane
+    into strips of width n along x, y and z: at home the strip numbers
+    a = floor(x/n), b = ceil(y/n), c = floor(z/n) have a - b and c - b in
+    -2..0, and a shift by a lattice vector changes exactly one of the two
+    differences by 3. So the shift is read off by a division.
     """
-    i, j = "_wrap_i", "_wrap_j"
     X, Z = F.col(x), F.col(z)
-    d = df.withColumns(
-        {i: F.floor((2 * X + Z) / (3 * n)), j: F.floor((X + 2 * Z) / (3 * n))}
-    )
+    b = F.floor((X + Z) / n)  # -ceil(y/n)
+    i = F.floor((F.floor(X / n) + b + 2) / 3)
+    j = F.floor((F.floor(Z / n) + b + 2) / 3)
+    d = df.withColumns({"_wi": i, "_wj": j})
     d = d.withColumns(
         {
-            "_wrap_x": X - 2 * n * F.col(i) + n * F.col(j),
-            "_wrap_z": Z + n * F.col(i) - 2 * n * F.col(j),
+            x: X - 2 * n * F.col("_wi") + n * F.col("_wj"),
+            z: Z + n * F.col("_wi") - 2 * n * F.col("_wj"),
         }
     )
-    sx = sz = None
-    for dx, dz in ((0, 0), (-2 * n, n), (n, -2 * n), (-n, -n)):
-        cx, cz = F.col("_wrap_x") + dx, F.col("_wrap_z") + dz
-        ok = in_home(cx, -cx - cz, cz, n)
-        sx = F.when(ok, cx) if sx is None else sx.when(ok, cx)
-        sz = F.when(ok, cz) if sz is None else sz.when(ok, cz)
-    return (
-        d.withColumns({x: sx, z: sz})
-        .withColumn(y, -F.col(x) - F.col(z))
-        .drop(i, j, "_wrap_x", "_wrap_z")
-    )
+    return d.withColumn(y, -F.col(x) - F.col(z)).drop("_wi", "_wj")
 
 
 def hex_index(x, z, n: int) -> Column:

@@ -19,17 +19,14 @@ def intensity_to_level(value, low: float, high: float, levels: int) -> Column:
 
 
 def lgamma(c) -> Column:
-    """ln Gamma(x) for x > 0: shift the argument to 7 or more, then the
-    asymptotic series with coefficients 1/12, -1/360, 1/1260, -1/1680."""
+    """ln Gamma(x) for x > 0: shift the argument up by 7, then the asymptotic
+    series with coefficients 1/12, -1/360, 1/1260, -1/1680."""
     x = col(c)
-    shift = F.greatest(F.lit(0.0), F.ceil(F.lit(7.0) - x).cast("double"))
-    product = F.lit(1.0)
-    for k in range(7):
-        product = product * F.when(F.lit(float(k)) < shift, x + k).otherwise(1.0)
-    z = x + shift
+    z = x + 7.0
+    u = x * (x + 6.0)  # x (x+1) ... (x+6) = u (u+5) (u+8) (x+3)
     s = F.lit(1.0) / (z * z)
     series = ((F.lit(-1 / 1680) * s + 1 / 1260) * s - 1 / 360) * s + 1 / 12
-    return -F.ln(product) + (z - 0.5) * F.ln(z) - z + LN_SQRT_2PI + series / z
+    return (z - 0.5) * F.ln(z) - z + LN_SQRT_2PI + series / z - F.ln(u * (u + 5.0) * (u + 8.0) * (x + 3.0))
 
 
 def lbeta(a, b) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from honeyframe.functions import hexgrid as H, tables as T
 from honeyframe.functions.numbers import col
 from honeyframe.operators.numbering import scalar
+from honeyframe.session import cut_lineage
 
 # -- sub-frames ----------------------------------------------------------------
 
@@ -28,10 +29,10 @@ def frame_stats(sf: DataFrame) -> DataFrame:
 def value_histogram(df: DataFrame, by: str, value: str = "value") -> DataFrame:
     """n and share p of every value between the overall minimum and maximum,
     for each class, empty values included."""
-    n = df.groupBy(by, value).agg(F.count(F.lit(1)).alias("n"))
+    # written once, so that the data is read once; one row per class and value
+    n = cut_lineage(df.groupBy(by, value).agg(F.count(F.lit(1)).alias("n")))
     lim = n.agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
     span = F.sequence(scalar(lim, F.col("lo")), scalar(lim, F.col("hi")))
-    # the counts are already one row per class and value
     grid = n.select(by).distinct().select(by, F.explode(span).alias(value))
     d = grid.join(n, [by, value], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return d.withColumn("p", F.col("n") / F.sum("n").over(W.partitionBy(by)))
@@ -90,21 +91,10 @@ def center_of_mass_shift(df: DataFrame, bond: int, keys: list[str] = ("frame_id"
 
 
 def contrast_rings(bond: int) -> tuple[int, int, int]:
-    """Radius of the hole, radius of the atom, width of the ring between: each
-    grows in turn while the three and their borders fit the bond length."""
-    low = high = ring = 0
-    room = bond - 2 - (low + high + ring)
-    while room > 0:
-        grown = []
-        for k in range(3):
-            if low + high + ring + 1 + 3 >= bond + 1:
-                # the step that no longer fits is still taken
-                grown.append(k)
-            low, high, ring = low + (k == 0), high + (k == 1), ring + (k == 2)
-            if grown:
-                return low, high, ring
-        room = bond - 2 - (low + high + ring)
-    return low, high, ring
+    """Radius of the hole, radius of the atom, width of the ring between: what
+    the bond length leaves beside the centres is dealt out in turn."""
+    spare = max(0, bond - 2)
+    return (spare + 2) // 3, (spare + 1) // 3, spare // 3
 
 
 def ring_contrast(cell: DataFrame, bond: int, keys: list[str] = ("frame_id",)) -> DataFrame:
@@ -247,7 +237,7 @@ def family_params(moments: DataFrame) -> DataFrame:
         {"g_k": F.pow(2 / F.nullif(g, zero), 2), "g_theta": sd * g / 2, "p_x0": var - avg}
     )
     d = d.withColumn("g_x0", F.col("g_k") * F.col("g_theta") - avg)
-    # inverse gamma: skew^2 a^2 - (6 skew^2 + 4) a + (9 skew^2 - 8) / 1 = 0, larger root
+    # inverse gamma: larger root of the quadratic for the shape
     g2 = g * g
     b = 6 * g2 + 4
     d = d.withColumn("ig_alpha", (b + root(b * b - 4 * g2 * (9 * g2 - 8))) / F.nullif(2 * g2, zero))
@@ -482,8 +472,10 @@ def pdf_match(hist: DataFrame, params: DataFrame, curve, minfactor: float = 1e-3
     ``params`` are family_params of the class moments, ``curve`` the function
     of the fitted std curve.
     """
+    hist = cut_lineage(hist)
+    params = cut_lineage(params.withColumn("std_fit", curve(F.col("avg"))))
     off = mean_offsets(params)
-    pr = fitted_params(params.withColumn("std_fit", curve(F.col("avg"))), off)
+    pr = cut_lineage(fitted_params(params, off))  # one row per class
     d = hist.select("class", "value", F.col("p").alias("h")).join(pr, "class")
     x = F.col("value").cast("double")
     parts = {
