@@ -138,7 +138,7 @@ curves AS (SELECT 'const' AS kind, x0, y0 AS c0, 0.0::DOUBLE AS c1, 0.0::DOUBLE
   SELECT 'root', x0, (v0 * (p2 * p4 - p3 * p3) - p1 * (v1 * p4 - p3 * v2) + p2 * (v1 * p3 - p2 * v2)) / dd,
    (p0 * (v1 * p4 - p3 * v2) - v0 * (p1 * p4 - p3 * p2) + p2 * (p1 * v2 - v1 * p2)) / dd,
    (p0 * (p2 * v2 - v1 * p3) - p1 * (p1 * v2 - v1 * p2) + v0 * (p1 * p3 - p2 * p2)) / dd FROM dt),
-fits AS (SELECT kind, c.x0, c0, c1, c2, sqrt(avg((y - CASE WHEN kind = 'root' THEN sqrt(greatest(c0 + c1 * d + c2 * d * d, 0)) ELSE c0 + c1 * d + c2 * d * d END) ** 2)) AS rms
+fits AS (SELECT kind, c.x0, c0, c1, c2, sqrt(avg((y - CASE WHEN kind = 'root' THEN sqrt(greatest(c0 + c1 * d + c2 * d * d, 1e-6)) ELSE c0 + c1 * d + c2 * d * d END) ** 2)) AS rms
   FROM curves c, pts GROUP BY kind, c.x0, c0, c1, c2)"""
 
 
@@ -194,7 +194,7 @@ def d_lognorm(x, mu, v):
 
 # the fitted std curve as a scalar expression of a mean
 def curve_sql(a):
-    return f"(SELECT CASE WHEN kind = 'root' THEN sqrt(greatest(c0 + c1 * ({a} - x0) + c2 * ({a} - x0) ** 2, 0)) ELSE c0 + c1 * ({a} - x0) + c2 * ({a} - x0) ** 2 END FROM best)"
+    return f"(SELECT CASE WHEN kind = 'root' THEN sqrt(greatest(c0 + c1 * ({a} - x0) + c2 * ({a} - x0) ** 2, 1e-6)) ELSE c0 + c1 * ({a} - x0) + c2 * ({a} - x0) ** 2 END FROM best)"
 
 
 BEST = "best AS (SELECT * FROM fits ORDER BY round(rms, 9), kind LIMIT 1),\noff AS (SELECT avg(g_x0) AS og, avg(ig_x0) AS oig, avg(ib_x0) AS oib, avg(ln_x0) AS oln FROM fam)"

@@ -86,11 +86,15 @@ def with_wrap(df: DataFrame, n: int, x: str = "x", y: str = "y", z: str = "z") -
 
 
 def hex_index(x, z, n: int) -> Column:
-    """Dense number 0 .. 3n^2-1 of a home pixel, ordered by (x, z)."""
+    """Dense number 0 .. 3n^2-1 of a home pixel, ordered by (x, z).
+
+    Column x starts after n(3n-1)/2 + 2nx - |x|(x-1)/2 pixels, at z = -n for
+    x >= 0 and at z = -n-x for x < 0. The result is declared not NULL: else a
+    join on it would repeat the whole expression in an IS NOT NULL filter.
+    """
     x, z = _c(x), _c(z)
-    below = F.shiftright((x + n) * (3 * n - 1 + x), 1) + (z + n + x)
-    above = n * (3 * n - 1) // 2 + 2 * n * x - F.shiftright(x * (x - 1), 1) + (z + n)
-    return F.when(x < 0, below).otherwise(above).cast("long")
+    start = n * (3 * n - 1) // 2 + n + 2 * n * x - F.shiftright(F.abs(x) * (x - 1), 1)
+    return F.coalesce((start + z + F.least(x, F.lit(0))).cast("long"), F.lit(-1).cast("long"))
 
 
 def hex_distance(x, y, z) -> Column:
@@ -144,85 +148,90 @@ def lattice_points(n: int, bond: int) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def symmetry_ops(n: int, bond: int) -> list[dict]:
-    """All copies: lattice shift, rotation by 60 degree steps, mirror."""
-    return [
-        {"sym": s, "lx": lx, "lz": lz, "rot": rot, "mirror": mir}
-        for s, (mir, rot, lx, lz) in enumerate(
-            (mir, rot, lx, lz)
-            for mir in (0, 1)
-            for rot in range(6)
-            for lx, lz in lattice_points(n, bond)
-        )
-    ]
+def _apply(rot: int, mirror: int, x: int, z: int) -> tuple[int, int]:
+    """Rotate by 60 degree steps, then mirror."""
+    for _ in range(rot):
+        x, z = x + z, -x  # (x, y, z) -> (-y, -z, -x)
+    return (x, -x - z) if mirror else (x, z)
+
+
+def operation_table() -> list[tuple[int, ...]]:
+    """The twelve point operations as integer matrices (a, b, c, d) on (x, z),
+    rotation fastest, each followed by its inverse."""
+    ops = []
+    for mirror in (0, 1):
+        for rot in range(6):
+            a, c = _apply(rot, mirror, 1, 0)
+            b, d = _apply(rot, mirror, 0, 1)
+            det = a * d - b * c
+            ops.append((a, b, c, d, d * det, -b * det, -c * det, a * det))
+    return ops
+
+
+def operation(rot, mirror) -> Column:
+    """struct(a, b, c, d, ia, ib, ic, id) of the operation of a row."""
+    names = ("a", "b", "c", "d", "ia", "ib", "ic", "id")
+    table = F.array(
+        *[F.struct(*[F.lit(v).alias(k) for k, v in zip(names, op)]) for op in operation_table()]
+    )
+    return F.get(table, F.pmod(_c(rot), F.lit(6)) + 6 * _c(mirror))
 
 
 def symmetry_array(n: int, bond: int) -> Column:
-    """The copies as one constant array column, to be exploded.
+    """The copies (sym, lx, lz, rot, mirror) as one constant array column, to
+    be exploded: lattice shifts fastest, then rotations, then the mirror.
 
     Its length 12 (n/bond)^2 is set by the grid, never by the data.
     """
-    k = len(lattice_points(n, bond))
-    pts = F.array(
-        *[F.struct(F.lit(x).alias("lx"), F.lit(z).alias("lz")) for x, z in lattice_points(n, bond)]
-    )
+    points = lattice_points(n, bond)
+    # the unshifted copy comes first
+    points = sorted(points, key=lambda p: (p != (0, 0), p))
+    k = len(points)
+    pts = F.array(*[F.struct(F.lit(x).alias("lx"), F.lit(z).alias("lz")) for x, z in points])
     ids = F.sequence(F.lit(0), F.lit(12 * k - 1))
 
     def make(s: Column) -> Column:
         p = F.get(pts, s % k)
         return F.struct(
-            s.alias("sym"),
-            p["lx"].alias("lx"),
-            p["lz"].alias("lz"),
-            (F.floor(s / k) % 6).cast("int").alias("rot"),
-            F.floor(s / (6 * k)).cast("int").alias("mirror"),
+            s.alias("sym"), p["lx"].alias("lx"), p["lz"].alias("lz"),
+            (F.floor(s / k) % 6).cast("int").alias("rot"), F.floor(s / (6 * k)).cast("int").alias("mirror"),
         )
 
     return F.transform(ids, make)
 
 
-def _rotated(vx: Column, vy: Column, vz: Column, rot: Column) -> tuple[Column, Column]:
-    """(x, y) after ``rot`` steps of 60 degrees; odd steps change the sign."""
-    k = F.pmod(rot, F.lit(3))
-    rx = F.when(k == 0, vx).when(k == 1, vy).otherwise(vz)
-    ry = F.when(k == 0, vy).when(k == 1, vz).otherwise(vx)
-    sign = F.when(F.pmod(rot, F.lit(2)) == 1, -1).otherwise(1)
-    return rx * sign, ry * sign
-
-
 def with_transform(
     df: DataFrame, n: int, lx="lx", lz="lz", rot="rot", mirror="mirror",
     x: str = "x", z: str = "z", out: tuple[str, str] = ("tx", "tz"),
 ) -> DataFrame:
-    """Shift by a lattice point, rotate, mirror, fold home."""
-    lx, lz, rot, mirror = _c(lx), _c(lz), _c(rot), _c(mirror)
+    """Shift by a lattice point, rotate, mirror, fold home: a linear map of the
+    shifted coordinates."""
     tx, tz = out
-    d = df.withColumns({"_sx": F.col(x) + lx, "_sz": F.col(z) + lz})
-    a, c = F.col("_sx"), F.col("_sz")
-    rx, ry = _rotated(a, -a - c, c, rot)
-    d = d.withColumns({tx: rx, "_ty": ry})
-    d = d.withColumn(
-        tz, F.when(mirror == 1, F.col("_ty")).otherwise(-F.col(tx) - F.col("_ty"))
+    m = F.col("_op")
+    d = df.withColumns({"_op": operation(rot, mirror), "_sx": F.col(x) + _c(lx), "_sz": F.col(z) + _c(lz)})
+    d = d.withColumns(
+        {
+            tx: m["a"] * F.col("_sx") + m["b"] * F.col("_sz"),
+            tz: m["c"] * F.col("_sx") + m["d"] * F.col("_sz"),
+        }
     )
-    return with_wrap(d, n, tx, "_ty", tz).drop("_sx", "_sz", "_ty")
+    return with_wrap(d, n, tx, "_ty", tz).drop("_op", "_sx", "_sz", "_ty")
 
 
 def with_inverse_transform(
     df: DataFrame, n: int, lx="lx", lz="lz", rot="rot", mirror="mirror",
     x: str = "x", z: str = "z", out: tuple[str, str] = ("tx", "tz"),
 ) -> DataFrame:
-    """Mirror, rotate back, shift back, fold home."""
-    lx, lz, rot, mirror = _c(lx), _c(lz), _c(rot), _c(mirror)
+    """Undo the point operation, shift back, fold home."""
     tx, tz = out
+    m = F.col("_op")
     X, Z = F.col(x), F.col(z)
-    d = df.withColumn("_sz", F.when(mirror == 1, -X - Z).otherwise(Z))
-    c = F.col("_sz")
-    rx, ry = _rotated(X, -X - c, c, 6 - rot)
-    d = d.withColumns({"_rx": rx, "_ry": ry})
+    d = df.withColumn("_op", operation(rot, mirror))
     d = d.withColumns(
-        {tx: F.col("_rx") - lx, tz: -F.col("_rx") - F.col("_ry") - lz}
-    ).withColumn("_ry", F.lit(0))
-    return with_wrap(d, n, tx, "_ry", tz).drop("_sz", "_rx", "_ry")
+        {"_ix": m["ia"] * X + m["ib"] * Z - _c(lx), "_iz": m["ic"] * X + m["id"] * Z - _c(lz)}
+    )
+    d = d.withColumns({tx: F.col("_ix"), tz: F.col("_iz")})
+    return with_wrap(d, n, tx, "_ty", tz).drop("_op", "_ix", "_iz", "_ty")
 
 
 def site_class(x, y, z, bond: int) -> Column:

@@ -95,11 +95,9 @@ def empirical_table(
         F.array_min(F.filter("_cls", lambda c: c["avg"] >= F.col("avg"))).alias("b"),
         F.explode(F.sequence(lo, hi)).alias("value"),
     )
-    h = hist.select("class", "value", "p")
-    d = d.join(h.select(F.col("class").alias("_ca"), "value", F.col("p").alias("pa")),
-               (F.col("a.class") == F.col("_ca")) & (d["value"] == h["value"]), "left").drop("_ca").drop(h["value"])
-    h2 = h.select(F.col("class").alias("_cb"), F.col("value").alias("_vb"), F.col("p").alias("pb"))
-    d = d.join(h2, (F.col("b.class") == F.col("_cb")) & (F.col("value") == F.col("_vb")), "left").drop("_cb", "_vb")
+    for side in ("a", "b"):
+        h = hist.select(F.col("class").alias("_c"), F.col("value").alias("_v"), F.col("p").alias("p" + side))
+        d = d.join(h, (F.col(f"{side}.class") == F.col("_c")) & (F.col("value") == F.col("_v")), "left").drop("_c", "_v")
 
     def least_p(c):
         k = F.col(f"{c}.std") / F.col("std")

@@ -309,7 +309,8 @@ def fit_std_curve(moments: DataFrame) -> DataFrame:
 def curve_value(kind, c0, c1, c2, d) -> Column:
     kind, c0, c1, c2, d = col(kind), col(c0), col(c1), col(c2), col(d)
     poly = c0 + c1 * d + c2 * d * d
-    return F.when(kind == "root", F.sqrt(F.greatest(poly, F.lit(0.0)))).otherwise(poly)
+    # a quadratic may turn negative beyond the measured means
+    return F.when(kind == "root", F.sqrt(F.greatest(poly, F.lit(1e-6)))).otherwise(poly)
 
 
 def order_classes(moments: DataFrame, by: str = "class") -> DataFrame:

@@ -47,3 +47,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     plan of an iterative job from growing with the number of rounds."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash partition with the session's shuffle width.
+
+    An explicit number keeps adaptive execution from merging the partitions of
+    a small table that is about to be expanded many times.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys)

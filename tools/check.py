@@ -53,16 +53,18 @@ def connect(sf_dir):
 
 
 def compare(spark, con, sf_dir, name):
+    t0 = time.time()
     df = catalog.QUERIES[name](spark, sf_dir)
     got = df.collect()
+    spent = f"(spark {time.time() - t0:.2f}s) "
     if name not in catalog.ORACLES:
-        return f"rows {len(got)}", True
+        return f"{spent}rows {len(got)}", True
     cols, want = oracle(con, catalog.ORACLES[name])
     if sorted(cols) != sorted(df.columns):
         return f"columns {sorted(df.columns)} != {sorted(cols)}", False
     a, b = rows_of(df.columns, got), rows_of(cols, want)
     if a == b:
-        return f"ok {len(a)}", True
+        return f"{spent}ok {len(a)}", True
     sa, sb = set(a), set(b)
     return (
         f"MISMATCH {len(a)} vs {len(b)} cols {sorted(cols)}\n   spark only {sorted(sa - sb)[:3]}"
