@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "honeyframe") -> SparkSession:
@@ -57,3 +57,10 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(n, *keys)
+
+
+def bounded(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
+    """Broadcast a side that is written and counted first; a larger one is
+    returned as it is, for a shuffled join."""
+    d = cut_lineage(df)
+    return F.broadcast(d) if d.count() <= max_rows else d
