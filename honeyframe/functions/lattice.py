@@ -50,25 +50,33 @@ def with_lattice_coords(
     return d.withColumns({"a1": a1, "a2": a2, "p1": p1, "p2": p2}).drop("_ux", "_uy")
 
 
-def with_cell_basis(params: DataFrame, bond: int) -> DataFrame:
-    """Add the distorted unit-cell vectors e1, e2 and their inverse i11..i22.
-
-    One row per frame or trial: pixels then need only products and sums.
-    """
-    t, length = -col("tilt"), 3 * bond * col("hel")
-    d = params
-    for k, ang in (("e1", -math.pi / 6), ("e2", math.pi / 6)):
+def _with_basis(params: DataFrame, length, first: float, p: str) -> DataFrame:
+    t, d = -col("tilt"), params
+    for k, ang in (("1", first), ("2", first + math.pi / 3)):
         x, y = undistort(length * F.cos(t + ang), length * F.sin(t + ang), 1 / col("excent"), "phi")
-        d = d.withColumns({k + "x": x, k + "y": y})
-    det = col("e1x") * col("e2y") - col("e1y") * col("e2x")
+        d = d.withColumns({f"{p}{k}x": x, f"{p}{k}y": y})
+    det = col(p + "1x") * col(p + "2y") - col(p + "1y") * col(p + "2x")
     return d.withColumns(
         {
-            "i11": col("e2y") / det, "i12": -col("e2x") / det,
-            "i21": -col("e1y") / det, "i22": col("e1x") / det,
+            "i11": col(p + "2y") / det, "i12": -col(p + "2x") / det,
+            "i21": -col(p + "1y") / det, "i22": col(p + "1x") / det,
         }
     )
 
 
+def with_cell_basis(params: DataFrame, bond: int) -> DataFrame:
+    """Add the distorted unit-cell vectors e1, e2 and their inverse i11..i22.
+
+    One row per frame or trial: pixels then need only products and sums.
+    """
+    return _with_basis(params, 3 * bond * col("hel"), -math.pi / 6, "e")
+
+
+def with_pixel_basis(params: DataFrame) -> DataFrame:
+    """Same for the vectors p1, p2 between neighbouring hexagons."""
+    return _with_basis(params, math.sqrt(3.0) * col("hel"), 0.0, "p")
+
+
 def ellipse_radius(theta, a, b, rot) -> Column:
     theta, a, b, rot = col(theta), col(a), col(b), col(rot)
     return a * b / F.sqrt(
