@@ -94,3 +94,69 @@ def group_models(spark: SparkSession, sf: str, levels: int = 16, scale: float =
             F.lit(levels - 1), F.round(F.avg("value") * scale).cast("long")
         ).cast("long").alias("level")
     )
+
+
+# -- honeycomb mesh ----------------------------------------------------------------
+#
+# Every order is a hexagon cell on a honeycomb 40 cells wide. Corners have integer
+# places (vx, vy); at a few regular places a bond is turned by 90 degrees, which
+# makes two 5-rings and two 7-rings.
+
+MESH_WIDTH = 40
+
+
+def _turned(vx, vy):
+    """Upper atom of a turned bond."""
+    return (vx % 20 == 7) & (vy % 30 == 13)
+
+
+def _atom_id(vx, vy):
+    return (vy + 10) * 100000 + vx + 10
+
+
+def mesh_rings(spark: SparkSession, sf: str) -> DataFrame:
+    """(view, ring_id, seq, atom_id), corners in order around each ring."""
+    k = F.col("o_orderkey")
+    c, r = k % MESH_WIDTH, F.floor(k / MESH_WIDTH)
+    d = table(spark, sf, "orders").select(
+        k.alias("ring_id"), (2 * c + r % 2).alias("X"), (3 * r).alias("Y")
+    )
+    X, Y = F.col("X"), F.col("Y")
+    corners = ((0, 2), (1, 1), (1, -1), (0, -2), (-1, -1), (-1, 1))
+    items = [F.struct(F.lit(float(s)).alias("s"), (X + a).alias("vx"), (Y + b).alias("vy")) for s, (a, b) in enumerate(corners)]
+    d = d.select("ring_id", "X", "Y", F.inline(F.array(*items)))
+    vx, vy, s = F.col("vx"), F.col("vy"), F.col("s")
+    # the cell left of a turned bond loses its lower atom, the right one its upper
+    drop = ((s == 2) & _turned(vx, vy + 2)) | ((s == 5) & _turned(vx, vy))
+    d = d.filter(~drop)
+    # the cells above and below gain the other atom of the bond
+    extra = F.when((s == 3) & _turned(vx, vy), F.struct(F.lit(2.5).alias("s"), vx.alias("vx"), (vy - 2).alias("vy")))
+    extra = extra.when((s == 0) & _turned(vx, vy + 2), F.struct(F.lit(5.5).alias("s"), vx.alias("vx"), (vy + 2).alias("vy")))
+    own = F.struct(s.alias("s"), vx.alias("vx"), vy.alias("vy"))
+    d = d.select("ring_id", F.inline(F.array_compact(F.array(own, extra))))
+    from pyspark.sql import Window as W
+
+    seq = F.row_number().over(W.partitionBy("ring_id").orderBy("s")) - 1
+    return d.select(F.lit(0).alias("view"), "ring_id", seq.cast("long").alias("seq"), _atom_id(vx, vy).alias("atom_id"))
+
+
+def mesh_atoms(spark: SparkSession, sf: str) -> DataFrame:
+    """(view, atom_id, x, y, z, weight): bond length 1, turned bonds lie flat."""
+    a = mesh_rings(spark, sf).select("atom_id").distinct()
+    vx, vy = F.col("atom_id") % 100000 - 10, F.floor(F.col("atom_id") / 100000) - 10
+    a = a.select("atom_id", vx.alias("vx"), vy.alias("vy"))
+    vx, vy = F.col("vx"), F.col("vy")
+    up, low = _turned(vx, vy), _turned(vx, vy + 2)
+    x = vx * F.lit(0.8660254037844386) + F.when(up, -0.5).when(low, 0.5).otherwise(0.0)
+    y = (vy + F.when(up, -1).when(low, 1).otherwise(0)) * F.lit(0.5)
+    return a.select(
+        F.lit(0).alias("view"), "atom_id", x.alias("x"), y.alias("y"), F.lit(0.0).alias("z"),
+        (F.lit(1.0) + (F.col("atom_id") % 7) / F.lit(10.0)).alias("weight"),
+    )
+
+
+def mesh_bonds(spark: SparkSession, sf: str) -> DataFrame:
+    """(view, a, b) with a < b: consecutive corners of the rings."""
+    from honeyframe.operators.topology import ring_edges
+
+    return ring_edges(mesh_rings(spark, sf)).select("view", "a", "b").distinct()
