@@ -50,7 +50,7 @@ def knn_candidates(spark, sf):
 @query("bond_atoms")
 def bond_atoms(spark, sf):
     a = X.mesh_atoms(spark, sf).select("view", F.col("atom_id").alias("id"), "x", "y")
-    return T.bond_atoms(T.knn_candidates(a, 6), 3, allow_quads=False, max_dist=1.4)
+    return T.bond_atoms(T.knn_candidates(a, 6), 3, max_dist=1.4)
 
 
 @query("order_neighbors", with_(MESH, body="""
