@@ -26,7 +26,5 @@ def query(name: str, sql: str | None = None):
 
 
 def load() -> None:
-    if QUERIES:
-        return
     for m in _MODULES:
         importlib.import_module(f"honeyframe.catalog.{m}")

@@ -252,7 +252,7 @@ def pdf_match(spark, sf):
 
 
 @query("order_classes", with_(HX, CLS, body=f"""
-SELECT class, {S6('avg')} AS avg, row_number() OVER (ORDER BY avg, class) AS place FROM moments"""))
+SELECT class, {S6('avg')} AS avg, row_number() OVER (ORDER BY round(avg, 9), class) AS place FROM moments"""))
 def order_classes(spark, sf):
     return S.order_classes(moments(spark, sf)).select("class", r6("avg").alias("avg"), "place")
 

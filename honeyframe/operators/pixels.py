@@ -660,7 +660,7 @@ def template_offset(
         F.col("s2") - 2 * lo * F.col("s") + res * res * lo * lo
         - 2 * amp * (F.col("c") - lo * st) + amp * amp * st2
     )
-    g = g.select(*keys, "sx", "sy", (1000 * F.sqrt(F.greatest(sq, F.lit(0.0))) / F.col("s")).alias("residual"))
+    g = g.select(*keys, "sx", "sy", (1000 * F.sqrt(F.greatest(sq, F.lit(0.0))) / F.nullif(F.col("s"), F.lit(0.0))).alias("residual"))
     w = W.partitionBy(*keys)  # res^2 rows
     mean, worst = F.avg("residual").over(w), F.max("residual").over(w)
     return g.withColumn("merit", 1000 * (F.col("residual") - worst) / F.nullif(mean - worst, F.lit(0.0)))

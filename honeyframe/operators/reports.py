@@ -386,7 +386,7 @@ def rerun_state(runs: DataFrame, stability: int = 6, peak_points: int = 1) -> Da
     )
     d = runs.join(before, ["frame_id", "run"], "left")
     gain = F.col("hex_merit") - F.col("_old")
-    again = (gain > 0.1) & (gain / F.col("hex_merit") > 0.01)
+    again = (gain > 0.1) & (gain / F.nullif(F.col("hex_merit"), F.lit(0.0)) > 0.01)
     return d.select(
         "frame_id", "run", "hex_merit", gain.alias("gain"),
         F.when(F.coalesce(again, F.lit(False)), 3).otherwise(-1).alias("state"),

@@ -138,11 +138,11 @@ def orientation_moments(points: DataFrame, by: list[str], x="x", y="y", w="w") -
         F.sum(w).alias("_w"), F.sum(w * x * x).alias("_xx"), F.sum(w * y * y).alias("_yy"),
         F.sum(w * x * y).alias("_xy"), F.sum(w * x * x * x * x).alias("_x4"), F.sum(w * y * y * y * y).alias("_y4"),
     )
-    m = m.select(*by, *[(F.col(c) / F.col("_w")).alias(c) for c in ("_xx", "_yy", "_xy", "_x4", "_y4")])
+    m = m.select(*by, *[(F.col(c) / F.nullif(F.col("_w"), F.lit(0))).alias(c) for c in ("_xx", "_yy", "_xy", "_x4", "_y4")])
     xx, yy, xy = F.col("_xx"), F.col("_yy"), F.col("_xy")
     half, diff = (xx + yy) / 2, (xx - yy) / 2
     root = F.sqrt(diff * diff + xy * xy)
-    kx, ky = F.col("_x4") / (xx * xx), F.col("_y4") / (yy * yy)
+    kx, ky = F.col("_x4") / F.nullif(xx * xx, F.lit(0.0)), F.col("_y4") / F.nullif(yy * yy, F.lit(0.0))
     # direction of the large eigenvector as (row, column), then a quarter turn
     axis = F.atan2(xy, root + diff)
     d = m.select(
@@ -150,7 +150,7 @@ def orientation_moments(points: DataFrame, by: list[str], x="x", y="y", w="w") -
         F.pmod(axis, F.lit(math.pi)).alias("angle"),
         F.sqrt(kx * kx + ky * ky).alias("kurtosis"), F.atan2(ky, kx).alias("kurtosis_angle"),
     )
-    ratio = F.col("small") / F.col("large")
+    ratio = F.col("small") / F.nullif(F.col("large"), F.lit(0.0))
     return d.withColumn("excent", F.sqrt(1 - ratio * ratio))
 
 
@@ -175,9 +175,10 @@ def fit_ellipse(peaks: DataFrame, by: list[str], theta="theta", radius="radius")
     c1, c2, c3 = (n, k["c"], k["s"]), (k["c"], k["cc"], k["cs"]), (k["s"], k["cs"], k["ss"])
     rhs = (k["u"], k["uc"], k["us"])
     d0 = det(c1, c2, c3)
-    m = m.withColumns({"_d": d0, "_A": det(rhs, c2, c3) / d0, "_B": det(c1, rhs, c3) / d0, "_C": det(c1, c2, rhs) / d0})
+    nz = F.nullif(d0, F.lit(0.0))
+    m = m.withColumns({"_d": d0, "_A": det(rhs, c2, c3) / nz, "_B": det(c1, rhs, c3) / nz, "_C": det(c1, c2, rhs) / nz})
     amp = F.sqrt(F.col("_B") * F.col("_B") + F.col("_C") * F.col("_C"))
-    ok = (n >= 3) & (F.abs("_d") > 1e-9) & (F.col("_A") > amp)
+    ok = F.coalesce((n >= 3) & (F.abs("_d") > 1e-9) & (F.col("_A") > amp), F.lit(False))
     return m.select(
         *by, "n",
         F.when(ok, 1 / F.sqrt(F.col("_A") - amp)).otherwise(F.col("_r")).alias("a"),
@@ -315,7 +316,7 @@ def curve_value(kind, c0, c1, c2, d) -> Column:
 
 def order_classes(moments: DataFrame, by: str = "class") -> DataFrame:
     """Rank the classes by mean; there is one row per site class."""
-    w = W.orderBy("avg", by)
+    w = W.orderBy(F.round("avg", 9), by)
     return moments.withColumn("place", F.row_number().over(w))
 
 

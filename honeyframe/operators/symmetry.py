@@ -50,7 +50,7 @@ def kernel_of(lattice: DataFrame, background: DataFrame | None = None) -> DataFr
     def score(df, out):
         s = df.groupBy().agg(F.avg("value").alias("_m"), F.stddev_pop("value").alias("_s"))
         m, sd = (s.select(c).scalar() for c in ("_m", "_s"))
-        return df.select("hp", ((F.col("value") - m) / sd).alias(out))
+        return df.select("hp", ((F.col("value") - m) / F.nullif(sd, F.lit(0.0))).alias(out))
 
     k = score(lattice, "k")
     if background is None:
