@@ -13,9 +13,9 @@ def number_rows(df: DataFrame, order: list, out: str, start: int = 0) -> DataFra
     Range partitions are sorted in parallel and written once, so that their
     layout is fixed; only the row count of each partition goes to the driver.
     """
-    placed = cut_lineage(df.repartitionByRange(*order).sortWithinPartitions(*order))
-    placed = placed.withColumns(
-        {"_pid": F.spark_partition_id(), "_in": F.monotonically_increasing_id()}
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = cut_lineage(
+        placed.withColumns({"_pid": F.spark_partition_id(), "_in": F.monotonically_increasing_id()})
     )
     sizes = placed.groupBy("_pid").agg(F.count(F.lit(1)).alias("n")).collect()
     offset, total = {}, start

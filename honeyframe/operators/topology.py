@@ -179,7 +179,6 @@ def trace_rings(bonds: DataFrame, atoms: DataFrame, max_size: int = 24) -> DataF
     after = o.select("view", "p", F.col("q").alias("t"), F.col("place").alias("_pl"))
     step = o.select("view", "p", "q", F.when(F.col("place") == 1, F.col("_n")).otherwise(F.col("place") - 1).alias("_pl"))
     nxt = step.join(after, ["view", "p", "_pl"]).select("view", F.struct(F.col("q").alias("u"), F.col("p").alias("v")).alias("e"), F.struct(F.col("p").alias("u"), F.col("t").alias("v")).alias("nx"))
-    nxt = cut_lineage(nxt)
     state = cut_lineage(nxt.select("view", "e", F.col("nx").alias("jump"), F.least("e", "nx").alias("low")))
     span = 1
     while True:
@@ -189,31 +188,34 @@ def trace_rings(bonds: DataFrame, atoms: DataFrame, max_size: int = 24) -> DataF
         moved = not d.filter("_moved").isEmpty()
         state = d.drop("_moved")
         span *= 2
-        # after covering max_size steps only long, open faces can still change
-        if not moved or span > 2 * max_size:
+        # after max_size steps only longer faces can still change
+        if not moved or span >= max_size:
             break
-    size = F.count(F.lit(1)).over(W.partitionBy("view", "low"))
-    xy = atoms.select("view", F.col("atom_id").alias("_a"), "x", "y")
-    faces = state.groupBy("view", "low").agg(
-        F.count(F.lit(1)).alias("size"), F.countDistinct("e.u").alias("_atoms")
-    ).filter((F.col("size") == F.col("_atoms")) & (F.col("size") <= max_size) & (F.col("size") > 2))
-    e = state.join(faces.select("view", "low", "size"), ["view", "low"]).select("view", "low", "size", "e")
-    pts = e.select("view", "low", "e", F.col("e.u").alias("_a")).join(xy, ["view", "_a"]).withColumnRenamed("x", "x1").withColumnRenamed("y", "y1").drop("_a")
-    pts = pts.withColumn("_a", F.col("e.v")).join(xy, ["view", "_a"])
-    area = pts.groupBy("view", "low").agg(F.sum(F.col("x1") * F.col("y") - F.col("x") * F.col("y1")).alias("area"))
-    inner = area.filter(F.col("area") > 0).select("view", "low")
-    e = e.join(inner, ["view", "low"], "left_semi").join(nxt, ["view", "e"])
-    # place on the ring: steps from the naming bond, by list ranking
-    last = F.col("nx") == F.col("low")
-    rank = e.select("view", "low", "size", "e", F.when(~last, F.col("nx")).alias("jump"), F.when(last, 0).otherwise(1).alias("left"))
-    rank = cut_lineage(rank)
-    span = 1
-    while span < max_size:
-        ahead = rank.select("view", F.col("e").alias("jump"), F.col("jump").alias("_j"), F.col("left").alias("_l"))
-        rank = rank.join(ahead, ["view", "jump"], "left").select("view", "low", "size", "e", F.col("_j").alias("jump"), (F.col("left") + F.coalesce("_l", F.lit(0))).alias("left"))
-        rank = cut_lineage(rank)
-        span *= 2
-    return rank.select("view", "low", (F.col("size") - 1 - F.col("left")).alias("seq"), F.col("e.u").alias("atom_id"), "size")
+    faces = state.groupBy("view", "low").agg(F.count(F.lit(1)).alias("size"))
+    faces = faces.filter((F.col("size") <= max_size) & (F.col("size") > 2))
+    e = state.join(faces, ["view", "low"]).select("view", "low", "size", "e")
+    # each short face in its own row; a piece of a longer one does not close
+    ring = e.groupBy("view", "low", "size").agg(
+        F.collect_list("e").alias("_e"), F.countDistinct("e.u").alias("_atoms")
+    ).filter(F.col("_atoms") == F.col("size"))
+    ring = ring.withColumn("_next", F.map_from_entries("_e"))
+    ring = ring.filter(F.array_sort(F.map_keys("_next")) == F.array_sort(F.map_values("_next")))
+    path = F.aggregate(
+        F.sequence(F.lit(2), F.col("size").cast("int")), F.array(F.col("low.u")),
+        lambda acc, i: F.array_append(acc, F.element_at("_next", F.element_at(acc, -1))),
+    )
+    ring = ring.select("view", "low", "size", F.posexplode(path).alias("seq", "atom_id"))
+    xy = atoms.select("view", "atom_id", "x", "y")
+    pts = ring.join(xy, ["view", "atom_id"]).groupBy("view", "low", "size").agg(
+        F.sort_array(F.collect_list(F.struct("seq", "atom_id", "x", "y"))).alias("_p")
+    )
+    n = F.col("size").cast("int")
+    turn = F.aggregate(
+        F.sequence(F.lit(0), n - 1), F.lit(0.0),
+        lambda acc, i: acc + F.get("_p", i)["x"] * F.get("_p", (i + 1) % n)["y"] - F.get("_p", (i + 1) % n)["x"] * F.get("_p", i)["y"],
+    )
+    inner = pts.filter(turn > 0)
+    return inner.select("view", "low", "size", F.inline("_p")).select("view", "low", F.col("seq").cast("long").alias("seq"), "atom_id", "size")
 
 
 def ring_edges(rings: DataFrame) -> DataFrame:

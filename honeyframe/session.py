@@ -43,10 +43,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives the loss of an executor, and keeps the
-    plan of an iterative job from growing with the number of rounds."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write a table beside the checkpoints and read it back.
+
+    Survives the loss of an executor and keeps the plan of an iterative job
+    from growing with its rounds. Unlike a checkpoint of rows it is computed
+    once, and its size is known to the planner of the next step.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
