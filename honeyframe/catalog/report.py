@@ -228,11 +228,11 @@ def upsert_by_label(spark, sf):
 @query("circular_mean", with_(RPX, body=f"""
 SELECT grp, {S6('atan2(sum(hex_merit * sin(6 * tilt)), sum(hex_merit * cos(6 * tilt))) / 6')} AS tilt60,
  {S6('atan2(sum(hex_merit * sin(2 * "ellPhi")), sum(hex_merit * cos(2 * "ellPhi"))) / 2')} AS phi180
-FROM rpx WHERE frame_id % 60 < 40 GROUP BY grp"""))
+FROM rpx GROUP BY grp"""))
 def circular_mean(spark, sf):
     from honeyframe.functions.numbers import circular_mean as cm
 
-    d = report_rows(spark, sf).filter(F.col("frame_id") % 60 < 40)
+    d = report_rows(spark, sf)
     return d.groupBy("grp").agg(
         r6(cm("tilt", "hex_merit", 6)).alias("tilt60"), r6(cm("ellPhi", "hex_merit", 2)).alias("phi180")
     )

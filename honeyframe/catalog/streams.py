@@ -34,10 +34,10 @@ def stream_reports(spark, sf):
     return d.select("frame_id", "run", r6("hex_merit").alias("hex_merit"), "results", "status")
 
 
-@query("stream_group_means", with_(RP, "g AS (SELECT *, hex_merit * hex_merit AS w, tilt % (pi() / 3) AS t FROM rp WHERE frame_id % 60 < 40)", body=f"""
+@query("stream_group_means", with_(RP, "g AS (SELECT *, hex_merit * hex_merit AS w, tilt % (pi() / 3) AS t FROM rp)", body=f"""
 SELECT grp, {S6('atan2(sum(w * sin(6 * t)), sum(w * cos(6 * t))) / 6')} AS mean_tilt, {S6('sum(w * hex_avg) / sum(w)')} AS mean_avg, count(*) AS frames FROM g GROUP BY grp"""))
 def stream_group_means(spark, sf):
-    s, path = _arrive(spark, X.rp(spark, sf).filter(F.col("frame_id") % 60 < 40).select("grp", "hex_merit", "hex_avg", "tilt"))
+    s, path = _arrive(spark, X.rp(spark, sf).select("grp", "hex_merit", "hex_avg", "tilt"))
     V.stream_group_means(s, "grp", path + "-out", path + "-ckpt")
     d = spark.read.parquet(path + "-out")
     return d.select("grp", r6("mean_tilt").alias("mean_tilt"), r6("mean_avg").alias("mean_avg"), "frames")

@@ -32,13 +32,15 @@ def expand_orbit(spark, sf):
 
 
 @query("expand_orbit_lattice", with_(HX, POS, """
-lp AS (SELECT CAST(row_number() OVER (ORDER BY CASE WHEN x = 0 AND z = 0 THEN 0 ELSE 1 END, x, z) - 1 AS BIGINT) AS lp, x AS lx, z AS lz FROM pos WHERE (x, z) IN (VALUES (0, 0), (-4, 2), (-2, -2), (-2, 4), (0, -4), (2, 2), (2, -4), (0, 4), (4, -2), (-4, 4))
-   AND (2 * x + z) % 6 = 0 AND (x + 2 * z) % 6 = 0),
-m AS (SELECT hp, lp, x + lx AS sx, z + lz AS sz FROM pos, lp)""", f"t AS (SELECT o.hp, lp, p.hp AS hp_to FROM ({wrap_home('m', 4, 'hp, lp', 'sx', 'sz')}) o JOIN pos p ON p.x = wx AND p.z = wz)", body="""
-SELECT frame_id AS sf_id, lp AS sym, hp_to AS hp, value FROM hx JOIN t USING (hp)"""))
+lp AS (SELECT CAST(row_number() OVER (ORDER BY CASE WHEN x = 0 AND z = 0 THEN 0 ELSE 1 END, x, z) - 1 AS BIGINT) AS lp, x AS lx, z AS lz FROM pos
+  WHERE (2 * x + z) % 6 = 0 AND (x + 2 * z) % 6 = 0),
+m0 AS (SELECT hp, mir * 24 + rot * 4 + lp AS sym, rot, mir, x + lx AS x, z + lz AS z, -(x + lx) - (z + lz) AS y FROM pos, lp, range(6) r(rot), range(2) u(mir)),
+m1 AS (SELECT hp, sym, mir, CASE rot WHEN 0 THEN x WHEN 1 THEN -y WHEN 2 THEN z WHEN 3 THEN -x WHEN 4 THEN y ELSE -z END AS sx, CASE rot WHEN 0 THEN y WHEN 1 THEN -z WHEN 2 THEN x WHEN 3 THEN -y WHEN 4 THEN z ELSE -x END AS sy FROM m0),
+m AS (SELECT hp, sym, sx, CASE WHEN mir = 1 THEN sy ELSE -sx - sy END AS sz FROM m1)""", f"t AS (SELECT o.hp, sym, p.hp AS hp_to FROM ({wrap_home('m', 4, 'hp, sym', 'sx', 'sz')}) o JOIN pos p ON p.x = wx AND p.z = wz)", body="""
+SELECT frame_id AS sf_id, sym, hp_to AS hp, sum(value) AS value FROM hx JOIN t USING (hp) GROUP BY ALL""".replace("sum(value)", "CAST(sum(value) AS BIGINT)")))
 def expand_orbit_lattice(spark, sf):
-    # the first (n / bond)^2 copies are the plain lattice shifts
-    return Y.expand_orbit(X.sf_pixels(spark, sf), N, 2).filter(F.col("sym") < 4)
+    """Four lattice shifts times twelve operations."""
+    return Y.expand_orbit(X.sf_pixels(spark, sf), N, 2)
 
 
 @query("orbit_median", with_(HX, SYMM, """

@@ -222,19 +222,28 @@ def match_signatures(spark, sf):
     return T.match_signatures(mine, other).select("seed", F.col("score"), "best")
 
 
-@query("merge_views")
+# views are tiles of 8 x 8 cells; their atom ids are shifted
+_SHIFT = 1_000_000_000_000
+
+
+@query("merge_views", with_(MESH, f"""
+tl AS (SELECT *, 1 + (ring_id % 40) // 8 + 5 * ((ring_id // 40) // 8) AS v FROM rings),
+st AS (SELECT DISTINCT v FROM tl WHERE ring_id % 8 = 3 AND (ring_id // 40) % 8 = 3)""", body=f"""
+SELECT DISTINCT tl.v AS view, atom_id + {_SHIFT} AS atom_id, st.v IS NULL AS is_new, CASE WHEN st.v IS NOT NULL THEN atom_id END AS master FROM tl LEFT JOIN st ON st.v = tl.v"""))
 def merge_views(spark, sf):
-    """A view of the part of the mesh around one seed joins the whole mesh."""
+    """Every tile of the mesh is a view that joins the whole mesh from the ring
+    in its middle; a tile without that ring only brings new atoms."""
     a, _, r = mesh(spark, sf)
-    r = cut_lineage(r)
-    part = r.filter((F.col("ring_id") % 40 < 8) & (F.col("ring_id") < 320))
-    va = a.join(part.select("atom_id").distinct(), "atom_id", "left_semi").withColumn("view", F.lit(1))
-    vr = part.withColumn("view", F.lit(1))
-    shift = 10_000_000
-    va, vr = (d.withColumn("atom_id", F.col("atom_id") + shift) for d in (va, vr))
-    start = vr.filter((F.col("ring_id") == 41) & (F.col("seq") < 2)).select("view", "atom_id", (F.col("atom_id") - shift).alias("master"))
+    r, a = cut_lineage(r), cut_lineage(a)
+    row, c = F.floor(F.col("ring_id") / 40), F.col("ring_id") % 40
+    tile = (1 + F.floor(c / 8) + 5 * F.floor(row / 8)).alias("view")
+    vr = cut_lineage(r.select(tile, "ring_id", "seq", (F.col("atom_id") + _SHIFT).alias("atom_id")))
+    va = vr.select("view", "atom_id").distinct().withColumn("_m", F.col("atom_id") - _SHIFT).join(
+        a.select(F.col("atom_id").alias("_m"), "x", "y"), "_m").drop("_m")
+    mid = (F.col("ring_id") % 8 == 3) & (row % 8 == 3) & (F.col("seq") < 2)
+    start = vr.filter(mid).select("view", "atom_id", (F.col("atom_id") - _SHIFT).alias("master"))
     links, _ = T.merge_views(a, r, va, vr, start)
-    return links
+    return links.select("view", "atom_id", "is_new", F.when(~F.col("is_new"), F.col("master")).alias("master"))
 
 
 # -- atoms in frames -----------------------------------------------------------------
