@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 
 from honeyframe import fixtures as X
 from honeyframe.catalog import query
-from honeyframe.catalog.report import report_rows  # noqa: F401 - shared stand-in
-from honeyframe.catalog.views import EV, HX, PT, PX, RP, r6 as S6, with_, wrap_home
+from honeyframe.catalog.views import EV, HX, PT, PX, r6 as S6, with_, wrap_home
 from honeyframe.functions import hexgrid as H
 from honeyframe.functions.numbers import r6
 from honeyframe.operators import pixels as P, runs as R

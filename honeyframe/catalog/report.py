@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from honeyframe import fixtures as X
 from honeyframe.catalog import query
-from honeyframe.catalog.views import EV, RP, r6 as S6, with_
-from honeyframe.functions.numbers import r6, safe_div
+from honeyframe.catalog.views import RP, r6 as S6, with_
+from honeyframe.functions.numbers import r6
 from honeyframe.operators import reports as R
 from honeyframe.operators.numbering import number_rows
 
