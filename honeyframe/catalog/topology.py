@@ -159,13 +159,15 @@ def defect_seeds(spark, sf):
 @query("defect_patterns", with_(MESH, """
 f AS (SELECT s.a, s.b, s.r1, s.r2 FROM sides s JOIN rsize x ON x.ring_id = r1 JOIN rsize y ON y.ring_id = r2 JOIN deg da ON da.p = s.a JOIN deg db ON db.p = s.b
   WHERE n = 2 AND x.size = 6 AND y.size = 6 AND da.d > 2 AND db.d > 2),
-am AS (SELECT atom_id, count(*) AS n, count(*) FILTER (size >= 7) AS big FROM rings JOIN rsize USING (ring_id) GROUP BY atom_id)""", body="""
-SELECT DISTINCT u.atom_id, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y FROM (SELECT unnest([f.a, f.b]) AS atom_id FROM f JOIN am p ON p.atom_id = f.a JOIN am q ON q.atom_id = f.b
-  WHERE p.n = 3 AND q.n = 3 AND p.big = 1 AND q.big = 1) u JOIN atoms USING (atom_id)"""))
+am AS (SELECT atom_id, count(*) AS n FROM rings GROUP BY atom_id),
+en AS (SELECT f.a, f.b, count(*) AS ends FROM f JOIN rings r ON r.atom_id IN (f.a, f.b) AND r.ring_id NOT IN (f.r1, f.r2) JOIN rsize z ON z.ring_id = r.ring_id AND z.size >= 6
+  JOIN am ON am.atom_id = r.atom_id AND am.n = 3 GROUP BY f.a, f.b HAVING count(*) = 2)""", body="""
+SELECT DISTINCT u.atom_id, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y FROM (SELECT a AS atom_id FROM en UNION SELECT b FROM en) u JOIN atoms USING (atom_id)"""))
 def defect_patterns(spark, sf):
-    """The rule for bonds between two 6-rings, which the mesh has many of."""
+    """The rule for bonds between two 6-rings with a ring of 6 or more at each
+    end, which the mesh has many of."""
     a, b, r = mesh(spark, sf)
-    d = T.defect_patterns(r, b, a, side=6)
+    d = T.defect_patterns(r, b, a, side=6, far_size=6)
     return d.filter(F.col("kind") == "7557").select("atom_id", r6("x").alias("x"), r6("y").alias("y"))
 
 

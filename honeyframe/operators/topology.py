@@ -344,7 +344,7 @@ def defect_seeds(rings: DataFrame, sizes: tuple[int, ...] = (5, 6, 7)) -> DataFr
     return d.filter(F.col("_s") == want).select("view", "atom_id")
 
 
-def defect_patterns(rings: DataFrame, bonds: DataFrame, atoms: DataFrame, side: int = 5) -> DataFrame:
+def defect_patterns(rings: DataFrame, bonds: DataFrame, atoms: DataFrame, side: int = 5, far_size: int = 7) -> DataFrame:
     """Ring patterns that point to bad atoms: (view, kind, atom_id, action, x, y).
 
     7557: a bond between two 5-rings whose ends each touch just one ring of 7
@@ -352,7 +352,7 @@ def defect_patterns(rings: DataFrame, bonds: DataFrame, atoms: DataFrame, side:
     rings, the far ring at each end having at most 5; both atoms go, and an
     atom is added at the middle of each other bond of the end that borders the
     far ring. Only interior bonds count. ``side`` is the size of the two rings
-    beside the bond.
+    beside the bond, ``far_size`` the least size of the rings at its ends.
     """
     size = ring_sizes(rings)
     sides = bond_sides(rings).filter(F.col("sides") == 2)
@@ -363,8 +363,8 @@ def defect_patterns(rings: DataFrame, bonds: DataFrame, atoms: DataFrame, side:
     at = rings.join(size, ["view", "ring_id"]).groupBy("view", "atom_id").agg(F.collect_list(F.struct("ring_id", "size")).alias("_r"))
     for end in ("a", "b"):
         five = five.join(at.select("view", F.col("atom_id").alias(end), F.col("_r").alias("_r" + end)), ["view", end])
-    big = {e: F.size(F.filter(F.col("_r" + e), lambda r: r["size"] >= 7)) for e in ("a", "b")}
     far = {e: F.filter(F.col("_r" + e), lambda r: (r["ring_id"] != F.col("ring1")) & (r["ring_id"] != F.col("ring2"))) for e in ("a", "b")}
+    big = {e: F.size(F.filter(far[e], lambda r: r["size"] >= far_size)) for e in ("a", "b")}
     is7557 = (F.size("_ra") == 3) & (F.size("_rb") == 3) & (big["a"] == 1) & (big["b"] == 1)
     # the ring at an end that shares no edge with the bond, of four
     small = {e: F.size(F.filter(far[e], lambda r: r["size"] <= 5)) for e in ("a", "b")}
