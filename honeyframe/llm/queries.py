@@ -8,7 +8,9 @@ from honeyframe.llm import query
 from honeyframe.llm.bpe import round_trip
 from honeyframe.llm.common import documents
 from honeyframe.llm.exact_dedup import exact_dedup
+from honeyframe.llm.language import identify
 from honeyframe.llm.planes import write_and_read
+from honeyframe.llm.setsketch import near_duplicates
 from honeyframe.llm.sharding import shard_documents
 
 
@@ -23,6 +25,11 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(documents(spark, sf_dir), shards=8)
 
 
+@query("op5_setsketch")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir), percent=85)
+
+
 @query("op6_byte_bpe")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
@@ -42,6 +49,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
 
+@query("op9_language")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"))
+
+
 @query("op10_plane_files")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return write_and_read(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
