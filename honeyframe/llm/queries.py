@@ -9,6 +9,7 @@ from honeyframe.llm.bpe import round_trip
 from honeyframe.llm.common import documents
 from honeyframe.llm.exact_dedup import exact_dedup
 from honeyframe.llm.language import identify
+from honeyframe.llm.packing import pack_documents
 from honeyframe.llm.planes import write_and_read
 from honeyframe.llm.setsketch import near_duplicates
 from honeyframe.llm.sharding import shard_documents
@@ -20,6 +21,11 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query("op3_genetic_packing")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"), capacity=4096)
+
+
 @query("op4_minimax_shards")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(documents(spark, sf_dir), shards=8)
