@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from honeyframe.llm import query
 from honeyframe.llm.bpe import round_trip
 from honeyframe.llm.common import documents
+from honeyframe.llm.cover_tree import near_vectors
 from honeyframe.llm.exact_dedup import exact_dedup
 from honeyframe.llm.language import identify
 from honeyframe.llm.packing import pack_documents
@@ -21,6 +22,30 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query(
+    "op1_cover_tree",
+    """
+    WITH RECURSIVE v AS (
+        SELECT vec_id, list_transform(embedding, x -> CAST(x AS DOUBLE)) AS e FROM embeddings
+        WHERE embedding IS NOT NULL AND len(embedding) > 0
+          AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+    ), u AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS norm FROM v),
+    links AS MATERIALIZED (
+        SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+        WHERE a.norm > 0 AND b.norm > 0 AND list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.95
+    ), reach AS (
+        SELECT vec_id AS node, vec_id AS seen FROM embeddings
+        UNION SELECT r.node, l.b FROM reach r JOIN links l ON l.a = r.seen
+    ), named AS (SELECT node, min(seen) AS component_id FROM reach GROUP BY node),
+    counted AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+    SELECT e.vec_id, coalesce(c.n, 0) AS n_links, m.component_id, e.vec_id = m.component_id AS kept
+    FROM embeddings e JOIN named m ON m.node = e.vec_id LEFT JOIN counted c ON c.a = e.vec_id
+    """,
+)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), cosine=0.95)
+
+
 @query("op3_genetic_packing")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"), capacity=4096)
