@@ -327,9 +327,15 @@ def _join(limit: float, cosine: float):
         ids = sides[0][0] if one else np.concatenate([sides[0][0], sides[1][0]])
         left, right = _forest(edges)
         some = total > 0
-        counts = pd.DataFrame({"id": ids[some], "links": total[some]})
-        joined = pd.DataFrame({"a": left, "b": right}, dtype="int64")
-        return pd.concat([counts, joined], ignore_index=True).astype("Int64")[["id", "links", "a", "b"]]
+        columns = {"id": ids[some], "links": total[some], "a": left, "b": right}
+        n, m = int(some.sum()), len(left)
+        out = {}
+        for name, values in columns.items():  # two kinds of rows; the other kind's columns are null
+            mask = np.arange(n + m) >= n if name in ("id", "links") else np.arange(n + m) < n
+            whole = np.zeros(n + m, np.int64)
+            whole[~mask] = values
+            out[name] = pd.arrays.IntegerArray(whole, mask)
+        return pd.DataFrame(out)
 
     return run
 
@@ -356,8 +362,8 @@ def near_vectors(table: DataFrame, cosine: float = 0.95, id_col: str = "vec_id",
     store = Written(spark)
     limit = float(np.sqrt(2.0 - 2.0 * cosine))
     rows = table.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("vector"))
-    rows = rows.withColumn("ok", _usable(F.col("vector"))).withColumn("vector", F.when("ok", F.col("vector")))
-    rows = rows.withColumn("id", F.when("ok", F.xxhash64(F.col("vector"))))
+    rows = rows.withColumn("ok", _usable(F.col("vector"))).withColumn("vector", F.when(F.col("ok"), F.col("vector")))
+    rows = rows.withColumn("id", F.when(F.col("ok"), F.xxhash64(F.col("vector"))))
     points = store.write(rows.where("ok").groupBy("id").agg(
         F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("weight"), F.first("vector").alias("vector"),
     ))
