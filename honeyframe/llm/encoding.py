@@ -210,3 +210,13 @@ def kept(make, *key):
     if (make, *key) not in _KEPT:
         _KEPT[(make, *key)] = make(*key)
     return _KEPT[(make, *key)]
+
+
+_LATEST: dict = {}
+
+
+def latest(kind: str, key: str, make):
+    """The value for the newest key of a kind; older ones are let go."""
+    if _LATEST.get(kind, (None, None))[0] != key:
+        _LATEST[kind] = (key, make())
+    return _LATEST[kind][1]

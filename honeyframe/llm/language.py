@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
 from honeyframe.llm.common import Written
-from honeyframe.llm.encoding import Recent, kept
+from honeyframe.llm.encoding import Recent, kept, latest
 
 WORD = 32
 _MARK = "▁"
@@ -227,7 +227,7 @@ def predict(docs: DataFrame, model: Model, path: str, id_col: str = "doc_id", te
 
     def run(batches):
         prob = broadcast.value
-        scorer = kept(_scorer, path, key)
+        scorer = latest("languages", f"{path} {key}", lambda: Scorer(path))
         for b in batches:
             for lo in range(0, b.num_rows, 128):
                 s = b.slice(lo, 128)
@@ -254,10 +254,6 @@ def predict(docs: DataFrame, model: Model, path: str, id_col: str = "doc_id", te
     )
 
 
-def _scorer(path: str, key: int) -> Scorer:
-    return Scorer(path)
-
-
 def held_out(id_col: str = "doc_id", folds: int = 4, fold: int = 2) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % folds == fold, F.lit(False))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from honeyframe.llm import query
 from honeyframe.llm.bpe import round_trip
@@ -10,10 +10,12 @@ from honeyframe.llm.common import documents
 from honeyframe.llm.cover_tree import near_vectors
 from honeyframe.llm.exact_dedup import exact_dedup
 from honeyframe.llm.language import identify
+from honeyframe.llm.licenses import scan_licenses
 from honeyframe.llm.packing import pack_documents
 from honeyframe.llm.planes import write_and_read
 from honeyframe.llm.setsketch import near_duplicates
 from honeyframe.llm.sharding import shard_documents
+from honeyframe.llm.suffix_tree import score_texts
 
 
 def vocabulary(name: str) -> str:
@@ -46,6 +48,21 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), cosine=0.95)
 
 
+@query("op2_licenses")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of shelves below ``source/lang``. In each shelf some
+    stand for the licence files of the source, of the language and of the shelf."""
+    d = documents(spark, sf_dir)
+    place, shelf = F.col("doc_id") % 100, F.floor(F.col("doc_id") / 100)
+    path = (
+        F.when(place < 5, F.concat_ws("/", "source", F.lit("LICENSE")))
+        .when(place < 15, F.concat_ws("/", "source", "lang", F.lit("LICENSE")))
+        .when(place < 20, F.concat_ws("/", "source", "lang", shelf, F.lit("LICENSE")))
+        .otherwise(F.concat_ws("/", "source", "lang", shelf, F.concat("doc_id", F.lit(".txt"))))
+    )
+    return scan_licenses(d.withColumn("path", path))
+
+
 @query("op3_genetic_packing")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"), capacity=4096)
@@ -80,6 +97,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir))
 
 
+@query("op8_suffix_tree")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(documents(spark, sf_dir))
+
+
 @query("op9_language")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"))
