@@ -1,25 +1,58 @@
 """A corpus run over ``documents``: stages that are written and read again.
 
-Each stage takes ``(spark, docs, sf_dir)`` and returns the documents it keeps,
-with all their columns; the last one returns sequences.
+Each stage takes ``(spark, docs, sf_dir)``, works on all rows of ``docs`` and
+returns the documents that it keeps, with all their columns; the last returns a
+row for each token piece with its sequence.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from honeyframe.llm.common import Written, documents
 from honeyframe.llm.exact_dedup import keep_one
+from honeyframe.llm.language import keep_languages
+from honeyframe.llm.packing import pack_documents
+from honeyframe.llm.queries import vocabulary
+from honeyframe.llm.setsketch import near_duplicates
 from honeyframe.llm.ship import ship
 
 
-def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def with_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language: texts without a letter go, and those that no
+    language explains better than all others together."""
+    ship(spark)
+    return keep_languages(docs, vocabulary("piece_bpe_32k.model"))
+
+
+def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
     ship(spark)
     return keep_one(docs)
 
 
-STAGES = [("exact_dedup", exact_copies)]
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that is linked by shared five-word shingles,
+    at a similarity of 0.85 or more: the one with the smallest id."""
+    ship(spark)
+    kept = near_duplicates(docs, percent=85).where("kept").select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of 4096 tokens."""
+    ship(spark)
+    return pack_documents(docs, vocabulary("word_bpe_49k.json"), capacity=4096)
+
+
+STAGES = [
+    ("language", with_language),
+    ("exact_dedup", without_copies),
+    ("near_dedup", without_near_copies),
+    ("packing", packed),
+]
 
+#: Two stages have no SQL form; tests compare the run with brute force.
 ORACLE_SQL = None
 
 
