@@ -7,9 +7,9 @@ row for each token piece with its sequence.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from honeyframe.llm.common import Written, documents
+from honeyframe.llm.common import Written, documents, rows_of
 from honeyframe.llm.exact_dedup import keep_one
 from honeyframe.llm.language import keep_languages
 from honeyframe.llm.packing import pack_documents
@@ -35,8 +35,8 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     """One document of each group that is linked by shared five-word shingles,
     at a similarity of 0.85 or more: the one with the smallest id."""
     ship(spark)
-    kept = near_duplicates(docs, percent=85).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    kept = near_duplicates(docs, percent=85).where("kept").select("doc_id").distinct()
+    return rows_of(docs, kept, "doc_id")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -16,6 +16,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def rows_of(docs: DataFrame, keys: DataFrame, id_col: str) -> DataFrame:
+    """Rows of ``docs`` whose id (null included) is among ``keys`` (one column),
+    with all columns whatever their names."""
+    name = f"id_{uuid.uuid4().hex}"
+    return docs.join(keys.toDF(name), F.col(id_col).eqNullSafe(F.col(name)), "left_semi")
+
+
 def widths(spark: SparkSession) -> int:
     """Shuffle width of the session."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

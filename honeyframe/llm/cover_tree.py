@@ -100,15 +100,18 @@ def levels(points: np.ndarray, limit: float) -> np.ndarray:
 class Tree:
     """Levels of a block of points that are sorted by their table: for each
     level the node of every point, and the centre and the measured radius of
-    every node. The last level is the points."""
+    every node. The last level is the points. Where only some points of a block
+    are at hand, nodes without points are left out and the first point of a node
+    stands in for its centre."""
 
     def __init__(self, points: np.ndarray, table: np.ndarray):
         self.points = points
         n = len(points)
         self.node = [*table[:, :-1].T, np.arange(n)]
         self.centre, self.radius, self.kids = [], [], []
-        for node in self.node:
-            _, centre = np.unique(node, return_index=True)
+        for k, known in enumerate(self.node):
+            _, centre, node = np.unique(known, return_index=True, return_inverse=True)
+            self.node[k] = node
             inner = np.einsum("ij,ij->i", points, points[centre[node]])
             away = np.sqrt(np.maximum(2.0 - 2.0 * inner, 0.0))
             away[centre] = 0.0

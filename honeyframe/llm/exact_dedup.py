@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -206,9 +207,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     """
     found = exact_dedup(docs, id_col, text_col, **options)
     by = found.groupBy("doc_id", "text_sha256").agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("n")).where("kept")
-    keys = by.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), "n")
-    d = docs.withColumn("_sha0", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_sha0") == F.col("_sha"))
-    single = d.join(keys.where("n = 1"), same, "left_semi")
-    again = d.join(keys.where("n > 1"), same, "left_semi").dropDuplicates([id_col, "_sha0"])
-    return single.unionByName(again).drop("_sha0")
+    own, key, sha = (f"{name}_{uuid.uuid4().hex}" for name in ("sha", "id", "key"))  # no clash with the columns of docs
+    d = docs.withColumn(own, F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
+    same = F.col(id_col).eqNullSafe(F.col(key)) & (F.col(own) == F.col(sha))
+    single = d.join(by.where("n = 1").select("doc_id", "text_sha256").toDF(key, sha), same, "left_semi")
+    again = d.join(by.where("n > 1").select("doc_id", "text_sha256").toDF(key, sha), same, "left_semi").dropDuplicates([id_col, own])
+    return single.unionByName(again).drop(own)

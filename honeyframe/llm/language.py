@@ -17,7 +17,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
-from honeyframe.llm.common import Written
+from honeyframe.llm.common import Written, rows_of
 from honeyframe.llm.encoding import Recent, kept, latest
 
 WORD = 32
@@ -137,7 +137,7 @@ def _expected(model: str, prob: np.ndarray, langs: list[str]):
                             total[u] += share
                 hit = np.flatnonzero(total)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(hit)), pa.array(hit, pa.int32()), pa.array(total[hit])], names=["lang", "piece", "n"]
+                    [pa.array([lang] * len(hit), pa.string()), pa.array(hit, pa.int32()), pa.array(total[hit])], names=["lang", "piece", "n"]
                 )
             counts.clear()
 
@@ -274,6 +274,5 @@ def keep_languages(docs: DataFrame, path: str, least: float = 0.5, id_col: str =
     found = identify(docs, path, id_col, text_col, **options)
     # ids may repeat with other texts: the decision depends on the text alone
     ok = found.groupBy("doc_id").agg(F.max(((F.col("lang_pred") != "und") & (F.col("score") >= least)).cast("int")).alias("_ok"))
-    good = ok.where("_ok = 1").select(F.col("doc_id").alias("_id"))
     has_letter = F.coalesce(F.col(text_col), F.lit("")).rlike(r"\p{L}")
-    return docs.where(has_letter).join(good, F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
+    return rows_of(docs.where(has_letter), ok.where("_ok = 1").select("doc_id"), id_col)

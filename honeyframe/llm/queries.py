@@ -28,10 +28,9 @@ def vocabulary(name: str) -> str:
     "op1_cover_tree",
     """
     WITH RECURSIVE v AS (
-        SELECT vec_id, list_transform(embedding, x -> CAST(x AS DOUBLE)) AS e FROM embeddings
-        WHERE embedding IS NOT NULL AND len(embedding) > 0
-          AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
-    ), u AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS norm FROM v),
+        SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+        WHERE len(embedding) > 0 AND list_aggregate(embedding, 'count') = len(embedding)
+    ), u AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS norm FROM v WHERE isfinite(list_dot_product(e, e))),
     links AS MATERIALIZED (
         SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
         WHERE a.norm > 0 AND b.norm > 0 AND list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.95
