@@ -29,9 +29,14 @@ def square(spark, sf):
 
 @query("sparse_encode", with_(HX, body="""
 SELECT frame_id AS sf_id, value, count(*) AS n, string_agg(CAST(hp AS VARCHAR), ',' ORDER BY hp) AS positions
-FROM hx WHERE value > 0 GROUP BY frame_id, value"""))
+FROM hx WHERE value > 0 AND frame_id % 7 <> 0 GROUP BY frame_id, value
+UNION ALL SELECT DISTINCT frame_id, 0, 0, '' FROM hx WHERE frame_id % 7 = 0 OR frame_id NOT IN (SELECT frame_id FROM hx WHERE value > 0)"""))
 def sparse_encode(spark, sf):
-    return P.sparse_encode(X.sf_pixels(spark, sf)).withColumn(
+    """Every seventh sub-frame is set to zero: it must not vanish."""
+    s = X.sf_pixels(spark, sf).select(
+        "sf_id", "hp", F.when(F.col("sf_id") % 7 == 0, 0).otherwise(F.col("value")).alias("value")
+    )
+    return P.sparse_encode(s).withColumn(
         "positions", F.concat_ws(",", F.col("positions").cast("array<string>"))
     )
 

@@ -200,7 +200,7 @@ def polygon_filter(spark, sf):
 @query("mask_filter", with_(PX, body="""
 , c AS (SELECT frame_id, q - (r - r % 2) // 2 AS x, r AS z, mask FROM px),
 k AS (SELECT frame_id, x, z, x + dx AS cx, z + dz AS cz FROM c,
-  (VALUES (1, 0), (-1, 0), (0, 1), (0, -1), (1, -1), (-1, -1)) s(dx, dz))
+  (VALUES (1, 0), (-1, 0), (0, 1), (0, -1), (1, -1), (-1, 1)) s(dx, dz))
 SELECT k.frame_id, k.x, k.z FROM k LEFT JOIN c ON c.frame_id = k.frame_id AND c.x = cx AND c.z = cz
 GROUP BY ALL HAVING bool_and(coalesce(c.mask = 1, FALSE))""".lstrip()))
 def mask_filter(spark, sf):
@@ -210,6 +210,15 @@ def mask_filter(spark, sf):
     return G.mask_filter(p, p, 1)
 
 
+@query("site_number", with_(HX, "b AS (SELECT frame_id, hp, x, z FROM hx)", f"w AS ({wrap_home('b', 2, 'frame_id, hp')})",
+       "c AS (SELECT frame_id, hp, [wx, -wz, -wx - wz, -wx, wz, wx + wz] AS t, greatest(abs(wx), abs(wz), abs(wx + wz)) AS d FROM w)",
+       "k AS (SELECT *, list_position(t, d) AS k FROM c)", body="""
+SELECT frame_id, hp, CASE WHEN d = 0 THEN 0 ELSE (1 + 3 * d * (d - 1) + (k - 1) * d + t[k % 6 + 1] - CASE WHEN d = 2 AND k BETWEEN 2 AND 4 THEN 3 ELSE 0 END + 24) % 12 END AS number FROM k"""))
+def site_number(spark, sf):
+    d = H.with_wrap(X.hx(spark, sf), 2)
+    return d.select("frame_id", "hp", H.site_number("x", "y", "z", 2).alias("number"))
+
+
 @query("level_intensity", with_(PX, body="""
 SELECT DISTINCT value, CAST(least(15, greatest(0, round((value - 0.5) / (10.0 - 0.5) * 15))) AS BIGINT) AS level,
   round(0.5 + (10.0 - 0.5) * least(15, greatest(0, round((value - 0.5) / (10.0 - 0.5) * 15))) / 15, 6) AS back

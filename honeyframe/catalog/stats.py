@@ -10,6 +10,7 @@ from honeyframe.catalog.views import HX, PT, PX, r6 as S6, with_, wrap_home
 from honeyframe.functions import hexgrid as H, tables as T
 from honeyframe.functions.numbers import r6
 from honeyframe.operators import statistics as S
+from honeyframe.operators.numbering import scalar
 from honeyframe.session import cut_lineage
 
 
@@ -322,14 +323,15 @@ def peak_asymmetry(spark, sf):
 md AS (SELECT CAST(grp AS BIGINT) AS m, hp, avg(value) AS i FROM hx GROUP BY ALL), si AS (SELECT hp, avg(value) AS mean FROM hx GROUP BY hp),
 ca AS (SELECT CAST(grp AS BIGINT) AS m, count(DISTINCT frame_id) AS cases FROM hx GROUP BY ALL),
 s AS (SELECT m, sum(i) AS counts, sum(abs(i - mean)) AS difference, sum(greatest(i - mean, 0)) AS plus, sum(greatest(mean - i, 0)) AS minus FROM md JOIN si USING (hp) GROUP BY m)""", body=f"""
-SELECT m, {S6('counts')} AS counts, {S6('difference')} AS difference, {S6('plus')} AS plus, {S6('minus')} AS minus, {S6('cases / 500.0')} AS weight, cases,
+SELECT m, {S6('counts')} AS counts, {S6('difference')} AS difference, {S6('plus')} AS plus, {S6('minus')} AS minus, {S6('cases / (SELECT count(DISTINCT frame_id)::DOUBLE FROM hx)')} AS weight, cases,
   {S6('difference / cases')} AS per_case, {S6('counts * cases / sum(counts * cases) OVER ()')} AS share FROM s JOIN ca USING (m)"""))
 def significance_report(spark, sf):
     h = X.hx(spark, sf)
     m = F.col("grp").cast("long").alias("m")
     md = h.groupBy(m, "hp").agg(F.avg("value").alias("intensity"))
     cases = h.groupBy(m).agg(F.countDistinct("frame_id").alias("cases"))
-    w = cases.select("m", (F.col("cases") / F.lit(500.0)).alias("weight"))
+    frames = h.agg(F.countDistinct("frame_id").alias("n"))
+    w = cases.select("m", (F.col("cases") / scalar(frames, F.col("n"))).alias("weight"))
     d = S.significance_report(md, w, S.sum_image(X.sf_pixels(spark, sf)), cases)
     return _r(d, "counts", "difference", "plus", "minus", "weight", "per_case", "share")
 

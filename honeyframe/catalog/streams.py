@@ -39,7 +39,7 @@ SELECT grp, {S6('atan2(sum(w * sin(6 * t)), sum(w * cos(6 * t))) / 6')} AS mean_
 def stream_group_means(spark, sf):
     s, path = _arrive(spark, X.rp(spark, sf).select("grp", "hex_merit", "hex_avg", "tilt"))
     V.stream_group_means(s, "grp", path + "-out", path + "-ckpt")
-    d = spark.read.parquet(path + "-out")
+    d = V.current_means(spark, path + "-out")
     return d.select("grp", r6("mean_tilt").alias("mean_tilt"), r6("mean_avg").alias("mean_avg"), "frames")
 
 

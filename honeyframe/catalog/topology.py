@@ -183,7 +183,7 @@ def straight_atoms(spark, sf):
 @query("compact_topology", with_(MESH, """
 ka AS (SELECT atom_id FROM atoms WHERE atom_id % 17 <> 0), kb AS (SELECT a, b FROM bonds WHERE a % 17 <> 0 AND b % 17 <> 0),
 us AS (SELECT a AS atom_id FROM kb UNION SELECT b FROM kb), nm AS (SELECT atom_id, row_number() OVER (ORDER BY atom_id) - 1 AS n FROM us),
-torn AS (SELECT DISTINCT ring_id FROM edges WHERE (a, b) NOT IN (SELECT (a, b) FROM kb))""", body="""
+torn AS (SELECT DISTINCT e.ring_id FROM edges e ANTI JOIN kb ON kb.a = e.a AND kb.b = e.b)""", body="""
 SELECT 'atom' AS kind, atom_id AS a, n AS b FROM nm UNION ALL SELECT 'bond', x.n, y.n FROM kb JOIN nm x ON x.atom_id = a JOIN nm y ON y.atom_id = b
 UNION ALL SELECT 'ring', ring_id, n FROM rings JOIN nm USING (atom_id) WHERE ring_id NOT IN (SELECT ring_id FROM torn)"""))
 def compact_topology(spark, sf):
@@ -197,7 +197,7 @@ def compact_topology(spark, sf):
 def signatures(spark, sf):
     a, _, r = mesh(spark, sf)
     r = cut_lineage(r)
-    return T.ring_signature(r, a, T.defect_seeds(r), 3)
+    return T.ring_signature(r, a, T.defect_seeds(r))
 
 
 @query("ring_signature")
@@ -284,7 +284,7 @@ def residual_peaks(spark, sf):
 
 @query("find_atoms")
 def find_atoms(spark, sf):
-    atoms, _ = A.find_atoms(square(spark, sf), KERNEL, 2, 8, 8, floor=1.0, min_weight=0.5, rounds=4)
+    atoms, _ = A.find_atoms(square(spark, sf), KERNEL, 2, 8, 8, floor=1.0, min_weight=0.5)
     return atoms
 
 
@@ -294,7 +294,7 @@ def nudge_atoms(spark, sf):
     a = frame_atoms(spark, sf)
     m = A.render_atoms(p, a, KERNEL, 8, 8)
     res = p.join(m, ["frame_id", "x", "y"]).select("frame_id", "x", "y", (F.col("value") - F.col("model")).alias("value"))
-    atoms, _ = A.nudge_atoms(a, res, KERNEL, 1, 2, 8, 8, rounds=2)
+    atoms, _ = A.nudge_atoms(a, res, KERNEL, 1, 2, 8, 8)
     return atoms
 
 

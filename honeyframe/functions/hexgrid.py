@@ -248,17 +248,21 @@ def site_class(x, y, z, bond: int) -> Column:
 
 
 def site_number(x, y, z, bond: int) -> Column:
-    """Full numbering of the unit cell: ring by ring, along each ring."""
+    """Full numbering of the unit cell: a walk along ring after ring.
+
+    Turning by sixty degrees takes x to -z, that to y and so on, so the six
+    signed coordinates in that order say all: a pixel lies on the first side
+    whose coordinate is the ring's distance, and the next coordinate is the step
+    along it. The outermost ring has no pixels of its own on some sides; there
+    the second to fourth side count from one side and one pixel less.
+    """
     x, y, z = _c(x), _c(y), _c(z)
     d = hex_distance(x, y, z)
-    inner = 1 + 3 * d * (d - 1)
-    edge = d < bond
-    side = (
-        F.when(x == d, -z)
-        .when(z == -d, F.when(edge, d).otherwise(-1) + y)
-        .when(y == d, F.when(edge, 2 * d).otherwise(bond - 1) - x)
-        .when(x == -d, F.when(edge, 3 * d).otherwise(2 * bond - 1) + z)
-        .when(z == d, 4 * d - y)
-        .otherwise(5 * d + x)
-    )
-    return F.when(d == 0, 0).otherwise(F.pmod(inner + side, F.lit(3 * bond * bond))).cast("long")
+    turned = [x, -z, y, -x, z, -y]
+    walked = None
+    for k, across in enumerate(turned):
+        less = F.when(d == bond, d + 1).otherwise(0) if 1 <= k <= 3 else F.lit(0)
+        place = k * d + turned[(k + 1) % 6] - less
+        walked = F.when(across == d, place) if walked is None else walked.when(across == d, place)
+    rings_inside = 1 + 3 * d * (d - 1)
+    return F.when(d == 0, 0).otherwise(F.pmod(rings_inside + walked, F.lit(3 * bond * bond))).cast("long")

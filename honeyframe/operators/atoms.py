@@ -82,7 +82,7 @@ def _fit(spots: DataFrame, residual: DataFrame, kernel: Kernel, width: int, heig
 
 def find_atoms(
     pixels: DataFrame, kernel: Kernel, diameter: int, width: int, height: int, floor: float = 0.0, min_weight: float = 0.0,
-    positive: bool = True, limit: int = 1000, rounds: int = 50,
+    positive: bool = True, limit: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Place atoms on residual maxima until nothing gains.
 
@@ -91,11 +91,12 @@ def find_atoms(
     one job. A peak is refused, and not visited again, when its weight is below
     the least, has the other sign, or does not lower the squared residual. The
     places around an accepted atom are closed within the solid diameter.
-    Returns atoms and the residual.
+    ``limit`` keeps the strongest atoms of a frame where it is given. Every peak
+    is closed, so the rounds end. Returns atoms and the residual.
     """
     res = cut_lineage(pixels.select("frame_id", "x", "y", (F.col("value") - floor).cast("double").alias("value"), F.lit(True).alias("open")))
     atoms = None
-    for r in range(rounds):
+    while True:
         size = F.col("value") if positive else F.abs("value")
         rank = F.when(F.col("open") & (size > 0), F.struct(F.round(size, 9).alias("s"), (-F.col("y")).alias("ny"), (-F.col("x")).alias("nx")))
         d = res.withColumn("_k", rank)
@@ -108,14 +109,17 @@ def find_atoms(
         fit = _fit(peaks, res, kernel, width, height, ["px", "py"])
         good = (F.col("gain") > 1e-9) & (F.col("weight") > min_weight if positive else F.abs("weight") > min_weight)
         new = fit.filter(good).select("frame_id", F.col("px").alias("x"), F.col("py").alias("y"), "weight")
-        if atoms is not None:
+        if limit is None:
+            pass
+        elif atoms is not None:
             # never more than the limit of a frame; the strongest go first
             have = atoms.groupBy("frame_id").agg(F.count(F.lit(1)).alias("_h"))
             new = new.join(have, "frame_id", "left")
         else:
             new = new.withColumn("_h", F.lit(0))
-        place = F.row_number().over(W.partitionBy("frame_id").orderBy(F.round("weight", 9).desc(), "y", "x"))
-        new = new.withColumn("_p", place).filter(F.col("_p") + F.coalesce("_h", F.lit(0)) <= limit).select("frame_id", "x", "y", "weight")
+        if limit is not None:
+            place = F.row_number().over(W.partitionBy("frame_id").orderBy(F.round("weight", 9).desc(), "y", "x"))
+            new = new.withColumn("_p", place).filter(F.col("_p") + F.coalesce("_h", F.lit(0)) <= limit).select("frame_id", "x", "y", "weight")
         # gains were weighed one by one; overlapping kernels may undo them
         new = cut_lineage(new)
         draw = _spread(new, kernel, width, height, False, ["weight"]).select("frame_id", "x", "y", (-F.col("weight") * F.col("k")).alias("_d"))
@@ -145,20 +149,20 @@ def find_atoms(
 
 
 def nudge_atoms(
-    atoms: DataFrame, residual: DataFrame, kernel: Kernel, wobble: int, diameter: int, width: int, height: int, rounds: int = 3,
+    atoms: DataFrame, residual: DataFrame, kernel: Kernel, wobble: int, diameter: int, width: int, height: int,
 ) -> tuple[DataFrame, DataFrame]:
     """Try all places within ``wobble`` of each atom (frame_id, x, y, weight)
     with a new weight and keep the best; colliding atoms merge.
 
     Of atoms that could disturb each other only the one with the largest gain
-    moves in a round, so the residual does not rise.
+    moves in a round, so the residual falls and the rounds end with the moves.
     """
     steps = [(a, b) for a in range(-wobble, wobble + 1) for b in range(-wobble, wobble + 1) if a * a + b * b <= wobble * wobble]
     reach = 2 * max(max(abs(a), abs(b)) for a, b, _ in kernel) + wobble
     atoms = cut_lineage(atoms.select("frame_id", "x", "y", "weight"))
     res = cut_lineage(residual)
     offs = F.array(*[F.struct(F.lit(a).alias("ox"), F.lit(b).alias("oy")) for a, b in steps])
-    for _ in range(rounds):
+    while True:
         base = atoms.select("frame_id", F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("weight").alias("aw"))
         t = base.select("frame_id", "ax", "ay", "aw", F.inline(offs))
         t = t.select("frame_id", "ax", "ay", "aw", (F.col("ax") + F.col("ox")).alias("x"), (F.col("ay") + F.col("oy")).alias("y"))
@@ -211,7 +215,9 @@ def nudge_atoms(
 
 def merge_close_atoms(atoms: DataFrame, diameter: int) -> DataFrame:
     """Of atoms nearer than the solid diameter the stronger stays and takes the
-    weight-averaged intensity; ties go to the upper left one."""
+    mean intensity of itself and the atoms that it takes over, each weighted by
+    its own; ties go to the upper left one. An atom goes to its strongest
+    neighbour."""
     cell = {"_cx": F.floor(F.col("x") / diameter), "_cy": F.floor(F.col("y") / diameter)}
     near = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
     a = atoms.select("frame_id", "x", "y", "weight").withColumns(cell)
@@ -221,8 +227,14 @@ def merge_close_atoms(atoms: DataFrame, diameter: int) -> DataFrame:
     d2 = F.pow(F.col("x") - F.col("x2"), 2) + F.pow(F.col("y") - F.col("y2"), 2)
     rank = F.struct(F.abs("weight"), -F.col("y"), -F.col("x"))
     rank2 = F.struct(F.abs("w2").alias("w"), -F.col("y2"), -F.col("x2"))
-    lose = p.filter((d2 < diameter * diameter) & (d2 > 0)).filter(rank < rank2).select("frame_id", "x", "y").distinct()
-    return atoms.join(lose, ["frame_id", "x", "y"], "left_anti")
+    lose = p.filter((d2 < diameter * diameter) & (d2 > 0)).filter(rank < rank2)
+    lose = cut_lineage(lose.groupBy("frame_id", "x", "y").agg(F.first("weight").alias("w"), F.max_by(F.struct("x2", "y2"), rank2).alias("_to")))
+    stay = atoms.join(lose.select("frame_id", "x", "y"), ["frame_id", "x", "y"], "left_anti")
+    size = F.abs("w")
+    taken = lose.groupBy("frame_id", F.col("_to.x2").alias("x"), F.col("_to.y2").alias("y")).agg(F.sum(size * F.col("w")).alias("_ww"), F.sum(size).alias("_w"))
+    own = F.abs("weight")
+    joint = (own * F.col("weight") + F.coalesce("_ww", F.lit(0.0))) / F.nullif(own + F.coalesce("_w", F.lit(0.0)), F.lit(0.0))
+    return stay.join(taken, ["frame_id", "x", "y"], "left").withColumn("weight", F.coalesce(joint, "weight")).select(*atoms.columns)
 
 
 def sweep_kernel(pixels: DataFrame, atoms: DataFrame, widths: list[float], radius: int, width: int, height: int, scales: list[float]) -> DataFrame:

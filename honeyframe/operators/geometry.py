@@ -106,7 +106,7 @@ def polygon_filter(
         shifts = [(0, 0)]
     else:
         big = n + 1 if full else n
-        shifts = [(big, 0), (-n, 0), (0, big), (0, -n), (big, -big), (-n, -n)]
+        shifts = [(big, 0), (-n, 0), (0, big), (0, -n), (big, -big), (-n, n)]
     keep = F.lit(True)
     for dx, dz in shifts:
         for a, b, c in edges:
@@ -118,7 +118,7 @@ def mask_filter(cells: DataFrame, mask: DataFrame, n: int, full: bool = False) -
     """Keep cells (frame_id, x, z) whose six hexagon corners all lie on the
     mask (frame_id, x, z, value > 0)."""
     big = n + 1 if full else n
-    shifts = [(big, 0), (-n, 0), (0, big), (0, -n), (big, -big), (-n, -n)]
+    shifts = [(big, 0), (-n, 0), (0, big), (0, -n), (big, -big), (-n, n)]
     corner = F.explode(
         F.array(*[F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dz")) for a, b in shifts])
     )

@@ -74,7 +74,7 @@ def _best(grid: DataFrame, scores: DataFrame) -> DataFrame:
 
 def coarse_to_fine(
     pixels: DataFrame, params: DataFrame, bond: int, res: int, width: int, height: int, stability: int = 1,
-    levels: int = 3, cycles: int = 3, sub: int = 1, shape: bool = True,
+    levels: int = 3, sub: int = 1, shape: bool = True,
 ) -> DataFrame:
     """Search edge length and tilt, then excentricity and phi, on boxes that
     halve around the best point; cycles repeat for frames that still gain more
@@ -84,7 +84,8 @@ def coarse_to_fine(
     state = params.select("frame_id", *GEOMETRY).withColumns({"score": F.lit(0.0), "at_edge": F.lit(False)})
     state = cut_lineage(state)
     done = None
-    for cycle in range(cycles):
+    cycle = 0
+    while True:
         before = state.select("frame_id", F.col("score").alias("_before"))
         level_width = max(stability - cycle, 0)
         for kind in (0, 1):
@@ -96,23 +97,25 @@ def coarse_to_fine(
                 state = cut_lineage(best.select("frame_id", *GEOMETRY, "score", edge.alias("at_edge")))
         d = state.join(before, "frame_id")
         gain = (F.col("score") - F.col("_before")) / F.nullif(F.col("score"), F.lit(0.0))
-        more = F.coalesce(gain > 0.01, F.lit(False)) & F.lit(cycle + 1 < cycles)
+        more = F.coalesce(gain > 0.01, F.lit(False))
         d = cut_lineage(d.withColumn("_more", more).drop("_before"))
         ended = d.filter(~F.col("_more")).drop("_more")
         done = ended if done is None else done.unionByName(ended)
         state = d.filter("_more").drop("_more")
         if state.isEmpty():
-            break
-    return done
+            return done
+        cycle += 1
 
 
 def coordinate_refine(
-    pixels: DataFrame, params: DataFrame, bond: int, res: int, width: int, height: int, rounds: int = 10,
-    sub: int = 1, shape: bool = True, fine: float = 0.2,
+    pixels: DataFrame, params: DataFrame, bond: int, res: int, width: int, height: int,
+    sub: int = 1, shape: bool = True, fine: float = 0.2, least: float = 1e-4,
 ) -> DataFrame:
     """Move along one of six axes at a time: every round scores all twelve
     steps of all frames in one job, takes the best that gains, and halves the
-    steps of a frame on which none does. At most 120 rounds."""
+    steps of a frame on which none does. A frame ends when its steps are below
+    ``least`` and takes no part in later rounds; a move must raise the score by
+    more than 1e-9, so the rounds end."""
     # Step of each parameter in units of the fineness
     step = {"off_x": "hel", "off_y": "hel", "tilt": 0.1, "hel": "0.1hel", "phi": 0.3, "excent": 0.05}
 
@@ -121,8 +124,8 @@ def coordinate_refine(
         return F.col("hel") if s == "hel" else 0.1 * F.col("hel") if s == "0.1hel" else F.lit(s)
 
     state = cut_lineage(params.select("frame_id", *GEOMETRY).withColumns({"fine": F.lit(fine), "score": F.lit(0.0)}))
-    first = True
-    for _ in range(min(rounds, 120)):
+    done = None
+    while True:
         moves = [F.struct(F.lit(0).alias("cand"), *[F.col(g).alias(g) for g in GEOMETRY])]
         for n, axis in enumerate(step):
             for s, sign in enumerate((1, -1)):
@@ -135,10 +138,11 @@ def coordinate_refine(
         state = cut_lineage(best.select(
             "frame_id", *GEOMETRY, F.when(moved, F.col("fine")).otherwise(F.col("fine") / 2).alias("fine"), "score"
         ))
-        if not first and state.filter(F.col("fine") > 1e-4).isEmpty():
-            break
-        first = False
-    return state.drop("fine")
+        ended = state.filter(F.col("fine") <= least).drop("fine")
+        done = ended if done is None else done.unionByName(ended)
+        state = state.filter(F.col("fine") > least)
+        if state.isEmpty():
+            return done
 
 
 def recenter_offset(params: DataFrame, bond: int, clean_x="clean_x", clean_y="clean_y") -> DataFrame:

@@ -404,34 +404,34 @@ def weight_search(marg: DataFrame, weights: DataFrame, factors: tuple[float, ...
     """Total likelihood for trial weights of one model at a time.
 
     The trial weight is clipped to [0.0001, 0.9999] and the others share what
-    is left in their old proportion. The trials (models x factors) are one
-    constant list, so each sub-frame scores them all where it lies. Gives
-    (m, factor, weight, total, best).
+    is left in their old proportion. Models whose ``state`` (a column of
+    ``weights``, if there is one) is Fixed or Lattice are not tried and keep
+    their weights. A sub-frame needs its sum over all models and the own term
+    of the tried model only. Gives (m, factor, weight, total, best).
     """
-    w = sorted((r["m"], r["weight"]) for r in weights.select("m", "weight").collect())  # one row per model
-    total = sum(v for _, v in w)
-    trials = []
-    for m, v in w:
-        for f in factors:
-            t = min(max(v * f, 0.0001), 0.9999)
-            rest = total - v
-            vec = [t if k == m else (u * (1 - t) / rest if rest > 0 else 0.0) for k, u in w]
-            trials.append((m, f, t, [math.log2(u) if u > 0 else -1e300 for u in vec]))
-    arr = F.array(*[
-        F.struct(F.lit(m).alias("m"), F.lit(f).alias("factor"), F.lit(t).alias("weight"),
-                 F.array(*[F.lit(u) for u in vec]).alias("_lw")) for m, f, t, vec in trials
-    ])
-    per = marg.groupBy("sf_id").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("m", "marg"))), lambda e: e["marg"]).alias("_v")
-    )
-    d = per.select("sf_id", "_v", F.inline(arr))
-    d = d.withColumn("_s", F.zip_with("_v", "_lw", lambda a, b: a + b)).withColumn("_t", F.array_max("_s"))
-    ll = F.col("_t") + F.log2(F.aggregate("_s", F.lit(0.0), lambda a, e: a + exp2(e - F.col("_t"))))
-    s = d.groupBy("m", "factor", "weight").agg(F.sum(ll).alias("total"))
+    held = F.col("state").isin("Fixed", "Lattice") if "state" in weights.columns else F.lit(False)
+    w = weights.select("m", "weight", F.coalesce(held, F.lit(False)).alias("_held"))
+    free = F.when(~F.col("_held"), F.col("weight")).otherwise(0.0)
+    sums = w.agg(F.sum(free).alias("_free"), F.sum(F.col("weight") - free).alias("_kept"))
+    each = W.partitionBy("sf_id")  # one row per model
+    d = marg.select("sf_id", "m", "marg").join(w, "m")
+    d = d.withColumn("_top", F.max("marg").over(each))
+    e = exp2(F.col("marg") - F.col("_top"))
+    d = d.withColumns({"_e": e, "_free": scalar(sums, F.col("_free")), "_kept": scalar(sums, F.col("_kept"))})
+    d = d.withColumns({
+        "_all": F.sum(free * F.col("_e")).over(each), "_still": F.sum((F.col("weight") - free) * F.col("_e")).over(each),
+    }).filter(~F.col("_held"))
+    d = d.withColumn("factor", F.explode(F.array(*[F.lit(float(f)) for f in factors])))
+    t = F.least(F.greatest(F.col("weight") * F.col("factor"), F.lit(0.0001)), F.lit(0.9999))
+    d = d.withColumn("_t", t)
+    rest = F.nullif(F.col("_free") - F.col("weight"), F.lit(0.0))
+    others = F.greatest(F.col("_all") - F.col("weight") * F.col("_e"), F.lit(0.0))
+    left = F.greatest(1 - F.col("_t") - F.col("_kept"), F.lit(0.0))
+    mixed = F.col("_t") * F.col("_e") + F.col("_still") + F.coalesce(left / rest * others, F.lit(0.0))
+    s = d.groupBy("m", "factor", F.col("_t").alias("weight")).agg(F.sum(F.col("_top") + F.log2(mixed)).alias("total"))
     order = W.partitionBy("m").orderBy(F.round("total", 6).desc(), "factor")  # one row per factor
     return s.withColumn("best", F.row_number().over(order) == 1)
 
-
 def clone_models(models: DataFrame, weights: DataFrame, first: int, last: int, copies: int) -> tuple[DataFrame, DataFrame]:
     """Delete (0), swap the ends of (1) or copy the models first..last.
 
@@ -493,21 +493,21 @@ def beam_update(blurred: DataFrame, edits: DataFrame, beam: list[tuple[int, int,
 def fractional_rotation(models: DataFrame, step: int, steps: int, n: int) -> DataFrame:
     """Rotate models by ``step`` of ``steps`` parts of 60 degrees: the value of
     each pixel is shared by four targets. Gives the exact and rounded sum."""
-    phi = -step * math.pi / (3 * steps)
-    diag = (1 + 2 * math.cos(phi)) / 3
-    third, s = (1 - math.cos(phi)) / 3, math.sin(phi) / math.sqrt(3)
-    plus, minus = third + s, third - s
-    x, z = F.col("x"), F.col("z")
-    y = -x - z
-    d = models.select(
-        "m", "level", (x * diag + y * minus + z * plus).alias("_a"), (x * minus + y * plus + z * diag).alias("_b")
-    )
-    d = d.withColumns({"_xl": F.floor(F.col("_a") + 1e-6), "_zl": F.floor(F.col("_b") + 1e-6)})
-    fx, fz = F.greatest(F.col("_a") - F.col("_xl"), F.lit(0.0)), F.greatest(F.col("_b") - F.col("_zl"), F.lit(0.0))
+    angle = -math.pi / 3 * step / steps
+    # the rotation in the oblique (x, z) basis
+    cos, sin3 = math.cos(angle), math.sin(angle) / math.sqrt(3)
+    turned = {
+        "_px": (cos + sin3) * F.col("x") + 2 * sin3 * F.col("z"),
+        "_pz": (cos - sin3) * F.col("z") - 2 * sin3 * F.col("x"),
+    }
+    d = models.select("m", "level", *[v.alias(k) for k, v in turned.items()])
+    sides = []
+    for p in ("_px", "_pz"):
+        low = F.floor(F.round(p, 6))  # a target that is whole but for rounding stays whole
+        part = F.greatest(F.col(p) - low, F.lit(0.0))
+        sides.append([(low, 1 - part), (low + 1, part)])
     parts = F.array(*[
-        F.struct((F.col("_xl") + a).alias("x"), (F.col("_zl") + b).alias("z"),
-                 (F.col("level") * (fx if a else 1 - fx) * (fz if b else 1 - fz)).alias("v"))
-        for a in (0, 1) for b in (0, 1)
+        F.struct(tx.alias("x"), tz.alias("z"), (F.col("level") * sx * sz).alias("v")) for tx, sx in sides[0] for tz, sz in sides[1]
     ])
     d = H.with_wrap(d.select("m", F.inline(parts)).withColumn("y", F.lit(0)), n)
     return d.groupBy("m", "x", "z").agg(F.sum("v").alias("value")).withColumn(
@@ -520,9 +520,9 @@ def fractional_rotation(models: DataFrame, step: int, steps: int, n: int) -> Dat
 
 def reconstruct(
     sf: DataFrame, models: DataFrame, weights: DataFrame, table: DataFrame, n: int, bond: int, low: float, high: float,
-    levels: int, rounds: int = 10, min_gain: float = 1e-6,
+    levels: int, rounds: int | None = None, min_gain: float = 1e-6,
 ) -> tuple[DataFrame, DataFrame, list[dict]]:
-    """Expectation rounds until the target, or until a round no longer gains.
+    """Expectation rounds until a round no longer gains, or the caller's number.
 
     A round that does not raise the likelihood is discarded, so the history
     never falls. Models and weights are cut from their lineage every round;
@@ -540,7 +540,9 @@ def reconstruct(
     models, weights = cut_lineage(models), cut_lineage(weights)
     ll, marg, total = evaluate(models, weights)
     history = [{"round": 0, "total": total, "accepted": True}]
-    for r in range(1, rounds + 1):
+    r = 0
+    while rounds is None or r < rounds:
+        r += 1
         em = em_models(sf, ll, responsibilities(marg), n, bond, low, high, levels).select("m", "hp", "level")
         # a model without any weight keeps its image
         kept = models.select("m", "hp", "level").join(em.select("m", "hp"), ["m", "hp"], "left_anti")

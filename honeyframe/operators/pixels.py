@@ -15,18 +15,26 @@ from honeyframe.session import cut_lineage
 
 def sparse_encode(sf: DataFrame) -> DataFrame:
     """Per sub-frame and non-zero value its count and sorted positions. The
-    list is bounded by the pixels of one sub-frame."""
-    return sf.filter(F.col("value") > 0).groupBy("sf_id", "value").agg(
-        F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list("hp")).alias("positions")
+    list is bounded by the pixels of one sub-frame. A sub-frame without counts
+    has one row of value 0, count 0 and no positions."""
+    hp = F.when(F.col("value") > 0, F.col("hp"))
+    d = sf.groupBy("sf_id", F.greatest("value", F.lit(0)).alias("value")).agg(
+        F.count(hp).alias("n"), F.sort_array(F.collect_list(hp)).alias("positions")
     )
+    most = F.max("value").over(W.partitionBy("sf_id"))  # one row for each value of a sub-frame
+    return d.withColumn("_most", most).filter((F.col("value") > 0) | (F.col("_most") <= 0)).drop("_most")
 
 
-def sparse_decode(enc: DataFrame, n: int) -> DataFrame:
-    """All pixels of every encoded sub-frame, zeros filled in.
+def sparse_decode(enc: DataFrame, n: int, allow_empty: bool = False) -> DataFrame:
+    """All pixels of every encoded sub-frame, zeros filled in. A sub-frame that
+    sums to zero is an error unless it is allowed.
 
     Every sub-frame brings its own list of 3 n^2 positions; the encoded ones
     are added to it by one aggregate, so no join is needed.
     """
+    if not allow_empty:
+        message = F.concat(F.lit("sub-frame sums to zero: "), F.col("sf_id").cast("string"))
+        enc = enc.withColumn("sf_id", F.when(F.col("value") > 0, F.col("sf_id")).otherwise(F.raise_error(message)))
     flat = enc.select("sf_id", F.explode("positions").alias("hp"), "value")
     zero = enc.select("sf_id").distinct().select(
         "sf_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3 * n * n - 1).cast("long"))).alias("hp"),
@@ -300,7 +308,8 @@ def threshold_curve(
 
     All thresholds of one pass are columns of the same windows. The range
     starts at twice the frame mean and doubles for the frames whose mask has
-    not vanished; it must vanish once the range is above the maximum.
+    not vanished; it must vanish once the range is above the maximum. A frame
+    without a positive mean has no such range: its end and threshold are null.
     """
     mean = df.groupBy("frame_id").agg(F.avg("value").cast("double").alias("_mean"))
     base = gaussian_blur(df.withColumn("value", F.col("value").cast("double")), sigma, width, height)
@@ -329,12 +338,13 @@ def threshold_curve(
             first_below(0.01).alias("_end"), step.alias("_step"), F.array(*names).alias("shares"),
         )
         share = cut_lineage(share)
-        done = share.filter(F.col("_end").isNotNull()).select(
-            "frame_id", F.col("_start").alias("dirt_start"), F.col("_end").alias("dirt_end"),
+        positive = F.coalesce((F.col("_mean") > 0) & (F.col("_mean") < float("inf")), F.lit(False))  # NaN is above all
+        done = share.filter(F.col("_end").isNotNull() | ~positive).select(
+            "frame_id", F.when(positive, F.col("_start")).alias("dirt_start"), F.when(positive, F.col("_end")).alias("dirt_end"),
             F.col("_step").alias("step"), "shares",
         )
         found = done if found is None else found.unionByName(done)
-        open_frames = share.filter(F.col("_end").isNull()).select("frame_id", "_mean", "_start")
+        open_frames = share.filter(F.col("_end").isNull() & positive).select("frame_id", "_mean", "_start")
         if open_frames.isEmpty():
             break
         scale *= 2
@@ -394,10 +404,10 @@ def dirt_distance(df: DataFrame, dirt: Column, width: int, height: int) -> DataF
 
 
 def clean_spots(
-    df: DataFrame, dirt: Column, width: int, height: int, radius: int, overlap: float = 0.1, limit: int = 100
+    df: DataFrame, dirt: Column, width: int, height: int, radius: int, overlap: float = 0.1, limit: int | None = None
 ) -> DataFrame:
     """Centres of clean areas: farthest from dirt first, each suppressing the
-    square of twice its reach around it.
+    square of twice its reach around it; the first ``limit`` of a frame on request.
 
     Rounds give the same set as taking one centre at a time. Tiles as wide as
     the reach of a square hold one best pixel each; it is chosen once it beats
@@ -441,7 +451,8 @@ def clean_spots(
     if chosen is None:
         return live.select("frame_id", "x", "y", "dist", F.lit(0).alias("place"))
     w = W.partitionBy("frame_id").orderBy(F.desc("dist"), "y", "x")
-    return chosen.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= limit)
+    placed = chosen.withColumn("place", F.row_number().over(w))
+    return placed if limit is None else placed.filter(F.col("place") <= limit)
 
 
 # -- counts --------------------------------------------------------------------

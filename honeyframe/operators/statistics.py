@@ -222,46 +222,42 @@ def class_moments(hist: DataFrame, by: str = "class") -> DataFrame:
     )
 
 
-def family_params(moments: DataFrame) -> DataFrame:
-    """Method-of-moments parameters and offsets of five families; NULL where a
-    family cannot have these moments."""
-    g, sd, var, avg = F.col("skew"), F.col("std"), F.col("var"), F.col("avg")
-    zero = F.lit(0.0)
+def _upper_root(a, b, c) -> Column:
+    """Larger root of a t^2 - b t + c, NULL where there is none."""
+    inside = b * b - 4 * a * c
+    return (b + F.when(inside >= 0, F.sqrt(inside))) / F.nullif(2 * a, F.lit(0.0))
 
-    def root(c):
-        return F.when(c >= 0, F.sqrt(c))
-
-    def plus(c):
-        return F.when(c > 0, c)
 
-    d = moments.withColumns(
-        {"g_k": F.pow(2 / F.nullif(g, zero), 2), "g_theta": sd * g / 2, "p_x0": var - avg}
-    )
-    d = d.withColumn("g_x0", F.col("g_k") * F.col("g_theta") - avg)
-    # inverse gamma: larger root of the quadratic for the shape
+def family_params(moments: DataFrame) -> DataFrame:
+    """Method-of-moments parameters and offsets of five families; NULL where a
+    family cannot have these moments. Each family solves its own equations for
+    skew and spread; its offset moves its mean to the observed one."""
+    g, sd, var, avg = (F.col(c) for c in ("skew", "std", "var", "avg"))
     g2 = g * g
-    b = 6 * g2 + 4
-    d = d.withColumn("ig_alpha", (b + root(b * b - 4 * g2 * (9 * g2 - 8))) / F.nullif(2 * g2, zero))
-    ra = root(F.col("ig_alpha") - 2)
-    d = d.withColumns({"ig_beta": ra * (F.col("ig_alpha") - 1) * sd, "ig_x0": ra * sd - avg})
-    # beta prime
-    s2v, ss = g2 * var, g * sd
-    b = 6 * s2v - 8 * ss - 16 * var
-    c = 12 + 32 * var + 24 * ss
-    d = d.withColumn("ib_beta", (b + root(b * b + 4 * s2v * c)) / F.nullif(2 * s2v, zero))
-    d = d.withColumn(
-        "ib_alpha", (F.col("ib_beta") - 1) / 2 * (1 + root(1 + 4 * (F.col("ib_beta") - 2) * var))
-    )
-    d = d.withColumn("ib_x0", F.col("ib_alpha") / (F.col("ib_beta") - 1) - avg)
-    # log-normal
-    base = plus((g * F.sqrt(4 + g2) + g2 + 2) / 2)
-    t = F.pow(base, F.lit(1 / 3))
-    d = d.withColumn("_u", (t * t - t + 1) / t)
-    u = F.col("_u")
-    d = d.withColumn("ln_var", F.ln(plus(u)))
-    d = d.withColumn("ln_mu", F.ln(plus(var / plus(u * u - u))) / 2)
-    return d.withColumn("ln_x0", F.exp(F.col("ln_mu") + F.col("ln_var") / 2) - avg).drop("_u")
 
+    def above(c, low=0.0):
+        return F.when(c > low, c)
+
+    # gamma: skew 2 / sqrt(k), spread theta sqrt(k)
+    k, theta = 4 / F.nullif(g2, F.lit(0.0)), g * sd / 2
+    d = moments.withColumns({"g_k": k, "g_theta": theta, "g_x0": k * theta - avg, "p_x0": var - avg})
+    # inverse gamma: the shape from the skew, the scale from the spread
+    d = d.withColumn("ig_alpha", _upper_root(g2, 6 * g2 + 4, 9 * g2 - 8))
+    alpha = F.col("ig_alpha")
+    mean = sd * F.when(alpha >= 2, F.sqrt(alpha - 2))
+    d = d.withColumns({"ig_beta": mean * (alpha - 1), "ig_x0": mean - avg})
+    # beta prime: beta from skew and spread, alpha from beta and the variance
+    d = d.withColumn("ib_beta", _upper_root(g2 * var, 6 * g2 * var - 8 * g * sd - 16 * var, -(12 + 32 * var + 24 * g * sd)))
+    beta = F.col("ib_beta") - 1
+    inside = 1 + 4 * (beta - 1) * var
+    d = d.withColumn("ib_alpha", beta * (1 + F.when(inside >= 0, F.sqrt(inside))) / 2)
+    d = d.withColumn("ib_x0", F.col("ib_alpha") / beta - avg)
+    # log-normal: w = exp(variance of the logarithm) solves w^3 + 3 w^2 = 4 + skew^2
+    cube = F.pow(above(1 + g2 / 2 + g * F.sqrt(1 + g2 / 4)), F.lit(1 / 3))
+    d = d.withColumn("_w", cube + 1 / cube - 1)
+    w = F.col("_w")
+    d = d.withColumns({"ln_var": F.ln(above(w)), "ln_mu": F.ln(above(var / above(w * (w - 1)))) / 2})
+    return d.withColumn("ln_x0", F.exp(F.col("ln_mu") + F.col("ln_var") / 2) - avg).drop("_w")
 
 def fit_std_curve(moments: DataFrame) -> DataFrame:
     """std against mean: const, linear and root (variance as a quadratic), each

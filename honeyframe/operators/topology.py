@@ -163,14 +163,15 @@ def order_neighbors(bonds: DataFrame, atoms: DataFrame) -> DataFrame:
 # -- rings -----------------------------------------------------------------------
 
 
-def trace_rings(bonds: DataFrame, atoms: DataFrame, max_size: int = 24) -> DataFrame:
+def trace_rings(bonds: DataFrame, atoms: DataFrame) -> DataFrame:
     """Rings of the bond graph: its inner faces.
 
     At each atom the bond after the arriving one, by angle, goes on. Following
     that pointer closes a face; the smallest directed bond on it names it and
     is found by doubling the pointer, so the rounds grow with the logarithm of
-    the longest face. Faces that turn the other way (outer borders), visit an
-    atom twice or are longer than ``max_size`` are open and dropped.
+    the longest face. Faces that turn the other way (outer borders) or visit an
+    atom twice are open and dropped. The turning sense is a sum over the bonds
+    of a face, so outer borders are gone before a ring is put together.
     """
     o = order_neighbors(bonds, atoms)
     n = F.count(F.lit(1)).over(W.partitionBy("view", "p"))
@@ -180,21 +181,22 @@ def trace_rings(bonds: DataFrame, atoms: DataFrame, max_size: int = 24) -> DataF
     step = o.select("view", "p", "q", F.when(F.col("place") == 1, F.col("_n")).otherwise(F.col("place") - 1).alias("_pl"))
     nxt = step.join(after, ["view", "p", "_pl"]).select("view", F.struct(F.col("q").alias("u"), F.col("p").alias("v")).alias("e"), F.struct(F.col("p").alias("u"), F.col("t").alias("v")).alias("nx"))
     state = cut_lineage(nxt.select("view", "e", F.col("nx").alias("jump"), F.least("e", "nx").alias("low")))
-    span = 1
     while True:
         ahead = state.select("view", F.col("e").alias("jump"), F.col("jump").alias("_j"), F.col("low").alias("_l"))
         d = state.join(ahead, ["view", "jump"]).select("view", "e", F.col("_j").alias("jump"), F.least("low", "_l").alias("low"), (F.col("_l") < F.col("low")).alias("_moved"))
         d = cut_lineage(d)
         moved = not d.filter("_moved").isEmpty()
         state = d.drop("_moved")
-        span *= 2
-        # after max_size steps only longer faces can still change
-        if not moved or span >= max_size:
+        if not moved:
             break
-    faces = state.groupBy("view", "low").agg(F.count(F.lit(1)).alias("size"))
-    faces = faces.filter((F.col("size") <= max_size) & (F.col("size") > 2))
+    xy = atoms.select("view", F.col("atom_id").alias("_u"), F.struct("x", "y").alias("_pu"))
+    e = state.select("view", "low", "e", F.col("e.u").alias("_u"), F.col("e.v").alias("_v")).join(xy, ["view", "_u"])
+    e = e.join(xy.toDF("view", "_v", "_pv"), ["view", "_v"])
+    cross = F.col("_pu.x") * F.col("_pv.y") - F.col("_pv.x") * F.col("_pu.y")
+    faces = e.groupBy("view", "low").agg(F.count(F.lit(1)).alias("size"), F.sum(cross).alias("_turn"))
+    faces = faces.filter((F.col("_turn") > 0) & (F.col("size") > 2)).drop("_turn")
     e = state.join(faces, ["view", "low"]).select("view", "low", "size", "e")
-    # each short face in its own row; a piece of a longer one does not close
+    # each inner face in its own row
     ring = e.groupBy("view", "low", "size").agg(
         F.collect_list("e").alias("_e"), F.countDistinct("e.u").alias("_atoms")
     ).filter(F.col("_atoms") == F.col("size"))
@@ -205,17 +207,7 @@ def trace_rings(bonds: DataFrame, atoms: DataFrame, max_size: int = 24) -> DataF
         lambda acc, i: F.array_append(acc, F.element_at("_next", F.element_at(acc, -1))),
     )
     ring = ring.select("view", "low", "size", F.posexplode(path).alias("seq", "atom_id"))
-    xy = atoms.select("view", "atom_id", "x", "y")
-    pts = ring.join(xy, ["view", "atom_id"]).groupBy("view", "low", "size").agg(
-        F.sort_array(F.collect_list(F.struct("seq", "atom_id", "x", "y"))).alias("_p")
-    )
-    n = F.col("size").cast("int")
-    turn = F.aggregate(
-        F.sequence(F.lit(0), n - 1), F.lit(0.0),
-        lambda acc, i: acc + F.get("_p", i)["x"] * F.get("_p", (i + 1) % n)["y"] - F.get("_p", (i + 1) % n)["x"] * F.get("_p", i)["y"],
-    )
-    inner = pts.filter(turn > 0)
-    return inner.select("view", "low", "size", F.inline("_p")).select("view", "low", F.col("seq").cast("long").alias("seq"), "atom_id", "size")
+    return ring.select("view", "low", F.col("seq").cast("long").alias("seq"), "atom_id", "size")
 
 
 def ring_edges(rings: DataFrame) -> DataFrame:
@@ -370,15 +362,18 @@ def defect_patterns(rings: DataFrame, bonds: DataFrame, atoms: DataFrame, side:
     small = {e: F.size(F.filter(far[e], lambda r: r["size"] <= 5)) for e in ("a", "b")}
     isz = (F.size("_ra") == 4) & (F.size("_rb") == 4) & (small["a"] >= 1) & (small["b"] >= 1)
     f = five.withColumn("kind", F.when(is7557, "7557").when(isz, "z5")).filter(F.col("kind").isNotNull())
-    f = f.select("view", "kind", "a", "b", F.transform(F.concat(far["a"], far["b"]), lambda r: r["ring_id"]).alias("_far"))
-    f = cut_lineage(f)
-    ends = f.select("view", "kind", F.explode(F.array("a", "b")).alias("atom_id"), "_far", "a", "b")
+    # the small far rings of each end, kept apart: only their own end's bonds count
+    near = [
+        F.struct(F.col(e).alias("atom_id"), F.transform(F.filter(far[e], lambda r: r["size"] <= 5), lambda r: r["ring_id"]).alias("_far"))
+        for e in ("a", "b")
+    ]
+    ends = cut_lineage(f.select("view", "kind", F.inline(F.array(*near)), "a", "b"))
     drop = ends.select("view", "kind", "atom_id").distinct().join(atoms.select("view", "atom_id", "x", "y"), ["view", "atom_id"]).select(
         "view", "kind", "atom_id", F.lit("drop").alias("action"), "x", "y"
     )
     z = ends.filter(F.col("kind") == "z5")
     b = _both_ways(bonds).select("view", F.col("p").alias("atom_id"), "q")
-    z = z.join(b, ["view", "atom_id"]).select("view", "kind", "_far", F.least("atom_id", "q").alias("a"), F.greatest("atom_id", "q").alias("b"))
+    z = z.join(b, ["view", "atom_id"]).filter(~F.col("q").isin(F.col("a"), F.col("b"))).select("view", "kind", "_far", F.least("atom_id", "q").alias("a"), F.greatest("atom_id", "q").alias("b"))
     z = z.join(bond_sides(rings).select("view", "a", "b", "ring1", "ring2"), ["view", "a", "b"])
     z = z.filter(F.array_contains("_far", F.col("ring1")) | F.array_contains("_far", F.col("ring2"))).select("view", "kind", "a", "b").distinct()
     mid = bond_lengths(z, atoms)
@@ -438,7 +433,7 @@ def ring_centers(rings: DataFrame, atoms: DataFrame) -> DataFrame:
     return d.groupBy("view", "ring_id").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
 
 
-def ring_signature(rings: DataFrame, atoms: DataFrame, seeds: DataFrame, max_levels: int = 6) -> DataFrame:
+def ring_signature(rings: DataFrame, atoms: DataFrame, seeds: DataFrame) -> DataFrame:
     """Ring sizes level by level around each seed (view, atom_id), until the
     border: (view, seed, level, line).
 
@@ -454,8 +449,9 @@ def ring_signature(rings: DataFrame, atoms: DataFrame, seeds: DataFrame, max_lev
     first = s.join(rings.select("view", F.col("atom_id").alias("seed"), "ring_id"), ["view", "seed"])
     pos = atoms.select("view", F.col("atom_id").alias("seed"), F.col("x").alias("_sx"), F.col("y").alias("_sy"))
     level = cut_lineage(first.select("view", "seed", "ring_id").withColumn("level", F.lit(0)))
-    seen = level
-    for n in range(1, max_levels + 1):
+    seen, n = level, 0
+    while True:  # a level takes rings that no earlier level has
+        n += 1
         ok = level.join(info.filter("interior").select("view", "ring_id"), ["view", "ring_id"], "left_anti").select("view", "seed").distinct()
         grow = level.join(ok, ["view", "seed"], "left_anti")
         nxt = grow.select("view", "seed", F.col("ring_id").alias("ring1")).join(link, ["view", "ring1"]).select("view", "seed", F.col("ring2").alias("ring_id")).distinct()
@@ -511,7 +507,7 @@ def match_signatures(mine: DataFrame, other: DataFrame, center: DataFrame | None
 
 def merge_views(
     m_atoms: DataFrame, m_rings: DataFrame, v_atoms: DataFrame, v_rings: DataFrame, start: DataFrame,
-    shift: tuple[float, float] = (0.0, 0.0), max_rounds: int = 200,
+    shift: tuple[float, float] = (0.0, 0.0),
 ) -> tuple[DataFrame, DataFrame]:
     """Link the atoms of views to a master mesh.
 
@@ -545,7 +541,7 @@ def merge_views(
     links = cut_lineage(start.select("view", F.col("atom_id").alias("va"), F.col("master").alias("ma")))
     bad = cut_lineage(links.select("view").limit(0))
     used = None  # linked rings (view, vr, mr)
-    for _ in range(max_rounds):
+    while True:  # each round links a ring or drops a view
         l1 = links.select("view", "va", "ma")
         l2 = links.select("view", F.col("va").alias("va2"), F.col("ma").alias("ma2"))
         e = ve.filter(F.col("va") < F.col("va2")).join(l1, ["view", "va"]).join(l2, ["view", "va2"])

@@ -101,8 +101,11 @@ def write_images(pixels: DataFrame, path: str, width: int, height: int) -> DataF
 
         system, root = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
         system.create_dir(root, recursive=True)
+        values = pdf["value"].to_numpy()
+        if not np.array_equal(values, np.clip(np.nan_to_num(values), 0, 65535).astype("uint16")):
+            raise ValueError("a 16-bit image holds whole numbers from 0 to 65535 only")
         image = np.zeros((height, width), dtype="uint16")
-        image[pdf["y"].to_numpy(), pdf["x"].to_numpy()] = pdf["value"].to_numpy()
+        image[pdf["y"].to_numpy(), pdf["x"].to_numpy()] = values
         name = f"{int(pdf['frame_id'].iloc[0]):08d}.tif"
         with system.open_output_stream(f"{root}/{name}") as out:
             out.write(encode_page(image))

@@ -37,7 +37,7 @@ def read_frame_report(spark: SparkSession, path: str) -> DataFrame:
     """Report rows (grp, 37 columns). Every ``#label`` line sets the order of
     the keys from there on and starts a group; missing keys are NULL."""
     lines = numbered_lines(spark, path)
-    d = carry_last(lines, F.col("line").startswith("#label"), F.substring("line", 2, 100000), "_keys", "grp")
+    d = carry_last(lines, F.col("line").startswith("#label"), F.expr("substring(line, 2)"), "_keys", "grp")
     d = d.filter((F.col("line") != "") & ~F.col("line").startswith("#"))
     keys, vals = F.split("_keys", r"[\s,]+"), F.split("line", r"[\s,]+")
     keys = F.transform(keys, _alias)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from honeyframe.functions.numbers import circular_mean
+from honeyframe.operators.numbering import scalar
 
 
 def _run(query):
@@ -16,8 +17,10 @@ def _run(query):
     return q
 
 
-def file_stream(spark: SparkSession, path: str, schema: StructType, per_batch: int = 1) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_batch).parquet(path)
+def file_stream(spark: SparkSession, path: str, schema: StructType, per_batch: int | None = None) -> DataFrame:
+    """All files that are there make one batch, unless the caller sets a number."""
+    stream = spark.readStream.schema(schema)
+    return (stream if per_batch is None else stream.option("maxFilesPerTrigger", per_batch)).parquet(path)
 
 
 def stream_reports(reports: DataFrame, out: str, checkpoint: str) -> None:
@@ -40,7 +43,8 @@ def current_reports(spark: SparkSession, out: str, key: str = "label", order: tu
 
 
 def stream_group_means(reports: DataFrame, group: str, out: str, checkpoint: str) -> None:
-    """Weighted means of each group, refreshed with every batch."""
+    """Weighted means of each group, written whole under the number of the batch;
+    ``current_means`` reads the newest, so a failed write loses nothing."""
     w = F.col("hex_merit") * F.col("hex_merit")
     d = reports.withColumns({"_w": w, "_t": F.col("tilt") % F.lit(math.pi / 3)})
     means = d.groupBy(group).agg(
@@ -48,7 +52,12 @@ def stream_group_means(reports: DataFrame, group: str, out: str, checkpoint: str
         F.count(F.lit(1)).alias("frames"),
     )
     _run(means.writeStream.outputMode("complete").foreachBatch(
-        lambda b, n: b.write.mode("overwrite").parquet(out)).option("checkpointLocation", checkpoint))
+        lambda b, n: b.write.mode("overwrite").parquet(f"{out}/batch={n}")).option("checkpointLocation", checkpoint))
+
+
+def current_means(spark: SparkSession, out: str) -> DataFrame:
+    log = spark.read.parquet(out)
+    return log.filter(F.col("batch") == scalar(log, F.max("batch"))).drop("batch")
 
 
 def stream_histogram(sf_pixels: DataFrame, keys: list[str], out: str, checkpoint: str) -> None:

@@ -131,8 +131,8 @@ def test_searches_do_not_lose_score(spark, sf):
     par = frames.params(spark, sf).filter("frame_id < 30")
     grid = par.withColumn("cand", F.lit(0))
     start = dict(rows(Q.score_candidates(px, grid, 2, frames.RES, 8, 8), "frame_id", "score"))
-    for fit in (Q.coarse_to_fine(px, par, 2, frames.RES, 8, 8, levels=1, cycles=1),
-                Q.coordinate_refine(px, par, 2, frames.RES, 8, 8, rounds=1)):
+    for fit in (Q.coarse_to_fine(px, par, 2, frames.RES, 8, 8, levels=1),
+                Q.coordinate_refine(px, par, 2, frames.RES, 8, 8)):
         got = dict(rows(fit, "frame_id", "score"))
         assert len(got) == 30
         assert all(got[f] >= s - 1e-6 for f, s in start.items() if s is not None)
@@ -159,7 +159,7 @@ def _sq(df):
 
 def test_atom_search_lowers_the_residual(spark, sf):
     p = frames.square(spark, sf).filter("frame_id < 20")
-    atoms, res = A.find_atoms(p, CT.KERNEL, 2, 8, 8, floor=1.0, min_weight=0.5, rounds=3)
+    atoms, res = A.find_atoms(p, CT.KERNEL, 2, 8, 8, floor=1.0, min_weight=0.5)
     before = _sq(p.withColumn("value", F.col("value") - 1.0))
     after = _sq(res)
     assert all(after[f] <= before[f] + 1e-9 for f in before)
@@ -171,7 +171,7 @@ def test_atom_search_lowers_the_residual(spark, sf):
         at.setdefault(f, []).append((x, y))
     for pts in at.values():
         assert all(math.dist(a, b) >= 2 for a in pts for b in pts if a < b)
-    _, moved = A.nudge_atoms(atoms, res, CT.KERNEL, 1, 2, 8, 8, rounds=2)
+    _, moved = A.nudge_atoms(atoms, res, CT.KERNEL, 1, 2, 8, 8)
     final = _sq(moved)
     assert all(final[f] <= after[f] + 1e-6 for f in after)
 
