@@ -11,35 +11,61 @@ from __future__ import annotations
 import base64
 import os
 import re
+import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: White space as Unicode defines it.
-SPACE = "\t-\r \x85\xa0  -     　"
+SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _CHUNK = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 
-#: The splits of both tokenizers, for ASCII text.
-_ASCII_WORD = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
-_ASCII_BYTE = re.compile(
-    r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
+#: Bytes of text that are worked on at once.
+PART = 4 << 20
+
+#: Letters, digits and signs up to U+024F: composed, without white space but the
+#: ASCII one, and classed alike by every version of Unicode.
+_LATIN = re.compile("[\x00-\x84\x86-\x9f\xa1-\u024f]+")
+
+#: The splits of both tokenizers, for such texts. Letters are word
+#: characters but digits, the signs of numbers and the underscore.
+_NUMBER = r"\d\xb2\xb3\xb9\xbc-\xbe"
+_SHORT = "'s|'t|'re|'ve|'m|'ll|'d"
+_WORD = re.compile(rf"{_SHORT}|[^\W{_NUMBER}_]+|[{_NUMBER}]|(?:[^\w]|_)+")
+_BYTE = re.compile(
+    rf"{_SHORT}| ?[^\W{_NUMBER}_]+| ?[{_NUMBER}]+| ?(?:[^\w\t-\r ]|_)+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
 )
 
 
 class Recent(dict):
-    """Two generations of cached values: at most twice ``limit`` of them."""
+    """Values by key, made when first asked for; the ones used last are kept, at
+    most twice ``limit`` of them (two generations)."""
 
-    def __init__(self, limit: int):
+    def __init__(self, limit: int, make=None):
         super().__init__()
-        self.limit = limit
+        self.limit, self.make = limit, make
         self.old: dict = {}
 
-    def missing(self, keys) -> list:
-        """Keys whose value must be made; older values move up."""
-        out = []
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) > self.limit:
+            self._turn()
+        self[key] = value
+        return value
+
+    def _turn(self) -> None:
         if len(self) > self.limit:
             self.old = dict(self)
             self.clear()
+
+    def missing(self, keys: set) -> list:
+        """Keys whose value the caller must make; older values move up."""
+        out = []
+        self._turn()
         for k in keys - self.keys():
             v = self.old.get(k)
             if v is None:
@@ -62,6 +88,15 @@ def byte_chars() -> list[str]:
     return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
 
 
+_VISIBLE = dict(enumerate(byte_chars()))
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(32)]
+
+
+def _visible(piece: str) -> str:
+    """A piece as the characters that stand for its bytes."""
+    return piece if piece.isascii() and piece.isalnum() else piece.encode().decode("latin-1").translate(_VISIBLE)
+
+
 class WordEncoder:
     """Ids by a tokenizer file that drops white space (BPE with word ends)."""
 
@@ -71,39 +106,53 @@ class WordEncoder:
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.seen = Recent(cache)
-
-    def _fill(self, parts: set) -> None:
-        far, model = [], self.tok.model
-        new = self.seen.missing(parts)
-        for w in new:
-            if w.isascii():
-                text = w.decode().lower()
-                ids = [t.id for p in _ASCII_WORD.findall(text) for t in model.tokenize(self._visible(p))]
-                self.seen[w] = np.array(ids, "<u4").tobytes()
+        self.model = self.tok.model
+        self.seen, self.pieces = Recent(cache, self._ids), Recent(cache, self._piece)
+
+    def _piece(self, piece: str) -> bytes:
+        ids = [t.id for t in self.model.tokenize(piece if piece.isalpha() and piece.isascii() else _visible(piece))]
+        return _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else struct.pack(f"<{len(ids)}I", *ids)
+
+    def _lookup(self, words: list[str]) -> list[bytes]:
+        pieces, seen, out = self.pieces, self.seen, []
+        for w in words:
+            if w.isalpha() and w.isascii():  # one piece, whose case is plain
+                out.append(pieces[w.lower()])
             else:
-                far.append(w)
-        for i in range(0, len(far), 1000):
-            part = far[i : i + 1000]
-            for w, e in zip(part, self.tok.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
-                self.seen[w] = np.array(e.ids, "<u4").tobytes()
-
-    _table = str.maketrans({i: c for i, c in enumerate(byte_chars()[:128])})
-
-    def _visible(self, piece: str) -> str:
-        return piece if piece.isalnum() else piece.translate(self._table)
+                out.append(seen[w])
+        return out
 
-    def encode(self, texts: list) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text; null counts as empty."""
-        split = [(t or "").encode().split() for t in texts]
+    def _ids(self, text: str) -> bytes:
+        if _LATIN.fullmatch(text):  # composed already; lower case and splits are plain
+            return b"".join(map(self.pieces.__getitem__, _WORD.findall(text.lower())))
+        ids = self.tok.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _encode(self, texts: pa.Array) -> list[bytes]:
+        """Distinct words are looked up once, the others are gathered."""
+        split = pc.ascii_split_whitespace(texts)
+        known = split.flatten().dictionary_encode()
+        blobs = self._lookup(known.dictionary.to_pylist())
+        size = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
+        table = np.frombuffer(b"".join(blobs), "<u4")
+        word = known.indices.to_numpy()
+        n = size[word]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        first = (np.cumsum(size) - size)[word] - ends[:-1]
+        ids = table[np.repeat(first, n) + np.arange(ends[-1])]
+        bounds = ends[split.offsets.to_numpy() - split.offsets[0].as_py()].tolist()
+        return [ids[a:b].tobytes() for a, b in zip(bounds, bounds[1:])]
+
+    def encode(self, texts) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text (a list or an Arrow
+        array); null counts as empty. Works through bounded parts."""
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
         out, lo = [], 0
-        while lo < len(split):  # bounded sets of parts between two looks at the cache
-            hi, n = lo, 0
-            while hi < len(split) and (hi == lo or n + len(split[hi]) <= 100_000):
-                n += len(split[hi])
-                hi += 1
-            self._fill({w for words in split[lo:hi] for w in words})
-            out += [b"".join(map(self.seen.__getitem__, words)) for words in split[lo:hi]]
+        while lo < len(texts):
+            done = ends[lo - 1] if lo else 0
+            hi = max(lo + 1, int(np.searchsorted(ends, done + PART, side="right")))
+            out += self._encode(texts.slice(lo, hi - lo))
             lo = hi
         return out
 
@@ -141,33 +190,26 @@ class ByteEncoder:
             pre_tokenizers.Split(Regex(pattern), behavior="isolated"),
             pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False),
         ])
-        self.seen = Recent(cache)
-        self.table = str.maketrans({i: c for i, c in enumerate(chars[:128])})
+        self.model = self.tok.model
+        self.seen, self.pieces = Recent(cache, self._ids), Recent(cache, self._piece)
         self.bytes_of: list[bytes] = [b""] * (max(ranks.values(), default=-1) + 1)
         for t, r in ranks.items():
             self.bytes_of[r] = t
         self.lengths = np.array([len(t) for t in self.bytes_of], np.int64)
 
-    def _fill(self, parts: set) -> None:
-        far, model = [], self.tok.model
-        for w in self.seen.missing(parts):
-            if w.isascii() and len(w) <= 200:
-                ids = [t.id for p in _ASCII_BYTE.findall(w) for t in model.tokenize(p.translate(self.table))]
-                self.seen[w] = np.array(ids, "<u4").tobytes()
-            else:
-                far.append(w)
-        for i in range(0, len(far), 1000):
-            part = far[i : i + 1000]
-            for w, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False)):
-                self.seen[w] = np.array(e.ids, "<u4").tobytes()
+    def _piece(self, piece: str) -> bytes:
+        ids = [t.id for t in self.model.tokenize(_visible(piece))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _ids(self, part: str) -> bytes:
+        if len(part) <= 1000 and _LATIN.fullmatch(part):
+            return b"".join(map(self.pieces.__getitem__, _BYTE.findall(part)))
+        ids = self.tok.encode(part, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, texts: list) -> list[np.ndarray]:
-        out = []
-        for t in texts:
-            parts = _CHUNK.findall(t or "")
-            self._fill(set(parts))
-            out.append(np.frombuffer(b"".join(map(self.seen.__getitem__, parts)), "<u4"))
-        return out
+        """Ids of each text; null counts as empty."""
+        return [np.frombuffer(b"".join(map(self.seen.__getitem__, _CHUNK.findall(t or ""))), "<u4") for t in texts]
 
     def offsets(self, ids: np.ndarray, text: bytes) -> tuple[np.ndarray, np.ndarray]:
         """First byte of each token, and the character that holds that byte; a

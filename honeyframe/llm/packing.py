@@ -232,9 +232,9 @@ def _pieces(tokenizer: str, capacity: int, end_id: int):
         end = np.array([end_id], "<u4").tobytes()
         uid = TaskContext.get().partitionId() << ROW_BITS
         for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                s, out = b.slice(lo, 256), []
-                for d, ids in zip(s.column(0).to_pylist(), enc.encode(s.column(1).to_pylist())):
+            for lo in range(0, b.num_rows, 2000):
+                s, out = b.slice(lo, 2000), []
+                for d, ids in zip(s.column(0).to_pylist(), enc.encode(s.column(1))):
                     ids += end
                     for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                         part = ids[at : at + 4 * capacity]

@@ -137,9 +137,9 @@ def write_planes(
             ], schema=schema)
 
         for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                s = b.slice(lo, 256)
-                for d, got in zip(s.column(0).to_pylist(), enc.encode(s.column(1).to_pylist())):
+            for lo in range(0, b.num_rows, 2000):
+                s = b.slice(lo, 2000)
+                for d, got in zip(s.column(0).to_pylist(), enc.encode(s.column(1))):
                     doc_ids.append(d)
                     lengths.append(len(got) // 4 + 1)
                     ids += [got, end]
