@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from honeyframe.functions import hexgrid as H
 from honeyframe.functions.numbers import col
+from honeyframe.session import bounded
 
 
 def bilinear_shares(df: DataFrame, x="x", y="y", value="w") -> DataFrame:
@@ -78,7 +79,7 @@ def clone_area(
     if blank_center:
         inside = inside & ~((F.col("q") == center[0]) & (F.col("r") == center[1]))
     bg = background.select("q", "r", F.col("value").alias("_bg"))
-    return df.join(bg, ["q", "r"], "left").select(
+    return df.join(bounded(bg), ["q", "r"], "left").select(
         "frame_id", "q", "r",
         F.when(inside, F.col("value")).otherwise(F.coalesce("_bg", F.lit(0))).alias("value"),
     )

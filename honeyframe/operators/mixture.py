@@ -30,10 +30,38 @@ LN2 = math.log(2.0)
 # -- likelihood -----------------------------------------------------------------
 
 
+def _with_gains(data: DataFrame, gains: DataFrame, key: str = "m", max_bytes: int = 64 << 20) -> DataFrame:
+    """Join data with gains (key, hp, value, ...) and never shuffle the data.
+
+    All models of a pixel and value are one row, a list. Models are cut into
+    blocks whose lists fit a broadcast, by their measured size; one block is
+    the rule. The size of one model is set by the frame and the value range.
+    """
+    g = cut_lineage(gains)
+    rest = [c for c in g.columns if c not in ("hp", "value")]
+    sizes = sorted((r[key], r["count"]) for r in g.groupBy(key).count().collect())  # one row per model or edit
+    row = g.select(*rest)._jdf.schema().defaultSize() + 16
+    blocks, fill = [], max_bytes + 1
+    for k, n in sizes:
+        if fill + n * row > max_bytes:
+            blocks.append([])
+            fill = 0
+        blocks[-1].append(k)
+        fill += n * row
+    out = None
+    for block in blocks or [[]]:
+        part = g if len(blocks) < 2 else g.filter(F.col(key).between(block[0], block[-1]))
+        lists = part.groupBy("hp", "value").agg(F.collect_list(F.struct(*rest)).alias("_of"))
+        d = data.join(F.broadcast(lists), ["hp", "value"])
+        d = d.select(*[F.col(c) for c in data.columns], F.inline("_of"))
+        out = d if out is None else out.unionByName(d)
+    return out
+
+
 def lookup_logp(sf: DataFrame, models: DataFrame, table: DataFrame) -> DataFrame:
     """(sf_id, m, hp, value, level, lp) of the frames as they lie."""
     gains = models.join(table, "level")  # models x values
-    return sf.select("sf_id", "hp", "value").join(bounded(gains), ["hp", "value"])
+    return _with_gains(sf.select("sf_id", "hp", "value"), gains)
 
 
 def orbit_loglik(sf: DataFrame, models: DataFrame, table: DataFrame, n: int, bond: int) -> DataFrame:
@@ -41,7 +69,7 @@ def orbit_loglik(sf: DataFrame, models: DataFrame, table: DataFrame, n: int, bon
     pixels. The cheaper way to the same numbers is baseline_loglik."""
     orb = expand_orbit(spread(sf, "sf_id"), n, bond, inverse=True)
     gains = models.join(table, "level").select("m", "hp", "value", (F.col("lp") / LN2).alias("_g"))
-    return orb.join(bounded(gains), ["hp", "value"]).groupBy("sf_id", "m", "sym").agg(F.sum("_g").alias("ll"))
+    return _with_gains(orb, gains).groupBy("sf_id", "m", "sym").agg(F.sum("_g").alias("ll"))
 
 
 def _sparse(sf: DataFrame) -> DataFrame:
@@ -59,7 +87,7 @@ def baseline_loglik(sf: DataFrame, models: DataFrame, table: DataFrame, n: int,
         "m", "hp", "value", ((F.col("lp") - F.col("_z")) / LN2).alias("_g")
     )
     orb = expand_orbit(spread(_sparse(sf), "sf_id"), n, bond, inverse=True)
-    s = orb.join(bounded(gains), ["hp", "value"]).groupBy("sf_id", "m", "sym").agg(F.sum("_g").alias("_s"))
+    s = _with_gains(orb, gains).groupBy("sf_id", "m", "sym").agg(F.sum("_g").alias("_s"))
     return s.join(bounded(base), "m").select(
         "sf_id", "m", "sym", (F.col("_s") + F.col("_base")).alias("ll")
     )
@@ -227,7 +255,7 @@ def score_edits(
     owner = edits.select("edit", "m").distinct().join(base, "edit")
     kept = ll.join(bounded(owner), "m").select("sf_id", "edit", "sym", (F.col("ll") + F.col("_base")).alias("_v"))
     orb = expand_orbit(sf.filter(F.col("value") > 0), n, bond, inverse=True)
-    moved = orb.join(bounded(gains), ["hp", "value"]).select("sf_id", "edit", "sym", F.col("_g").alias("_v"))
+    moved = _with_gains(orb, gains, "edit").select("sf_id", "edit", "sym", F.col("_g").alias("_v"))
     cur = kept.unionByName(moved).groupBy("sf_id", "edit", "sym").agg(F.sum("_v").alias("ll"))
     new_marg = marginal_loglik(cur.withColumnRenamed("edit", "m")).select("sf_id", F.col("m").alias("edit"), "marg")
     new_marg = new_marg.join(owner.select("edit", "m"), "edit")
@@ -237,23 +265,27 @@ def score_edits(
     if weights is not None:
         base_m = marg.join(bounded(weights.select("m", F.log2("weight").alias("_lw"))), "m")
         lw = F.col("_lw")
-    # the models of one sub-frame as a short list
-    per = base_m.select("sf_id", "m", (F.col("marg") + lw).alias("v"), lw.alias("lw")).groupBy("sf_id").agg(
-        F.collect_list(F.struct("m", "v", "lw")).alias("_all")
-    )
-    d = new_marg.join(per, "sf_id")
-    others = F.transform(F.filter("_all", lambda e: e["m"] != F.col("m")), lambda e: e["v"])
-    own = F.get(F.transform(F.filter("_all", lambda e: e["m"] == F.col("m")), lambda e: e["lw"]), F.lit(0))
-    d = d.select("sf_id", "edit", "m", F.array_append(others, F.col("marg") + own).alias("_new"),
-                 F.transform("_all", lambda e: e["v"]).alias("_old"))
+    # a sub-frame is its best model and the sum of the others; so the models but
+    # one are either that sum, or the best and the sum without the one
+    own = base_m.select("sf_id", "m", (F.col("marg") + lw).alias("_own"), lw.alias("_lw2"))
+    per = own.groupBy("sf_id").agg(F.sort_array(F.collect_list(F.struct(F.col("_own").alias("v"), "m")), asc=False).alias("_s"))
+    none = F.lit(-1e300)
+    second = F.coalesce(F.get("_s", F.lit(1))["v"], none)
+    rest = second if weights is None else F.when(F.size("_s") > 1, second + F.log2(F.aggregate(
+        F.slice("_s", 2, F.greatest(F.size("_s") - 1, F.lit(1))), F.lit(0.0), lambda a, e: a + exp2(e["v"] - second)))).otherwise(none)
+    per = per.select("sf_id", F.get("_s", F.lit(0))["m"].alias("_m1"), F.get("_s", F.lit(0))["v"].alias("_v1"), rest.alias("_rest"))
+    d = new_marg.join(own, ["sf_id", "m"]).join(per, "sf_id").withColumn("_new", F.col("marg") + F.col("_lw2"))
     if weights is None:
-        after, before = F.array_max("_new"), F.array_max("_old")
+        others = F.when(F.col("m") == F.col("_m1"), F.col("_rest")).otherwise(F.col("_v1"))
+        after, before = F.greatest(others, "_new"), F.col("_v1")
     else:
-        def lse(c):
-            top = F.array_max(c)
-            return top + F.log2(F.aggregate(c, F.lit(0.0), lambda a, e: a + exp2(e - F.array_max(c))))
+        def both(a, b):
+            top = F.greatest(a, b)
+            return top + F.log2(exp2(a - top) + exp2(b - top))
 
-        after, before = lse("_new"), lse("_old")
+        less = F.greatest(1 + exp2(F.col("_rest") - F.col("_v1")) - exp2(F.col("_own") - F.col("_v1")), F.lit(1.0))
+        others = F.when(F.col("m") == F.col("_m1"), F.col("_rest")).otherwise(F.col("_v1") + F.log2(less))
+        after, before = both(others, F.col("_new")), both(F.col("_v1"), F.col("_rest"))
     return d.groupBy("edit", "m").agg(
         F.sum(after).alias("total"), (F.sum(after) - F.sum(before)).alias("gain")
     )

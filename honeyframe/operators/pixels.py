@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from honeyframe.functions import hexgrid as H, lattice as L
 from honeyframe.functions.numbers import col
-from honeyframe.session import cut_lineage
+from honeyframe.session import cut_lineage, spread
 
 # -- sparse form -------------------------------------------------------------
 
@@ -243,7 +243,7 @@ def threshold_mask(
     df: DataFrame, threshold, box: int, width: int, height: int, sigma: float = 0.0, out: str = "dirt"
 ) -> DataFrame:
     """1 where most pixels of the box around are above the threshold."""
-    d = df.withColumn("_blur", F.col("value").cast("double"))
+    d = spread(df, "frame_id").withColumn("_blur", F.col("value").cast("double"))
     d = gaussian_blur(d, sigma, width, height, "_blur")
     d = d.withColumn(out, (F.col("_blur") > col(threshold) if isinstance(threshold, str)
                            else F.col("_blur") > threshold).cast("int"))
@@ -273,9 +273,10 @@ def area_mask(
 ) -> DataFrame:
     """Codes 1 clean, 4 light dirt, 16 heavy dirt, 0 none of them.
 
-    The three masks share one blur and one pair of box windows.
+    The three masks share one blur and one pair of box windows. Frames are spread
+    once; all windows lie within a frame.
     """
-    d = df.withColumn("_blur", F.col("value").cast("double"))
+    d = spread(df, "frame_id").withColumn("_blur", F.col("value").cast("double"))
     d = gaussian_blur(d, sigma, width, height, "_blur")
     limits = {"_m_clean": clean, "_m_light": light, "_m_heavy": heavy}
     on = {k: v for k, v in limits.items() if v > 0}

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from honeyframe.functions.numbers import circular_mean, col, wrap_angle
 from honeyframe.operators.numbering import scalar
+from honeyframe.session import bounded
 
 # Option files hold a few lines; more than this is not an option file.
 MAX_OPTION_ROWS = 1000
@@ -314,7 +315,7 @@ def leave_one_out_mean(report: DataFrame, group: str, min_contrast: float = 0.0)
         *[F.sum(f"_t_{k}").alias(f"_g_{k}") for k in _MEANS],
         F.sum(F.when(F.col("_t_w") > 0, 1).otherwise(0)).alias("_g_n"),
     )
-    d = d.join(totals, group)
+    d = d.join(bounded(totals), group)  # one row per group
     others = F.col("_g_n") - F.when(F.col("_t_w") > 0, 1).otherwise(0)
     rest = {k: F.col(f"_g_{k}") - F.col(f"_t_{k}") for k in _MEANS}
     has = others > 0

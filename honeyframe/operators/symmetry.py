@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from honeyframe.functions import hexgrid as H
 from honeyframe.operators.pixels import offsets_within
-from honeyframe.session import spread
+from honeyframe.session import bounded, spread
 
 
 def expand_orbit(
@@ -83,7 +83,7 @@ def match_transforms(
     d = z.select(key, "x", "z", "_z", F.inline(allowed_transforms(radius, rotate, mirror)))
     d = H.with_inverse_transform(d, n)
     d = d.select(key, "t", "lx", "lz", "rot", "mirror", "_z", H.hex_index("tx", "tz", n).alias("hp"))
-    return d.join(kernel, "hp").groupBy(key, "t", "lx", "lz", "rot", "mirror").agg(
+    return d.join(bounded(kernel), "hp").groupBy(key, "t", "lx", "lz", "rot", "mirror").agg(
         F.avg(F.col("k") * F.coalesce("_z", F.lit(0.0))).alias("match")
     )
 
@@ -134,7 +134,7 @@ def molecule_match(
     on = ["hp"] + ([same] if same else [])
     d = diff.select(key, *on, F.col("value").alias("_a"))
     m = molecules.select(mol, *on, F.col("value").alias("_b"))
-    pair = d.join(m, on).groupBy(key, mol).agg(
+    pair = d.join(bounded(m), on).groupBy(key, mol).agg(
         F.covar_pop("_a", "_b").alias("_c"), F.stddev_pop("_a").alias("_sa"), F.stddev_pop("_b").alias("_sb")
     )
     norm = F.col("_sa") * F.col("_sb")
@@ -191,7 +191,7 @@ def best_shift(cells: DataFrame, target: DataFrame, n: int, key: str = "frame_id
     d = d.withColumns({"x": F.col("x") - F.col("dx"), "z": F.col("z") - F.col("dz"), "y": F.lit(0)})
     d = H.with_wrap(d, n).withColumn("hp", H.hex_index("x", "z", n))
     t = target.select("hp", F.col("value").cast("double").alias("_t"))
-    s = d.join(t, "hp").groupBy(key, "dx", "dz").agg(
+    s = d.join(bounded(t), "hp").groupBy(key, "dx", "dz").agg(
         F.covar_pop("value", "_t").alias("_c"), F.stddev_pop("value").alias("_sv"), F.stddev_pop("_t").alias("_st")
     )
     norm = F.col("_sv") * F.col("_st")

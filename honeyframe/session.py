@@ -65,8 +65,8 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(n, *keys)
 
 
-def bounded(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
-    """Broadcast a side that is written and counted first; a larger one is
-    returned as it is, for a shuffled join."""
+def bounded(df: DataFrame, max_bytes: int = 64 << 20) -> DataFrame:
+    """Broadcast a side that is written and measured first (rows times the width
+    of its columns); a larger one is returned as it is, for a shuffled join."""
     d = cut_lineage(df)
-    return F.broadcast(d) if d.count() <= max_rows else d
+    return F.broadcast(d) if d.count() * d._jdf.schema().defaultSize() <= max_bytes else d
