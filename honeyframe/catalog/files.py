@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from honeyframe import fixtures as X
 from honeyframe.catalog import query
 from honeyframe.catalog.frames import square
-from honeyframe.catalog.report import report_rows, weight_rows
-from honeyframe.catalog.topology import MESH
+from honeyframe.catalog.report import BIN_SQL, RULE_SQL, report_rows, weight_rows
+from honeyframe.catalog.topology import MESH, SIGNATURES, signature_lines
 from honeyframe.catalog.views import HX, PT, PX, RP, r6 as S6, with_
 from honeyframe.functions.numbers import r6
-from honeyframe.operators import topology as T
+from honeyframe.operators import reports as R, topology as T
 from honeyframe.session import checkpoint_dir
 from honeyframe.sources import images as I, tables as S
 
@@ -105,6 +105,31 @@ def read_filter_rules(spark, sf):
     return S.read_filter_rules(spark, _text(X.rp(spark, sf).select(line.alias("line")), scratch(spark)))
 
 
+@query("route_by_files", with_(RP, BIN_SQL, body=f"""
+SELECT frame_id, CASE WHEN NOT ({RULE_SQL}) THEN 'filtered' ELSE coalesce(bin, 'uncategorized') END AS bin,
+  ({RULE_SQL}) AND coalesce(n, 0) > 1 AS ambiguous
+FROM rp LEFT JOIN (SELECT frame_id, min_by(bin, k) AS bin, count(*) AS n FROM hits GROUP BY frame_id) h USING (frame_id)"""))
+def route_by_files(spark, sf):
+    """Rules and bins as text files, read and applied to the report."""
+    rules = ["# frame rules", "hex_avg 100 250", "!hex_avg 150 400", "contrast 0.1", "hex_merit -1e300 45"]
+    bins = {"low": {"upper_hex_std": 20}, "mid": {"lower_hex_std": 15, "upper_hex_std": 60, "lower_hex_avg": 50, "upper_hex_avg": 300},
+            "high": {"lower_hex_std": 60, "lower_hex_avg": 200}}
+    lines = [x for name, bounds in bins.items() for x in (f"#sub_stack {name}", *(f"#{k} {v}" for k, v in bounds.items()))]
+    paths = []
+    for text in ("\n".join(rules), "\n".join(lines)):
+        paths.append(_text(spark.createDataFrame([(text,)], "line string").coalesce(1), scratch(spark)))
+    rule_list, bin_list = R.rules_from(S.read_filter_rules(spark, paths[0])), R.bins_from(S.read_bin_rules(spark, paths[1]))
+    return R.route_frames(X.rp(spark, sf), rule_list, bin_list, 0.05).select("frame_id", "bin", "ambiguous")
+
+
+@query("write_signatures", "WITH " + SIGNATURES + """
+SELECT concat_ws(chr(9), view, seed, level, line) AS line FROM sg""")
+def write_signatures(spark, sf):
+    path = scratch(spark)
+    S.write_signatures(signature_lines(spark, sf), path)
+    return spark.read.text(path).select(F.col("value").alias("line"))
+
+
 @query("model_weights_io", with_(RP, """
 w AS (SELECT frame_id AS m, hex_merit AS weight, CASE WHEN frame_id % 10 = 0 THEN 'Fixed' WHEN frame_id % 10 = 1 THEN 'Lattice' WHEN frame_id % 10 = 2 THEN 'Finished' ELSE 'Continue' END AS state FROM rp)""", body="""
 SELECT m, CASE WHEN m % 4 = 3 THEN 0.25 ELSE weight END AS weight, CASE WHEN m % 4 = 3 THEN 'Reset' ELSE state END AS state FROM w"""))

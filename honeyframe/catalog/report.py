@@ -115,31 +115,31 @@ _RULES = [
     R.Rule("hex_avg", 100.0, 250.0), R.Rule("hex_avg", 150.0, 400.0, invert=True),
     R.Rule("contrast", 0.1, None), R.Rule("hex_merit", None, 45.0),
 ]
-_RULE_SQL = """((hex_avg > 100 AND hex_avg <= 250) OR NOT (hex_avg > 150 AND hex_avg <= 400))
+RULE_SQL = """((hex_avg > 100 AND hex_avg <= 250) OR NOT (hex_avg > 150 AND hex_avg <= 400))
   AND contrast > 0.1 AND hex_merit <= 45"""
 _BINS = [
     R.Bin("low", None, 20.0, None, None), R.Bin("mid", 15.0, 60.0, 50.0, 300.0),
     R.Bin("high", 60.0, None, 200.0, None),
 ]
-_BIN_SQL = """bins(bin, k, ls, us, la, ua) AS (VALUES ('low', 1, NULL, 20.0, NULL, NULL),
+BIN_SQL = """bins(bin, k, ls, us, la, ua) AS (VALUES ('low', 1, NULL, 20.0, NULL, NULL),
   ('mid', 2, 15.0, 60.0, 50.0, 300.0), ('high', 3, 60.0, NULL, 200.0, NULL)),
 hits AS (SELECT frame_id, bin, k FROM rp JOIN bins ON (ls IS NULL OR ls <= hex_std) AND (us IS NULL OR us > hex_std)
   AND (la IS NULL OR la <= hex_avg) AND (ua IS NULL OR ua > hex_avg) AND contrast >= 0.05)"""
 
 
-@query("frame_bounds_filter", with_(RP, body=f"SELECT frame_id, {S6('hex_avg')} AS hex_avg FROM rp WHERE {_RULE_SQL}"))
+@query("frame_bounds_filter", with_(RP, body=f"SELECT frame_id, {S6('hex_avg')} AS hex_avg FROM rp WHERE {RULE_SQL}"))
 def frame_bounds_filter(spark, sf):
     return R.frame_bounds_filter(X.rp(spark, sf), _RULES).select("frame_id", r6("hex_avg").alias("hex_avg"))
 
 
-@query("bin_frames", with_(RP, _BIN_SQL, body="SELECT frame_id, bin FROM hits"))
+@query("bin_frames", with_(RP, BIN_SQL, body="SELECT frame_id, bin FROM hits"))
 def bin_frames(spark, sf):
     return R.bin_frames(X.rp(spark, sf), _BINS, 0.05).select("frame_id", "bin")
 
 
-@query("route_frames", with_(RP, _BIN_SQL, body=f"""
-SELECT frame_id, CASE WHEN NOT ({_RULE_SQL}) THEN 'filtered' ELSE coalesce(bin, 'uncategorized') END AS bin,
-  ({_RULE_SQL}) AND coalesce(n, 0) > 1 AS ambiguous
+@query("route_frames", with_(RP, BIN_SQL, body=f"""
+SELECT frame_id, CASE WHEN NOT ({RULE_SQL}) THEN 'filtered' ELSE coalesce(bin, 'uncategorized') END AS bin,
+  ({RULE_SQL}) AND coalesce(n, 0) > 1 AS ambiguous
 FROM rp LEFT JOIN (SELECT frame_id, min_by(bin, k) AS bin, count(*) AS n FROM hits GROUP BY frame_id) h USING (frame_id)"""))
 def route_frames(spark, sf):
     return R.route_frames(X.rp(spark, sf), _RULES, _BINS, 0.05).select("frame_id", "bin", "ambiguous")
@@ -300,7 +300,7 @@ def rerun_state(spark, sf):
     return d.select("frame_id", "run", r6("gain").alias("gain"), "state", "width_level", "repeats")
 
 
-@query("largest_bin", with_(RP, _BIN_SQL, body="""
+@query("largest_bin", with_(RP, BIN_SQL, body="""
 SELECT bin, count(*) AS n FROM hits GROUP BY bin ORDER BY n DESC, bin LIMIT 1"""))
 def largest_bin(spark, sf):
     return R.largest_bin(R.bin_frames(X.rp(spark, sf), _BINS, 0.05))

@@ -206,20 +206,25 @@ def ring_signature(spark, sf):
 
 
 # signature-like lines from the report: the first lines depend on the seed
-_SIG = """sg AS (SELECT 0 AS view, o_orderkey AS seed, l AS level, CASE WHEN l = 0 THEN '5-6-7' WHEN l = 1 THEN concat('6-6-', CASE WHEN o_custkey % 3 = 0 THEN 6 ELSE 5 END, '-6')
+SIGNATURES = """sg AS (SELECT 0 AS view, o_orderkey AS seed, l AS level, CASE WHEN l = 0 THEN '5-6-7' WHEN l = 1 THEN concat('6-6-', CASE WHEN o_custkey % 3 = 0 THEN 6 ELSE 5 END, '-6')
    ELSE concat_ws('-', 5 + o_custkey % 2, 6, 6, 5 + o_orderkey % 3) END AS line FROM orders, range(4) t(l)),
 ot AS (SELECT l AS level, CASE WHEN l = 0 THEN '5-6-7' WHEN l = 1 THEN '6-6-6-6' ELSE '5-6-6-6' END AS line FROM range(4) t(l)),
 al AS (SELECT seed, sg.level, sg.line, min(CAST(sg.line = ot.line AS INT)) OVER (PARTITION BY seed ORDER BY sg.level) AS ok FROM sg JOIN ot ON ot.level = sg.level),
 sc AS (SELECT seed, sum(CASE WHEN ok = 1 THEN (1 + len(string_split(line, '-'))) / 2.0 ELSE 0 END) AS score FROM al GROUP BY seed)"""
 
 
-@query("match_signatures", "WITH " + _SIG + "\nSELECT seed, score::DOUBLE AS score, row_number() OVER (ORDER BY score DESC, seed) = 1 AS best FROM sc")
-def match_signatures(spark, sf):
+def signature_lines(spark, sf):
     o = X.table(spark, sf, "orders").select(F.col("o_orderkey").alias("seed"), "o_custkey", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("level"))
     n, c, s = F.col("level"), F.col("o_custkey"), F.col("seed")
     line = F.when(n == 0, "5-6-7").when(n == 1, F.concat(F.lit("6-6-"), F.when(c % 3 == 0, "6").otherwise("5"), F.lit("-6"))).otherwise(
         F.concat_ws("-", (5 + c % 2).cast("string"), F.lit("6"), F.lit("6"), (5 + s % 3).cast("string")))
-    mine = o.select(F.lit(0).alias("view"), "seed", "level", line.alias("line"))
+    return o.select(F.lit(0).alias("view"), "seed", "level", line.alias("line"))
+
+
+@query("match_signatures", "WITH " + SIGNATURES + "\nSELECT seed, score::DOUBLE AS score, row_number() OVER (ORDER BY score DESC, seed) = 1 AS best FROM sc")
+def match_signatures(spark, sf):
+    n = F.col("level")
+    mine = signature_lines(spark, sf)
     other = mine.select("level").distinct().withColumn("line", F.when(n == 0, "5-6-7").when(n == 1, "6-6-6-6").otherwise("5-6-6-6"))
     return T.match_signatures(mine, other).select("seed", F.col("score"), "best")
 

@@ -12,8 +12,6 @@ from honeyframe.functions.numbers import circular_mean, col, wrap_angle
 from honeyframe.operators.numbering import scalar
 from honeyframe.session import bounded
 
-# Option files hold a few lines; more than this is not an option file.
-MAX_OPTION_ROWS = 1000
 
 
 @dataclass(frozen=True)
@@ -57,21 +55,14 @@ class Bin:
         return c
 
 
-def option_rows(df: DataFrame) -> list:
-    rows = df.take(MAX_OPTION_ROWS + 1)
-    if len(rows) > MAX_OPTION_ROWS:
-        raise ValueError(f"more than {MAX_OPTION_ROWS} option rows")
-    return rows
-
-
 def rules_from(df: DataFrame) -> list[Rule]:
     """Rules of a (key, low, high, invert) table; see read_filter_rules."""
-    return [Rule(r["key"], r["low"], r["high"], r["invert"]) for r in option_rows(df)]
+    return [Rule(r["key"], r["low"], r["high"], r["invert"]) for r in df.collect()]  # lines of an option file
 
 
 def bins_from(df: DataFrame) -> list[Bin]:
     names = ("name", "lower_hex_std", "upper_hex_std", "lower_hex_avg", "upper_hex_avg")
-    rows = sorted(option_rows(df), key=lambda r: r["bin_id"])
+    rows = sorted(df.collect(), key=lambda r: r["bin_id"])
     return [Bin(*[r[n] for n in names]) for r in rows]
 
 
