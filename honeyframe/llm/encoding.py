@@ -75,6 +75,17 @@ class Recent(dict):
         return out
 
 
+def in_parts(batch: pa.RecordBatch, column: int):
+    """Slices of a batch with about ``PART`` bytes of text each, a row at least."""
+    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends, lo = np.cumsum(size), 0
+    while lo < batch.num_rows:
+        done = ends[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(ends, done + PART, side="right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def quiet() -> None:
     """One thread for each task; Spark runs the tasks side by side."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -147,14 +158,7 @@ class WordEncoder:
         """Little-endian unsigned 32-bit ids of each text (a list or an Arrow
         array); null counts as empty. Works through bounded parts."""
         texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
-        ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
-        out, lo = [], 0
-        while lo < len(texts):
-            done = ends[lo - 1] if lo else 0
-            hi = max(lo + 1, int(np.searchsorted(ends, done + PART, side="right")))
-            out += self._encode(texts.slice(lo, hi - lo))
-            lo = hi
-        return out
+        return [ids for part in in_parts(pa.record_batch([texts], ["text"]), 0) for ids in self._encode(part.column(0))]
 
 
 def read_ranks(path: str) -> dict[bytes, int]:

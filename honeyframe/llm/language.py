@@ -14,11 +14,12 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
 from honeyframe.llm.common import Written, rows_of
-from honeyframe.llm.encoding import Recent, kept, latest
+from honeyframe.llm.encoding import Recent, in_parts, kept, latest
 
 WORD = 32
 _MARK = "▁"
@@ -100,6 +101,8 @@ def by_length(words, most: int = 4096):
 
 def units(part: str) -> list[str]:
     """Marked words of a piece of text without white space."""
+    if len(part) <= WORD and part.isascii() and part.isalpha():
+        return [_MARK + part.lower()]
     out = []
     for w in _LETTERS.findall(part):
         w = w.lower()
@@ -143,14 +146,16 @@ def _expected(model: str, prob: np.ndarray, langs: list[str]):
 
         held = 0
         for b in batches:
-            for lang, text in zip(b.column(0).to_pylist(), b.column(1)):
+            texts = b.column(1)
+            for lang in pc.unique(b.column(0)).to_pylist():
                 c = counts.setdefault(lang, {})
-                for part in (text.as_py() or "").split():
+                parts = pc.ascii_split_whitespace(texts.filter(pc.equal(b.column(0), lang))).flatten().value_counts()
+                for part, n in zip(parts.field(0).to_pylist(), parts.field(1).to_pylist()):
                     for w in units(part):
                         if w in c:
-                            c[w] += 1
+                            c[w] += n
                         else:
-                            c[w] = 1
+                            c[w] = n
                             held += 1
             if held > 300_000:
                 yield from sums()
@@ -166,7 +171,7 @@ class Model:
 
 
 def train(
-    docs: DataFrame, model: str, lang: str = "lang", text: str = "text", id_col: str = "doc_id", sample: int = 20_000, rounds: int = 2, smooth: float = 0.1,
+    docs: DataFrame, model: str, lang: str = "lang", text: str = "text", id_col: str = "doc_id", sample: int = 5_000, rounds: int = 2, smooth: float = 0.1,
 ) -> Model:
     """Piece probabilities of every language among the labelled ``docs``.
 
@@ -207,14 +212,32 @@ class Scorer:
         self.pieces = kept(Pieces, model)
         self.seen = Recent(cache)
 
-    def fill(self, parts: set, prob: np.ndarray) -> None:
-        new = [(w, units(w.decode())) for w in self.seen.missing(parts)]
-        value = {}
-        for group in by_length({u for _, us in new for u in us}):
-            p = forward(self.pieces, group, prob)
-            value.update(zip(group, np.log(np.maximum(p, 1e-300))))
-        for w, us in new:
-            self.seen[w] = (sum((value[u] for u in us[1:]), value[us[0]]) if us else np.zeros(prob.shape[1])).astype("<f4").tobytes()
+    def values(self, parts: list[str], prob: np.ndarray) -> np.ndarray:
+        """A row for each of some distinct parts; unknown ones are done together."""
+        new = self.seen.missing(set(parts))
+        if new:
+            place: dict[str, int] = {}
+            each = [[place.setdefault(u, len(place)) for u in units(w)] for w in new]
+            logs = np.zeros((len(place) + 1, prob.shape[1]))  # the last row is for parts without letters
+            for group in by_length(place):
+                logs[[place[u] for u in group]] = np.log(np.maximum(forward(self.pieces, group, prob), 1e-300))
+            flat = [k for ks in each for k in ks or (len(place),)]
+            starts = np.cumsum([0, *(max(len(ks), 1) for ks in each[:-1])])
+            made, width = np.add.reduceat(logs[flat], starts).astype("<f4").tobytes(), 4 * prob.shape[1]
+            for k, w in enumerate(new):
+                self.seen[w] = made[k * width : (k + 1) * width]
+        return np.frombuffer(b"".join(map(self.seen.__getitem__, parts)), "<f4").reshape(len(parts), -1)
+
+    def totals(self, texts: pa.Array, prob: np.ndarray) -> np.ndarray:
+        """Log likelihood of each text; zeros where it has no letter."""
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        known = split.flatten().dictionary_encode()
+        rows = self.values(known.dictionary.to_pylist(), prob)
+        # running sums do not change where nothing is added
+        sums = np.cumsum(rows[known.indices.to_numpy()], axis=0, dtype=np.float64)
+        sums = np.concatenate([np.zeros((1, prob.shape[1])), sums])
+        ends = split.offsets.to_numpy() - split.offsets[0].as_py()
+        return sums[ends[1:]] - sums[ends[:-1]]
 
 
 def predict(docs: DataFrame, model: Model, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -229,24 +252,16 @@ def predict(docs: DataFrame, model: Model, path: str, id_col: str = "doc_id", te
         prob = broadcast.value
         scorer = latest("languages", f"{path} {key}", lambda: Scorer(path))
         for b in batches:
-            for lo in range(0, b.num_rows, 128):
-                s = b.slice(lo, 128)
-                split = [(t or "").encode().split() for t in s.column(1).to_pylist()]
-                preds, scores = [], []
-                for words in split:
-                    total = np.zeros(len(langs))
-                    for i in range(0, len(words), 50_000):
-                        part = words[i : i + 50_000]
-                        scorer.fill(set(part), prob)
-                        rows = np.frombuffer(b"".join(map(scorer.seen.__getitem__, part)), "<f4").reshape(len(part), -1)
-                        total += rows.sum(axis=0, dtype=float)
-                    if not total.any():  # every letter costs something
-                        preds.append("und")
-                        scores.append(0.0)
-                    else:
-                        k = int(np.argmax(total))
-                        preds.append(langs[k])
-                        scores.append(float(1.0 / np.exp(total - total[k]).sum()))
+            for s in in_parts(b, 1):
+                if not langs:
+                    preds, scores = ["und"] * s.num_rows, [0.0] * s.num_rows
+                else:
+                    total = scorer.totals(s.column(1), prob)
+                    best = total.argmax(axis=1)
+                    share = 1.0 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
+                    letters = total.any(axis=1)  # every letter costs something
+                    preds = [langs[k] if ok else "und" for k, ok in zip(best.tolist(), letters.tolist())]
+                    scores = np.where(letters, share, 0.0)
                 yield pa.RecordBatch.from_arrays([s.column(0), pa.array(preds, pa.string()), pa.array(scores, pa.float64())], schema=schema)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
