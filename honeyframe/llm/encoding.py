@@ -66,7 +66,9 @@ class Recent(dict):
         """Keys whose value the caller must make; older values move up."""
         out = []
         self._turn()
-        for k in keys - self.keys():
+        for k in keys:
+            if k in self:
+                continue
             v = self.old.get(k)
             if v is None:
                 out.append(k)

@@ -12,7 +12,7 @@
    maximum likelihood from the registers that are larger, smaller and equal;
    what is far below the limit is dropped, the rest is verified on the full sets.
 4. Buckets that are not one component after this are taken whole, in blocks of
-   bounded bytes: within a task their pairs of different components are verified
+   a bounded number of classes: within a task their pairs of different components are verified
    until no pair is left, most similar first. No pair leaves the task but those
    that link two components, fewer than the classes of the bucket.
 5. Components follow from the verified links.
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from honeyframe.llm.common import Written, components, widths
-from honeyframe.llm.encoding import Recent, kept
+from honeyframe.llm.encoding import kept
 
 SHINGLE = 5
 ROWS, BANDS = 6, 30
@@ -47,20 +47,11 @@ class Shingler:
 
     _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
-    def __init__(self, cache: int = 200_000):
-        self.seen = Recent(cache)
-
     def _words(self, text: bytes) -> np.ndarray:
         import xxhash
 
         words = text.lower().split()  # bytes: A-Z, and the six ASCII spaces
-        out = []
-        for i in range(0, len(words), 100_000):
-            part = words[i : i + 100_000]
-            for w in self.seen.missing(set(part)):
-                self.seen[w] = xxhash.xxh3_64_intdigest(w)
-            out.append(np.fromiter(map(self.seen.__getitem__, part), np.uint64, len(part)))
-        return np.concatenate(out) if out else np.zeros(0, np.uint64)
+        return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
     def shingles(self, text: str | None) -> np.ndarray:
         """Sorted distinct shingle hashes; one for the whole of a short text."""
@@ -90,8 +81,10 @@ def registers(shingles: np.ndarray) -> np.ndarray:
         return np.zeros(M, np.uint16)
     folded = (shingles ^ (shingles >> np.uint64(32))).astype(np.uint32)
     low = np.full(M, 0xFFFFFFFF, np.uint32)
-    for i in range(0, len(folded), 512):
-        np.minimum(low, (folded[i : i + 512, None] * _A + _B).min(axis=0), out=low)
+    for i in range(0, len(folded), 1024):
+        x = _A[:, None] * folded[None, i : i + 1024]
+        x += _B[:, None]
+        np.minimum(low, x.min(axis=1), out=low)
     x = -np.log1p(-(low + 0.5) / 2.0**32) / RATE  # smallest of exponential values
     return np.clip(np.floor(1 - np.log(x) / np.log(BASE)), 0, TOP).astype(np.uint16)
 
