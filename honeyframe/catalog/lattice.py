@@ -59,12 +59,12 @@ def score_candidates(spark, sf):
 
 @query("coarse_to_fine")
 def coarse_to_fine(spark, sf):
-    return Q.coarse_to_fine(square(spark, sf), params(spark, sf), 2, RES, 8, 8)
+    return Q.coarse_to_fine(square(spark, sf), params(spark, sf), 2, RES, 8, 8, levels=2)
 
 
 @query("coordinate_refine")
 def coordinate_refine(spark, sf):
-    return Q.coordinate_refine(square(spark, sf), params(spark, sf), 2, RES, 8, 8)
+    return Q.coordinate_refine(square(spark, sf), params(spark, sf), 2, RES, 8, 8, least=0.05)
 
 
 def _recenter_sql():

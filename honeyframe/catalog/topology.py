@@ -299,7 +299,7 @@ def nudge_atoms(spark, sf):
     a = frame_atoms(spark, sf)
     m = A.render_atoms(p, a, KERNEL, 8, 8)
     res = p.join(m, ["frame_id", "x", "y"]).select("frame_id", "x", "y", (F.col("value") - F.col("model")).alias("value"))
-    atoms, _ = A.nudge_atoms(a, res, KERNEL, 1, 2, 8, 8)
+    atoms, _ = A.nudge_atoms(a, res, KERNEL, 1, 2, 8, 8, least_gain=2.0)
     return atoms
 
 

@@ -150,12 +150,14 @@ def find_atoms(
 
 def nudge_atoms(
     atoms: DataFrame, residual: DataFrame, kernel: Kernel, wobble: int, diameter: int, width: int, height: int,
+    least_gain: float = 1e-9,
 ) -> tuple[DataFrame, DataFrame]:
     """Try all places within ``wobble`` of each atom (frame_id, x, y, weight)
     with a new weight and keep the best; colliding atoms merge.
 
     Of atoms that could disturb each other only the one with the largest gain
-    moves in a round, so the residual falls and the rounds end with the moves.
+    moves in a round, so the residual falls; the rounds end when no move lowers
+    the squared residual by more than ``least_gain``.
     """
     steps = [(a, b) for a in range(-wobble, wobble + 1) for b in range(-wobble, wobble + 1) if a * a + b * b <= wobble * wobble]
     reach = 2 * max(max(abs(a), abs(b)) for a, b, _ in kernel) + wobble
@@ -190,7 +192,7 @@ def nudge_atoms(
         kk = sum(k * k for _, _, k in kernel)
         # present fall with the present weight is at most the refitted one at the same place
         gain = F.col("b._fall") - (F.col("_now") - kk * F.pow(F.col("aw") - F.col("_w0"), 2))
-        best = best.select("frame_id", "ax", "ay", "aw", "b.tx", "b.ty", "b.weight", gain.alias("gain")).filter((F.col("gain") > 1e-9) & (F.col("weight") > 0))
+        best = best.select("frame_id", "ax", "ay", "aw", "b.tx", "b.ty", "b.weight", gain.alias("gain")).filter((F.col("gain") > least_gain) & (F.col("weight") > 0))
         tile = {"_tx": F.floor(F.col("ax") / reach), "_ty": F.floor(F.col("ay") / reach)}
         rank = F.struct(F.round("gain", 9).alias("g"), (-F.col("ay")).alias("ny"), (-F.col("ax")).alias("nx"))
         best = cut_lineage(best.withColumns(tile).withColumn("_rank", rank))

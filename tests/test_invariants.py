@@ -132,7 +132,7 @@ def test_searches_do_not_lose_score(spark, sf):
     grid = par.withColumn("cand", F.lit(0))
     start = dict(rows(Q.score_candidates(px, grid, 2, frames.RES, 8, 8), "frame_id", "score"))
     for fit in (Q.coarse_to_fine(px, par, 2, frames.RES, 8, 8, levels=1),
-                Q.coordinate_refine(px, par, 2, frames.RES, 8, 8)):
+                Q.coordinate_refine(px, par, 2, frames.RES, 8, 8, least=0.1)):
         got = dict(rows(fit, "frame_id", "score"))
         assert len(got) == 30
         assert all(got[f] >= s - 1e-6 for f, s in start.items() if s is not None)
@@ -171,7 +171,7 @@ def test_atom_search_lowers_the_residual(spark, sf):
         at.setdefault(f, []).append((x, y))
     for pts in at.values():
         assert all(math.dist(a, b) >= 2 for a in pts for b in pts if a < b)
-    _, moved = A.nudge_atoms(atoms, res, CT.KERNEL, 1, 2, 8, 8)
+    _, moved = A.nudge_atoms(atoms, res, CT.KERNEL, 1, 2, 8, 8, least_gain=2.0)
     final = _sq(moved)
     assert all(final[f] <= after[f] + 1e-6 for f in after)
 
