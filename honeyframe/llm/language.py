@@ -23,6 +23,7 @@ from honeyframe.llm.encoding import Recent, in_parts, kept, latest
 
 WORD = 32
 _MARK = "▁"
+_STEP = 0x9E3779B97F4A7C15
 _LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
 
@@ -40,20 +41,32 @@ class Pieces:
         self.size = sp.get_piece_size() + 256 + 1  # bytes, then a piece of probability 0
         self.byte = sp.get_piece_size()
         self.longest = max(map(len, self.id_of))
+        hashes = {self._hash(p): i for p, i in self.id_of.items()}
+        if len(hashes) < len(self.id_of):
+            raise ValueError("two pieces have one hash")
+        self.hashes = np.array(sorted(hashes), np.uint64)
+        self.ids = np.array([hashes[h] for h in sorted(hashes)], np.int32)
+
+    @staticmethod
+    def _hash(piece: str) -> int:
+        h = 0
+        for c in piece:
+            h = (h * _STEP + ord(c)) & 0xFFFFFFFFFFFFFFFF
+        return h
 
     def arcs(self, words: list[str]) -> np.ndarray:
         """Piece of each substring of words of one length: (words, start, length)."""
         n = len(words[0])
         wide = min(n, self.longest)
-        out = np.full((len(words), n, wide + 1), self.size - 1, np.int32)
-        get = self.id_of.get
-        for k, w in enumerate(words):
-            row = out[k]
-            for i in range(n):
-                for j in range(i + 1, min(n, i + wide) + 1):
-                    p = get(w[i:j])
-                    if p is not None:
-                        row[i, j - i] = p
+        none = self.size - 1
+        out = np.full((len(words), n, wide + 1), none, np.int32)
+        code = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").reshape(len(words), n).astype(np.uint64)
+        h = np.zeros_like(code)
+        for size in range(1, wide + 1):  # running hash of the substrings of one length
+            starts = n - size + 1
+            h = h[:, :starts] * np.uint64(_STEP) + code[:, size - 1 :]
+            at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+            out[:, :starts, size] = np.where(self.hashes[at] == h, self.ids[at], none)
         return out
 
     def bare(self, words: list[str], arcs: np.ndarray) -> list[tuple[int, int, list[int]]]:
@@ -208,7 +221,7 @@ class Scorer:
     """Log likelihoods by language of the parts of texts, kept for later ones
     (4-byte floats; zeros for parts without letters)."""
 
-    def __init__(self, model: str, cache: int = 150_000):
+    def __init__(self, model: str, cache: int = 300_000):
         self.pieces = kept(Pieces, model)
         self.seen = Recent(cache)
 
