@@ -64,7 +64,7 @@ def coarse_to_fine(spark, sf):
 
 @query("coordinate_refine")
 def coordinate_refine(spark, sf):
-    return Q.coordinate_refine(square(spark, sf), params(spark, sf), 2, RES, 8, 8, least=0.05)
+    return Q.coordinate_refine(square(spark, sf), params(spark, sf), 2, RES, 8, 8, least=0.1)
 
 
 def _recenter_sql():
