@@ -459,6 +459,86 @@ def test_tree_is_a_distribution_and_takes_the_longest_suffix():
     assert len(same.keys[1]) == 0  # nothing diverges
 
 
+def scores_by_hand(table, least=2):
+    """All contexts of all lengths, one by one."""
+    tokens = [(t or "").lower().split() + [""] for _, t in table]
+    train = [i is None or zlib.crc32(str(i).encode()) % 5 != 1 for i, _ in table]
+    c = Counter(w for t, h in zip(tokens, train) if h for w in t)
+    norm = sum(c.values()) + 0.5 * (len(c) + 1)
+    base = lambda w: (c[w] + 0.5) / norm
+    follow, prob, miss = {(): Counter(c)}, {(): {w: base(w) for w in c}}, {(): None}
+    grown, kept = {()}, 0
+    size = 0
+    while grown:
+        size += 1
+        fresh, holders = defaultdict(Counter), defaultdict(set)
+        for k, (t, h) in enumerate(zip(tokens, train)):
+            line = ["^", *t]
+            for at in range(size, len(line)) if h else ():
+                if tuple(line[at - size + 1 : at]) in grown:
+                    fresh[tuple(line[at - size : at])][line[at]] += 1
+                    holders[tuple(line[at - size : at])].add(k)
+        grown = set()
+        for ctx, n in fresh.items():
+            total, above = sum(n.values()), prob[ctx[1:]]
+            if len(holders[ctx]) < least:
+                continue
+            gain = sum(k / total * math.log(k / total / above[w]) for w, k in n.items())
+            keep = total < sum(follow[ctx[1:]].values()) and gain > suffix_tree.DIVERGENCE + len(n) / (2 * total)
+            follow[ctx], miss[ctx], kept = n, len(n) / (total + len(n)) if keep else None, kept + keep
+            prob[ctx] = {w: (k + len(n) * above[w]) / (total + len(n)) if keep else above[w] for w, k in n.items()}
+            if len(n) > 1:
+                grown.add(ctx)
+    out = []
+    for t in tokens:
+        line, score = ["^", *t], 0.0
+        for at in range(1, len(line)):
+            p, k = base(line[at]), 1
+            while k <= at and (ctx := tuple(line[at - k : at])) in prob:
+                p = prob[ctx].get(line[at], p * (miss[ctx] or 1.0))
+                k += 1
+            score += math.log10(p)
+        out.append(score)
+    return out, size, kept
+
+
+@pytest.mark.parametrize("few, words", [(1 << 21, 40), (0, 6)])
+def test_scores_use_words_long_contexts_and_rare_ones(spark, monkeypatch, few, words):
+    """A passage of many words is in a few texts of many, with other words after it;
+    a rare pair of words is there three times."""
+    ship(spark)
+    rng = np.random.default_rng(8)
+    passage = " ".join(f"p{k % 7}x" for k in range(words))
+    table = []
+    for i in range(300):
+        t = " ".join(f"w{int(k)}x" for k in rng.zipf(1.4, 10) % 60)
+        if i % 40 < 2:
+            t = f"{t} {passage} {['mox', 'nax'][i % 2]} {t}"
+        if i % 90 == 5:
+            t += " raro seldix"
+        table.append((i, t))
+    monkeypatch.setattr(suffix_tree, "BLOCK", 4_000)
+    monkeypatch.setattr(suffix_tree, "FEW", few)
+    want, size, kept = scores_by_hand(table)
+    assert size > words and kept > 50
+    got = {r["doc_id"]: r["score"] for r in suffix_tree.score_texts(spark.createDataFrame(table, "doc_id long, text string")).collect()}
+    assert [got[i] for i, _ in table] == pytest.approx(want, abs=1e-6)
+
+
+def test_support_of_contexts_is_absolute(spark):
+    """Two contexts that tell the next word keep doing so in a table forty times as long."""
+    ship(spark)
+    pairs = [(5 * k, f"alpha beta{k % 2} gamma{k % 2}") for k in range(1, 9)]
+    noise = [(1000 + i, " ".join(f"z{(i * 7 + k * k) % 500}" for k in range(200))) for i in range(400)]
+
+    def gain(table):
+        d = spark.createDataFrame(table, "doc_id long, text string")
+        return {r["doc_id"]: r["score"] - r["base_score"] for r in suffix_tree.score_texts(d).collect()}
+
+    alone, among = gain(pairs + noise[:10]), gain(pairs + noise)
+    assert all(among[d] >= alone[d] > 0 for d, _ in pairs)
+
+
 # -- licences ----------------------------------------------------------------------------------------------
 
 
