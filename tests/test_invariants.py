@@ -138,6 +138,15 @@ def test_searches_do_not_lose_score(spark, sf):
         assert all(got[f] >= s - 1e-6 for f, s in start.items() if s is not None)
 
 
+@pytest.mark.parametrize("module, name", [(Q, "coordinate_refine"), (Q, "coarse_to_fine")])
+def test_searches_of_queries_end_on_their_own(spark, sf, monkeypatch, module, name):
+    """No query passes an end of its own to the search."""
+    passed = []
+    monkeypatch.setattr(module, name, lambda *a, **k: passed.append(k) or (None, None))
+    catalog.QUERIES[name](spark, sf)
+    assert passed == [{}]
+
+
 def test_rotation_keeps_the_total(spark, sf):
     m = CL.X.hx(spark, sf).filter("frame_id < 3").select(F.col("frame_id").alias("m"), "x", "z", F.col("value").alias("level"))
     before = dict(rows(m.groupBy("m").agg(F.sum("level").alias("s")), "m", "s"))
