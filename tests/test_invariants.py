@@ -138,7 +138,7 @@ def test_searches_do_not_lose_score(spark, sf):
         assert all(got[f] >= s - 1e-6 for f, s in start.items() if s is not None)
 
 
-@pytest.mark.parametrize("module, name", [(Q, "coordinate_refine"), (Q, "coarse_to_fine")])
+@pytest.mark.parametrize("module, name", [(Q, "coordinate_refine"), (Q, "coarse_to_fine"), (A, "nudge_atoms")])
 def test_searches_of_queries_end_on_their_own(spark, sf, monkeypatch, module, name):
     """No query passes an end of its own to the search."""
     passed = []
