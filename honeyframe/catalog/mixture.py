@@ -347,5 +347,9 @@ def fractional_rotation(spark, sf):
 @query("reconstruct")
 def reconstruct(spark, sf):
     s, m, t = _tables(spark, sf)
-    _, _, history = M.reconstruct(s, m.select("m", "hp", "level"), weights(spark, sf), t, N, N, 0.0, 10.0, LEVELS, min_gain=1e-3)
-    return spark.createDataFrame([(h["round"], h["total"], h["accepted"]) for h in history], "round int, total double, accepted boolean")
+    models, shares, history = M.reconstruct(s, m.select("m", "hp", "level"), weights(spark, sf), t, N, N, 0.0, 10.0, LEVELS)
+    rounds = spark.createDataFrame([("round", h["round"], h["total"], h["accepted"]) for h in history], "kind string, round int, total double, accepted boolean")
+    return (
+        rounds.unionByName(models.select(F.lit("model").alias("kind"), "m", "hp", "level"), allowMissingColumns=True)
+        .unionByName(shares.select(F.lit("weight").alias("kind"), "m", "weight"), allowMissingColumns=True)
+    )

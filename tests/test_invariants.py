@@ -159,6 +159,17 @@ def test_reconstruction_never_falls(spark, sf):
     assert all(b["total"] > a["total"] for a, b in zip(h, h[1:]))
 
 
+def test_reconstruction_returns_models_and_weights(spark, sf, monkeypatch):
+    """With the operator's own least gain; the sum of the weights is one."""
+    run, passed = M.reconstruct, []
+    monkeypatch.setattr(M, "reconstruct", lambda *a, **k: passed.append((k, a[1])) or run(*a, rounds=1))
+    got = catalog.QUERIES["reconstruct"](spark, sf).collect()
+    (kwargs, models), = passed
+    assert kwargs == {}
+    assert sorted((r["m"], r["hp"]) for r in got if r["kind"] == "model") == sorted(rows(models, "m", "hp"))
+    assert sum(r["weight"] for r in got if r["kind"] == "weight") == pytest.approx(1.0)
+
+
 # -- atoms and mesh -----------------------------------------------------------------
 
 
