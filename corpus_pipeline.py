@@ -33,9 +33,9 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that is linked by shared five-word shingles,
-    at a similarity of 0.85 or more: the one with the smallest id."""
+    at a similarity of 0.80 or more: the one with the smallest id."""
     ship(spark)
-    kept = near_duplicates(docs, percent=85).where("kept").select("doc_id").distinct()
+    kept = near_duplicates(docs, percent=80).where("kept").select("doc_id").distinct()
     return rows_of(docs, kept, "doc_id")
 
 

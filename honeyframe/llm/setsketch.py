@@ -17,8 +17,9 @@
    that link two components, fewer than the classes of the bucket.
 5. Components follow from the verified links.
 
-The chance that a pair at the limit agrees on no band is (1 - J**r)**bands,
-about 1e-7 for J = 0.85.
+The chance that a pair at the limit agrees on no band is (1 - J**r)**bands. Bands
+are 30 of 6 registers for limits from 0.85 on (6.8e-7 at 0.85), and below as short
+as keeps the chance under 1e-6 (36 of 5 for 0.80: 6.2e-7).
 """
 
 from __future__ import annotations
@@ -33,8 +34,9 @@ from honeyframe.llm.common import Written, components, widths
 from honeyframe.llm.encoding import kept
 
 SHINGLE = 5
-ROWS, BANDS = 6, 30
-M = ROWS * BANDS
+M = 180
+#: Largest band and chance of a missed pair at the limit.
+ROWS, MISSED = 6, 1e-6
 #: Base of the register spacing and rate of the hash values.
 BASE, RATE = 1.001, 20.0
 TOP = (1 << 16) - 1
@@ -216,9 +218,14 @@ def _whole_buckets(percent: int):
     return run
 
 
-def _bands() -> Column:
+def band_rows(percent: int) -> int:
+    """Registers of a band: the most that miss a pair at the limit rarely enough."""
+    return next((r for r in range(ROWS, 1, -1) if (1 - (percent / 100) ** r) ** (M // r) <= MISSED), 1)
+
+
+def _bands(size: int) -> Column:
     """Array of band values, one long each."""
-    return F.array(*[F.xxhash64(F.lit(k), F.substring("sketch", 2 * ROWS * k + 1, 2 * ROWS)) for k in range(BANDS)])
+    return F.array(*[F.xxhash64(F.lit(k), F.substring("sketch", 2 * size * k + 1, 2 * size)) for k in range(M // size)])
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id", text_col: str = "text", block_rows: int = 1000) -> DataFrame:
@@ -240,7 +247,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
         F.min("n").alias("n"), F.min("doc_id").alias("doc_id"), F.min("sketch").alias("sketch"),
     ))
     slim = classes.select("c", "n", "sketch")
-    placed = classes.select("c", F.posexplode(_bands()).alias("band", "value"))
+    placed = classes.select("c", F.posexplode(_bands(band_rows(percent))).alias("band", "value"))
     buckets = placed.groupBy("band", "value").agg(F.count(F.lit(1)).alias("met")).where("met > 1")
     placed = store.write(placed.join(buckets, ["band", "value"]))
     popular = placed.groupBy("c").agg(F.sum("met").alias("met_all"))

@@ -359,6 +359,25 @@ def test_hub_whose_copies_are_not_linked_with_each_other(spark):
     assert Counter(rows(setsketch.near_duplicates(d, block_rows=7))) == near_groups(table)
 
 
+def test_stage_of_near_copies_links_from_four_fifths_on(spark, tmp_path):
+    """Pairs at 0.80 and 0.84 are linked, one below 0.80 is not."""
+    import corpus_pipeline
+
+    ship(spark)
+    table = []
+    for k, cut in enumerate((21, 17, 25)):  # of 200 words: words behind the common part
+        common = [f"c{k}_{i}" for i in range(200 - cut)]
+        for side in "ab":
+            table.append((len(table), " ".join(common + [f"{side}{k}_{i}" for i in range(cut)])))
+    sets = [shingles(t) for _, t in table]
+    share = [len(sets[i] & sets[i + 1]) / len(sets[i] | sets[i + 1]) for i in (0, 2, 4)]
+    assert share[2] < 0.8 <= share[0] < share[1] < 0.85
+    d = spark.createDataFrame(table, "doc_id long, text string")
+    kept = corpus_pipeline.without_near_copies(spark, d, str(tmp_path))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 2, 4, 5]
+    assert setsketch.band_rows(85) == 6 and setsketch.band_rows(80) == 5
+
+
 def test_sketches_merge_and_estimate():
     rng = np.random.default_rng(3)
     for share in (0.0, 0.3, 0.6, 0.85, 0.95, 1.0):
