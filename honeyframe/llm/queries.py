@@ -12,6 +12,7 @@ from honeyframe.llm.exact_dedup import exact_dedup
 from honeyframe.llm.language import identify
 from honeyframe.llm.licenses import scan_licenses
 from honeyframe.llm.packing import pack_documents
+from honeyframe.llm.periodic import find_runs
 from honeyframe.llm.planes import write_and_read
 from honeyframe.llm.setsketch import near_duplicates
 from honeyframe.llm.sharding import shard_documents
@@ -109,3 +110,37 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_plane_files")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return write_and_read(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
+
+
+#: White space between words, as a pattern of both Java and Python.
+_SPACE = r"[\x20\x09-\x0D]+"
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """Every document whose crc32 of the id ends in 0 gets a run: from word ``a``
+    on, its first ``p`` words are repeated. A null id is left alone."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.filter(F.split(F.col("text"), _SPACE), lambda w: w != "")
+    n, g = F.size(words).cast("long"), F.floor(h / 10)
+    a = g % n
+    p = F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8))
+    planted = F.array_join(
+        F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.get(words, F.when(i < a, i).otherwise(a + (i - a) % p).cast("int"))), " "
+    )
+    hit = F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (h % 10 == 0) & F.exists(F.split(F.col("text"), _SPACE), lambda w: w != "")
+    return docs.select("doc_id", F.when(hit, planted).otherwise(F.col("text")).alias("text"))
+
+
+@query("op11_periodic_runs")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = F.col("runs")
+    best = F.try_element_at(F.array_sort(runs, lambda x, y: F.coalesce(
+        F.nullif(F.signum(y["length"] - x["length"]).cast("int"), F.lit(0)), F.nullif(F.signum(x["start"] - y["start"]).cast("int"), F.lit(0)),
+        F.signum(x["period"] - y["period"]).cast("int"),
+    )), F.lit(1))
+    lines = F.array_join(F.transform(runs, lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n"))), "")
+    return find_runs(with_planted_runs(documents(spark, sf_dir))).withColumn("best", best).select(
+        "doc_id", F.size(runs).cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.floor(F.lit(1000) * F.col("best.length") / F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2(F.col("collapsed"), 256).alias("collapsed_sha256"),
+    )
