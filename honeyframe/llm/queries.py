@@ -17,6 +17,7 @@ from honeyframe.llm.planes import write_and_read
 from honeyframe.llm.setsketch import near_duplicates
 from honeyframe.llm.sharding import shard_documents
 from honeyframe.llm.suffix_tree import score_texts
+from honeyframe.llm.whitening import whiten
 
 
 def vocabulary(name: str) -> str:
@@ -144,3 +145,8 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.floor(F.lit(1000) * F.col("best.length") / F.col("best.period")).cast("long").alias("exponent_milli"),
         F.sha2(lines, 256).alias("runs_sha256"), F.sha2(F.col("collapsed"), 256).alias("collapsed_sha256"),
     )
+
+
+@query("op12_whitening")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), components=32)
