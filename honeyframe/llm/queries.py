@@ -12,6 +12,7 @@ from honeyframe.llm.exact_dedup import exact_dedup
 from honeyframe.llm.language import identify
 from honeyframe.llm.licenses import scan_licenses
 from honeyframe.llm.packing import pack_documents
+from honeyframe.llm.parsing import remove_repeats
 from honeyframe.llm.periodic import find_runs
 from honeyframe.llm.planes import write_and_read
 from honeyframe.llm.setsketch import near_duplicates
@@ -125,9 +126,9 @@ def with_planted_runs(docs: DataFrame) -> DataFrame:
     n, g = F.size(words).cast("long"), F.floor(h / 10)
     a = g % n
     p = F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8))
-    planted = F.array_join(
-        F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.get(words, F.when(i < a, i).otherwise(a + (i - a) % p).cast("int"))), " "
-    )
+    root = F.slice(words, (a + 1).cast("int"), p.cast("int"))
+    copies = F.flatten(F.array_repeat(root, F.ceil((n - a) / p).cast("int")))
+    planted = F.array_join(F.slice(F.concat(F.slice(words, 1, a.cast("int")), copies), 1, n.cast("int")), " ")
     hit = F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (h % 10 == 0) & F.exists(F.split(F.col("text"), _SPACE), lambda w: w != "")
     return docs.select("doc_id", F.when(hit, planted).otherwise(F.col("text")).alias("text"))
 
@@ -150,3 +151,12 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_whitening")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), components=32)
+
+
+@query("op13_prefix_free_parsing")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lengths = F.transform("spans", lambda s: s["length"])
+    return remove_repeats(documents(spark, sf_dir)).select(
+        "doc_id", "n_bytes", F.aggregate(lengths, F.lit(0).cast("long"), lambda a, x: a + x).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )
