@@ -123,10 +123,9 @@ def runs_of(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
     """Runs ``(text, start, length, period)`` of texts given as words, in order,
     and the flags of the words (of all texts in turn) that stay."""
     sizes = np.array([len(t) for t in texts], np.int64)
-    names: dict[bytes, int] = {}
-    words = np.array([names.setdefault(w, len(names)) for t in texts for w in t], np.int64)
-    if not len(words):
+    if not sizes.sum():
         return np.zeros((0, 4), np.int64), np.zeros(0, bool)
+    words = pa.concat_arrays([pa.array(t, pa.binary()) for t in texts]).dictionary_encode().indices.to_numpy()
     runs = Factors(words, np.repeat(np.arange(len(texts)), sizes)).runs()
     starts = np.cumsum(sizes) - sizes
     edge = np.zeros(len(words) + 1, np.int64)
