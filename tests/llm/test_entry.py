@@ -17,7 +17,7 @@ pytest.importorskip("public_tokenizers")
 
 def test_registered():
     names = entry.queries()
-    assert {f"op{n}_" for n in range(1, 11)} == {n.split("_")[0] + "_" for n in names if n.startswith("op") and n[2].isdigit()}
+    assert {f"op{n}_" for n in range(1, 14)} == {n.split("_")[0] + "_" for n in names if n.startswith("op") and n[2].isdigit()}
     assert "pipeline" in names and set(entry.oracle_sql()) <= set(names)
 
 
@@ -41,7 +41,7 @@ def test_pipeline_keeps_one_of_each_near_group(spark, sf):
     for d, t in docs.items():
         best[t] = max(d, best.get(t, d))
     kept = {d for d, t in docs.items() if best[t] == d and t and any(c.isalpha() for c in t)}
-    kept = {d for d, _, c, k in near_groups([(d, docs[d]) for d in sorted(kept)]) if k}
+    kept = {d for d, _, c, k in near_groups([(d, docs[d]) for d in sorted(kept)], percent=80) if k}
     got = corpus_pipeline.run(spark, sf).collect()
     assert {r["doc_id"] for r in got} == kept
     n, least = check_packing(got, [(d, docs[d]) for d in kept], 4096)
