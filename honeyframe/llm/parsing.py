@@ -11,16 +11,16 @@ trigger, some whole phrases, and the beginning of another phrase.
    once occurs once; texts in which all strings do are finished.
 2. The *dictionary* is sorted: the rank of a phrase is its place among the distinct
    phrases that repeat, compared byte by byte.
-3. The suffix order of the *parse* is made by doubling: ranks of pairs of neighbours
-   are ranks of 2, 4, ... phrases, as long as these fit in a string. A place whose
-   phrases occur once has no rank and takes no further part.
+3. The suffix order of the *parse* is made by prefixes that grow fourfold: ranks of
+   four neighbours are ranks of 4, 16, ... phrases, as long as these fit in a string.
+   A place whose phrases occur once has no rank and takes no further part.
 4. Both combine into the order of the corpus: a place is ordered by the rest of its
-   phrase, the ranks of the phrases that follow (two ranges of a power of two that
-   overlap), and the bytes after them. Equal neighbours in that order are places of
-   one string. Places are *triggers* and text ends first. Between two places that
-   both repeat and are no further apart than a string nothing can be added;
-   other places in between are ordered too, with all places that stand before
-   the same phrase elsewhere.
+   phrase, the ranks of the phrases that follow (up to four ranges that overlap), and
+   the bytes after them. Equal neighbours in that order are places of one string.
+   Triggers and text ends come first. Between two of these that both repeat and are
+   no further apart than a string nothing can be added. Other places between are
+   *open* and ordered too, and with them all places elsewhere that stand before the
+   same phrase; of closed gaps with one text, one stands for all.
 
 Steps 1, 3 and 4 send one row for a key and block, with the places of the key in it;
 counts are aggregates and rows come back by joins, so that a frequent phrase is at
@@ -40,6 +40,7 @@ from pyspark.taskcontext import TaskContext
 from honeyframe.llm.common import ROW_BITS, Written
 
 LEAST, WIDTH, EVERY = 400, 16, 40
+STEP = 4
 BLOCK = 1 << 22
 
 _TABLE = np.random.default_rng(40).integers(0, 1 << 32, 256, dtype=np.uint32)
@@ -110,16 +111,17 @@ class Parse:
         return np.unique(np.r_[at, self.starts[big], self.ends[big] - LEAST])
 
     def ranks(self, levels: list[np.ndarray], i: np.ndarray):
-        """``first, n, a, b, ok``: trigger and number of triggers of the strings at ``i``, the
-        ranks of their phrases, and whether these all have ranks."""
+        """``first, n, names, ok``: trigger and number of triggers of the strings at ``i``,
+        the ranks of their phrases (``STEP`` columns), and whether these all have ranks."""
         first, n = self.window(i)
-        a, b = np.zeros(len(i), np.int64), np.zeros(len(i), np.int64)
-        for k, names in enumerate(levels):
-            m = n - 1
-            now = np.flatnonzero((m >> k) == 1)
-            a[now] = names[first[now]]
-            b[now] = names[first[now] + m[now] - (1 << k)]
-        return first, n, a, b, (n < 2) | ((a > 0) & (b > 0))
+        names, ok = np.zeros((len(i), STEP), np.int64), n < 2
+        for k, level in enumerate(levels):
+            size = STEP**k
+            now = np.flatnonzero((n - 1 >= size) & (n - 1 < size * STEP))
+            for c in range(STEP):
+                names[now, c] = level[first[now] + np.minimum(c * size, n[now] - 1 - size)]
+            ok[now] = (names[now] > 0).all(axis=1)
+        return first, n, names, ok
 
 
 class Block(Parse):
@@ -154,39 +156,45 @@ class Block(Parse):
         return at, np.fromiter((digest(self.data[i : i + LEAST], 1) for i in at.tolist()), np.uint64, len(at)).view(np.int64)
 
     def keys(self, levels: list[np.ndarray], i: np.ndarray):
-        """Places among ``i`` that may repeat, and the keys (two longs) of their order."""
+        """Places among ``i`` that may repeat (as a mask), and the keys (two longs) of their order."""
         from xxhash import xxh3_128_digest as digest
 
-        first, n, a, b, ok = self.ranks(levels, i)
-        i, first, n, a, b = i[ok], first[ok], n[ok], a[ok], b[ok]
+        first, n, names, ok = self.ranks(levels, i)
+        i, first, n, names = i[ok], first[ok], n[ok], names[ok]
         whole = n < 2
-        cut = np.where(whole, i, self.at[np.minimum(first, max(len(self.at) - 1, 0))] if len(self.at) else i)
-        tail = np.where(whole, i, self.at[np.maximum(np.minimum(first + n - 1, len(self.at) - 1), 0)] if len(self.at) else i)
-        data, pack = self.data, struct.Struct("<qqqq").pack
+        at = np.r_[self.at, 0]  # a place without a trigger looks at none
+        cut = np.where(whole, i, at[np.minimum(first, len(self.at))])
+        tail = np.where(whole, i, at[np.clip(first + n - 1, 0, len(self.at))])
+        rest = np.column_stack([names, np.where(whole, 0, n), cut - i])
+        data, rows = self.data, rest.tobytes()
+        size = rest.shape[1] * 8
         out = b"".join(
-            digest(data[x:y] + data[z : x + LEAST] + pack(p, q, m, y - x))
-            for x, y, z, p, q, m in zip(*(v.tolist() for v in (i, cut, tail, a, b, np.where(whole, 0, n))))
+            digest(data[x:y] + data[z : x + LEAST] + rows[r : r + size])
+            for x, y, z, r in zip(i.tolist(), cut.tolist(), tail.tolist(), range(0, len(rows), size))
         )
-        return i, np.frombuffer(out, "<i8").reshape(-1, 2)
+        return ok, np.frombuffer(out, "<i8").reshape(-1, 2)
 
 
-def _grouped(block: int, at: np.ndarray, *keys: np.ndarray) -> pa.RecordBatch:
-    """A row for each distinct key of a block, with its places."""
+def _grouped(block: int, at: np.ndarray, *keys: np.ndarray, weights: np.ndarray | None = None) -> pa.RecordBatch:
+    """A row for each distinct key of a block, with its places and their weights' sum."""
     order = np.lexsort(keys[::-1])
     sorted_keys = [k[order] for k in keys]
     head = np.zeros(len(order), bool)
     head[:1] = True
     for k in sorted_keys:
         head[1:] |= k[1:] != k[:-1]
-    bounds = np.r_[np.flatnonzero(head), len(order)].astype(np.int32)
-    places = pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * 4).astype(np.int32)), pa.py_buffer(at[order].astype(np.int32))])
-    arrays = [pa.array(k[head]) for k in sorted_keys]
+    begin = np.flatnonzero(head)
+    bounds = (np.r_[begin, len(order)] * 4).astype(np.int32)
+    places = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(bounds), pa.py_buffer(at[order].astype(np.int32))])
+    each = np.ones(len(order), np.int64) if weights is None else weights[order]
+    n = np.add.reduceat(each, begin) if len(begin) else each
     return pa.RecordBatch.from_arrays(
-        [*arrays, pa.array(np.full(len(bounds) - 1, block)), places, pa.array(np.diff(bounds).astype(np.int64))],
+        [*(pa.array(k[head]) for k in sorted_keys), pa.array(np.full(len(begin), block)), places, pa.array(n.astype(np.int64))],
         names=[*(f"k{i}" for i in range(len(keys))), "block", "at", "n"],
     )
 
 
+_FOUR = "k0 long, k1 long, k2 long, k3 long, block long, at binary, n long"
 _TWO = "k0 long, k1 long, block long, at binary, n long"
 
 
@@ -307,16 +315,16 @@ def _arrays(ends, at, levels) -> tuple[Parse, list[np.ndarray]]:
     return s, [np.frombuffer(x, np.int64) for x in levels.as_py()]
 
 
-def _pairs(batches):
-    """Pairs of neighbouring ranges that fit in a string."""
+def _fours(batches):
+    """Neighbouring ranges that fit in a string."""
     for b in batches:
         for block, ends, at, levels in zip(*b.columns):
             s, names = _arrays(ends, at, levels)
-            step = 1 << (len(names) - 1)
-            p = np.arange(max(len(s.at) - 2 * step, 0))
-            p = p[(s.text[p] == s.text[p + 2 * step]) & (s.at[p + 2 * step] + WIDTH - s.at[p] <= LEAST)]
-            p = p[(names[-1][p] > 0) & (names[-1][p + step] > 0)]
-            yield _grouped(block.as_py(), p, names[-1][p], names[-1][p + step])
+            step, name = STEP ** (len(names) - 1), names[-1]
+            p = np.arange(max(len(s.at) - STEP * step, 0))
+            p = p[(s.text[p] == s.text[p + STEP * step]) & (s.at[p + STEP * step] + WIDTH - s.at[p] <= LEAST)]
+            p = p[(np.stack([name[p + c * step] for c in range(STEP)]) > 0).all(axis=0)]
+            yield _grouped(block.as_py(), p, *(name[p + c * step] for c in range(STEP)))
 
 
 def _next_level(batches):
@@ -325,23 +333,32 @@ def _next_level(batches):
             yield _parse_row(block.as_py(), ends.as_py(), at.as_py(), [*levels.as_py(), _level(len(at.as_py()) // 8, hits).tobytes()])
 
 
+def _names(levels) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.int64) for x in levels.as_py()]
+
+
 def _anchor_keys(batches):
     for b in batches:
         for block, sizes, data, levels in zip(*b.columns):
             s = Block.read(sizes, data)
-            at, keys = s.keys([np.frombuffer(x, np.int64) for x in levels.as_py()], s.anchors())
-            yield _grouped(block.as_py(), at, keys[:, 0], keys[:, 1])
+            at = s.anchors()
+            ok, keys = s.keys(_names(levels), at)
+            yield _grouped(block.as_py(), at[ok], keys[:, 0], keys[:, 1])
 
 
-def open_places(s: Parse, repeats: np.ndarray) -> np.ndarray:
-    """Places that are no triggers and may add to what the anchors ``repeats`` cover."""
+def gaps_between(s: Parse, repeats: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Gaps between neighbouring anchors of one text as rows (from, to), those closed by
+    ``repeats`` and the open ones, and all anchors that are no triggers."""
     at = s.anchors()
-    hit = np.isin(at, repeats)
-    text = np.searchsorted(s.ends, at, side="right")
-    both = hit[:-1] & hit[1:] & (np.diff(at) <= LEAST) if len(at) else np.zeros(0, bool)
-    between = np.flatnonzero(~both & (text[:-1] == text[1:])) if len(at) else np.zeros(0, int)
-    alone = at[~hit & ~np.isin(at, s.at)]
-    return np.r_[_ranges(at[between] + 1, at[between + 1] - 1) if len(between) else np.zeros(0, int), alone]
+    hit, text = np.isin(at, repeats), np.searchsorted(s.ends, at, side="right")
+    pairs = np.column_stack([at[:-1], at[1:]])
+    inner = (text[:-1] == text[1:]) & (at[1:] - at[:-1] > 1)
+    closed = hit[:-1] & hit[1:] & (at[1:] - at[:-1] <= LEAST)
+    return pairs[inner & closed], pairs[inner & ~closed], at[~np.isin(at, s.at)]
+
+
+def _inside(gaps: np.ndarray) -> np.ndarray:
+    return _ranges(gaps[:, 0] + 1, gaps[:, 1] - 1)
 
 
 def _needs(batches):
@@ -349,25 +366,47 @@ def _needs(batches):
     for b in batches:
         for block, ends, at, levels, hits in zip(*b.columns):
             s, names = _arrays(ends, at, levels)
-            first, n, _, _, ok = s.ranks(names, open_places(s, _places(hits)[0]))
+            _, gaps, alone = gaps_between(s, _places(hits)[0])
+            first, n, _, ok = s.ranks(names, np.r_[_inside(gaps), alone])
             keys = np.unique(names[0][names[0] > 0])
             need = np.isin(keys, names[0][first[ok & (n > 1)]])
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.full(len(keys), block.as_py())), pa.array(need.astype(np.int64))], names=["k0", "block", "n"])
 
 
-def _gap_keys(batches):
+def _gap_texts(batches):
+    """Closed gaps before needed phrases, by what stands in them and in the string after them."""
+    from xxhash import xxh3_128_digest as digest
+
     for b in batches:
-        for block, sizes, data, levels, needs in zip(*b.columns):
-            s, names = Block.read(sizes, data), [np.frombuffer(x, np.int64) for x in levels.as_py()]
+        for block, sizes, data, levels, hits, needs in zip(*b.columns):
+            s, names = Block.read(sizes, data), _names(levels)
+            gaps, _, _ = gaps_between(s, _places(hits)[0])
+            first, n = s.window(gaps[:, 1] - 1)  # the last place of a gap has the most triggers
+            wanted = np.flatnonzero(n > 1)
             need = np.zeros(0, np.int64) if needs.values is None else needs.values.to_numpy()
-            lo, hi, bare = s.gaps()
-            first = np.searchsorted(s.at, lo)
-            wanted = np.zeros(len(lo), bool)
-            inner = first < len(s.at)
-            wanted[inner] = np.isin(names[0][first[inner]], need)
-            at = np.setdiff1d(_ranges(lo, np.where(wanted, hi, bare)), s.at)
-            at, keys = s.keys(names, at)
-            yield _grouped(block.as_py(), at, keys[:, 0], keys[:, 1])
+            gaps = gaps[wanted[np.isin(names[0][first[wanted]], need)]]
+            keys = np.frombuffer(b"".join(digest(s.data[x : y + LEAST]) for x, y in gaps.tolist()), "<i8").reshape(-1, 2)
+            yield _grouped(block.as_py(), gaps[:, 0], keys[:, 0], keys[:, 1])
+
+
+def _gap_keys(batches):
+    """Open places one by one, and closed gaps that stand for all with their text."""
+    for b in batches:
+        for block, sizes, data, levels, hits, leads in zip(*b.columns):
+            s, names = Block.read(sizes, data), _names(levels)
+            closed, gaps, alone = gaps_between(s, _places(hits)[0])
+            lo, _, bare = s.gaps()
+            single = np.setdiff1d(np.r_[_inside(gaps), alone, _ranges(lo, bare)], s.at)
+            begin, weights = np.zeros(0, np.int64), np.zeros(0, np.int64)
+            if leads.values is not None and len(leads.values):
+                begin = np.array([struct.unpack_from("<i", x)[0] for x in leads.values.field("at").to_pylist()])
+                weights = leads.values.field("n").to_numpy()
+            rows = closed[np.searchsorted(closed[:, 0], begin)]
+            inner, weights = _inside(rows), np.repeat(weights, rows[:, 1] - rows[:, 0] - 1)
+            many = s.window(inner)[1] > 1  # the others are among the single ones
+            at = np.r_[single, inner[many]]
+            ok, keys = s.keys(names, at)
+            yield _grouped(block.as_py(), at[ok], keys[:, 0], keys[:, 1], weights=np.r_[np.ones(len(single), np.int64), weights[many]][ok])
 
 
 def spans_of(s: Parse, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -432,9 +471,9 @@ def _hits(rows: DataFrame, keys: DataFrame, what) -> DataFrame:
     return rows.join(keys, names).groupBy("block").agg(F.collect_list(what).alias("hits"))
 
 
-def _ranked(keys: DataFrame, store: Written) -> DataFrame:
-    """Keys numbered from 1 in their order. Range partitions are sorted side by side;
-    only their sizes go to the driver."""
+def _ranked(keys: DataFrame, store: Written) -> tuple[DataFrame, DataFrame]:
+    """Keys numbered from 1 in their order, and the written table behind it. Range
+    partitions are sorted side by side; only their sizes go to the driver."""
     order = keys.columns
     plain = store.write(keys)
     placed = store.write(
@@ -447,13 +486,11 @@ def _ranked(keys: DataFrame, store: Written) -> DataFrame:
     for p in range(max(sizes, default=0) + 1):
         starts.append(F.lit(total).cast("long"))
         total += sizes.get(p, 0)
-    ranked = store.write(placed.select(*order, (F.get(F.array(*starts), F.col("part")) + F.col("inside")).alias("rank")))
-    store.drop(placed)
-    return ranked
+    return placed.select(*order, (F.get(F.array(*starts), F.col("part")) + F.col("inside")).alias("rank")), placed
 
 
-def _with(table: DataFrame, hits: DataFrame) -> DataFrame:
-    return table.join(hits, "block", "left")
+def _with(table: DataFrame, hits: DataFrame, name: str = "hits") -> DataFrame:
+    return table.join(hits.withColumnRenamed("hits", name), "block", "left")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK) -> DataFrame:
@@ -477,31 +514,38 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     live = kept.where("live")
 
     rows = store.write(live.select("block", "sizes", "data", "alive").mapInArrow(_phrases, "k0 binary, block long, at binary, n long"))
-    ranks = _ranked(_often(rows, ["k0"], 2), store)
+    ranks, behind = _ranked(_often(rows, ["k0"], 2), store)
     parse = store.write(_with(live.select("block", "sizes", "data"), _hits(rows, ranks, place)).select("block", "sizes", "data", "hits").mapInArrow(_first_level, _PARSE))
+    four = [f"k{c}" for c in range(STEP)]
     while True:
         store.drop(rows)
-        store.drop(ranks)
-        rows = store.write(parse.mapInArrow(_pairs, _TWO))
+        store.drop(behind)
+        rows = store.write(parse.mapInArrow(_fours, _FOUR))
         if rows.isEmpty():
             break
-        ranks = _ranked(_often(rows, ["k0", "k1"], 2), store)
+        ranks, behind = _ranked(_often(rows, four, 2), store)
         longer = store.write(_with(parse, _hits(rows, ranks, place)).select("block", "ends", "at", "levels", "hits").mapInArrow(_next_level, _PARSE))
         store.drop(parse)
         parse = longer
     store.drop(rows)
 
     both = ["k0", "k1"]
-    levels = live.join(parse.select("block", "levels"), "block")
-    rows = store.write(levels.select("block", "sizes", "data", "levels").mapInArrow(_anchor_keys, _TWO))
+    levels = live.select("block", "sizes", "data").join(parse.select("block", "levels"), "block")
+    rows = store.write(levels.mapInArrow(_anchor_keys, _TWO))
     first = store.write(_hits(rows, _often(rows, both, 2), F.col("at")))
     store.drop(rows)
     rows = store.write(_with(parse, first).select("block", "ends", "at", "levels", "hits").mapInArrow(_needs, "k0 long, block long, n long"))
     needs = store.write(_hits(rows, _often(rows, ["k0"], 1), F.col("k0")))
     store.drop(rows)
-    rows = store.write(_with(levels, needs).select("block", "sizes", "data", "levels", "hits").mapInArrow(_gap_keys, _TWO))
+    rows = store.write(_with(_with(levels, first), needs, "needs").mapInArrow(_gap_texts, _TWO))
+    lead = rows.groupBy(*both).agg(F.sum("n").alias("all"), F.min("block").alias("block"))
+    leads = rows.join(lead, [*both, "block"]).groupBy("block").agg(F.collect_list(F.struct("at", F.col("all").alias("n"))).alias("hits"))
+    leads = store.write(leads)
+    store.drop(needs)
+    store.drop(rows)
+    rows = store.write(_with(_with(levels, first), leads, "leads").mapInArrow(_gap_keys, _TWO))
     second = store.write(_hits(rows, _often(rows, both, 2), F.col("at")))
-    for t in (rows, needs, parse):
+    for t in (rows, leads, parse):
         store.drop(t)
-    cut = _with(_with(live, first).withColumnRenamed("hits", "first"), second).select("ids", "sizes", "data", "first", "hits").mapInArrow(_cut, _OUT)
+    cut = _with(_with(live, first, "first"), second, "second").select("ids", "sizes", "data", "first", "second").mapInArrow(_cut, _OUT)
     return cut.unionByName(kept.where("not live").select("ids", "sizes", "data").mapInArrow(_whole, _OUT))
