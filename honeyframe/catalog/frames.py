@@ -215,19 +215,26 @@ def row_artifact_mask(spark, sf):
     return d.select("frame_id", F.col("x").alias("q"), F.col("y").alias("r"), r6("value").alias("value"), *_lint("mask"))
 
 
-@query("dirt_distance", with_(PX, body="""
-SELECT p.frame_id, p.q, p.r, min(greatest(abs(p.q - d.q), abs(p.r - d.r))) AS dist
-FROM px p JOIN px d ON d.frame_id = p.frame_id AND d.mask = 16 GROUP BY ALL"""))
+DIST = """dist AS (SELECT p.frame_id, p.q, p.r, coalesce(min(greatest(abs(p.q - d.q), abs(p.r - d.r))), 8) AS dist
+FROM px p LEFT JOIN px d ON d.frame_id = p.frame_id AND d.mask = 16 GROUP BY ALL)"""
+
+
+@query("dirt_distance", with_(PX, DIST, body="SELECT frame_id, q, r, dist FROM dist"))
 def dirt_distance(spark, sf):
-    d = square(spark, sf)
-    has = d.groupBy("frame_id").agg(F.max("mask").alias("m")).filter("m = 16").select("frame_id")
-    d = P.dirt_distance(d.join(has, "frame_id", "left_semi"), F.col("mask") == 16, 8, 8)
+    d = P.dirt_distance(square(spark, sf), F.col("mask") == 16, 8, 8)
     return d.select("frame_id", F.col("x").alias("q"), F.col("y").alias("r"), *_lint("dist"))
 
 
-@query("clean_spots")
+@query("clean_spots", "WITH RECURSIVE " + ",\n".join([PX, DIST, """
+spots(frame_id, place, best, rest) AS (
+  SELECT frame_id, 1, s[1], list_filter(s, lambda c: NOT (c.q >= s[1].q - 2 AND c.q < s[1].q + 2 AND c.r >= s[1].r - 2 AND c.r < s[1].r + 2)) FROM (
+    SELECT frame_id, list({'dist': dist, 'q': q, 'r': r} ORDER BY dist DESC, r, q) AS s FROM dist WHERE dist > 1 AND q BETWEEN 1 AND 6 AND r BETWEEN 1 AND 6 GROUP BY frame_id)
+  UNION ALL SELECT frame_id, place + 1, rest[1], list_filter(rest, lambda c: NOT (c.q >= rest[1].q - 2 AND c.q < rest[1].q + 2 AND c.r >= rest[1].r - 2 AND c.r < rest[1].r + 2))
+  FROM spots WHERE len(rest) > 0)"""]) + """
+SELECT frame_id, best.q AS x, best.r AS y, best.dist AS dist, CAST(place AS BIGINT) AS place FROM spots""")
 def clean_spots(spark, sf):
-    return P.clean_spots(square(spark, sf), F.col("mask") == 16, 8, 8, radius=1)
+    d = P.clean_spots(square(spark, sf), F.col("mask") == 16, 8, 8, radius=1)
+    return d.select("frame_id", "x", "y", *_lint("dist", "place"))
 
 
 # -- runs ---------------------------------------------------------------------------
@@ -458,14 +465,12 @@ def template_offset(spark, sf):
 @query("position_quality", with_(PX, _FOLD, _TEMPLATE, f"""
 bst AS (SELECT frame_id, orient, arg_min(sx, (round(residual, 9), sx, sy)) AS bx, arg_min(sy, (round(residual, 9), sx, sy)) AS byy FROM off GROUP BY ALL),
 pk AS (SELECT frame_id, orient, ((sx - bx + {RES // 2} + {RES}) % {RES} - {RES // 2}) / {RES}.0::DOUBLE AS dx, ((sy - byy + {RES // 2} + {RES}) % {RES} - {RES // 2}) / {RES}.0::DOUBLE AS dy,
-  (worst - residual) / (worst - best) - 0.5 AS w FROM off JOIN bst USING (frame_id, orient) WHERE worst - best > 1e-7)""", body="""
+  CASE WHEN worst - best > 1e-7 AND (worst - residual) / (worst - best) - 0.5 > 1e-9 THEN (worst - residual) / (worst - best) - 0.5 END AS w FROM off JOIN bst USING (frame_id, orient))""", body="""
 SELECT frame_id, orient, round(1 / nullif(30 * (abs(sum(w * dx * dx) / sum(w) - (sum(w * dx) / sum(w)) ** 2)
-  + abs(sum(w * dy * dy) / sum(w) - (sum(w * dy) / sum(w)) ** 2)), 0), 5) AS "positionQ" FROM pk WHERE w > 1e-9 GROUP BY ALL"""))
+  + abs(sum(w * dy * dy) / sum(w) - (sum(w * dy) / sum(w)) ** 2)), 0), 5) AS "positionQ" FROM pk GROUP BY ALL"""))
 def position_quality(spark, sf):
-    d = _offsets(spark, sf)
-    lim = d.groupBy("frame_id", "orient").agg((F.max("residual") - F.min("residual")).alias("span"))
-    d = d.join(lim.filter(F.col("span") > 1e-7).drop("span"), ["frame_id", "orient"])
-    q = P.position_quality(d, RES, ["frame_id", "orient"])
+    """Flat frames have no position: null."""
+    q = P.position_quality(_offsets(spark, sf), RES, ["frame_id", "orient"])
     return q.select("frame_id", "orient", F.round("positionQ", 5).alias("positionQ"))
 
 

@@ -190,10 +190,10 @@ nmean AS (SELECT n.m, n.hp, any_value(n.level) AS level, CAST(round(avg(k.level)
 
 @query("propose_steps", with_(HX, MODELS, "pos AS (SELECT DISTINCT hp, x, y, z FROM hx)", _NBM, """
 tr AS (SELECT m, hp, level AS old, mean AS new, 0 AS trial FROM nmean UNION ALL SELECT m, hp, level, level + k, 2 * k - 1 FROM nmean, range(1, 6) t(k) UNION ALL SELECT m, hp, level, level - k, 2 * k FROM nmean, range(1, 6) t(k))""", body="""
-SELECT m, hp, old, new, CAST(min(trial) AS BIGINT) AS trial FROM tr WHERE new <> old AND new BETWEEN 0 AND 15 AND hp % 3 = 0 GROUP BY ALL"""))
+SELECT m, hp, old, new, CAST(min(trial) AS BIGINT) AS trial FROM tr WHERE new <> old AND new BETWEEN 0 AND 15 GROUP BY ALL"""))
 def propose_steps(spark, sf):
     m = models_xz(spark, sf)
-    d = M.propose_steps(m, m.filter(F.col("hp") % 3 == 0), N, LEVELS)
+    d = M.propose_steps(m, m, N, LEVELS)
     return d.select("m", "hp", "old", F.col("new").cast("long"), F.col("trial").cast("long"))
 
 

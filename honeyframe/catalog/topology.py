@@ -156,19 +156,32 @@ def defect_seeds(spark, sf):
     return T.defect_seeds(X.mesh_rings(spark, sf)).select("atom_id")
 
 
-@query("defect_patterns", with_(MESH, """
-f AS (SELECT s.a, s.b, s.r1, s.r2 FROM sides s JOIN rsize x ON x.ring_id = r1 JOIN rsize y ON y.ring_id = r2 JOIN deg da ON da.p = s.a JOIN deg db ON db.p = s.b
-  WHERE n = 2 AND x.size = 6 AND y.size = 6 AND da.d > 2 AND db.d > 2),
-am AS (SELECT atom_id, count(*) AS n FROM rings GROUP BY atom_id),
-en AS (SELECT f.a, f.b, count(*) AS ends FROM f JOIN rings r ON r.atom_id IN (f.a, f.b) AND r.ring_id NOT IN (f.r1, f.r2) JOIN rsize z ON z.ring_id = r.ring_id AND z.size >= 6
-  JOIN am ON am.atom_id = r.atom_id AND am.n = 3 GROUP BY f.a, f.b HAVING count(*) = 2)""", body="""
-SELECT DISTINCT u.atom_id, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y FROM (SELECT a AS atom_id FROM en UNION SELECT b FROM en) u JOIN atoms USING (atom_id)"""))
+PATCH = """pk AS (SELECT o_orderkey AS k, o_orderkey % 2 = 1 AS two, o_custkey AS c, 5 + CAST(o_custkey % 4 = 0 AS INT) AS up, 5 + CAST(o_custkey % 5 = 0 AS INT) AS down FROM orders),
+pl AS (SELECT k, 0 AS r, [0, 1] AS head, 10 AS rest, up AS size FROM pk UNION ALL SELECT k, 1, [1, 0], 20, down FROM pk
+  UNION ALL SELECT k, 2, [up + 7, 0, CASE WHEN two THEN 2 ELSE 20 END], 30, 5 + c % 4 FROM pk UNION ALL SELECT k, 3, [down + 17, 1, CASE WHEN two THEN 3 ELSE 10 END], 40, 5 + c // 4 % 4 FROM pk
+  UNION ALL SELECT k, 4, [2, 0, 20], 50, 5 + c // 2 % 3 FROM pk WHERE two UNION ALL SELECT k, 5, [3, 1, 10], 60, 5 + c // 3 % 3 FROM pk WHERE two),
+rings AS (SELECT k * 10 + r AS ring_id, size, i AS seq, k * 100 + CASE WHEN i < len(head) THEN head[i + 1] ELSE rest + i - len(head) END AS atom_id FROM pl, range(8) t(i) WHERE i < size),
+atoms AS (SELECT DISTINCT atom_id, atom_id % 100 * 1.5::DOUBLE AS x, atom_id % 100 * 7 % 13 * 0.5::DOUBLE AS y FROM rings),
+edges AS (SELECT ring_id, size, least(atom_id, n) AS a, greatest(atom_id, n) AS b FROM (SELECT *, coalesce(lead(atom_id) OVER w, first_value(atom_id) OVER w) AS n FROM rings WINDOW w AS (PARTITION BY ring_id ORDER BY seq))),
+deg AS (SELECT p, count(*) AS d FROM (SELECT a AS p, b FROM edges UNION SELECT b, a FROM edges) GROUP BY p),
+rate AS (SELECT atom_id, count(*) AS n FROM rings GROUP BY atom_id)"""
+
+
+@query("defect_patterns", with_(PATCH, """
+five AS (SELECT a, b, min(ring_id) AS r1, max(ring_id) AS r2 FROM edges WHERE size = 5 GROUP BY a, b HAVING count(*) = 2 AND (SELECT d FROM deg WHERE p = a) > 2 AND (SELECT d FROM deg WHERE p = b) > 2),
+ends AS (SELECT a, b, a AS e, r1, r2 FROM five UNION ALL SELECT a, b, b, r1, r2 FROM five),
+far AS (SELECT f.a, f.b, e, any_value(n) AS n, count(*) FILTER (size >= 7) AS big, list(ring_id) FILTER (size <= 5) AS small FROM ends f
+  JOIN rings r ON r.atom_id = e AND ring_id NOT IN (r1, r2) JOIN rate USING (atom_id) GROUP BY ALL),
+hit AS (SELECT a, b, CASE WHEN bool_and(n = 3 AND big = 1) THEN '7557' WHEN bool_and(n = 4 AND coalesce(len(small), 0) > 0) THEN 'z5' END AS kind FROM far GROUP BY a, b HAVING count(*) = 2),
+new AS (SELECT DISTINCT o.a, o.b FROM hit h JOIN far f USING (a, b) JOIN edges o ON f.e IN (o.a, o.b) AND (o.a, o.b) <> (f.a, f.b) AND list_contains(f.small, o.ring_id) WHERE kind = 'z5')""", body="""
+SELECT DISTINCT kind, atom_id, 'drop' AS action, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y FROM hit JOIN atoms ON atom_id IN (a, b) WHERE kind IS NOT NULL
+UNION ALL SELECT 'z5', NULL, 'add', round((p.x + q.x) / 2, 6), round((p.y + q.y) / 2, 6) FROM new JOIN atoms p ON p.atom_id = a JOIN atoms q ON q.atom_id = b"""))
 def defect_patterns(spark, sf):
-    """The rule for bonds between two 6-rings with a ring of 6 or more at each
-    end, which the mesh has many of."""
-    a, b, r = mesh(spark, sf)
-    d = T.defect_patterns(r, b, a, side=6, far_size=6)
-    return d.filter(F.col("kind") == "7557").select("atom_id", r6("x").alias("x"), r6("y").alias("y"))
+    """Both kinds, by the rule's own sizes 5 and 7, on patches of many ring sizes."""
+    r = cut_lineage(X.patch_rings(spark, sf))
+    b = T.ring_edges(r).select("view", "a", "b").distinct()
+    d = T.defect_patterns(r, b, X.patch_atoms(spark, sf))
+    return d.select("kind", "atom_id", "action", r6("x").alias("x"), r6("y").alias("y"))
 
 
 @query("straight_atoms", with_(MESH, """

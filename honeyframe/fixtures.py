@@ -160,3 +160,41 @@ def mesh_bonds(spark: SparkSession, sf: str) -> DataFrame:
     from honeyframe.operators.topology import ring_edges
 
     return ring_edges(mesh_rings(spark, sf)).select("view", "a", "b").distinct()
+
+
+# -- patches around one bond ---------------------------------------------------------
+#
+# Every order is a patch: a bond between atoms 0 and 1 with a ring on each side and
+# one (even orders) or two (odd orders) rings at each end. Ring sizes follow from the
+# customer, so that some patches are defects and others are not.
+
+
+def patch_rings(spark: SparkSession, sf: str) -> DataFrame:
+    """(view, ring_id, seq, atom_id): atoms are order * 100 and a number, rings order * 10."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    two = k % 2 == 1
+    up, down = F.lit(5) + (c % 4 == 0).cast("int"), F.lit(5) + (c % 5 == 0).cast("int")
+    third_a, third_b = F.when(two, 2).otherwise(20), F.when(two, 3).otherwise(10)
+    rings = [  # first atoms, number of the next one, size
+        ([F.lit(0), F.lit(1)], 10, up),
+        ([F.lit(1), F.lit(0)], 20, down),
+        ([up + 7, F.lit(0), third_a], 30, 5 + c % 4),
+        ([down + 17, F.lit(1), third_b], 40, 5 + F.floor(c / 4) % 4),
+        ([F.lit(2), F.lit(0), F.lit(20)], 50, F.when(two, 5 + F.floor(c / 2) % 3).otherwise(0)),
+        ([F.lit(3), F.lit(1), F.lit(10)], 60, F.when(two, 5 + F.floor(c / 3) % 3).otherwise(0)),
+    ]
+    items = [
+        F.struct(F.lit(r).alias("r"), F.slice(F.concat(
+            F.array(*[h.cast("long") for h in head]), F.sequence(F.lit(rest).cast("long"), F.lit(rest + 9).cast("long"))
+        ), 1, size.cast("int")).alias("atoms"))
+        for r, (head, rest, size) in enumerate(rings)
+    ]
+    d = table(spark, sf, "orders").select(k.alias("k"), F.inline(F.array(*items)))
+    d = d.select("k", "r", F.posexplode("atoms").alias("seq", "atom"))
+    return d.select(F.lit(0).alias("view"), (F.col("k") * 10 + F.col("r")).alias("ring_id"), F.col("seq").cast("long").alias("seq"), (F.col("k") * 100 + F.col("atom")).alias("atom_id"))
+
+
+def patch_atoms(spark: SparkSession, sf: str) -> DataFrame:
+    a = patch_rings(spark, sf).select("view", "atom_id").distinct()
+    n = F.col("atom_id") % 100
+    return a.select("view", "atom_id", (n * 1.5).alias("x"), (n * 7 % 13 * 0.5).alias("y"), F.lit(0.0).alias("z"))

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from honeyframe.functions import hexgrid as H, tables as T
 from honeyframe.functions.numbers import exp2
@@ -64,12 +64,41 @@ def lookup_logp(sf: DataFrame, models: DataFrame, table: DataFrame) -> DataFrame
     return _with_gains(sf.select("sf_id", "hp", "value"), gains)
 
 
+def _summed(orb: DataFrame, gains: DataFrame, base: dict[int, float] | None = None, at_once: int = 32) -> DataFrame:
+    """(sf_id, m, sym, ll): sums over the pixels of ``orb`` (sf_id, sym, hp, value) of
+    the gains (m, hp, value, _g), plus a constant of each model.
+
+    The gains of ``at_once`` models are the columns of one row, so a pixel stays one row
+    whatever the number of models, and models only become rows after the sum. A value
+    without gains is an error: it would drop out of the likelihood in silence.
+    """
+    g = cut_lineage(gains)
+    models = sorted(base) if base is not None else sorted(r["m"] for r in g.select("m").distinct().collect())
+    missing = F.raise_error(F.lit("a value of the data has no row in the probability table")).cast("double")
+    out = None
+    for lo in range(0, max(len(models), 1), at_once):
+        part = models[lo : lo + at_once]
+        if not part:
+            return orb.select("sf_id", F.lit(0).cast("long").alias("m"), "sym", F.lit(0.0).alias("ll")).limit(0)
+        rows = g.filter(F.col("m").isin(part)) if len(models) > at_once else g
+        cols = [f"_g{i}" for i in range(len(part))]
+        wide = rows.groupBy("hp", "value").agg(
+            *[F.coalesce(F.sum(F.when(F.col("m") == m, F.col("_g"))), F.lit(0.0)).alias(c) for m, c in zip(part, cols)]
+        )
+        d = orb.join(bounded(wide), ["hp", "value"], "left").withColumn(cols[0], F.coalesce(cols[0], missing))
+        d = d.groupBy("sf_id", "sym").agg(*[F.sum(c).alias(c) for c in cols])
+        one = [F.struct(F.lit(m).cast("long").alias("m"), (F.col(c) + F.lit((base or {}).get(m, 0.0))).alias("ll")) for m, c in zip(part, cols)]
+        d = d.select("sf_id", "sym", F.inline(F.array(*one))).select("sf_id", "m", "sym", "ll")
+        out = d if out is None else out.unionByName(d)
+    return out
+
+
 def orbit_loglik(sf: DataFrame, models: DataFrame, table: DataFrame, n: int, bond: int) -> DataFrame:
     """log2 likelihood of each sub-frame under each model and copy, from all
     pixels. The cheaper way to the same numbers is baseline_loglik."""
     orb = expand_orbit(spread(sf, "sf_id"), n, bond, inverse=True)
     gains = models.join(table, "level").select("m", "hp", "value", (F.col("lp") / LN2).alias("_g"))
-    return _with_gains(orb, gains).groupBy("sf_id", "m", "sym").agg(F.sum("_g").alias("ll"))
+    return _summed(orb, gains)
 
 
 def _sparse(sf: DataFrame) -> DataFrame:
@@ -82,15 +111,12 @@ def baseline_loglik(sf: DataFrame, models: DataFrame, table: DataFrame, n: int,
     correction for the pixels with counts. Most pixels of a noisy frame are
     empty, and those never enter the expansion."""
     zero = table.filter(F.col("value") == 0).select("level", F.col("lp").alias("_z"))
-    base = models.join(zero, "level").groupBy("m").agg((F.sum("_z") / LN2).alias("_base"))
+    rows = models.join(zero, "level").groupBy("m").agg((F.sum("_z") / LN2).alias("b")).collect()  # one row per model
     gains = models.join(table.join(zero, "level"), "level").select(
         "m", "hp", "value", ((F.col("lp") - F.col("_z")) / LN2).alias("_g")
     )
     orb = expand_orbit(spread(_sparse(sf), "sf_id"), n, bond, inverse=True)
-    s = _with_gains(orb, gains).groupBy("sf_id", "m", "sym").agg(F.sum("_g").alias("_s"))
-    return s.join(bounded(base), "m").select(
-        "sf_id", "m", "sym", (F.col("_s") + F.col("_base")).alias("ll")
-    )
+    return _summed(orb, gains, {r["m"]: r["b"] for r in rows})
 
 
 def marginal_loglik(ll: DataFrame, mode: str = "sum") -> DataFrame:
@@ -231,64 +257,133 @@ def expected_histogram(ll: DataFrame, sf: DataFrame, models: DataFrame, n: int,
 # -- edits ------------------------------------------------------------------------
 
 
-def score_edits(
-    sf: DataFrame, ll: DataFrame, marg: DataFrame, edits: DataFrame, table: DataFrame, n: int, bond: int,
-    weights: DataFrame | None = None,
-) -> DataFrame:
-    """Total likelihood after each proposed edit (edit, m, hp, old, new).
+def home_pixels(spark: SparkSession, n: int) -> DataFrame:
+    """(hp, x, z) of the home hexagon of radius n."""
+    d = spark.range(-n, n).select(F.col("id").cast("int").alias("x"))
+    d = d.select("x", F.explode(F.sequence(F.lit(-n), F.lit(n - 1))).alias("z")).withColumn("y", -F.col("x") - F.col("z"))
+    return d.filter(H.in_home("x", "y", "z", n)).select(H.hex_index("x", "z", n).alias("hp"), "x", "z")
+
+
+def edit_deltas(
+    sf: DataFrame, edits: DataFrame, table: DataFrame, n: int, bond: int, max_bytes: int = 64 << 20
+) -> tuple[DataFrame, DataFrame]:
+    """What edits (edit, m, hp, old, new) change in the likelihoods.
+
+    ``owner`` (edit, m, base): the change of an empty frame, the same for all
+    sub-frames and copies. ``deltas`` (sf_id, edit, m, sym, delta): what the counts at
+    changed places add to it, only for copies that have counts there.
 
-    Only the changed pixels matter: each copy of the edited model gets the
-    summed lp[new] - lp[old]. The empty-pixel part is a constant per edit, and
-    only counts at changed positions add to it. Gives (edit, m, total, gain).
+    The changed pixels are moved under the copies, not the frames: each (place, value)
+    of the data gets the posting list of the edits that look at it, and a frame's
+    pixel meets its list only. Lists are cut by edits into parts whose measured size
+    can be broadcast.
     """
+    spark = sf.sparkSession
     old = table.select(F.col("level").alias("old"), "value", F.col("lp").alias("_lo"))
     new = table.select(F.col("level").alias("new"), "value", F.col("lp").alias("_ln"))
     step = edits.join(old, "old").join(new, ["new", "value"]).select(
         "edit", "m", "hp", "value", ((F.col("_ln") - F.col("_lo")) / LN2).alias("_d")
     )
-    step = cut_lineage(step)  # edits x values, read three times
+    step = cut_lineage(step)  # edits x values
     zero = step.filter(F.col("value") == 0).select("edit", "hp", F.col("_d").alias("_z"))
-    base = zero.groupBy("edit").agg(F.sum("_z").alias("_base"))
-    gains = step.join(zero, ["edit", "hp"]).filter(F.col("value") > 0).select(
-        "edit", "hp", "value", (F.col("_d") - F.col("_z")).alias("_g")
+    owner = edits.select("edit", "m").distinct().join(zero.groupBy("edit").agg(F.sum("_z").alias("base")), "edit")
+    gains = step.join(zero, ["edit", "hp"]).filter((F.col("value") > 0) & (F.col("_d") != F.col("_z"))).select(
+        "edit", "m", "hp", "value", (F.col("_d") - F.col("_z")).alias("_g")
     )
-    owner = edits.select("edit", "m").distinct().join(base, "edit")
-    kept = ll.join(bounded(owner), "m").select("sf_id", "edit", "sym", (F.col("ll") + F.col("_base")).alias("_v"))
-    orb = expand_orbit(sf.filter(F.col("value") > 0), n, bond, inverse=True)
-    moved = _with_gains(orb, gains, "edit").select("sf_id", "edit", "sym", F.col("_g").alias("_v"))
-    cur = kept.unionByName(moved).groupBy("sf_id", "edit", "sym").agg(F.sum("_v").alias("ll"))
-    new_marg = marginal_loglik(cur.withColumnRenamed("edit", "m")).select("sf_id", F.col("m").alias("edit"), "marg")
-    new_marg = new_marg.join(owner.select("edit", "m"), "edit")
-
-    lw = F.lit(0.0)
-    base_m = marg
+    moved = expand_orbit(gains.join(F.broadcast(home_pixels(spark, n)), "hp"), n, bond, keys=["edit", "m"], carry=["value", "_g"])
+    item = F.struct("edit", "m", "sym", "_g")
+    posts = cut_lineage(moved.groupBy("hp", "value").agg(F.collect_list(item).alias("_of"), F.count(F.lit(1)).alias("_n")))
+    size = (posts.agg(F.sum("_n")).first()[0] or 0) * 40
+    parts = max(1, -(-size // max_bytes))
+    data = sf.filter(F.col("value") > 0).select("sf_id", "hp", "value")
+    out = None
+    for k in range(parts):
+        lists = posts.drop("_n")
+        if parts > 1:
+            lists = lists.withColumn("_of", F.filter("_of", lambda e: F.pmod(F.xxhash64(e["edit"]), F.lit(parts)) == k)).filter(F.size("_of") > 0)
+        d = data.join(F.broadcast(lists), ["hp", "value"]).select("sf_id", F.inline("_of"))
+        d = d.groupBy("sf_id", "edit", "m", "sym").agg(F.sum("_g").alias("delta"))
+        out = d if out is None else out.unionByName(d)
+    return owner, out
+
+
+def _both(a: Column, b: Column, weighted: bool) -> Column:
+    """log2 of the sum of two numbers given as logs, or the larger one."""
+    top = F.greatest(a, b)
+    return top + F.log2(exp2(a - top) + exp2(b - top)) if weighted else top
+
+
+def frame_terms(marg: DataFrame, weights: DataFrame | None = None) -> DataFrame:
+    """(sf_id, m, marg, own, others): the term of a model in its sub-frame, and that
+    of all other models together (of the best one without weights)."""
+    d, own = marg.select("sf_id", "m", "marg"), F.col("marg")
     if weights is not None:
-        base_m = marg.join(bounded(weights.select("m", F.log2("weight").alias("_lw"))), "m")
-        lw = F.col("_lw")
-    # a sub-frame is its best model and the sum of the others; so the models but
-    # one are either that sum, or the best and the sum without the one
-    own = base_m.select("sf_id", "m", (F.col("marg") + lw).alias("_own"), lw.alias("_lw2"))
-    per = own.groupBy("sf_id").agg(F.sort_array(F.collect_list(F.struct(F.col("_own").alias("v"), "m")), asc=False).alias("_s"))
+        d = d.join(bounded(weights.select("m", F.log2("weight").alias("_lw"))), "m")
+        own = own + F.col("_lw")
+    frame = W.partitionBy("sf_id")  # one row per model
+    d = d.withColumn("own", own).withColumn("_place", F.row_number().over(frame.orderBy(F.desc("own"), "m")))
     none = F.lit(-1e300)
-    second = F.coalesce(F.get("_s", F.lit(1))["v"], none)
-    rest = second if weights is None else F.when(F.size("_s") > 1, second + F.log2(F.aggregate(
-        F.slice("_s", 2, F.greatest(F.size("_s") - 1, F.lit(1))), F.lit(0.0), lambda a, e: a + exp2(e["v"] - second)))).otherwise(none)
-    per = per.select("sf_id", F.get("_s", F.lit(0))["m"].alias("_m1"), F.get("_s", F.lit(0))["v"].alias("_v1"), rest.alias("_rest"))
-    d = new_marg.join(own, ["sf_id", "m"]).join(per, "sf_id").withColumn("_new", F.col("marg") + F.col("_lw2"))
+    second = F.coalesce(F.max(F.when(F.col("_place") > 1, F.col("own"))).over(frame), none)
+    d = d.withColumns({"_top": F.max("own").over(frame), "_second": second})
     if weights is None:
-        others = F.when(F.col("m") == F.col("_m1"), F.col("_rest")).otherwise(F.col("_v1"))
-        after, before = F.greatest(others, "_new"), F.col("_v1")
+        others = F.when(F.col("_place") == 1, F.col("_second")).otherwise(F.col("_top"))
     else:
-        def both(a, b):
-            top = F.greatest(a, b)
-            return top + F.log2(exp2(a - top) + exp2(b - top))
-
-        less = F.greatest(1 + exp2(F.col("_rest") - F.col("_v1")) - exp2(F.col("_own") - F.col("_v1")), F.lit(1.0))
-        others = F.when(F.col("m") == F.col("_m1"), F.col("_rest")).otherwise(F.col("_v1") + F.log2(less))
-        after, before = both(others, F.col("_new")), both(F.col("_v1"), F.col("_rest"))
-    return d.groupBy("edit", "m").agg(
-        F.sum(after).alias("total"), (F.sum(after) - F.sum(before)).alias("gain")
+        # the models but one are the best and the sum without the one, or that sum
+        sum_ = F.sum(F.when(F.col("_place") > 1, exp2(F.col("own") - F.col("_second")))).over(frame)
+        d = d.withColumn("_rest", F.when(F.col("_second") > none, F.col("_second") + F.log2(sum_)).otherwise(none))
+        less = F.greatest(1 + exp2(F.col("_rest") - F.col("_top")) - exp2(F.col("own") - F.col("_top")), F.lit(1.0))
+        others = F.when(F.col("_place") == 1, F.col("_rest")).otherwise(F.col("_top") + F.log2(less))
+    return d.select("sf_id", "m", "marg", "own", others.alias("others"))
+
+
+def marginal_changes(ll: DataFrame, terms: DataFrame, deltas: DataFrame, n_sym: int) -> DataFrame:
+    """(sf_id, edit, m, change) of the marginal likelihoods by ``deltas``.
+
+    Only copies with a delta are read: the others keep what is left of the sum. Where
+    they hold less than a millionth of it, that difference has no digits left
+    and all copies of the sub-frame are summed.
+    """
+    d = deltas.join(ll, ["sf_id", "m", "sym"]).join(terms.select("sf_id", "m", "marg"), ["sf_id", "m"])
+    share = exp2(F.col("ll") - F.col("marg"))
+    s = d.groupBy("sf_id", "edit", "m").agg(
+        F.sum(share).alias("_had"), F.sum(share * exp2(F.col("delta"))).alias("_has"), F.count(F.lit(1)).alias("_n"), F.max("marg").alias("marg"),
+    )
+    left = F.when(F.col("_n") == n_sym, 0.0).otherwise(1 - F.col("_had"))
+    s = cut_lineage(s.withColumn("_left", left).withColumn("_hard", (F.col("_n") < n_sym) & (F.col("_left") < 1e-6)))
+    plain = s.filter(~F.col("_hard")).select("sf_id", "edit", "m", F.log2(F.col("_left") + F.col("_has")).alias("change"))
+    hard = s.filter("_hard").select("sf_id", "edit", "m", "marg")
+    if hard.isEmpty():
+        return plain
+    d = hard.join(ll, ["sf_id", "m"]).join(deltas, ["sf_id", "edit", "m", "sym"], "left")
+    d = d.withColumn("_v", F.col("ll") + F.coalesce("delta", F.lit(0.0)))
+    d = d.withColumn("_t", F.max("_v").over(W.partitionBy("sf_id", "edit")))  # the copies
+    d = d.groupBy("sf_id", "edit", "m").agg((F.max("_t") + F.log2(F.sum(exp2(F.col("_v") - F.col("_t")))) - F.max("marg")).alias("change"))
+    return plain.unionByName(d)
+
+
+def _scored(ll, terms, owner, deltas, n_sym: int, weighted: bool) -> DataFrame:
+    """(edit, m, total, gain). Sub-frames without a delta only differ by the base of
+    an edit; they are summed where they lie, and the others are put right."""
+    base = bounded(owner)
+    own, others = F.col("own") + F.col("base"), F.col("others")
+    every = terms.join(base, "m").groupBy("edit", "m").agg(
+        F.sum(_both(others, own, weighted)).alias("_t"), F.sum(_both(others, F.col("own"), weighted)).alias("_b")
     )
+    c = marginal_changes(ll, terms, deltas, n_sym).join(terms, ["sf_id", "m"]).join(base.select("edit", "base"), "edit")
+    right = _both(others, own + F.col("change"), weighted) - _both(others, own, weighted)
+    some = c.groupBy("edit", "m").agg(F.sum(right).alias("_t"), F.lit(0.0).alias("_b"))
+    return every.unionByName(some).groupBy("edit", "m").agg(F.sum("_t").alias("total"), (F.sum("_t") - F.sum("_b")).alias("gain"))
+
+
+def score_edits(
+    sf: DataFrame, ll: DataFrame, marg: DataFrame, edits: DataFrame, table: DataFrame, n: int, bond: int,
+    weights: DataFrame | None = None,
+) -> DataFrame:
+    """Total likelihood after each proposed edit (edit, m, hp, old, new): (edit, m,
+    total, gain). Only counts at changed places are looked at (``edit_deltas``)."""
+    owner, deltas = edit_deltas(spread(sf, "sf_id"), edits, table, n, bond)
+    terms = cut_lineage(frame_terms(marg, weights))
+    return _scored(ll, terms, cut_lineage(owner), cut_lineage(deltas), 12 * len(H.lattice_points(n, bond)), weights is not None)
 
 
 def neighbor_means(models: DataFrame, n: int) -> DataFrame:

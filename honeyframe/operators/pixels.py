@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from honeyframe.functions import hexgrid as H, lattice as L
 from honeyframe.functions.numbers import col
-from honeyframe.session import cut_lineage, spread
+from honeyframe.session import cut_lineage, ship, spread
 
 # -- sparse form -------------------------------------------------------------
 
@@ -378,30 +380,45 @@ def row_artifact_mask(df: DataFrame, n: int, factor: float = 1.1) -> DataFrame:
     ).drop("_clean", "_bad")
 
 
+def _chessboard(dirty: np.ndarray, far: int) -> np.ndarray:
+    """Chessboard distance of every pixel of one frame to the nearest dirty one.
+
+    A distance is at most k where the square of half width k holds dirt; its count
+    is four look-ups in the integral image, and k is found by bisection for all
+    pixels side by side, so the work does not depend on how far dirt is.
+    """
+    height, width = dirty.shape
+    total = np.zeros((height + 1, width + 1), np.int64)
+    total[1:, 1:] = dirty.cumsum(0).cumsum(1)
+    y, x = np.mgrid[:height, :width]
+    low, high = np.zeros(dirty.shape, np.int64), np.full(dirty.shape, far)
+    while (low < high).any():
+        k = (low + high) // 2
+        top, bottom = np.maximum(y - k, 0), np.minimum(y + k + 1, height)
+        left, right = np.maximum(x - k, 0), np.minimum(x + k + 1, width)
+        hit = total[bottom, right] - total[top, right] - total[bottom, left] + total[top, left] > 0
+        high = np.where(hit, k, high)
+        low = np.where(hit, low, np.minimum(k + 1, high))
+    return high
+
+
 def dirt_distance(df: DataFrame, dirt: Column, width: int, height: int) -> DataFrame:
-    """Chessboard distance of each pixel to the nearest dirty one.
+    """Chessboard distance of each pixel to the nearest dirty one; the larger side
+    of the frame where a frame has no dirt.
 
-    Along a row the last and next dirty pixel give g; then the distance is the
-    smallest max(|dy|, g) along the column, looked up to the largest g.
+    One shuffle by frame, whose size the geometry sets. Missing pixels are clean.
     """
-    d = df.withColumn("_at", F.when(dirt, F.col("x")))
-    w = W.partitionBy("frame_id", "y").orderBy("x")
-    left = F.max("_at").over(w.rowsBetween(W.unboundedPreceding, 0))
-    right = F.min("_at").over(w.rowsBetween(0, W.unboundedFollowing))
     far = max(width, height)
-    d = d.withColumns({"_l": left, "_r": right})
-    g = F.least(
-        F.coalesce(F.col("x") - F.col("_l"), F.lit(far)), F.coalesce(F.col("_r") - F.col("x"), F.lit(far))
-    )
-    d = d.withColumn("_g", g.cast("int")).drop("_at", "_l", "_r")
-    reach = min(d.agg(F.max("_g")).first()[0] or 0, height - 1)
-    wc = W.partitionBy("frame_id", "x").orderBy("y")
-    terms = [F.col("_g")]
-    for k in range(1, reach + 1):
-        near = F.least(F.lag("_g", k).over(wc), F.lead("_g", k).over(wc))
-        terms.append(F.when(near.isNotNull(), F.greatest(F.lit(k), near)))
-    dist = F.least(*terms) if len(terms) > 1 else terms[0]
-    return d.withColumn("dist", dist).drop("_g")
+    ship(df.sparkSession)
+
+    def frame(t: pa.Table) -> pa.Table:
+        x, y = t["x"].to_numpy(), t["y"].to_numpy()
+        dirty = np.zeros((height, width), bool)
+        dirty[y, x] = t["_dirt"].to_numpy()
+        return t.drop(["_dirt"]).append_column("dist", pa.array(_chessboard(dirty, far)[y, x].astype(np.int32)))
+
+    d = df.withColumn("_dirt", F.coalesce(dirt, F.lit(False)))
+    return d.groupBy("frame_id").applyInArrow(frame, T.StructType([*df.schema.fields, T.StructField("dist", T.IntegerType())]))
 
 
 def clean_spots(
@@ -684,9 +701,10 @@ def best_template_shift(offsets: DataFrame, keys: list[str] = ("frame_id",)) ->
     ).select(*keys, "b.sx", "b.sy", "b.residual")
 
 
-def position_quality(offsets: DataFrame, res: int, keys: list[str] = ("frame_id",)) -> DataFrame:
+def position_quality(offsets: DataFrame, res: int, keys: list[str] = ("frame_id",), flat: float = 1e-7) -> DataFrame:
     """Inverse second moment of the merit peak above half height, around the
-    best shift."""
+    best shift; null for flat frames, whose residuals differ by ``flat`` at most,
+    and for a peak without width."""
     keys = list(keys)
     over = W.partitionBy(*keys)  # res^2 rows
     half = res // 2
@@ -700,8 +718,9 @@ def position_quality(offsets: DataFrame, res: int, keys: list[str] = ("frame_id"
     def centred(c):
         return (F.pmod(F.col(c) - F.col(f"_best.{c}") + half, F.lit(res)) - half) / F.lit(float(res))
 
-    rel = (F.col("_w") - F.col("residual")) / F.nullif(F.col("_w") - F.col("_b"), F.lit(0.0)) - 0.5
-    d = d.select(*keys, centred("sx").alias("dx"), centred("sy").alias("dy"), rel.alias("w")).filter(F.col("w") > 0)
+    span = F.col("_w") - F.col("_b")
+    rel = F.when(span > flat, (F.col("_w") - F.col("residual")) / span - 0.5)
+    d = d.select(*keys, centred("sx").alias("dx"), centred("sy").alias("dy"), F.when(rel > 0, rel).alias("w"))
     w, dx, dy = F.col("w"), F.col("dx"), F.col("dy")
     m = d.groupBy(*keys).agg(
         F.sum(w).alias("s"), F.sum(w * dx).alias("sx"), F.sum(w * dy).alias("sy"),

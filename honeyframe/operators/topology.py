@@ -7,11 +7,13 @@ sizes are bounded by the geometry, so lists per atom or ring are short.
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from honeyframe.session import cut_lineage
+from honeyframe.operators.numbering import number_rows
+from honeyframe.session import Store, cut_lineage
 
 # -- neighbours ------------------------------------------------------------------
 
@@ -149,15 +151,21 @@ def _quad_closing(new: DataFrame, all_bonds: DataFrame) -> DataFrame:
     return d.select("view", "a", "b", F.get(quad, F.lit(0)).alias("_x"), F.concat_ws(",", quad.cast("array<string>")).alias("_y"))
 
 
-def order_neighbors(bonds: DataFrame, atoms: DataFrame) -> DataFrame:
-    """Neighbours q of every atom p in the order of their angle."""
+def _around(bonds: DataFrame, atoms: DataFrame) -> DataFrame:
+    """Both directions p -> q of every bond, with the places of their ends and the
+    angle's place among the neighbours of p."""
     xy = atoms.select("view", "atom_id", "x", "y")
     d = _both_ways(bonds)
     for end, pre in (("p", "p"), ("q", "q")):
         d = d.join(xy.select("view", F.col("atom_id").alias(end), F.col("x").alias(pre + "x"), F.col("y").alias(pre + "y")), ["view", end])
-    angle = F.atan2(F.col("qy") - F.col("py"), F.col("qx") - F.col("px"))
+    d = d.withColumn("angle", F.atan2(F.col("qy") - F.col("py"), F.col("qx") - F.col("px")))
     order = W.partitionBy("view", "p").orderBy(F.round("angle", 9), "q")  # few neighbours
-    return d.select("view", "p", "q", angle.alias("angle")).withColumn("place", F.row_number().over(order))
+    return d.withColumn("place", F.row_number().over(order))
+
+
+def order_neighbors(bonds: DataFrame, atoms: DataFrame) -> DataFrame:
+    """Neighbours q of every atom p in the order of their angle."""
+    return _around(bonds, atoms).select("view", "p", "q", "angle", "place")
 
 
 # -- rings -----------------------------------------------------------------------
@@ -167,47 +175,50 @@ def trace_rings(bonds: DataFrame, atoms: DataFrame) -> DataFrame:
     """Rings of the bond graph: its inner faces.
 
     At each atom the bond after the arriving one, by angle, goes on. Following
-    that pointer closes a face; the smallest directed bond on it names it and
-    is found by doubling the pointer, so the rounds grow with the logarithm of
-    the longest face. Faces that turn the other way (outer borders) or visit an
-    atom twice are open and dropped. The turning sense is a sum over the bonds
-    of a face, so outer borders are gone before a ring is put together.
+    that pointer closes a face. Directed bonds are numbered by (view, atom, place),
+    so the pointer of the opposite bond is the number before, and all state is whole
+    numbers. Doubling the pointer finds the smallest number ahead and how far ahead
+    it is: the first names the face, the second ranks its corners. A face is closed
+    when the bond after its name sees the name again; closed faces leave, so
+    that long borders alone go through the later rounds. Faces that turn the other
+    way (outer borders) or visit an atom twice are open and dropped.
     """
-    o = order_neighbors(bonds, atoms)
+    store = Store(bonds.sparkSession)
     n = F.count(F.lit(1)).over(W.partitionBy("view", "p"))
+    o = number_rows(_around(bonds, atoms).withColumn("_n", n), ["view", "p", "place"], "h")
     # arriving q -> p, go on to the neighbour of p before q in angle order
-    o = o.withColumn("_n", n)
-    after = o.select("view", "p", F.col("q").alias("t"), F.col("place").alias("_pl"))
-    step = o.select("view", "p", "q", F.when(F.col("place") == 1, F.col("_n")).otherwise(F.col("place") - 1).alias("_pl"))
-    nxt = step.join(after, ["view", "p", "_pl"]).select("view", F.struct(F.col("q").alias("u"), F.col("p").alias("v")).alias("e"), F.struct(F.col("p").alias("u"), F.col("t").alias("v")).alias("nx"))
-    state = cut_lineage(nxt.select("view", "e", F.col("nx").alias("jump"), F.least("e", "nx").alias("low")))
-    while True:
-        ahead = state.select("view", F.col("e").alias("jump"), F.col("jump").alias("_j"), F.col("low").alias("_l"))
-        d = state.join(ahead, ["view", "jump"]).select("view", "e", F.col("_j").alias("jump"), F.least("low", "_l").alias("low"), (F.col("_l") < F.col("low")).alias("_moved"))
-        d = cut_lineage(d)
-        moved = not d.filter("_moved").isEmpty()
-        state = d.drop("_moved")
-        if not moved:
-            break
-    xy = atoms.select("view", F.col("atom_id").alias("_u"), F.struct("x", "y").alias("_pu"))
-    e = state.select("view", "low", "e", F.col("e.u").alias("_u"), F.col("e.v").alias("_v")).join(xy, ["view", "_u"])
-    e = e.join(xy.toDF("view", "_v", "_pv"), ["view", "_v"])
-    cross = F.col("_pu.x") * F.col("_pv.y") - F.col("_pv.x") * F.col("_pu.y")
-    faces = e.groupBy("view", "low").agg(F.count(F.lit(1)).alias("size"), F.sum(cross).alias("_turn"))
-    faces = faces.filter((F.col("_turn") > 0) & (F.col("size") > 2)).drop("_turn")
-    e = state.join(faces, ["view", "low"]).select("view", "low", "size", "e")
-    # each inner face in its own row
-    ring = e.groupBy("view", "low", "size").agg(
-        F.collect_list("e").alias("_e"), F.countDistinct("e.u").alias("_atoms")
-    ).filter(F.col("_atoms") == F.col("size"))
-    ring = ring.withColumn("_next", F.map_from_entries("_e"))
-    ring = ring.filter(F.array_sort(F.map_keys("_next")) == F.array_sort(F.map_values("_next")))
-    path = F.aggregate(
-        F.sequence(F.lit(2), F.col("size").cast("int")), F.array(F.col("low.u")),
-        lambda acc, i: F.array_append(acc, F.element_at("_next", F.element_at(acc, -1))),
+    goes_on = F.when(F.col("place") == 1, F.col("h") + F.col("_n") - 1).otherwise(F.col("h") - 1)
+    back = o.select("view", F.col("p").alias("q"), F.col("q").alias("p"), F.col("h").alias("e"))
+    state = store.write(o.join(back, ["view", "p", "q"]).select("e", goes_on.alias("nx")).select(
+        "e", "nx", F.col("nx").alias("jump"), F.col("e").alias("low"), F.lit(0).cast("long").alias("ahead")
+    ))
+    width, closed = 1, []
+    while not state.isEmpty():
+        far = state.select(F.col("e").alias("jump"), F.col("jump").alias("_j"), F.col("low").alias("_l"), F.col("ahead").alias("_a"))
+        ahead = F.when(F.col("_l") < F.col("low"), F.col("_a") + width).otherwise(F.col("ahead"))
+        d = store.write(state.join(far, "jump").select("e", "nx", F.col("_j").alias("jump"), F.least("low", "_l").alias("low"), ahead.alias("ahead")))
+        store.drop(state)
+        state, width = d, 2 * width
+        if width < 8:  # most faces are rings of five to seven
+            continue
+        first = state.filter(F.col("e") == F.col("low")).select(F.col("nx").alias("e"), F.col("low").alias("_m"))
+        names = store.write(state.select("e", "low").join(first, "e").filter(F.col("low") == F.col("_m")).select("low"))
+        closed.append(store.write(state.join(names, "low", "left_semi").select("e", "low", "ahead")))
+        rest = store.write(state.join(names, "low", "left_anti").select("e", "nx", "jump", "low", "ahead"))
+        store.drop(state, names)
+        state = rest
+    if not closed:
+        return o.select("view", F.struct(F.col("p").alias("u"), F.col("q").alias("v")).alias("low"), F.col("h").alias("seq"), F.col("p").alias("atom_id"), F.col("h").alias("size"))
+    cross = F.col("px") * F.col("qy") - F.col("qx") * F.col("py")
+    e = functools.reduce(DataFrame.unionByName, closed).join(o.select(F.col("h").alias("e"), "view", "p", "q", cross.alias("_turn")), "e")
+    faces = e.groupBy("low").agg(
+        F.count(F.lit(1)).alias("size"), F.sum("_turn").alias("_turn"), F.count_distinct("p").alias("_atoms"),
+        F.max(F.when(F.col("ahead") == 0, F.struct(F.col("p").alias("u"), F.col("q").alias("v")))).alias("name"),
+    )
+    faces = faces.filter((F.col("_turn") > 0) & (F.col("size") > 2) & (F.col("_atoms") == F.col("size"))).select("low", "size", "name")
+    return e.join(faces, "low").select(
+        "view", F.col("name").alias("low"), ((F.col("size") - F.col("ahead")) % F.col("size")).alias("seq"), F.col("p").alias("atom_id"), "size"
     )
-    ring = ring.select("view", "low", "size", F.posexplode(path).alias("seq", "atom_id"))
-    return ring.select("view", "low", F.col("seq").cast("long").alias("seq"), "atom_id", "size")
 
 
 def ring_edges(rings: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -55,6 +56,28 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Store:
+    """Tables of rounds: written beside the checkpoints like those of
+    ``cut_lineage``, and deleted once no later plan reads them."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def write(self, df: DataFrame) -> DataFrame:
+        path = f"{checkpoint_dir(self.spark)}/table-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(out)] = (path, out)
+        return out
+
+    def drop(self, *tables: DataFrame | None) -> None:
+        for t in tables:
+            path, _ = self.paths.pop(id(t), (None, None))
+            if path is not None:
+                p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+                p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Hash partition with the session's shuffle width.
 
@@ -70,3 +93,24 @@ def bounded(df: DataFrame, max_bytes: int = 64 << 20) -> DataFrame:
     of its columns); a larger one is returned as it is, for a shuffled join."""
     d = cut_lineage(df)
     return F.broadcast(d) if d.count() * d._jdf.schema().defaultSize() <= max_bytes else d
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Hand this package to the Python workers, once for each application. Spark
+    copies the file; a job that was submitted with the package loses nothing."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    top = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="honeyframe-"), "honeyframe.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(top):
+            for n in names:
+                if n.endswith(".py"):
+                    full = os.path.join(folder, n)
+                    z.write(full, os.path.join("honeyframe", os.path.relpath(full, top)))
+    sc.addPyFile(path)
+    _SHIPPED.add(sc.applicationId)
