@@ -39,7 +39,7 @@ from pyspark.taskcontext import TaskContext
 
 from honeyframe.llm.common import ROW_BITS, Written
 
-LEAST, WIDTH, EVERY = 400, 16, 40
+LEAST, WIDTH, EVERY = 400, 16, 28
 STEP = 4
 BLOCK = 1 << 22
 
@@ -511,6 +511,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kept = store.write(_with(blocks, _hits(rows, _often(rows, ["k0"], 2), F.col("k0"))).select("block", "ids", "sizes", "data", "hits").mapInArrow(_split, _KEEP), "uncompressed")
     store.drop(blocks)
     store.drop(rows)
+    del blocks, rows
+    store.free()
     live = kept.where("live")
 
     rows = store.write(live.select("block", "sizes", "data", "alive").mapInArrow(_phrases, "k0 binary, block long, at binary, n long"))
@@ -543,6 +545,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     leads = store.write(leads)
     store.drop(needs)
     store.drop(rows)
+    del rows, needs, lead, ranks, behind
+    store.free()
     rows = store.write(_with(_with(levels, first), leads, "leads").mapInArrow(_gap_keys, _TWO))
     second = store.write(_hits(rows, _often(rows, both, 2), F.col("at")))
     for t in (rows, leads, parse):
