@@ -255,18 +255,66 @@ def active_pixels(spark, sf):
 
 
 _FACTORS = (0.5, 0.9, 1.0, 1.1, 2.0)
+# two models that keep their weights
+_HELD = "CASE m WHEN 2 THEN 'Fixed' WHEN 5 THEN 'Lattice' ELSE 'Continue' END"
+_WT = f"""wst AS (SELECT m, weight, {_HELD} AS state FROM weights),
+fre AS (SELECT m, weight FROM wst WHERE state = 'Continue'), kp AS (SELECT coalesce(sum(weight), 0) AS kept FROM wst WHERE state <> 'Continue')"""
 
 
-@query("weight_search", with_(*BASE, MARG, WEIGHTS, f"""
-tw AS (SELECT m, weight AS w, f AS factor, least(greatest(weight * f, 0.0001), 0.9999) AS t FROM weights, (VALUES {', '.join(f'({f}::DOUBLE)' for f in _FACTORS)}) x(f)),
-tv AS (SELECT tw.m, factor, t, k.m AS mk, CASE WHEN k.m = tw.m THEN t ELSE k.weight * (1 - t) / (1 - w) END AS wt FROM tw, weights k),
-ts AS (SELECT m, factor, t, sum(l) AS total FROM (SELECT tv.m, factor, t, sf_id, log2(sum(wt * 2 ** (marg + 40))) - 40 AS l FROM tv JOIN marg ON marg.m = mk GROUP BY ALL) GROUP BY ALL)""", body="""
+def _held_weights(spark, sf):
+    state = F.when(F.col("m") == 2, "Fixed").when(F.col("m") == 5, "Lattice").otherwise("Continue")
+    return weights(spark, sf).withColumn("state", state)
+
+
+_TRIED = """tv AS (SELECT tr.m, factor, t, k.m AS mk, CASE WHEN k.m = tr.m THEN t WHEN k.state <> 'Continue' THEN k.weight
+    ELSE k.weight * (1 - t - kept) / (SELECT sum(weight) FROM fre WHERE fre.m <> tr.m) END AS wt FROM tr, wst k, kp),
+ts AS (SELECT m, factor, t, sum(l) AS total FROM (SELECT tv.m, factor, t, sf_id, log2(sum(wt * 2 ** (marg + 40))) - 40 AS l FROM tv JOIN marg ON marg.m = mk GROUP BY ALL) GROUP BY ALL)"""
+
+
+@query("weight_search", with_(*BASE, MARG, WEIGHTS, _WT, f"""
+tr AS (SELECT m, f AS factor, least(greatest(weight * f, 0.0001), 0.9999) AS t FROM fre, (VALUES {', '.join(f'({f}::DOUBLE)' for f in _FACTORS)}) x(f))""", _TRIED, body="""
 SELECT m, factor, round(t, 6) AS weight, round(total, 3) AS total, row_number() OVER (PARTITION BY m ORDER BY round(total, 6) DESC, factor) = 1 AS best FROM ts"""))
 def weight_search(spark, sf):
-    d = M.weight_search(_marg(spark, sf), weights(spark, sf), _FACTORS)
+    d = M.weight_search(_marg(spark, sf), _held_weights(spark, sf), _FACTORS)
     return d.select("m", "factor", r6("weight").alias("weight"), F.round("total", 3).alias("total"), "best")
 
 
+_GRID = 200
+
+
+@query("best_weights", with_(*BASE, MARG, WEIGHTS, _WT, f"""
+tr AS (SELECT m, g AS factor, 0.0001 + g * {0.9998 / _GRID!r}::DOUBLE AS t FROM fre, range({_GRID + 1}) x(g))""", _TRIED, body="""
+SELECT m, CAST(arg_max(factor, (round(total, 6), -factor)) AS BIGINT) AS place, round(max(total), 3) AS total FROM ts WHERE t + (SELECT kept FROM kp) < 1 GROUP BY m"""))
+def best_weights(spark, sf):
+    """The best weight of each free model by Newton steps, and from it the best place on
+    a grid: as the likelihood is concave, one of the two places beside it."""
+    marg, w = cut_lineage(_marg(spark, sf)), _held_weights(spark, sf)
+    step = 0.9998 / _GRID
+    kept = w.filter("state <> 'Continue'").agg(F.coalesce(F.sum("weight"), F.lit(0.0))).first()[0]
+    at = M.best_weights(marg, w).select("m", ((F.col("weight") - 0.0001) / step).alias("p"))
+    near = at.select("m", F.explode(F.array(F.floor("p"), F.floor("p") + 1)).alias("place")).filter((F.col("place") <= _GRID) & (0.0001 + F.col("place") * step + kept < 1))
+    near = near.withColumn("weight", 0.0001 + F.col("place") * step)
+    t = M.weight_totals(M.weight_terms(marg, w), near).join(near, ["m", "weight"])
+    best = t.groupBy("m").agg(F.max(F.struct(F.round("total", 6).alias("r"), (-F.col("place")).alias("p"))).alias("b"))
+    return best.select("m", (-F.col("b.p")).alias("place"), F.round("b.r", 3).alias("total"))
+
+
+@query("accept_ties", with_(HX, MODELS, "pos AS (SELECT DISTINCT hp, x, y, z FROM hx)", _NBM, EDITS, """
+sc AS (SELECT e.*, (m * 7 + hp * 13 + new) % 5 - 3.0::DOUBLE AS gain, abs(new - mean) < abs(old - mean) AS smooths FROM edits e JOIN nmean USING (m, hp)),
+th AS (SELECT *, gain > 0 OR (gain = 0 AND smooths) AS good, row_number() OVER (PARTITION BY m, hp ORDER BY gain DESC, edit) AS place FROM sc QUALIFY place <= 3)""", body="""
+SELECT 'pixel' AS kind, m, hp, edit, gain, place, good FROM th
+UNION ALL SELECT 'model', m, NULL, arg_max(edit, (gain, -edit)), max(gain), NULL, NULL FROM sc WHERE gain > 0 OR (gain = 0 AND smooths) GROUP BY m"""))
+def accept_ties(spark, sf):
+    """The three best trials of each pixel, and the best of each model, with ties that
+    only count where they smooth. Gains are made from the places."""
+    m = models_xz(spark, sf)
+    e = M.smoothing(edits_of(m), m, N)
+    e = e.withColumn("gain", (F.col("m") * 7 + F.col("hp") * 13 + F.col("new")) % 5 - F.lit(3.0))
+    e = cut_lineage(e)
+    px = M.best_three(e, "smooths").select(F.lit("pixel").alias("kind"), "m", "hp", "edit", "gain", F.col("place").cast("long").alias("place"), "good")
+    return px.unionByName(M.accept_edits(e, "smooths").select(F.lit("model").alias("kind"), "m", "edit", "gain"), allowMissingColumns=True)
+
+
 def _clone_sql(n):
     if n == 0:
         new = "SELECT CASE WHEN m > 4 THEN m - 3 ELSE m END AS m, hp, level, weight FROM b WHERE m NOT BETWEEN 2 AND 4"
@@ -346,10 +394,16 @@ def fractional_rotation(spark, sf):
 
 @query("reconstruct")
 def reconstruct(spark, sf):
+    """Expectation and edit rounds from the group means: the history, the final models and
+    the final weights. Model 0 is the lattice and stays."""
     s, m, t = _tables(spark, sf)
-    models, shares, history = M.reconstruct(s, m.select("m", "hp", "level"), weights(spark, sf), t, N, N, 0.0, 10.0, LEVELS)
-    rounds = spark.createDataFrame([("round", h["round"], h["total"], h["accepted"]) for h in history], "kind string, round int, total double, accepted boolean")
+    w = weights(spark, sf).withColumn("state", F.when(F.col("m") == 0, "Lattice").otherwise("Continue"))
+    models, shares, history = M.reconstruct(s, m.select("m", "hp", "level"), w, t, N, N, 0.0, 10.0, LEVELS)
+    rounds = spark.createDataFrame(
+        [("round", h["round"], h["phase"], h["total"], h["accepted"], h["edits"]) for h in history],
+        "kind string, round int, phase string, total double, accepted boolean, edits int",
+    )
     return (
         rounds.unionByName(models.select(F.lit("model").alias("kind"), "m", "hp", "level"), allowMissingColumns=True)
-        .unionByName(shares.select(F.lit("weight").alias("kind"), "m", "weight"), allowMissingColumns=True)
+        .unionByName(shares.select(F.lit("weight").alias("kind"), "m", "weight", "state"), allowMissingColumns=True)
     )

@@ -21,9 +21,9 @@ from honeyframe.functions import hexgrid as H, tables as T
 from honeyframe.functions.numbers import exp2
 from honeyframe.operators.numbering import scalar
 from honeyframe.operators.pixels import neighbor_join, offsets_within
-from honeyframe.operators.runs import parabola_vertex
+from honeyframe.operators.runs import finish_models, parabola_vertex
 from honeyframe.operators.symmetry import expand_orbit
-from honeyframe.session import bounded, cut_lineage, spread
+from honeyframe.session import Store, bounded, cut_lineage, spread
 
 LN2 = math.log(2.0)
 
@@ -72,7 +72,7 @@ def _summed(orb: DataFrame, gains: DataFrame, base: dict[int, float] | None = No
     whatever the number of models, and models only become rows after the sum. A value
     without gains is an error: it would drop out of the likelihood in silence.
     """
-    g = cut_lineage(gains)
+    g = gains
     models = sorted(base) if base is not None else sorted(r["m"] for r in g.select("m").distinct().collect())
     missing = F.raise_error(F.lit("a value of the data has no row in the probability table")).cast("double")
     out = None
@@ -264,9 +264,7 @@ def home_pixels(spark: SparkSession, n: int) -> DataFrame:
     return d.filter(H.in_home("x", "y", "z", n)).select(H.hex_index("x", "z", n).alias("hp"), "x", "z")
 
 
-def edit_deltas(
-    sf: DataFrame, edits: DataFrame, table: DataFrame, n: int, bond: int, max_bytes: int = 64 << 20
-) -> tuple[DataFrame, DataFrame]:
+class EditPosts:
     """What edits (edit, m, hp, old, new) change in the likelihoods.
 
     ``owner`` (edit, m, base): the change of an empty frame, the same for all
@@ -276,35 +274,40 @@ def edit_deltas(
     The changed pixels are moved under the copies, not the frames: each (place, value)
     of the data gets the posting list of the edits that look at it, and a frame's
     pixel meets its list only. Lists are cut by edits into parts whose measured size
-    can be broadcast.
+    can be broadcast. Frames that lie by sub-frame are not shuffled.
     """
-    spark = sf.sparkSession
-    old = table.select(F.col("level").alias("old"), "value", F.col("lp").alias("_lo"))
-    new = table.select(F.col("level").alias("new"), "value", F.col("lp").alias("_ln"))
-    step = edits.join(old, "old").join(new, ["new", "value"]).select(
-        "edit", "m", "hp", "value", ((F.col("_ln") - F.col("_lo")) / LN2).alias("_d")
-    )
-    step = cut_lineage(step)  # edits x values
-    zero = step.filter(F.col("value") == 0).select("edit", "hp", F.col("_d").alias("_z"))
-    owner = edits.select("edit", "m").distinct().join(zero.groupBy("edit").agg(F.sum("_z").alias("base")), "edit")
-    gains = step.join(zero, ["edit", "hp"]).filter((F.col("value") > 0) & (F.col("_d") != F.col("_z"))).select(
-        "edit", "m", "hp", "value", (F.col("_d") - F.col("_z")).alias("_g")
-    )
-    moved = expand_orbit(gains.join(F.broadcast(home_pixels(spark, n)), "hp"), n, bond, keys=["edit", "m"], carry=["value", "_g"])
-    item = F.struct("edit", "m", "sym", "_g")
-    posts = cut_lineage(moved.groupBy("hp", "value").agg(F.collect_list(item).alias("_of"), F.count(F.lit(1)).alias("_n")))
-    size = (posts.agg(F.sum("_n")).first()[0] or 0) * 40
-    parts = max(1, -(-size // max_bytes))
-    data = sf.filter(F.col("value") > 0).select("sf_id", "hp", "value")
-    out = None
-    for k in range(parts):
-        lists = posts.drop("_n")
-        if parts > 1:
-            lists = lists.withColumn("_of", F.filter("_of", lambda e: F.pmod(F.xxhash64(e["edit"]), F.lit(parts)) == k)).filter(F.size("_of") > 0)
-        d = data.join(F.broadcast(lists), ["hp", "value"]).select("sf_id", F.inline("_of"))
-        d = d.groupBy("sf_id", "edit", "m", "sym").agg(F.sum("_g").alias("delta"))
-        out = d if out is None else out.unionByName(d)
-    return owner, out
+
+    def __init__(self, edits: DataFrame, table: DataFrame, n: int, bond: int, store: Store, max_bytes: int = 64 << 20):
+        old = table.select(F.col("level").alias("old"), "value", F.col("lp").alias("_lo"))
+        new = table.select(F.col("level").alias("new"), "value", F.col("lp").alias("_ln"))
+        step = edits.join(old, "old").join(new, ["new", "value"]).select(
+            "edit", "m", "hp", "value", ((F.col("_ln") - F.col("_lo")) / LN2).alias("_d")
+        )
+        step = store.write(step)  # edits x values
+        zero = step.filter(F.col("value") == 0).select("edit", "hp", F.col("_d").alias("_z"))
+        self.owner = store.write(edits.select("edit", "m").distinct().join(zero.groupBy("edit").agg(F.sum("_z").alias("base")), "edit"))
+        gains = step.join(zero, ["edit", "hp"]).filter((F.col("value") > 0) & (F.col("_d") != F.col("_z"))).select(
+            "edit", "m", "hp", "value", (F.col("_d") - F.col("_z")).alias("_g")
+        )
+        moved = expand_orbit(gains.join(F.broadcast(home_pixels(edits.sparkSession, n)), "hp"), n, bond, keys=["edit", "m"], carry=["value", "_g"])
+        self.posts = store.write(moved.groupBy("hp", "value").agg(F.collect_list(F.struct("edit", "m", "sym", "_g")).alias("_of"), F.count(F.lit(1)).alias("_n")))
+        self.parts = max(1, -(-(self.posts.agg(F.sum("_n")).first()[0] or 0) * 40 // max_bytes))
+        store.drop(step)
+
+    def deltas(self, sf: DataFrame, only: DataFrame | None = None) -> list[DataFrame]:
+        """One table for each part of the edits, or one of ``only`` some edits."""
+        data, lists, out = sf.filter(F.col("value") > 0).select("sf_id", "hp", "value"), self.posts.drop("_n"), []
+        if only is not None:
+            rows = lists.select("hp", "value", F.inline("_of")).join(F.broadcast(only), "edit", "left_semi")
+            lists = rows.groupBy("hp", "value").agg(F.collect_list(F.struct("edit", "m", "sym", "_g")).alias("_of"))
+        for k in range(1 if only is not None else self.parts):
+            mine = lists
+            if only is None and self.parts > 1:
+                part = F.filter("_of", lambda e: F.pmod(F.xxhash64(e["edit"]), F.lit(self.parts)) == k)
+                mine = lists.withColumn("_of", part).filter(F.size("_of") > 0)
+            d = data.join(F.broadcast(mine), ["hp", "value"]).select("sf_id", F.inline("_of"))
+            out.append(d.groupBy("sf_id", "edit", "m", "sym").agg(F.sum("_g").alias("delta")))
+        return out
 
 
 def _both(a: Column, b: Column, weighted: bool) -> Column:
@@ -336,43 +339,65 @@ def frame_terms(marg: DataFrame, weights: DataFrame | None = None) -> DataFrame:
     return d.select("sf_id", "m", "marg", "own", others.alias("others"))
 
 
-def marginal_changes(ll: DataFrame, terms: DataFrame, deltas: DataFrame, n_sym: int) -> DataFrame:
-    """(sf_id, edit, m, change) of the marginal likelihoods by ``deltas``.
+def _frame_rows(ll: DataFrame, terms: DataFrame) -> DataFrame:
+    """One row per sub-frame: the share of each copy in its model (model by model), and
+    for each model its marginal, own term and the others'."""
+    shares = ll.join(terms, ["sf_id", "m"]).withColumn("share", exp2(F.col("ll") - F.col("marg")))
+    d = shares.groupBy("sf_id").agg(F.sort_array(F.collect_list(F.struct("m", "sym", "share", "marg", "own", "others"))).alias("_a"))
+    first = F.filter("_a", lambda e: e["sym"] == 0)
+    return d.select("sf_id", F.transform("_a", lambda e: e["share"]).alias("_shares"), first.alias("_models"))
 
-    Only copies with a delta are read: the others keep what is left of the sum. Where
-    they hold less than a millionth of it, that difference has no digits left
-    and all copies of the sub-frame are summed.
+
+def score_with(
+    sf: DataFrame, ll: DataFrame, terms: DataFrame, posts: EditPosts, n_sym: int, weighted: bool, store: Store
+) -> DataFrame:
+    """(edit, m, total, gain) of the edits behind ``posts``.
+
+    Copies without counts at changed places only differ by the base of an edit. So of
+    a marginal only the copies with a delta are read, and the others keep what is left
+    of the sum; where that is less than a millionth, the difference has no digits
+    left, and all copies are summed. Sub-frames without any delta are summed as they
+    are, and the others put right.
     """
-    d = deltas.join(ll, ["sf_id", "m", "sym"]).join(terms.select("sf_id", "m", "marg"), ["sf_id", "m"])
-    share = exp2(F.col("ll") - F.col("marg"))
-    s = d.groupBy("sf_id", "edit", "m").agg(
-        F.sum(share).alias("_had"), F.sum(share * exp2(F.col("delta"))).alias("_has"), F.count(F.lit(1)).alias("_n"), F.max("marg").alias("marg"),
-    )
-    left = F.when(F.col("_n") == n_sym, 0.0).otherwise(1 - F.col("_had"))
-    s = cut_lineage(s.withColumn("_left", left).withColumn("_hard", (F.col("_n") < n_sym) & (F.col("_left") < 1e-6)))
-    plain = s.filter(~F.col("_hard")).select("sf_id", "edit", "m", F.log2(F.col("_left") + F.col("_has")).alias("change"))
-    hard = s.filter("_hard").select("sf_id", "edit", "m", "marg")
-    if hard.isEmpty():
-        return plain
-    d = hard.join(ll, ["sf_id", "m"]).join(deltas, ["sf_id", "edit", "m", "sym"], "left")
-    d = d.withColumn("_v", F.col("ll") + F.coalesce("delta", F.lit(0.0)))
-    d = d.withColumn("_t", F.max("_v").over(W.partitionBy("sf_id", "edit")))  # the copies
-    d = d.groupBy("sf_id", "edit", "m").agg((F.max("_t") + F.log2(F.sum(exp2(F.col("_v") - F.col("_t")))) - F.max("marg")).alias("change"))
-    return plain.unionByName(d)
-
-
-def _scored(ll, terms, owner, deltas, n_sym: int, weighted: bool) -> DataFrame:
-    """(edit, m, total, gain). Sub-frames without a delta only differ by the base of
-    an edit; they are summed where they lie, and the others are put right."""
-    base = bounded(owner)
+    models = sorted(r["m"] for r in terms.select("m").distinct().collect())  # one row per model
+    base = bounded(posts.owner)
     own, others = F.col("own") + F.col("base"), F.col("others")
     every = terms.join(base, "m").groupBy("edit", "m").agg(
         F.sum(_both(others, own, weighted)).alias("_t"), F.sum(_both(others, F.col("own"), weighted)).alias("_b")
     )
-    c = marginal_changes(ll, terms, deltas, n_sym).join(terms, ["sf_id", "m"]).join(base.select("edit", "base"), "edit")
+    place = F.create_map(*[F.lit(x) for i, m in enumerate(models) for x in (m, i)])
+    frames = store.write(_frame_rows(ll, terms))
+    found = []
+    for d in posts.deltas(sf):
+        d = d.join(frames.hint("shuffle_hash"), "sf_id").withColumn("_i", F.element_at(place, F.col("m")))
+        share = F.get("_shares", F.col("_i") * n_sym + F.col("sym"))
+        per = d.groupBy("sf_id", "edit", "m").agg(
+            F.sum(share).alias("_had"), F.sum(share * exp2(F.col("delta"))).alias("_has"), F.count(F.lit(1)).alias("_n"),
+            F.first(F.get("_models", F.col("_i"))).alias("_of"),
+        )
+        left = F.when(F.col("_n") == n_sym, 0.0).otherwise(1 - F.col("_had"))
+        found.append(store.write(per.select(
+            "sf_id", "edit", "m", left.alias("_left"), "_has", ((F.col("_n") < n_sym) & (left < 1e-6)).alias("_hard"), "_of.marg", "_of.own", "_of.others"
+        )))
+    some = found[0]
+    for f in found[1:]:
+        some = some.unionByName(f)
+    change = some.filter(~F.col("_hard")).select("sf_id", "edit", "m", "own", "others", F.log2(F.col("_left") + F.col("_has")).alias("change"))
+    hard = some.filter("_hard").select("sf_id", "edit", "m", "marg", "own", "others")
+    if not hard.isEmpty():
+        deltas = posts.deltas(sf, hard.select("edit").distinct())[0]
+        d = hard.join(ll, ["sf_id", "m"]).join(deltas, ["sf_id", "edit", "m", "sym"], "left")
+        d = d.withColumn("_v", F.col("ll") + F.coalesce("delta", F.lit(0.0)))
+        d = d.withColumn("_t", F.max("_v").over(W.partitionBy("sf_id", "edit")))  # the copies
+        change = change.unionByName(d.groupBy("sf_id", "edit", "m").agg(
+            F.max("own").alias("own"), F.max("others").alias("others"),
+            (F.max("_t") + F.log2(F.sum(exp2(F.col("_v") - F.col("_t")))) - F.max("marg")).alias("change"),
+        ))
     right = _both(others, own + F.col("change"), weighted) - _both(others, own, weighted)
-    some = c.groupBy("edit", "m").agg(F.sum(right).alias("_t"), F.lit(0.0).alias("_b"))
-    return every.unionByName(some).groupBy("edit", "m").agg(F.sum("_t").alias("total"), (F.sum("_t") - F.sum("_b")).alias("gain"))
+    put = change.join(base.select("edit", "base"), "edit").groupBy("edit", "m").agg(F.sum(right).alias("_t"), F.lit(0.0).alias("_b"))
+    out = store.write(every.unionByName(put).groupBy("edit", "m").agg(F.sum("_t").alias("total"), (F.sum("_t") - F.sum("_b")).alias("gain")))
+    store.drop(frames, *found)
+    return out
 
 
 def score_edits(
@@ -380,10 +405,13 @@ def score_edits(
     weights: DataFrame | None = None,
 ) -> DataFrame:
     """Total likelihood after each proposed edit (edit, m, hp, old, new): (edit, m,
-    total, gain). Only counts at changed places are looked at (``edit_deltas``)."""
-    owner, deltas = edit_deltas(spread(sf, "sf_id"), edits, table, n, bond)
-    terms = cut_lineage(frame_terms(marg, weights))
-    return _scored(ll, terms, cut_lineage(owner), cut_lineage(deltas), 12 * len(H.lattice_points(n, bond)), weights is not None)
+    total, gain). Only counts at changed places are looked at (``EditPosts``)."""
+    store = Store(sf.sparkSession)
+    terms = store.write(frame_terms(marg, weights))
+    posts = EditPosts(edits, table, n, bond, store)
+    out = score_with(spread(sf, "sf_id"), ll, terms, posts, 12 * len(H.lattice_points(n, bond)), weights is not None, store)
+    store.drop(terms, posts.owner, posts.posts)
+    return out
 
 
 def neighbor_means(models: DataFrame, n: int) -> DataFrame:
@@ -467,24 +495,37 @@ def propose_blobs(edits: DataFrame, models: DataFrame, n: int, levels: int, late
     return s.select("edit", "m", "hp", F.col("level").alias("old"), new.alias("new")).filter(F.col("new") != F.col("old"))
 
 
+def smoothing(edits: DataFrame, models: DataFrame, n: int) -> DataFrame:
+    """Edits (edit, m, hp, old, new) with ``smooths``: the new level is nearer to the
+    mean of the pixel and its neighbours than the old one."""
+    means = neighbor_means(models, n).join(models.select("m", "x", "z", "hp"), ["m", "x", "z"]).select("m", "hp", "mean")
+    near = F.abs(F.col("new") - F.col("mean")) < F.abs(F.col("old") - F.col("mean"))
+    return edits.join(means, ["m", "hp"]).select(*edits.columns, near.alias("smooths"))
+
+
+def _gains(smooths: str | None) -> tuple[Column, Column]:
+    """Rounded gain, and whether an edit is good: it gains, or ties and smooths."""
+    g = F.round("gain", 9)
+    return g, (g > 0) | ((g == 0) & F.col(smooths) if smooths else F.lit(False))
+
+
 def accept_edits(scores: DataFrame, smooths: str | None = None) -> DataFrame:
     """Best edit of each model among those that gain, or tie and smooth.
 
     Edits of one model change the same likelihoods, so one per model and round
     is taken; models do not conflict.
     """
-    g = F.round("gain", 9)
-    ok = g > 0
-    if smooths:
-        ok = ok | ((g == 0) & F.col(smooths))
+    g, ok = _gains(smooths)
     best = F.max(F.struct(g.alias("g"), (-F.col("edit")).alias("ne"), "gain")).alias("b")
     return scores.filter(ok).groupBy("m").agg(best).select("m", (-F.col("b.ne")).alias("edit"), "b.gain")
 
 
-def best_three(scores: DataFrame) -> DataFrame:
-    """The three best trials of each model pixel."""
-    w = W.partitionBy("m", "hp").orderBy(F.round("gain", 9).desc(), "edit")
-    return scores.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= 3)
+def best_three(scores: DataFrame, smooths: str | None = None) -> DataFrame:
+    """The three best trials (edit, m, hp, ..., gain) of each model pixel, with their
+    ``place``, and whether they could be accepted."""
+    g, ok = _gains(smooths)
+    w = W.partitionBy("m", "hp").orderBy(g.desc(), "edit")
+    return scores.withColumns({"place": F.row_number().over(w), "good": ok}).filter(F.col("place") <= 3)
 
 
 def apply_edits(models: DataFrame, edits: DataFrame) -> DataFrame:
@@ -559,6 +600,80 @@ def weight_search(marg: DataFrame, weights: DataFrame, factors: tuple[float, ...
     order = W.partitionBy("m").orderBy(F.round("total", 6).desc(), "factor")  # one row per factor
     return s.withColumn("best", F.row_number().over(order) == 1)
 
+
+def weight_terms(marg: DataFrame, weights: DataFrame) -> DataFrame:
+    """(sf_id, m, a, b, top): a sub-frame's likelihood is ``a * t + b`` times 2^top when
+    model m has weight t and the other free models share the rest as before.
+
+    Models whose ``state`` is Fixed or Lattice keep their weights and are not tried.
+    """
+    held = F.col("state").isin("Fixed", "Lattice") if "state" in weights.columns else F.lit(False)
+    w = weights.select("m", "weight", F.coalesce(held, F.lit(False)).alias("_held"))
+    free = F.when(~F.col("_held"), F.col("weight")).otherwise(0.0)
+    sums = w.agg(F.sum(free).alias("_free"), F.sum(F.col("weight") - free).alias("_kept")).first()
+    each = W.partitionBy("sf_id")  # one row per model
+    d = marg.select("sf_id", "m", "marg").join(bounded(w), "m").withColumn("top", F.max("marg").over(each))
+    d = d.withColumn("_e", exp2(F.col("marg") - F.col("top")))
+    d = d.withColumns({
+        "_all": F.sum(free * F.col("_e")).over(each), "_still": F.sum((F.col("weight") - free) * F.col("_e")).over(each),
+    }).filter(~F.col("_held"))
+    rest = F.nullif(F.lit(sums["_free"]) - F.col("weight"), F.lit(0.0))
+    share = F.coalesce(F.greatest(F.col("_all") - F.col("weight") * F.col("_e"), F.lit(0.0)) / rest, F.lit(0.0))
+    return d.select(
+        "sf_id", "m", (F.col("_e") - share).alias("a"), (F.col("_still") + (1 - F.lit(sums["_kept"])) * share).alias("b"), "top"
+    )
+
+
+def weight_totals(terms: DataFrame, trials: DataFrame) -> DataFrame:
+    """(m, weight, total) of trial weights (m, weight)."""
+    d = terms.join(F.broadcast(trials.select("m", "weight")), "m")
+    mixed = F.greatest(F.col("a") * F.col("weight") + F.col("b"), F.lit(1e-300))
+    return d.groupBy("m", "weight").agg(F.sum(F.col("top") + F.log2(mixed)).alias("total"))
+
+
+def best_weights(
+    marg: DataFrame, weights: DataFrame, only: list[int] | None = None, least: float = 1e-4, most: float = 0.9999, close: float = 1e-9
+) -> DataFrame:
+    """The best weight of each free model (or of ``only`` some) alone: (m, weight, total).
+
+    The likelihood of one weight is concave, so its slope has one zero: Newton steps
+    of all models side by side, two sums each, kept between the last weights with a
+    rising and a falling slope, until none moves by more than ``close``. The state of
+    the search is one row per model.
+    """
+    store = Store(marg.sparkSession)
+    terms = weight_terms(marg, weights)
+    terms = store.write(terms if only is None else terms.filter(F.col("m").isin(only)))
+    rows = weights.select("m", "weight", F.col("state").isin("Fixed", "Lattice").alias("held") if "state" in weights.columns else F.lit(False).alias("held")).collect()
+    most = min(most, 1 - sum(r["weight"] for r in rows if r["held"]))  # what held weights leave
+    at = {r["m"]: min(max(r["weight"], least), most) for r in rows if not r["held"] and (only is None or r["m"] in only)}
+    low, high = dict.fromkeys(at, least), dict.fromkeys(at, most)
+    live = set(at)
+    while live:
+        trials = marg.sparkSession.createDataFrame([(m, at[m]) for m in sorted(live)], "m long, weight double")
+        d = terms.join(F.broadcast(trials), "m")
+        slope = F.col("a") / F.greatest(F.col("a") * F.col("weight") + F.col("b"), F.lit(1e-300))
+        rows = d.groupBy("m").agg(F.sum(slope).alias("s"), F.sum(slope * slope).alias("c")).collect()
+        live &= {r["m"] for r in rows}
+        for r in rows:
+            m, s, c = r["m"], r["s"], r["c"]
+            if s > 0:
+                low[m] = at[m]
+            else:
+                high[m] = at[m]
+            to = at[m] + s / c if c > 0 else at[m]
+            if not low[m] <= to <= high[m]:
+                to = (low[m] + high[m]) / 2 if low[m] < at[m] < high[m] else (most if s > 0 else least)
+                to = min(max(to, low[m]), high[m])
+            if abs(to - at[m]) <= close:
+                live.discard(m)
+            at[m] = to
+    out = weight_totals(terms, marg.sparkSession.createDataFrame(sorted(at.items()), "m long, weight double"))
+    out = cut_lineage(out)
+    store.drop(terms)
+    return out
+
+
 def clone_models(models: DataFrame, weights: DataFrame, first: int, last: int, copies: int) -> tuple[DataFrame, DataFrame]:
     """Delete (0), swap the ends of (1) or copy the models first..last.
 
@@ -645,45 +760,232 @@ def fractional_rotation(models: DataFrame, step: int, steps: int, n: int) -> Dat
 # -- the loop -----------------------------------------------------------------------
 
 
+class Reconstruction:
+    """Models, weights and the likelihoods that belong to them.
+
+    ``ll`` (sf_id, m, sym, ll) and ``marg`` (sf_id, m, marg) are written tables. An
+    expectation step makes them anew; edits change them by their deltas: copies of
+    edited models by the base of the edit, and by the counts at changed places.
+    """
+
+    def __init__(self, sf: DataFrame, models: DataFrame, weights: DataFrame, table: DataFrame, n: int, bond: int):
+        self.spark, self.table, self.n, self.bond = sf.sparkSession, table, n, bond
+        self.store = Store(self.spark)
+        self.sf = self.store.write(spread(sf.select("sf_id", "x", "z", "hp", "value"), "sf_id"))
+        self.n_sym = 12 * len(H.lattice_points(n, bond))
+        if "state" not in weights.columns:
+            weights = weights.withColumn("state", F.lit("Continue"))
+        self.weights = self.store.write(weights.select("m", "weight", "state"))
+        self.models = self.store.write(models.select("m", "hp", "level").join(home_pixels(self.spark, n), "hp").select("m", "hp", "x", "z", "level"))
+        self.frames = self.sf.select("sf_id").distinct().count()
+        self.ll, self.marg, self.total = self.evaluate(self.models, self.weights)
+
+    def evaluate(self, models: DataFrame, weights: DataFrame):
+        ll = self.store.write(baseline_loglik(self.sf, models.select("m", "hp", "level"), self.table, self.n, self.bond))
+        marg = self.store.write(marginal_loglik(ll))
+        return ll, marg, self.total_of(marg, weights)
+
+    def total_of(self, marg: DataFrame, weights: DataFrame) -> float:
+        return mixture_loglik(marg, weights, self.n_sym).first()["total"]
+
+    def take(self, total: float, **tables: DataFrame) -> None:
+        """New tables for old ones, which are deleted."""
+        for name, t in tables.items():
+            self.store.drop(getattr(self, name))
+            setattr(self, name, t)
+        self.total = total
+
+    # -- expectation -----------------------------------------------------------------
+
+    def expectation(self, low: float, high: float, levels: int) -> float:
+        """One step of all models and weights; returns the gain, and takes nothing
+        where there is none. Models that are the lattice or finished stay, as do fixed weights."""
+        em = em_models(self.sf, self.ll, responsibilities(self.marg), self.n, self.bond, low, high, levels).select("m", "hp", F.col("level").alias("_em"))
+        still = self.weights.filter(F.col("state").isin("Lattice", "Finished")).select("m", F.lit(True).alias("_still"))
+        d = self.models.join(em, ["m", "hp"], "left").join(bounded(still), "m", "left")
+        # a model without any weight keeps its image
+        level = F.when(F.col("_still"), F.col("level")).otherwise(F.coalesce("_em", "level"))
+        models = self.store.write(d.select("m", "hp", "x", "z", level.alias("level")))
+        share = weights_from_cases(assign_cases(self.marg), self.models).select("m", F.greatest("weight", F.lit(1e-4)).alias("_w"))
+        held = F.col("state").isin("Fixed", "Lattice")
+        w = cut_lineage(self.weights.join(share, "m"))
+        sums = w.agg(F.coalesce(F.sum(F.when(held, F.col("weight"))), F.lit(0.0)), F.sum(F.when(~held, F.col("_w")))).first()
+        new = F.when(held, F.col("weight")).otherwise(F.col("_w") * F.lit((1 - sums[0]) / (sums[1] or 1.0)))
+        weights = self.store.write(w.select("m", new.alias("weight"), "state"))
+        ll, marg, total = self.evaluate(models, weights)
+        gain = total - self.total
+        if gain > 0:
+            self.take(total, models=models, weights=weights, ll=ll, marg=marg)
+        else:
+            self.store.drop(models, weights, ll, marg)
+        return gain
+
+    # -- edits -----------------------------------------------------------------------
+
+    def score(self, edits: DataFrame) -> tuple[DataFrame, EditPosts]:
+        """Scores of single-pixel edits, with the posting lists behind them."""
+        posts = EditPosts(edits, self.table, self.n, self.bond, self.store)
+        terms = self.store.write(frame_terms(self.marg, self.weights))
+        scores = score_with(self.sf, self.ll, terms, posts, self.n_sym, True, self.store)
+        self.store.drop(terms)
+        return scores, posts
+
+    def accept(self, edits: DataFrame, posts: EditPosts) -> float:
+        """Take edits (edit, m, hp, new) of different pixels all at once if the
+        likelihood rises; it is kept up from their deltas. Returns the gain."""
+        chosen = edits.select("edit")
+        edited = bounded(posts.owner.join(F.broadcast(chosen), "edit").groupBy("m").agg(F.sum("base").alias("_base")))
+        moved = posts.deltas(self.sf, chosen)[0].groupBy("sf_id", "m", "sym").agg(F.sum("delta").alias("_delta"))
+        new = self.store.write(self.ll.join(edited, "m").join(moved, ["sf_id", "m", "sym"], "left").select(
+            "sf_id", "m", "sym", (F.col("ll") + F.col("_base") + F.coalesce("_delta", F.lit(0.0))).alias("ll")
+        ))
+        marg = self.store.write(self.marg.join(edited, "m", "left_anti").unionByName(marginal_loglik(new)))
+        total = self.total_of(marg, self.weights)
+        gain = total - self.total
+        if gain > 0:
+            ll = self.store.write(self.ll.join(edited, "m", "left_anti").unionByName(new))
+            models = self.store.write(apply_edits(self.models, edits))
+            self.take(total, models=models, ll=ll, marg=marg)
+        else:
+            self.store.drop(marg)
+        self.store.drop(new)
+        return gain
+
+    def tune_weight(self, m: int) -> float:
+        """The best weight of one model; the others share the rest."""
+        best = {r["m"]: r["weight"] for r in best_weights(self.marg, self.weights, [m]).collect()}
+        rows = {r["m"]: (r["weight"], r["state"]) for r in self.weights.collect()}
+        if m not in best:
+            return 0.0
+        kept = sum(w for w, s in rows.values() if s in ("Fixed", "Lattice"))
+        free = sum(w for k, (w, s) in rows.items() if s not in ("Fixed", "Lattice") and k != m)
+        scale = max(1 - kept - best[m], 0.0) / free if free else 0.0
+        new = [(k, w if s in ("Fixed", "Lattice") else best[m] if k == m else w * scale, s) for k, (w, s) in rows.items()]
+        weights = self.store.write(self.spark.createDataFrame(new, "m long, weight double, state string"))
+        gain = self.total_of(self.marg, weights) - self.total
+        if gain > 0:
+            self.take(self.total + gain, weights=weights)
+        else:
+            self.store.drop(weights)
+        return max(gain, 0.0)
+
+    def finish(self, tried: list[tuple[int, int, bool]], limit: int) -> None:
+        """Models that failed more than ``limit`` rounds in a row are finished."""
+        if not tried:
+            return
+        history = self.spark.createDataFrame(tried, "m long, step int, accepted boolean")
+        done = finish_models(history, limit).filter(F.col("state") == "Finished").select("m", F.lit(True).alias("_done"))
+        state = F.when(F.col("_done") & ~F.col("state").isin("Lattice", "Fixed"), "Finished").otherwise(F.col("state"))
+        self.take(self.total, weights=self.store.write(self.weights.join(done, "m", "left").select("m", "weight", state.alias("state"))))
+
+
+def _edit_ids(trials: DataFrame, n: int, levels: int) -> DataFrame:
+    """Trials (m, hp, old, new), each once and numbered by itself."""
+    number = (F.col("m") * (3 * n * n) + F.col("hp")) * levels + F.col("new")
+    return trials.select(number.cast("long").alias("edit"), "m", "hp", "old", F.col("new").cast("long").alias("new")).dropDuplicates(["edit"])
+
+
+def edit_rounds(
+    state: Reconstruction, levels: int, rounds: int | None, min_gain: float, fail_limit: int = 1, reach: int = 1,
+) -> list[dict]:
+    """Rounds of single-pixel edits until all models are finished, a round gains less
+    than ``min_gain`` for each sub-frame, or the caller's number.
+
+    A round tries the active pixels: the mean of their neighbourhood and steps of up to
+    ``reach``, and where a pixel was tried before, the next level of its line search. The
+    three best trials of a pixel are kept for that. The best good trials of all pixels of
+    a model are taken at once if the total rises; else the best quarter of them, and
+    so on down to one of each model; else the best of all. Then one model's weight is tuned. Changes make a pixel and its
+    neighbours active again. The total never falls.
+    """
+    spark, store, n = state.spark, state.store, state.n
+    activity = store.write(state.models.select("m", "hp", "x", "z", F.lit(96).alias("activity")))
+    kept, history, tried, r = None, [], [], 0
+    while rounds is None or r < rounds:
+        r += 1
+        before = state.total
+        open_ = sorted(x["m"] for x in state.weights.filter(~F.col("state").isin("Finished", "Lattice")).select("m").collect())
+        if not open_:
+            break
+        active = store.write(active_pixels(activity, state.weights, n).join(activity.select("m", "hp", "x", "z"), ["m", "hp"]))
+        pixels = active.filter("active")
+        trials = propose_steps(state.models, pixels, n, levels, reach).select("m", "hp", "old", "new")
+        if kept is not None:
+            going = kept.join(pixels.select("m", "hp"), ["m", "hp"], "left_semi").join(
+                state.models.select("m", "hp", F.col("level").alias("_now")), ["m", "hp"]
+            ).filter(F.col("old") == F.col("_now"))
+            more = refine_steps(going.select("m", "hp", "old", "new", "gain"), levels)
+            trials = trials.unionByName(more.filter(F.col("new") != F.col("old")).select("m", "hp", "old", "new"))
+        edits = store.write(smoothing(_edit_ids(trials, n, levels), state.models, n))
+        if edits.isEmpty():
+            store.drop(activity, edits)
+            activity = store.write(active.select("m", "hp", "x", "z", "activity"))
+            store.drop(active)
+            continue
+        scores, posts = state.score(edits)
+        three = store.write(best_three(scores.join(edits, ["edit", "m"]), "smooths"))
+        store.drop(kept)
+        kept = three
+        good = three.filter("good and place = 1")
+        by_gain = W.partitionBy("m").orderBy(F.round("gain", 9).desc(), "edit")
+        good = store.write(good.withColumn("nr", F.row_number().over(by_gain)))
+        most = good.agg(F.max("nr")).first()[0] or 0
+        took = None
+        while most and took is None:
+            tier = store.write(good.filter(F.col("nr") <= most).select("edit", "m", "hp", "new"))
+            if state.accept(tier, posts) > 0:
+                took = tier
+            else:
+                store.drop(tier)
+                most //= 4
+        if took is None:
+            tier = store.write(good.filter("gain > 0").orderBy(F.desc("gain"), "edit").limit(1).select("edit", "m", "hp", "new"))
+            if not tier.isEmpty() and state.accept(tier, posts) > 0:
+                took = tier
+        hit = set() if took is None else {x["m"] for x in took.select("m").distinct().collect()}
+        tested = {x["m"] for x in edits.select("m").distinct().collect()}
+        tried += [(m, sum(1 for t in tried if t[0] == m), m in hit) for m in sorted(tested)]
+        # a change is rewarded where it is and around it
+        paid = active.select("m", "hp", "x", "z", "activity")
+        if took is not None:
+            at = took.join(state.models.select("m", "hp", "x", "z"), ["m", "hp"])
+            spill = neighbor_join(at, n, list(H.NEIGHBOURS), keys=["m"], carry=[]).groupBy("m", "x", "z").agg((16 * F.count(F.lit(1))).alias("_near"))
+            paid = paid.join(at.select("m", "hp", F.lit(96).alias("_own")), ["m", "hp"], "left").join(spill, ["m", "x", "z"], "left")
+            paid = paid.select("m", "hp", "x", "z", (F.col("activity") + F.coalesce("_own", F.lit(0)) + F.coalesce("_near", F.lit(0))).alias("activity"))
+        fresh = store.write(paid.withColumn("activity", F.col("activity").cast("int")))
+        count = 0 if took is None else took.count()
+        store.drop(activity, active, edits, scores, posts.owner, posts.posts, good, took)
+        activity = fresh
+        state.tune_weight(open_[r % len(open_)])
+        state.finish(tried, fail_limit)
+        gain = state.total - before
+        history.append({"round": r, "phase": "edit", "total": state.total, "accepted": gain > 0, "edits": count})
+        if 0 < gain < min_gain * state.frames:
+            break
+    store.drop(activity, kept)
+    return history
+
+
 def reconstruct(
     sf: DataFrame, models: DataFrame, weights: DataFrame, table: DataFrame, n: int, bond: int, low: float, high: float,
-    levels: int, rounds: int | None = None, min_gain: float = 1e-6,
+    levels: int, rounds: int | None = None, min_gain: float = 1e-4, fail_limit: int = 1,
 ) -> tuple[DataFrame, DataFrame, list[dict]]:
-    """Expectation rounds until a round no longer gains, or the caller's number.
+    """Models (m, hp, level), weights (m, weight, state) and the history: expectation
+    rounds until one gains less than ``min_gain`` (log2) for each sub-frame, then edit
+    rounds (``edit_rounds``). The total itself is no measure: its zero is the table's offset.
 
-    A round that does not raise the likelihood is discarded, so the history
-    never falls. Models and weights are cut from their lineage every round;
-    the per-copy likelihoods are written once per round and read by the three
-    steps that need them.
+    A round that does not raise the likelihood is discarded, so the history never
+    falls. ``rounds`` limits each of the two phases on request. ``weights`` may have a
+    ``state``: Lattice models and finished ones are not edited, Fixed and Lattice weights stay.
     """
-    sf = spread(sf.select("sf_id", "x", "z", "hp", "value"), "sf_id")
-    n_sym = 12 * len(H.lattice_points(n, bond))
-
-    def evaluate(models, weights):
-        ll = cut_lineage(baseline_loglik(sf, models, table, n, bond))
-        marg = cut_lineage(marginal_loglik(ll))
-        return ll, marg, mixture_loglik(marg, weights, n_sym).first()["total"]
-
-    models, weights = cut_lineage(models), cut_lineage(weights)
-    ll, marg, total = evaluate(models, weights)
-    history = [{"round": 0, "total": total, "accepted": True}]
+    state = Reconstruction(sf, models, weights, table, n, bond)
+    history = [{"round": 0, "phase": "em", "total": state.total, "accepted": True, "edits": 0}]
     r = 0
     while rounds is None or r < rounds:
         r += 1
-        em = em_models(sf, ll, responsibilities(marg), n, bond, low, high, levels).select("m", "hp", "level")
-        # a model without any weight keeps its image
-        kept = models.select("m", "hp", "level").join(em.select("m", "hp"), ["m", "hp"], "left_anti")
-        new_models = cut_lineage(em.unionByName(kept))
-        share = weights_from_cases(assign_cases(marg), models)
-        floor_ = F.greatest(F.col("weight"), F.lit(1e-4))
-        new_weights = share.select("m", floor_.alias("weight"))
-        new_weights = cut_lineage(new_weights.select("m", (F.col("weight") / scalar(new_weights, F.sum("weight"))).alias("weight")))
-        new_ll, new_marg, new_total = evaluate(new_models, new_weights)
-        gain = new_total - total
-        history.append({"round": r, "total": new_total, "accepted": gain > 0})
-        if gain <= 0:
-            break
-        models, weights, ll, marg, total = new_models, new_weights, new_ll, new_marg, new_total
-        if gain < min_gain * abs(total):
+        gain = state.expectation(low, high, levels)
+        history.append({"round": r, "phase": "em", "total": state.total + min(gain, 0.0), "accepted": gain > 0, "edits": 0})
+        if gain < min_gain * state.frames:
             break
-    return models, weights, history
+    history += [h | {"round": h["round"] + r} for h in edit_rounds(state, levels, rounds, min_gain, fail_limit)]
+    return state.models.select("m", "hp", "level"), state.weights, history

@@ -193,19 +193,30 @@ def trace_rings(bonds: DataFrame, atoms: DataFrame) -> DataFrame:
         "e", "nx", F.col("nx").alias("jump"), F.col("e").alias("low"), F.lit(0).cast("long").alias("ahead")
     ))
     width, closed = 1, []
+
+    def names(d):
+        """Closed faces: the bond after the name sees the name again."""
+        first = d.filter(F.col("e") == F.col("low")).select(F.col("nx").alias("e"), F.col("low").alias("_m"))
+        return d.select("e", "low").join(first, "e").filter(F.col("low") == F.col("_m")).select("low")
+
     while not state.isEmpty():
-        far = state.select(F.col("e").alias("jump"), F.col("jump").alias("_j"), F.col("low").alias("_l"), F.col("ahead").alias("_a"))
-        ahead = F.when(F.col("_l") < F.col("low"), F.col("_a") + width).otherwise(F.col("ahead"))
-        d = store.write(state.join(far, "jump").select("e", "nx", F.col("_j").alias("jump"), F.least("low", "_l").alias("low"), ahead.alias("ahead")))
+        here = state.select(F.col("e").alias("jump"), F.col("jump").alias("_j"), F.col("low").alias("_l"), F.col("ahead").alias("_a"))
+        d = state
+        for k in (1, 2, 3):  # three looks ahead in one job make the pointer four times as long
+            ahead = F.when(F.col("_l") < F.col("low"), F.col("_a") + k * width).otherwise(F.col("ahead"))
+            d = d.join(here, "jump").select("e", "nx", F.col("_j").alias("jump"), F.least("low", "_l").alias("low"), ahead.alias("ahead"))
+        d = store.write(d)
         store.drop(state)
-        state, width = d, 2 * width
-        if width < 8:  # most faces are rings of five to seven
+        state, width = d, 4 * width
+        if width == 4:  # most faces are rings of five to seven
             continue
-        first = state.filter(F.col("e") == F.col("low")).select(F.col("nx").alias("e"), F.col("low").alias("_m"))
-        names = store.write(state.select("e", "low").join(first, "e").filter(F.col("low") == F.col("_m")).select("low"))
-        closed.append(store.write(state.join(names, "low", "left_semi").select("e", "low", "ahead")))
-        rest = store.write(state.join(names, "low", "left_anti").select("e", "nx", "jump", "low", "ahead"))
-        store.drop(state, names)
+        done = store.write(names(state))
+        if width > 16 and done.count() < state.filter(F.col("e") == F.col("low")).count():
+            store.drop(done)
+            continue  # a few long borders: they leave together
+        closed.append(store.write(state.join(done, "low", "left_semi").select("e", "low", "ahead")))
+        rest = store.write(state.join(done, "low", "left_anti").select("e", "nx", "jump", "low", "ahead"))
+        store.drop(state, done)
         state = rest
     if not closed:
         return o.select("view", F.struct(F.col("p").alias("u"), F.col("q").alias("v")).alias("low"), F.col("h").alias("seq"), F.col("p").alias("atom_id"), F.col("h").alias("size"))
