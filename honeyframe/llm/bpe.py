@@ -62,8 +62,8 @@ def decode_ids(encoded: DataFrame, ranks: str, pattern: str) -> DataFrame:
 def round_trip(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256``: digests of the ids and of
     what they decode to, made in one pass. Null and empty texts have no tokens
-    and the digests of nothing; repeated rows give repeated rows; other columns
-    are not read."""
+    and the digests of nothing; repeated rows give repeated rows; a long text is encoded
+    whole, part by part; other columns are not read."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
     def run(batches):

@@ -358,8 +358,8 @@ def near_vectors(table: DataFrame, cosine: float = 0.95, id_col: str = "vec_id",
     non-finite components link with nothing; neither do vectors of different
     length. Equal vectors are links of one another; repeated rows count as rows
     of their own. A null id counts as a link but names no component, unless it
-    stands alone. Other columns are not read; an empty table gives an empty
-    result.
+    stands alone. A cosine of exactly ``cosine`` is a link. Other columns are not read; an
+    empty table gives an empty result.
     """
     spark = table.sparkSession
     store = Written(spark)

@@ -190,8 +190,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Of equal texts the row with the largest id stays, null ids being smallest;
     of repeated rows (same id and text) one stays. A null text is an empty one,
-    so null and empty texts are one group. Other columns are not read. An empty
-    table gives an empty result.
+    so null and empty texts are one group. A long text is one entry, compared whole.
+    Other columns are not read. An empty table gives an empty result.
     """
     members, index = build_index(docs, id_col, text_col, **options)
     return members.join(index, "entry").select(

@@ -291,7 +291,8 @@ def identify(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     ``doc_id, held_out, lang_pred, score``.
 
     Null labels and texts teach nothing; a null id is never held out; repeated
-    rows are predicted each; an empty table gives an empty result.
+    rows are predicted each; long texts are read whole; of equally likely languages the
+    first by name is given; an empty table gives an empty result.
     """
     model = train(docs.where(~held_out(id_col)), path, lang_col, text_col, id_col, **options)
     return predict(docs, model, path, id_col, text_col).withColumn("held_out", held_out("doc_id")).select("doc_id", "held_out", "lang_pred", "score")

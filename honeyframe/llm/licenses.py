@@ -130,8 +130,8 @@ def scan_licenses(
     the line of the statement, null for a whole licence file. Of equal scores the
     first line wins, of several licence files of one directory the best score,
     then the smallest path. A null text is empty; a null path has no ancestors;
-    repeated rows give repeated rows; other columns are not read; an empty table
-    gives an empty result.
+    repeated rows give repeated rows; a long text is read line by line, to its end;
+    other columns are not read; an empty table gives an empty result.
     """
     spark = files.sparkSession
     rows = files.select(F.col(path_col).cast("string").alias("path"), F.col(text_col).cast("string").alias("text"), F.col(id_col).cast("long").alias("doc_id"))

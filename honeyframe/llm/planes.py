@@ -191,7 +191,8 @@ def write_and_read(docs: DataFrame, tokenizer: str, store: Written | None = None
 
     A null text is empty and holds the end id alone; null ids come first;
     repeated ids follow each other in the order of their texts; an empty table
-    writes no file and reads back as no row; other columns are not read.
+    writes no file and reads back as no row; the ids of a long text go on through as
+    many blocks as they fill; other columns are not read.
     """
     store = store or Written(docs.sparkSession)
     path = store.path()

@@ -235,8 +235,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     sets. Null, empty and wordless texts have empty sets and no link: they are
     components of their own. A row with a null id takes part like any other; its
     group is named by the other ids, and it is kept only if there are none.
-    Repeated rows are linked and share an id. Other columns are not read; an
-    empty table gives an empty result.
+    Repeated rows are linked and share an id. A very long text has a large set, held whole
+    by the task that compares it. Other columns are not read; an empty table
+    gives an empty result.
     """
     spark = docs.sparkSession
     store = Written(spark)

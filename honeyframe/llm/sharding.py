@@ -108,7 +108,8 @@ def shard_documents(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", te
     for the order of the groups. A null text has size 1 and is in the group of
     the empty text. Slots number the rows of a shard without gaps; null ids and
     repeated rows have slots of their own. ``grown_shard`` is null under this
-    law. Other columns are not read; an empty table gives an empty result.
+    law. A text of any length is one size and one digest. Other columns are not read; an
+    empty table gives an empty result.
     """
     spark = docs.sparkSession
     store = Written(spark)
