@@ -73,8 +73,8 @@ def smallest_capacity(sums: RunningSums, shards: int, ways: int = 16) -> int:
     while low < high:
         tries = sorted({low + (high - low) * i // ways for i in range(ways)})
         reached = [0] * len(tries)
-        for _ in range(shards):  # a walk that has reached the end finds no sum beyond it and stays there
-            reached = [max(r, n) for r, n in zip(reached, sums.at_most([r + c for r, c in zip(reached, tries)]))]
+        for _ in range(shards):  # no sum lies beyond the end, so a walk looks up to it at most
+            reached = sums.at_most([min(r + c, sums.total) for r, c in zip(reached, tries)])
         good = [c for c, r in zip(tries, reached) if r == sums.total]
         bad = [c for c, r in zip(tries, reached) if r < sums.total]
         high = min(good, default=high)

@@ -604,3 +604,46 @@ def test_licenses_of_documents(spark, sf, docs, texts):
         assert own == (best >= 0.8) or "LICENSE" in got[d]["path"]
         if own and got[d]["line"] is not None:
             assert got[d]["score"] == pytest.approx(best, abs=1e-9)
+
+
+class _Sums:
+    """Running sums of group sizes in memory, with the look-ups of the written ones."""
+
+    def __init__(self, sizes):
+        self.upto = np.cumsum(sizes).tolist()
+        self.total, self.largest = self.upto[-1], max(sizes)
+
+    def at_most(self, limits):
+        return [max((u for u in self.upto if t - self.largest < u <= t), default=0) for t in limits]
+
+    def at_least(self, limit):
+        return 0 if limit <= 0 else min(u for u in self.upto if limit <= u)
+
+
+@pytest.mark.parametrize("share", [0, 5, 20, 90])
+def test_capacity_is_the_smallest(share):
+    """Also where one group has a large share of all bytes."""
+    rng = np.random.default_rng(share)
+    for _ in range(300):
+        sizes = rng.integers(1, 60, int(rng.integers(1, 70))).tolist()
+        if share:
+            sizes[int(rng.integers(0, len(sizes)))] += sum(sizes) * share // (100 - share)
+        best = best_capacity(sizes, 8)
+        sums = _Sums(sizes)
+        assert sharding.smallest_capacity(sums, 8) == best
+        cuts = [0, *sharding.cut_sums(sums, 8, best), sums.total]
+        assert max(b - a for a, b in zip(cuts, cuts[1:])) == best
+
+
+def test_shards_with_a_hot_text(spark):
+    ship(spark)
+    table = [(i, "hot text " * 20) for i in range(40)] + [(100 + i, "t" * (3 + i * 7 % 41)) for i in range(60)]
+    d = spark.createDataFrame(table, "doc_id long, text string")
+    keys = {r["doc_id"]: r["k"] for r in d.select("doc_id", F.xxhash64("text").alias("k")).collect()}
+    size = Counter()
+    for i, t in table:
+        size[keys[i]] += len(t) + 1
+    load = Counter()
+    for r in sharding.shard_documents(d).collect():
+        load[r["shard"]] += r["size"]
+    assert max(load.values()) == best_capacity([size[k] for k in sorted(size)], 8)
