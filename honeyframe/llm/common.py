@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -50,12 +49,6 @@ class Written:
         self.paths[id(out)] = (path, out)
         return out
 
-    def free(self) -> None:
-        """Let Spark delete the shuffle files of plans that nobody holds any more; it does
-        so when the driver collects its garbage, which a large heap puts off."""
-        gc.collect()
-        self.spark._jvm.System.gc()
-
     def drop(self, df: DataFrame | None) -> None:
         path, _ = self.paths.pop(id(df), (None, None))
         if path is not None:

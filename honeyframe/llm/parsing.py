@@ -22,9 +22,9 @@ trigger, some whole phrases, and the beginning of another phrase.
    *open* and ordered too, and with them all places elsewhere that stand before the
    same phrase; of closed gaps with one text, one stands for all.
 
-Steps 1, 3 and 4 send one row for a key and block, with the places of the key in it;
-counts are aggregates and rows come back by joins, so that a frequent phrase is at
-most one row for each block. Keys of step 4 are 128-bit digests of what is named above.
+All steps send one row for a key and block, with the places of the key in it, so a
+frequent phrase is at most one row for each block. Ranks come back by joins; places are
+sorted once, by range partitions in which equal neighbours repeat. Keys of step 4 are 128-bit digests of what is named above.
 Rounds end when no two neighbouring ranges fit in a string.
 """
 
@@ -34,7 +34,7 @@ import struct
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.taskcontext import TaskContext
 
 from honeyframe.llm.common import ROW_BITS, Written
@@ -460,6 +460,62 @@ def _whole(batches):
 # -- jobs ------------------------------------------------------------------------------
 
 
+def _neighbours(keys: int):
+    """Rows in the order of their keys in, those of keys that repeat out. The first and
+    last row of a partition are edges: their neighbours may be in another one."""
+
+    def run(batches):
+        held, before, first = None, False, True  # the last row so far, and whether it equals the one before it
+
+        def out(t: pa.Table, edge: bool):
+            return t.append_column("edge", pa.array(np.full(len(t), edge))).combine_chunks().to_batches()
+
+        def as_edge(row: pa.Table, repeats: bool):
+            at = row.schema.get_field_index("n")
+            return out(row.set_column(at, "n", pa.array([2], pa.int64())) if repeats else row, True)
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t = pa.Table.from_batches([b])
+            if held is not None:
+                t = pa.concat_tables([held, t])
+            same = np.ones(len(t) - 1, bool)
+            for k in range(keys):
+                c = t.column(k).to_numpy()
+                same &= c[1:] == c[:-1]
+            prev, after = np.r_[before, same], np.r_[same, False]
+            repeats = prev | after | (t.column("n").to_numpy() > 1)
+            if first and len(t) > 1:
+                yield from as_edge(t.slice(0, 1), bool(repeats[0]))
+            take = np.flatnonzero(repeats[:-1])
+            if first:
+                take = take[take > 0]
+            if len(t) > 1:
+                first = False
+            if len(take):
+                yield from out(t.take(pa.array(take)), False)
+            held, before = t.slice(len(t) - 1), bool(prev[-1])
+        if held is not None:
+            yield from as_edge(held, before or held.column("n")[0].as_py() > 1)
+
+    return run
+
+
+def _repeated(rows: DataFrame, keys: list[str], what: str, store: Written) -> DataFrame:
+    """``block, hits``: ``what`` the rows say whose keys repeat. All rows are sorted once,
+    by range partitions of keys and blocks, so that a frequent key lies in many of
+    them; equal neighbours repeat, and two rows of each partition are compared with those of others."""
+    placed = rows.repartitionByRange(*keys, "block").sortWithinPartitions(*keys)
+    found = store.write(placed.mapInArrow(_neighbours(len(keys)), T.StructType([*rows.schema.fields, T.StructField("edge", T.BooleanType())])))
+    edges = found.where("edge")
+    met = edges.groupBy(*keys).agg(F.sum("n").alias("all")).where(F.col("all") > 1).select(*keys)
+    hits = found.where("not edge").unionByName(edges.join(met, keys, "left_semi"))
+    out = store.write(hits.groupBy("block").agg(F.collect_list(what).alias("hits")))
+    store.drop(found)
+    return out
+
+
 def _often(rows: DataFrame, keys: list[str], least: int) -> DataFrame:
     """Keys whose numbers ``n`` come to ``least`` or more."""
     return rows.groupBy(*keys).agg(F.sum("n").alias("n")).where(F.col("n") >= least).select(*keys)
@@ -508,11 +564,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     place = F.struct("at", "rank")
     blocks = store.write(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(_blocks(block_bytes), _BLOCK), "uncompressed")
     rows = store.write(blocks.select("block", "sizes", "data").mapInArrow(_digests, "k0 long, block long, n long"))
-    kept = store.write(_with(blocks, _hits(rows, _often(rows, ["k0"], 2), F.col("k0"))).select("block", "ids", "sizes", "data", "hits").mapInArrow(_split, _KEEP), "uncompressed")
-    store.drop(blocks)
-    store.drop(rows)
-    del blocks, rows
-    store.free()
+    again = _repeated(rows, ["k0"], "k0", store)
+    kept = store.write(_with(blocks, again).select("block", "ids", "sizes", "data", "hits").mapInArrow(_split, _KEEP), "uncompressed")
+    for t in (blocks, rows, again):
+        store.drop(t)
     live = kept.where("live")
 
     rows = store.write(live.select("block", "sizes", "data", "alive").mapInArrow(_phrases, "k0 binary, block long, at binary, n long"))
@@ -534,7 +589,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     both = ["k0", "k1"]
     levels = live.select("block", "sizes", "data").join(parse.select("block", "levels"), "block")
     rows = store.write(levels.mapInArrow(_anchor_keys, _TWO))
-    first = store.write(_hits(rows, _often(rows, both, 2), F.col("at")))
+    first = _repeated(rows, both, "at", store)
     store.drop(rows)
     rows = store.write(_with(parse, first).select("block", "ends", "at", "levels", "hits").mapInArrow(_needs, "k0 long, block long, n long"))
     needs = store.write(_hits(rows, _often(rows, ["k0"], 1), F.col("k0")))
@@ -545,10 +600,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     leads = store.write(leads)
     store.drop(needs)
     store.drop(rows)
-    del rows, needs, lead, ranks, behind
-    store.free()
     rows = store.write(_with(_with(levels, first), leads, "leads").mapInArrow(_gap_keys, _TWO))
-    second = store.write(_hits(rows, _often(rows, both, 2), F.col("at")))
+    second = _repeated(rows, both, "at", store)
     for t in (rows, leads, parse):
         store.drop(t)
     cut = _with(_with(live, first, "first"), second, "second").select("ids", "sizes", "data", "first", "second").mapInArrow(_cut, _OUT)

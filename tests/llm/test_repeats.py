@@ -60,6 +60,21 @@ def test_triggers_do_not_depend_on_pieces():
     assert (P.triggers(data, 64) == P.triggers(data)).all()
 
 
+@pytest.mark.parametrize("sizes", [[9], [1] * 9, [2, 3, 4], [4, 0, 5]])
+def test_equal_neighbours_in_sorted_batches(sizes):
+    import pyarrow as pa
+
+    keys = np.array([1, 2, 2, 3, 4, 4, 4, 5, 6])
+    n = np.array([1, 1, 1, 3, 1, 1, 1, 1, 1])
+    ends = np.cumsum(sizes)
+    batches = [pa.RecordBatch.from_arrays([pa.array(keys[e - m : e]), pa.array(np.arange(9)[e - m : e]), pa.array(n[e - m : e])], names=["k0", "block", "n"]) for m, e in zip(sizes, ends)]
+    got = [r for b in P._neighbours(1)(iter(batches)) for r in b.to_pylist()]
+    assert sorted(r["block"] for r in got if not r["edge"]) == [1, 2, 3, 4, 5, 6]
+    assert sorted((r["block"], r["n"]) for r in got if r["edge"]) == [(0, 1), (8, 1)]
+    one = [r for b in P._neighbours(1)(iter([batches[-1].slice(sizes[-1] - 1)])) for r in b.to_pylist()]
+    assert [(r["block"], r["edge"]) for r in one] == [(8, True)]
+
+
 def edits(rng, text, n):
     t = list(text)
     for _ in range(n):
