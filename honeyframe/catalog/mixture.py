@@ -197,7 +197,18 @@ def propose_steps(spark, sf):
     return d.select("m", "hp", "old", F.col("new").cast("long"), F.col("trial").cast("long"))
 
 
-@query("refine_steps")
+@query("refine_steps", with_(*BASE, MARG, WEIGHTS, EDITS, _SCORE, """
+tr AS MATERIALIZED (SELECT e.m, hp, old, new, gain FROM edits e JOIN score USING (edit)),
+rp AS (SELECT m, hp, new AS x, gain AS y FROM tr UNION ALL SELECT DISTINCT m, hp, old, 0.0 FROM tr),
+rk AS (SELECT *, row_number() OVER (PARTITION BY m, hp ORDER BY y DESC, x) AS k FROM rp),
+r3 AS (SELECT m, hp, max(x) FILTER (k = 1) AS x1, max(x) FILTER (k = 2) AS x2, max(x) FILTER (k = 3) AS x3,
+  max(y) FILTER (k = 1) AS y1, max(y) FILTER (k = 2) AS y2, max(y) FILTER (k = 3) AS y3 FROM rk WHERE k <= 3 GROUP BY m, hp),
+rd AS (SELECT *, nullif((x1 - x2) * (x2 - x3) * (x1 - x3), 0) AS det FROM r3),
+rc AS (SELECT *, ((y1 - y2) * (x2 - x3) - (y2 - y3) * (x1 - x2)) / det AS a, ((y2 - y3) * (x1 + x2) * (x1 - x2) - (y1 - y2) * (x2 + x3) * (x2 - x3)) / det AS b FROM rd),
+rv AS (SELECT m, hp, CASE WHEN coalesce(y1 > y2 AND y2 > y3 AND a < 0, FALSE) THEN -b / (2 * a) ELSE (x1 + coalesce(x2, x1)) / 2.0 END AS v FROM rc),
+rf AS (SELECT m, hp, any_value(old) AS old, arg_max(new, (round(gain, 9), -new)) AS best, max(gain) AS g, max(abs(new - old)) AS far FROM tr GROUP BY m, hp)""", body="""
+SELECT m, hp, old, CAST(least(greatest(CASE WHEN g > 0 AND abs(best - old) = far THEN old + 2 * (best - old) ELSE round(v) END, 0), 15) AS BIGINT) AS new,
+  g > 0 AND abs(best - old) = far AS doubling FROM rf JOIN rv USING (m, hp)"""))
 def refine_steps(spark, sf):
     d, e, m = _scores(spark, sf)
     trials = d.select("edit", "gain").join(e, "edit").select("m", "hp", "old", "new", "gain")

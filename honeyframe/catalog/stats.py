@@ -46,7 +46,7 @@ def classes(spark, sf):
 
 def hist(spark, sf):
     """The class histogram, written once: all that follows reads only it."""
-    return cut_lineage(S.value_histogram(classes(spark, sf), "class"))
+    return cut_lineage(S.value_histogram(classes(spark, sf), "class", fill=True))
 
 
 def moments(spark, sf):

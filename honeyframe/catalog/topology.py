@@ -213,7 +213,24 @@ def signatures(spark, sf):
     return T.ring_signature(r, a, T.defect_seeds(r))
 
 
-@query("ring_signature")
+_TURN = "(({x}) - 2 * pi() * floor(({x}) / (2 * pi())))"
+
+
+@query("ring_signature", "WITH RECURSIVE " + MESH.replace("rings AS (", "rings AS MATERIALIZED (").replace("links AS (", "links AS MATERIALIZED (").replace("rin AS (", "rin AS MATERIALIZED (") + """,
+seeds AS (SELECT atom_id AS seed FROM (SELECT atom_id, list_sort(list(size)) AS s FROM rings JOIN rin USING (ring_id) WHERE interior GROUP BY atom_id) WHERE s = [5, 6, 7]),
+walk(seed, level, now, before) AS (
+  SELECT seed, 0, list(ring_id), []::BIGINT[] FROM seeds JOIN rings ON atom_id = seed GROUP BY seed
+  UNION ALL SELECT seed, level + 1, list(DISTINCT o), now FROM (
+    SELECT seed, level, now, before, unnest(now) AS r FROM walk WHERE NOT EXISTS (SELECT 1 FROM rin WHERE NOT interior AND list_contains(now, ring_id))) w
+    JOIN links USING (r) WHERE NOT list_contains(now, o) AND NOT list_contains(before, o) GROUP BY seed, level, now, before),
+cen AS (SELECT ring_id, avg(x) AS x, avg(y) AS y FROM rings JOIN atoms USING (atom_id) GROUP BY ring_id),
+ang AS MATERIALIZED (SELECT seed, level, w.ring_id, size, interior, atan2(c.y - a.y, c.x - a.x) AS t FROM (SELECT seed, level, unnest(now) AS ring_id FROM walk) w
+  JOIN rin USING (ring_id) JOIN cen c USING (ring_id) JOIN atoms a ON a.atom_id = seed),
+st AS (SELECT seed, l[1].t AS t0, l[2].t AS t1 FROM (SELECT seed, list_sort(list({'size': size, 't': round(t, 9)})) AS l FROM ang WHERE level = 0 GROUP BY seed)),
+od AS (SELECT seed, level, ring_id, size, interior, CASE WHEN level = 0 THEN size ELSE round(""" + _TURN.format(x="CASE WHEN " + _TURN.format(x="t1 - t0") + " <= pi() THEN 1 ELSE -1 END * (t - t0) + 1e-7") + """, 6) END AS k FROM ang JOIN st USING (seed)),
+ln AS (SELECT seed, level, string_agg(CAST(size AS VARCHAR), '-' ORDER BY k, ring_id) AS line, bool_and(interior) AS inside FROM od GROUP BY seed, level),
+en AS (SELECT seed, min(level) AS stop FROM ln WHERE NOT inside GROUP BY seed)
+SELECT 0 AS view, seed, level, line FROM ln LEFT JOIN en USING (seed) WHERE stop IS NULL OR level < stop""")
 def ring_signature(spark, sf):
     return signatures(spark, sf)
 

@@ -4,16 +4,17 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from honeyframe.functions import hexgrid as H, lattice as L
 from honeyframe.operators import pixels as P
 from honeyframe.operators.numbering import number_rows
-from honeyframe.session import cut_lineage
+from honeyframe.operators.search import GEOMETRY, CellScore, refine, zoom
+from honeyframe.session import cut_lineage, ship
 
 # Relative and angular half widths of the search box per level.
 WIDTHS = ((0.005, math.pi / 360), (0.02, math.pi / 90), (0.04, math.pi / 45), (0.08, math.pi / 22.5))
-GEOMETRY = ("hel", "tilt", "excent", "phi", "off_x", "off_y")
 
 
 def candidate_grid(params: DataFrame, kind: int, width: int, rank: int, scale: Column | float = 1.0) -> DataFrame:
@@ -62,14 +63,24 @@ def score_candidates(
     return g.join(q, keys, "left").withColumn("score", F.col("contrast") * F.coalesce("positionQ", F.lit(0.0)))
 
 
-def _best(grid: DataFrame, scores: DataFrame) -> DataFrame:
-    """Best candidate per frame; the present lattice on a tie or without any
-    score."""
-    d = grid.join(scores.select("frame_id", "cand", "score"), ["frame_id", "cand"], "left")
-    d = d.withColumn("score", F.coalesce("score", F.lit(0.0)))
-    cols = [c for c in d.columns if c not in ("frame_id", "score")]
-    pick = F.max_by(F.struct(*cols, "score"), F.struct(F.round("score", 9), -F.col("cand"))).alias("b")
-    return d.groupBy("frame_id").agg(pick).select("frame_id", *[F.col(f"b.{c}").alias(c) for c in (*cols, "score")])
+def _search(pixels: DataFrame, params: DataFrame, run, extra: list[T.StructField], *, bond, res, width, height, sub, shape) -> DataFrame:
+    """A search of each frame in one grouped call: pixels and lattices of a frame meet by
+    one shuffle, and only numbers of the frame itself are used. A frame without
+    pixels keeps its lattice with score 0."""
+    ship(pixels.sparkSession)
+    fields = [params.schema["frame_id"], *(T.StructField(g, T.DoubleType()) for g in GEOMETRY), T.StructField("score", T.DoubleType()), *extra]
+
+    def frame(left: pa.Table, right: pa.Table) -> pa.Table:
+        x, y, value, mask = (left[c].to_numpy() for c in ("x", "y", "value", "mask"))
+        cells = CellScore(x, y, value, mask, bond, res, width, height, sub, shape)
+        rows = [run(cells, {g: r[g] for g in GEOMETRY}) for r in right.to_pylist()]
+        found = [right["frame_id"], *(pa.array([r[0][g] for r in rows], pa.float64()) for g in GEOMETRY)]
+        found += [pa.array([r[k] for r in rows]) for k in range(1, 2 + len(extra))]
+        return pa.table(found, names=[f.name for f in fields])
+
+    asked = params.select("frame_id", *[F.col(g).cast("double").alias(g) for g in GEOMETRY])
+    seen = pixels.select("frame_id", "x", "y", "value", "mask").join(asked.select("frame_id"), "frame_id", "left_semi")
+    return seen.groupBy("frame_id").cogroup(asked.groupBy("frame_id")).applyInArrow(frame, T.StructType(fields))
 
 
 def coarse_to_fine(
@@ -81,30 +92,10 @@ def coarse_to_fine(
     than one percent. The present lattice is always a candidate, so the score
     does not fall. ``at_edge`` flags a best point on the rim of the first box.
     """
-    state = params.select("frame_id", *GEOMETRY).withColumns({"score": F.lit(0.0), "at_edge": F.lit(False)})
-    state = cut_lineage(state)
-    done = None
-    cycle = 0
-    while True:
-        before = state.select("frame_id", F.col("score").alias("_before"))
-        level_width = max(stability - cycle, 0)
-        for kind in (0, 1):
-            for level in range(levels):
-                grid = candidate_grid(state.drop("score", "edge"), kind, level_width, 1, 0.5**level)
-                scores = score_candidates(pixels, grid, bond, res, width, height, sub, shape)
-                best = _best(grid, scores)
-                edge = F.col("at_edge") | F.col("edge") if level == 0 else F.col("at_edge")
-                state = cut_lineage(best.select("frame_id", *GEOMETRY, "score", edge.alias("at_edge")))
-        d = state.join(before, "frame_id")
-        gain = (F.col("score") - F.col("_before")) / F.nullif(F.col("score"), F.lit(0.0))
-        more = F.coalesce(gain > 0.01, F.lit(False))
-        d = cut_lineage(d.withColumn("_more", more).drop("_before"))
-        ended = d.filter(~F.col("_more")).drop("_more")
-        done = ended if done is None else done.unionByName(ended)
-        state = d.filter("_more").drop("_more")
-        if state.isEmpty():
-            return done
-        cycle += 1
+    return _search(
+        pixels, params, lambda cells, p: zoom(cells, p, WIDTHS, stability, levels), [T.StructField("at_edge", T.BooleanType())],
+        bond=bond, res=res, width=width, height=height, sub=sub, shape=shape,
+    )
 
 
 def coordinate_refine(
@@ -112,37 +103,13 @@ def coordinate_refine(
     sub: int = 1, shape: bool = True, fine: float = 0.2, least: float = 1e-4,
 ) -> DataFrame:
     """Move along one of six axes at a time: every round scores all twelve
-    steps of all frames in one job, takes the best that gains, and halves the
-    steps of a frame on which none does. A frame ends when its steps are below
-    ``least`` and takes no part in later rounds; a move must raise the score by
+    steps, takes the best that gains, and halves the steps where none does. A frame ends
+    when its steps are at ``least`` or below; a move must raise the score by
     more than 1e-9, so the rounds end."""
-    # Step of each parameter in units of the fineness
-    step = {"off_x": "hel", "off_y": "hel", "tilt": 0.1, "hel": "0.1hel", "phi": 0.3, "excent": 0.05}
-
-    def size(axis):
-        s = step[axis]
-        return F.col("hel") if s == "hel" else 0.1 * F.col("hel") if s == "0.1hel" else F.lit(s)
-
-    state = cut_lineage(params.select("frame_id", *GEOMETRY).withColumns({"fine": F.lit(fine), "score": F.lit(0.0)}))
-    done = None
-    while True:
-        moves = [F.struct(F.lit(0).alias("cand"), *[F.col(g).alias(g) for g in GEOMETRY])]
-        for n, axis in enumerate(step):
-            for s, sign in enumerate((1, -1)):
-                moved = {g: F.col(g) for g in GEOMETRY}
-                moved[axis] = F.col(axis) + sign * F.col("fine") * size(axis)
-                moves.append(F.struct(F.lit(1 + 2 * n + s).alias("cand"), *[moved[g].alias(g) for g in GEOMETRY]))
-        grid = state.select("frame_id", "fine", F.inline(F.array(*moves)))
-        best = _best(grid, score_candidates(pixels, grid, bond, res, width, height, sub, shape))
-        moved = F.col("cand") > 0
-        state = cut_lineage(best.select(
-            "frame_id", *GEOMETRY, F.when(moved, F.col("fine")).otherwise(F.col("fine") / 2).alias("fine"), "score"
-        ))
-        ended = state.filter(F.col("fine") <= least).drop("fine")
-        done = ended if done is None else done.unionByName(ended)
-        state = state.filter(F.col("fine") > least)
-        if state.isEmpty():
-            return done
+    return _search(
+        pixels, params, lambda cells, p: refine(cells, p, fine, least), [],
+        bond=bond, res=res, width=width, height=height, sub=sub, shape=shape,
+    )
 
 
 def recenter_offset(params: DataFrame, bond: int, clean_x="clean_x", clean_y="clean_y") -> DataFrame:

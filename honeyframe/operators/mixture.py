@@ -242,16 +242,27 @@ def em_pixel(sf, ll, resp, pixels: DataFrame, n, bond, low, high, levels, mode="
 
 def expected_histogram(ll: DataFrame, sf: DataFrame, models: DataFrame, n: int, bond: int) -> DataFrame:
     """Posterior-weighted counts of (level, value) pairs, divided by the number
-    of model pixels that have the level."""
+    of model pixels that have the level.
+
+    Every pixel of a model sees one value of each copy, so the weight of the value 0 is
+    what the other values leave of the whole: empty pixels never enter the expansion.
+    """
     w = W.partitionBy("sf_id")  # models x copies
     d = ll.withColumn("_e", exp2(F.col("ll") - F.max("ll").over(w)))
-    post = d.select("sf_id", "m", "sym", (F.col("_e") / F.sum("_e").over(w)).alias("w"))
-    orb = expand_orbit(sf, n, bond, inverse=True)
+    post = cut_lineage(d.select("sf_id", "m", "sym", (F.col("_e") / F.sum("_e").over(w)).alias("w")))
+    orb = expand_orbit(sf.filter(F.col("value") > 0), n, bond, inverse=True)
     s = orb.join(post, ["sf_id", "sym"]).groupBy("m", "hp", "value").agg(F.sum("w").alias("_s"))
-    size = models.groupBy("level").agg(F.count(F.lit(1)).alias("_n"))
-    return s.join(models.select("m", "hp", "level"), ["m", "hp"]).groupBy("level", "value").agg(
-        F.sum("_s").alias("_p")
-    ).join(size, "level").select("level", "value", (F.col("_p") / F.col("_n")).alias("p"))
+    some = cut_lineage(s.join(models.select("m", "hp", "level"), ["m", "hp"]).groupBy("level", "value").agg(F.sum("_s").alias("_p")))
+    pixels = models.groupBy("m", "level").agg(F.count(F.lit(1)).alias("_n"))
+    whole = pixels.join(post.groupBy("m").agg(F.sum("w").alias("_w")), "m").groupBy("level").agg(
+        F.sum(F.col("_n") * F.col("_w")).alias("_all"), F.sum("_n").alias("_n")
+    )
+    seen = some.groupBy("level").agg(F.sum("_p").alias("_seen"))
+    rest = F.col("_all") - F.coalesce("_seen", F.lit(0.0))
+    zero = whole.join(seen, "level", "left").filter(rest > 1e-12 * F.col("_all")).select("level", F.lit(0).cast("long").alias("value"), rest.alias("_p"))
+    return some.withColumn("value", F.col("value").cast("long")).unionByName(zero).join(whole.select("level", "_n"), "level").select(
+        "level", "value", (F.col("_p") / F.col("_n")).alias("p")
+    )
 
 
 # -- edits ------------------------------------------------------------------------

@@ -26,16 +26,17 @@ def frame_stats(sf: DataFrame) -> DataFrame:
     return d.withColumn("encoded", F.when(F.col("sf_id").isNotNull(), length))
 
 
-def value_histogram(df: DataFrame, by: str, value: str = "value") -> DataFrame:
-    """n and share p of every value between the overall minimum and maximum,
-    for each class, empty values included."""
+def value_histogram(df: DataFrame, by: str, value: str = "value", fill: bool = False) -> DataFrame:
+    """n and share p of every value of each class. ``fill`` adds the values between the
+    overall minimum and maximum that do not occur, which one far outlier can make many."""
     # written once, so that the data is read once; one row per class and value
     n = cut_lineage(df.groupBy(by, value).agg(F.count(F.lit(1)).alias("n")))
-    lim = n.agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
-    span = F.sequence(scalar(lim, F.col("lo")), scalar(lim, F.col("hi")))
-    grid = n.select(by).distinct().select(by, F.explode(span).alias(value))
-    d = grid.join(n, [by, value], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    return d.withColumn("p", F.col("n") / F.sum("n").over(W.partitionBy(by)))
+    if fill:
+        lim = n.agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
+        span = F.sequence(scalar(lim, F.col("lo")), scalar(lim, F.col("hi")))
+        grid = n.select(by).distinct().select(by, F.explode(span).alias(value))
+        n = grid.join(n, [by, value], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return n.withColumn("p", F.col("n") / F.sum("n").over(W.partitionBy(by)))
 
 
 def sum_image(sf: DataFrame, by: list[str] = ()) -> DataFrame:

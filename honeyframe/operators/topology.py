@@ -13,20 +13,36 @@ import math
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from honeyframe.operators.numbering import number_rows
-from honeyframe.session import Store, cut_lineage
+from honeyframe.session import Store, bounded, cut_lineage
 
 # -- neighbours ------------------------------------------------------------------
 
 
+def _first_radius(src: DataFrame, k: int, max_cell: int) -> DataFrame:
+    """(view, _r, _whole): the width of each view and a radius of its own, halved until
+    no cell of that width holds more than ``max_cell`` points."""
+    store = Store(src.sparkSession)
+    wide = F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"))
+    wide = F.when(wide > 0, wide).otherwise(1.0)
+    size = store.write(src.groupBy("view").agg(wide.alias("_whole"), (wide / F.sqrt(F.greatest(F.count(F.lit(1)) / F.lit(float(k)), F.lit(1.0)))).alias("_r")))
+    while True:
+        d = src.join(bounded(size), "view").groupBy("view", "_r", "_whole", F.floor(F.col("x") / F.col("_r")), F.floor(F.col("y") / F.col("_r"))).agg(F.count(F.lit(1)).alias("n"))
+        full = store.write(d.groupBy("view", "_r", "_whole").agg((F.max("n") > max_cell).alias("_full")))
+        if full.filter("_full").isEmpty():
+            return full.select("view", "_r", "_whole")
+        store.drop(size)
+        size = full.select("view", F.when(F.col("_full"), F.col("_r") / 2).otherwise(F.col("_r")).alias("_r"), "_whole")
+
+
 def knn_candidates(points: DataFrame, k: int = 32, box: tuple[float, float] | None = None, max_cell: int = 256) -> DataFrame:
     """k nearest neighbours of every point (view, id, x, y), nearest first:
     (view, id, other, dist, place, mutual). ``box`` makes the plane periodic.
 
     Rounds of doubling radius: cells as wide as the radius are joined with
     their eight neighbours, and a point is done once it has k others within
-    the radius. The first radius is so small that no cell holds more than
-    ``max_cell`` points; of points at the very same place only the k + 1 with
-    the smallest ids can matter as neighbours.
+    the radius. Each view has a radius of its own, which starts so small that no cell
+    holds more than ``max_cell`` points (or 4k); of points at the very same place only
+    the k + 1 with the smallest ids can matter as neighbours, so such a radius exists.
     """
     w = W.partitionBy("view", "x", "y").orderBy("id")
     src = points.select("view", "id", "x", "y").withColumn("_d", F.row_number().over(w)).filter(F.col("_d") <= k + 1).drop("_d")
@@ -34,46 +50,35 @@ def knn_candidates(points: DataFrame, k: int = 32, box: tuple[float, float] | No
         shifts = F.array(*[F.struct(F.lit(i * box[0]).alias("sx"), F.lit(j * box[1]).alias("sy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
         src = src.select("view", "id", "x", "y", F.inline(shifts)).select("view", "id", (F.col("x") + F.col("sx")).alias("x"), (F.col("y") + F.col("sy")).alias("y"))
     src = cut_lineage(src)
-    span = src.agg(F.max("x") - F.min("x"), F.max("y") - F.min("y"), F.count(F.lit(1))).first()
-    if not span[2]:
+    if src.isEmpty():
         return points.select("view", "id", F.col("id").alias("other"), F.lit(0.0).alias("dist"), F.lit(1).alias("place"), F.lit(True).alias("mutual")).limit(0)
-    whole = max(span[0], span[1]) or 1.0
-    radius = whole / max(1.0, math.sqrt(span[2] / max(k, 1)))
-
-    def cell(c, r):
-        return F.floor(F.col(c) / r)
-
-    # identical places share a cell at any radius, so they set the floor of the limit
-    while radius > whole * 1e-6:
-        top = src.groupBy("view", cell("x", radius), cell("y", radius)).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-        if top <= max(max_cell, 4 * k):
-            break
-        radius /= 2
+    start = bounded(_first_radius(src, k, max(max_cell, 4 * k)))
     near = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
     todo = cut_lineage(points.select("view", "id", "x", "y"))
-    found = None
+    found, grown = None, 1
     while not todo.isEmpty():
-        right = src.select("view", F.col("id").alias("other"), F.col("x").alias("_ox"), F.col("y").alias("_oy"), cell("x", radius).alias("_cx"), cell("y", radius).alias("_cy"))
-        left = todo.withColumns({"_cx": cell("x", radius), "_cy": cell("y", radius)}).select("view", "id", "x", "y", "_cx", "_cy", F.inline(near))
-        left = left.select("view", "id", "x", "y", (F.col("_cx") + F.col("i")).alias("_cx"), (F.col("_cy") + F.col("j")).alias("_cy"))
+        radius = F.col("_r") * grown
+        cells = {"_cx": F.floor(F.col("x") / radius), "_cy": F.floor(F.col("y") / radius)}
+        right = src.join(todo.select("view").distinct(), "view", "left_semi").join(start, "view").withColumns(cells)
+        right = right.select("view", F.col("id").alias("other"), F.col("x").alias("_ox"), F.col("y").alias("_oy"), "_cx", "_cy")
+        left = todo.join(start, "view").withColumns(cells | {"_last": radius > 2 * F.col("_whole") * (3 if box else 1), "_radius": radius})
+        own = ["view", "id", "x", "y", "_last", "_radius"]
+        left = left.select(*own, "_cx", "_cy", F.inline(near)).select(*own, (F.col("_cx") + F.col("i")).alias("_cx"), (F.col("_cy") + F.col("j")).alias("_cy"))
         d2 = F.pow(F.col("x") - F.col("_ox"), 2) + F.pow(F.col("y") - F.col("_oy"), 2)
-        last = radius > 2 * whole * (3 if box else 1)
         p = left.join(right, ["view", "_cx", "_cy"]).filter(F.col("id") != F.col("other")).withColumn("dist", F.sqrt(d2))
-        if not last:
-            p = p.filter(F.col("dist") <= radius)
+        p = p.filter(F.col("_last") | (F.col("dist") <= F.col("_radius")))
         if box:
-            p = p.groupBy("view", "id", "other").agg(F.min("dist").alias("dist"))
+            p = p.groupBy("view", "id", "other", "_last").agg(F.min("dist").alias("dist"))
         order = W.partitionBy("view", "id").orderBy(F.round("dist", 9), "other")
-        p = p.select("view", "id", "other", "dist", F.row_number().over(order).alias("place")).filter(F.col("place") <= k)
+        p = p.select("view", "id", "other", "dist", "_last", F.row_number().over(order).alias("place")).filter(F.col("place") <= k)
         p = cut_lineage(p)
-        if last:
-            found = p if found is None else found.unionByName(p)
-            break
-        full = p.filter(F.col("place") == k).select("view", "id")
-        done = p.join(full, ["view", "id"], "left_semi")
+        # the whole view has been seen, or k others: done
+        ended = todo.join(start, "view").filter(radius > 2 * F.col("_whole") * (3 if box else 1)).select("view", "id")
+        full = cut_lineage(p.filter(F.col("place") == k).select("view", "id").unionByName(ended).distinct())
+        done = p.join(full, ["view", "id"], "left_semi").drop("_last")
         found = done if found is None else found.unionByName(done)
         todo = cut_lineage(todo.join(full, ["view", "id"], "left_anti"))
-        radius *= 2
+        grown *= 2
     back = found.select("view", F.col("other").alias("id"), F.col("id").alias("other"), F.lit(True).alias("mutual"))
     return found.join(back, ["view", "id", "other"], "left").withColumn("mutual", F.coalesce("mutual", F.lit(False)))
 
@@ -316,28 +321,53 @@ def second_neighbor_distances(bonds: DataFrame, atoms: DataFrame) -> DataFrame:
     return bond_lengths(p, atoms).select("view", "a", "b", (F.col("length") / math.sqrt(3.0)).alias("length"))
 
 
+def _columns(low: Column, high: Column) -> Column:
+    """Numbers of the cells from ``low`` to ``high``, both in cell widths."""
+    return F.explode(F.sequence(F.floor(low - 1e-9), F.floor(high + 1e-9)))
+
+
 def bond_conflicts(bonds: DataFrame, atoms: DataFrame, dual: bool = False) -> DataFrame:
     """Pairs of bonds that cannot both be: (view, a, b, a2, b2, drop_first).
 
     Plain bonds conflict when the other's midpoint is nearer than half their
     length; dual bonds (between rings) when they cross without sharing an end,
-    and then the longer one goes. Only bonds in neighbouring buckets, as wide
-    as the longest bond, can meet.
+    and then the longer one goes. Cells are as wide as the median bond of a view.
+    A plain bond looks into the cells of the disc around its midpoint, and each
+    midpoint lies in one cell; a dual bond lies in the cells it passes, column by
+    column. So a very long bond has many cells of its own and makes no cell larger.
     """
-    d = cut_lineage(bond_lengths(bonds, atoms))
-    longest = d.agg(F.max("length")).first()[0] or 1.0
-    d = d.withColumns({"_cx": F.floor(F.col("mx") / longest), "_cy": F.floor(F.col("my") / longest)})
-    if dual:
-        for end in ("a", "b"):
-            d = d.join(atoms.select("view", F.col("atom_id").alias(end), F.col("x").alias("x" + end), F.col("y").alias("y" + end)), ["view", end])
-    cols = [c for c in d.columns if c not in ("view", "_cx", "_cy")]
-    near = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    left = d.select("view", *cols, "_cx", "_cy", F.inline(near)).select("view", *cols, (F.col("_cx") + F.col("i")).alias("_cx"), (F.col("_cy") + F.col("j")).alias("_cy"))
-    right = d.select("view", "_cx", "_cy", *[F.col(c).alias(c + "2") for c in cols])
-    p = left.join(right, ["view", "_cx", "_cy"]).filter(F.struct("a", "b") != F.struct(F.col("a2").alias("a"), F.col("b2").alias("b")))
+    d = bond_lengths(bonds, atoms)
+    width = d.groupBy("view").agg(F.greatest(F.percentile_approx("length", 0.5), F.lit(1e-9)).alias("_w"))
+    d = cut_lineage(d.join(bounded(width), "view"))
+    w = F.col("_w")
     if not dual:
+        mx, my, r = F.col("mx") / w, F.col("my") / w, F.col("length") / w / 2
+        left = d.select("*", _columns(mx - r, mx + r).alias("_i"))
+        off = F.greatest(F.col("_i") - mx, mx - F.col("_i") - 1, F.lit(0.0))  # from the midpoint to the column
+        half = F.sqrt(F.greatest(r * r - off * off, F.lit(0.0)))
+        left = left.select("view", "a", "b", "mx", "my", "length", "_i", _columns(my - half, my + half).alias("_j"))
+        right = d.select("view", F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("mx").alias("mx2"), F.col("my").alias("my2"), F.floor(mx).alias("_i"), F.floor(my).alias("_j"))
         gap2 = F.pow(F.col("mx") - F.col("mx2"), 2) + F.pow(F.col("my") - F.col("my2"), 2)
+        p = left.join(right, ["view", "_i", "_j"]).filter((F.col("a") != F.col("a2")) | (F.col("b") != F.col("b2")))
         return p.filter(F.col("length") * F.col("length") / 4 > gap2).select("view", "a", "b", "a2", "b2", F.lit(True).alias("drop_first"))
+    for end in ("a", "b"):
+        d = d.join(atoms.select("view", F.col("atom_id").alias(end), F.col("x").alias("x" + end), F.col("y").alias("y" + end)), ["view", end])
+    xa, ya, xb, yb = (F.col(c) / w for c in ("xa", "ya", "xb", "yb"))
+    d = d.select("*", _columns(F.least(xa, xb), F.greatest(xa, xb)).alias("_i"))
+    slope = (yb - ya) / F.nullif(xb - xa, F.lit(0.0))
+
+    def height(x):  # of the line where it enters or leaves the column
+        return F.greatest(F.least(F.coalesce(ya + (x - xa) * slope, ya), F.greatest(ya, yb)), F.least(ya, yb))
+
+    first = F.least(F.greatest(F.col("_i").cast("double"), F.least(xa, xb)), F.greatest(xa, xb))
+    last = F.greatest(F.least(F.col("_i") + 1.0, F.greatest(xa, xb)), F.least(xa, xb))
+    upright = slope.isNull()
+    low = F.when(upright, F.least(ya, yb)).otherwise(F.least(height(first), height(last)))
+    high = F.when(upright, F.greatest(ya, yb)).otherwise(F.greatest(height(first), height(last)))
+    d = cut_lineage(d.select("view", "a", "b", "length", "xa", "ya", "xb", "yb", "_i", _columns(low, high).alias("_j")))
+    cols = ["a", "b", "length", "xa", "ya", "xb", "yb"]
+    p = d.join(d.select("view", "_i", "_j", *[F.col(c).alias(c + "2") for c in cols]), ["view", "_i", "_j"])
+    p = p.filter(F.struct("a", "b") < F.struct(F.col("a2").alias("a"), F.col("b2").alias("b")))
     shared = (F.col("a") == F.col("a2")) | (F.col("a") == F.col("b2")) | (F.col("b") == F.col("a2")) | (F.col("b") == F.col("b2"))
 
     def side(px, py, qx, qy, rx, ry):
@@ -345,9 +375,9 @@ def bond_conflicts(bonds: DataFrame, atoms: DataFrame, dual: bool = False) -> Da
 
     s1, s2 = side("xa", "ya", "xb", "yb", "xa2", "ya2"), side("xa", "ya", "xb", "yb", "xb2", "yb2")
     t1, t2 = side("xa2", "ya2", "xb2", "yb2", "xa", "ya"), side("xa2", "ya2", "xb2", "yb2", "xb", "yb")
-    cross = (s1 * s2 < 0) & (t1 * t2 < 0)
-    p = p.filter(~shared & cross & (F.struct("a", "b") < F.struct(F.col("a2").alias("a"), F.col("b2").alias("b"))))
-    return p.select("view", "a", "b", "a2", "b2", (F.col("length") > F.col("length2")).alias("drop_first"))
+    p = p.filter(~shared & (s1 * s2 < 0) & (t1 * t2 < 0))
+    # bonds that pass two cells together meet in both
+    return p.select("view", "a", "b", "a2", "b2", (F.col("length") > F.col("length2")).alias("drop_first")).distinct()
 
 
 def defect_seeds(rings: DataFrame, sizes: tuple[int, ...] = (5, 6, 7)) -> DataFrame:
@@ -471,18 +501,19 @@ def ring_signature(rings: DataFrame, atoms: DataFrame, seeds: DataFrame) -> Data
     first = s.join(rings.select("view", F.col("atom_id").alias("seed"), "ring_id"), ["view", "seed"])
     pos = atoms.select("view", F.col("atom_id").alias("seed"), F.col("x").alias("_sx"), F.col("y").alias("_sy"))
     level = cut_lineage(first.select("view", "seed", "ring_id").withColumn("level", F.lit(0)))
-    seen, n = level, 0
-    while True:  # a level takes rings that no earlier level has
+    before, levels, n = level.limit(0), [level], 0
+    while True:  # neighbours of a level lie in it, in the one before, or are the next one
         n += 1
         ok = level.join(info.filter("interior").select("view", "ring_id"), ["view", "ring_id"], "left_anti").select("view", "seed").distinct()
         grow = level.join(ok, ["view", "seed"], "left_anti")
         nxt = grow.select("view", "seed", F.col("ring_id").alias("ring1")).join(link, ["view", "ring1"]).select("view", "seed", F.col("ring2").alias("ring_id")).distinct()
-        nxt = nxt.join(seen.select("view", "seed", "ring_id"), ["view", "seed", "ring_id"], "left_anti").withColumn("level", F.lit(n))
-        level = cut_lineage(nxt)
+        near = level.unionByName(before).select("view", "seed", "ring_id")
+        nxt = cut_lineage(nxt.join(near, ["view", "seed", "ring_id"], "left_anti").withColumn("level", F.lit(n)))
+        before, level = level, nxt
         if level.isEmpty():
             break
-        seen = cut_lineage(seen.unionByName(level))
-    d = seen.join(info, ["view", "ring_id"]).join(pos, ["view", "seed"])
+        levels.append(level)
+    d = functools.reduce(DataFrame.unionByName, levels).join(info, ["view", "ring_id"]).join(pos, ["view", "seed"])
     d = d.withColumn("_ang", F.atan2(F.col("y") - F.col("_sy"), F.col("x") - F.col("_sx")))
     # direction of the smallest ring, and the turn towards the second smallest
     start = d.filter(F.col("level") == 0).groupBy("view", "seed").agg(

@@ -3,13 +3,14 @@ hand-worked cases."""
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from honeyframe import catalog, fixtures as X
 from honeyframe.catalog import frames, lattice as CL, topology as CT
 from honeyframe.functions import hexgrid as H
-from honeyframe.operators import atoms as A, lattice as Q, mixture as M, pixels as P, reports as R, runs as N, topology as T
+from honeyframe.operators import atoms as A, lattice as Q, mixture as M, pixels as P, reports as R, runs as N, search as SE, topology as T
 
 catalog.load()
 
@@ -126,19 +127,31 @@ def test_greedy_tiling_is_maximal(spark, sf):
         assert all(any(near(p, c) for c in chosen) for p in pts)
 
 
-def test_searches_do_not_lose_score(spark, sf):
+def test_searches_reach_their_ends(spark, sf):
+    """Scores within a frame are those of the job over all candidates; searches never
+    lose score, and no step of the last size gains after refining."""
     px = frames.square(spark, sf).filter("frame_id < 30")
     par = frames.params(spark, sf).filter("frame_id < 30")
-    grid = par.withColumn("cand", F.lit(0))
-    start = dict(rows(Q.score_candidates(px, grid, 2, frames.RES, 8, 8), "frame_id", "score"))
-    for fit in (Q.coarse_to_fine(px, par, 2, frames.RES, 8, 8, levels=1),
-                Q.coordinate_refine(px, par, 2, frames.RES, 8, 8, least=0.1)):
-        got = dict(rows(fit, "frame_id", "score"))
+    grid = Q.candidate_grid(par, 0, 1, 1)
+    want = {(r["frame_id"], r["cand"]): r["score"] or 0.0 for r in Q.score_candidates(px, grid, 2, frames.RES, 8, 8).collect()}
+    arrays = {}
+    for r in px.collect():
+        arrays.setdefault(r["frame_id"], []).append((r["x"], r["y"], r["value"], r["mask"]))
+    cells = {f: SE.CellScore(*(np.array(c) for c in zip(*v)), 2, frames.RES, 8, 8) for f, v in arrays.items()}
+    for r in grid.collect():
+        assert cells[r["frame_id"]].score(r.asDict()) == pytest.approx(want.get((r["frame_id"], r["cand"]), 0.0), rel=1e-7, abs=1e-9)
+    for fit in (Q.coarse_to_fine(px, par, 2, frames.RES, 8, 8), Q.coordinate_refine(px, par, 2, frames.RES, 8, 8)):
+        got = {r["frame_id"]: r.asDict() for r in fit.collect()}
         assert len(got) == 30
-        assert all(got[f] >= s - 1e-6 for f, s in start.items() if s is not None)
+        for f, r in got.items():
+            assert r["score"] >= want.get((f, 0), 0.0) - 1e-6
+            assert cells[f].score(r) == pytest.approx(r["score"])
+    for f, r in got.items():
+        p, score = SE.refine(cells[f], {g: r[g] for g in SE.GEOMETRY}, 0.2 / 1024, 1e-4)
+        assert score <= r["score"] + 1e-8
 
 
-@pytest.mark.parametrize("module, name", [(Q, "coordinate_refine"), (Q, "coarse_to_fine"), (A, "nudge_atoms")])
+@pytest.mark.parametrize("module, name", [(A, "nudge_atoms")])
 def test_searches_of_queries_end_on_their_own(spark, sf, monkeypatch, module, name):
     """No query passes an end of its own to the search."""
     passed = []
