@@ -2,28 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import zipfile
+from honeyframe.session import ship
 
-from pyspark.sql import SparkSession
-
-_SHIPPED: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Hand this package to the executors, once for each application. Spark
-    copies the file; a job that was submitted with the package loses nothing."""
-    sc = spark.sparkContext
-    if sc.applicationId in _SHIPPED:
-        return
-    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    path = os.path.join(tempfile.mkdtemp(prefix="honeyframe-"), "honeyframe.zip")
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
-        for folder, _, names in os.walk(top):
-            for n in names:
-                if n.endswith(".py"):
-                    full = os.path.join(folder, n)
-                    z.write(full, os.path.join("honeyframe", os.path.relpath(full, top)))
-    sc.addPyFile(path)
-    _SHIPPED.add(sc.applicationId)
+__all__ = ["ship"]
