@@ -110,15 +110,15 @@ def class_moments(spark, sf):
 
 
 FAM = """fam0 AS (SELECT *, (2 / skew) ** 2 AS g_k, std * skew / 2 AS g_theta, var - avg AS p_x0,
-  6 * skew ** 2 + 4 AS ib, skew ** 2 AS g2, 6 * skew ** 2 * var - 8 * skew * std - 16 * var AS bb, 12 + 32 * var + 24 * skew * std AS bc,
+  6 * skew ** 2 + 4 AS ib, skew ** 2 AS g2,
   cbrt((skew * sqrt(4 + skew ** 2) + skew ** 2 + 2) / 2) AS t FROM moments),
 fam1 AS (SELECT *, g_k * g_theta - avg AS g_x0,
   (ib + sqrt(CASE WHEN ib * ib - 4 * g2 * (9 * g2 - 8) >= 0 THEN ib * ib - 4 * g2 * (9 * g2 - 8) END)) / (2 * g2) AS ig_alpha,
-  (bb + sqrt(CASE WHEN bb * bb + 4 * g2 * var * bc >= 0 THEN bb * bb + 4 * g2 * var * bc END)) / (2 * g2 * var) AS ib_beta, (t * t - t + 1) / t AS u FROM fam0),
+  CASE WHEN skew > 0 THEN (4 * (g2 * var / 4 + var) + sqrt(16 * (g2 * var / 4 + var) ** 2 - g2 * var * (g2 * var + 4 * var - 1))) / (g2 * var / 2) END AS ib_c, (t * t - t + 1) / t AS u FROM fam0),
 fam2 AS (SELECT *, sqrt(CASE WHEN ig_alpha >= 2 THEN ig_alpha - 2 END) AS ra,
-  (ib_beta - 1) / 2 * (1 + sqrt(CASE WHEN 1 + 4 * (ib_beta - 2) * var >= 0 THEN 1 + 4 * (ib_beta - 2) * var END)) AS ib_alpha, ln(u) AS ln_var,
+  ib_c + 1 AS ib_beta, ib_c * (sqrt(1 + 4 * var * (ib_c - 1)) - 1) / 2 AS ib_alpha, ln(u) AS ln_var,
   ln(CASE WHEN u * u - u > 0 THEN var / (u * u - u) END) / 2 AS ln_mu FROM fam1),
-fam AS (SELECT *, ra * (ig_alpha - 1) * std AS ig_beta, ra * std - avg AS ig_x0, ib_alpha / (ib_beta - 1) - avg AS ib_x0,
+fam AS (SELECT *, ra * (ig_alpha - 1) * std AS ig_beta, ra * std - avg AS ig_x0, ib_alpha / ib_c - avg AS ib_x0,
   exp(ln_mu + ln_var / 2) - avg AS ln_x0 FROM fam2)"""
 
 _FCOLS = ("g_k", "g_theta", "p_x0", "g_x0", "ig_alpha", "ig_beta", "ig_x0", "ib_alpha", "ib_beta", "ib_x0", "ln_var", "ln_mu", "ln_x0")

@@ -247,12 +247,13 @@ def family_params(moments: DataFrame) -> DataFrame:
     alpha = F.col("ig_alpha")
     mean = sd * F.when(alpha >= 2, F.sqrt(alpha - 2))
     d = d.withColumns({"ig_beta": mean * (alpha - 1), "ig_x0": mean - avg})
-    # beta prime: beta from skew and spread, alpha from beta and the variance
-    d = d.withColumn("ib_beta", _upper_root(g2 * var, 6 * g2 * var - 8 * g * sd - 16 * var, -(12 + 32 * var + 24 * g * sd)))
-    beta = F.col("ib_beta") - 1
-    inside = 1 + 4 * (beta - 1) * var
-    d = d.withColumn("ib_alpha", beta * (1 + F.when(inside >= 0, F.sqrt(inside))) / 2)
-    d = d.withColumn("ib_x0", F.col("ib_alpha") / beta - avg)
+    # beta prime, from its own mean m = alpha / c with c = beta - 1: the variance is
+    # m (m + 1) / (c - 1) and the skew 2 (2 m + 1) / ((c - 2) std). As (2 m + 1)^2 is
+    # 4 m (m + 1) + 1, both give (skew std s / 2)^2 = 1 + 4 var (s + 1) for s = c - 2,
+    # which has one positive root, and then 2 m + 1 = skew std s / 2.
+    s = (8 + F.sqrt(64 + g2 * (16 + 4 / F.nullif(var, F.lit(0.0))))) / F.nullif(g2, F.lit(0.0))
+    mean = (F.when(g > 0, g) * sd * s / 2 - 1) / 2
+    d = d.withColumns({"ib_alpha": mean * (s + 2), "ib_beta": F.when(g > 0, s + 3), "ib_x0": mean - avg})
     # log-normal: w = exp(variance of the logarithm) solves w^3 + 3 w^2 = 4 + skew^2
     cube = F.pow(above(1 + g2 / 2 + g * F.sqrt(1 + g2 / 4)), F.lit(1 / 3))
     d = d.withColumn("_w", cube + 1 / cube - 1)

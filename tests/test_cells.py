@@ -87,3 +87,14 @@ def test_neighbours_in_views_of_any_density(spark):
     for v, i, x, y in rows:
         near = sorted((round(math.hypot(a - x, b - y), 9), j) for u, j, a, b in rows if u == v and j != i)[:4]
         assert got[(v, i)] == {n + 1: j for n, (_, j) in enumerate(near)}, (v, i)
+
+
+@pytest.mark.parametrize("alpha, beta", [(3.0, 8.0), (0.7, 5.5), (40.0, 12.0)])
+def test_beta_prime_is_found_from_its_moments(spark, alpha, beta):
+    mean, c = alpha / (beta - 1), beta - 1
+    var = alpha * (alpha + c) / (c * c * (c - 1))
+    skew = 2 * (2 * alpha + c) / (c - 2) * math.sqrt((c - 1) / (alpha * (alpha + c)))
+    d = spark.createDataFrame([(mean - 0.5, var, math.sqrt(var), skew), (1.0, 1.0, 1.0, -0.5)], "avg double, var double, std double, skew double")
+    got, none = S.family_params(d).orderBy("skew").collect()[::-1]
+    assert (got["ib_alpha"], got["ib_beta"], got["ib_x0"]) == pytest.approx((alpha, beta, 0.5))
+    assert none["ib_alpha"] is None and none["ib_beta"] is None
