@@ -4,18 +4,22 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from honeyframe.functions import hexgrid as H, lattice as L
 from honeyframe.operators import pixels as P
 from honeyframe.operators.numbering import number_rows
-from honeyframe.operators.search import GEOMETRY, CellScore, refine, zoom
-from honeyframe.session import cut_lineage, ship
+from honeyframe.operators.search import GEOMETRY, CellScores
+from honeyframe.session import apart, cut_lineage, ship, spread
 
 # Relative and angular half widths of the search box per level.
 WIDTHS = ((0.005, math.pi / 360), (0.02, math.pi / 90), (0.04, math.pi / 45), (0.08, math.pi / 22.5))
 
+# Pixels of the frames that a task scores side by side.
+BLOCK = 1 << 14
 
 def candidate_grid(params: DataFrame, kind: int, width: int, rank: int, scale: Column | float = 1.0) -> DataFrame:
     """Trial lattices around the present one: 2^rank + 1 points per axis of
@@ -64,23 +68,34 @@ def score_candidates(
 
 
 def _search(pixels: DataFrame, params: DataFrame, run, extra: list[T.StructField], *, bond, res, width, height, sub, shape) -> DataFrame:
-    """A search of each frame in one grouped call: pixels and lattices of a frame meet by
-    one shuffle, and only numbers of the frame itself are used. A frame without
-    pixels keeps its lattice with score 0."""
+    """A search of each frame. A row is a lattice with the list of its frame's pixels, rows
+    are spread over the session's shuffle width, and a task scores blocks of them side by
+    side; only numbers of the frame itself are used. A frame without pixels keeps its
+    lattice with score 0."""
     ship(pixels.sparkSession)
     fields = [params.schema["frame_id"], *(T.StructField(g, T.DoubleType()) for g in GEOMETRY), T.StructField("score", T.DoubleType()), *extra]
 
-    def frame(left: pa.Table, right: pa.Table) -> pa.Table:
-        x, y, value, mask = (left[c].to_numpy() for c in ("x", "y", "value", "mask"))
-        cells = CellScore(x, y, value, mask, bond, res, width, height, sub, shape)
-        rows = [run(cells, {g: r[g] for g in GEOMETRY}) for r in right.to_pylist()]
-        found = [right["frame_id"], *(pa.array([r[0][g] for r in rows], pa.float64()) for g in GEOMETRY)]
-        found += [pa.array([r[k] for r in rows]) for k in range(1, 2 + len(extra))]
-        return pa.table(found, names=[f.name for f in fields])
+    def rows(batches):
+        for batch in batches:
+            n = pc.fill_null(pc.list_value_length(batch["_px"]), 0).to_numpy(zero_copy_only=False)
+            flat = batch["_px"].flatten()
+            cols = [flat.field(c).to_numpy(zero_copy_only=False) for c in ("x", "y", "value", "mask")]
+            ends, lattices = np.cumsum(n), np.array([batch[g].to_numpy(zero_copy_only=False) for g in GEOMETRY], float)
+            found, lo = [], 0
+            while lo < len(n):
+                hi, most = lo + 1, n[lo]
+                while hi < len(n) and max(most, n[hi]) * (hi + 1 - lo) * sub * sub <= BLOCK:
+                    most, hi = max(most, n[hi]), hi + 1
+                block = [[c[ends[k] - n[k] : ends[k]] for c in cols] for k in range(lo, hi)]
+                found.append(run(CellScores(block, bond, res, width, height, sub, shape), lattices[:, lo:hi]))
+                lo = hi
+            if found:
+                p, *rest = (np.concatenate(c, axis=-1) for c in zip(*found))
+                yield pa.RecordBatch.from_arrays([batch["frame_id"], *(pa.array(v) for v in (*p, *rest))], names=[f.name for f in fields])
 
     asked = params.select("frame_id", *[F.col(g).cast("double").alias(g) for g in GEOMETRY])
-    seen = pixels.select("frame_id", "x", "y", "value", "mask").join(asked.select("frame_id"), "frame_id", "left_semi")
-    return seen.groupBy("frame_id").cogroup(asked.groupBy("frame_id")).applyInArrow(frame, T.StructType(fields))
+    lists = pixels.groupBy("frame_id").agg(F.collect_list(F.struct("x", "y", "value", "mask")).alias("_px"))  # one frame
+    return spread(asked.join(apart(lists), "frame_id", "left"), "frame_id").mapInArrow(rows, T.StructType(fields))
 
 
 def coarse_to_fine(
@@ -93,7 +108,7 @@ def coarse_to_fine(
     does not fall. ``at_edge`` flags a best point on the rim of the first box.
     """
     return _search(
-        pixels, params, lambda cells, p: zoom(cells, p, WIDTHS, stability, levels), [T.StructField("at_edge", T.BooleanType())],
+        pixels, params, lambda cells, p: cells.zoom(p, WIDTHS, stability, levels), [T.StructField("at_edge", T.BooleanType())],
         bond=bond, res=res, width=width, height=height, sub=sub, shape=shape,
     )
 
@@ -107,7 +122,7 @@ def coordinate_refine(
     when its steps are at ``least`` or below; a move must raise the score by
     more than 1e-9, so the rounds end."""
     return _search(
-        pixels, params, lambda cells, p: refine(cells, p, fine, least), [],
+        pixels, params, lambda cells, p: cells.refine(p, fine, least), [],
         bond=bond, res=res, width=width, height=height, sub=sub, shape=shape,
     )
 
