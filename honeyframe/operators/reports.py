@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from honeyframe.functions.numbers import circular_mean, col, wrap_angle
 from honeyframe.operators.numbering import scalar
-from honeyframe.session import bounded
+from honeyframe.session import apart, bounded, cut_lineage, spread
 
 
 
@@ -189,33 +189,55 @@ def parse_slice_label(df: DataFrame, label="label", frame="frame_id") -> DataFra
 
 # -- joins by label ---------------------------------------------------------
 
-def _label_parts(df: DataFrame, label: str, lengths: list[int]) -> DataFrame:
-    """All distinct substrings of ``label`` with one of the given lengths."""
-
-    def cut(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.length(label) - (n - 1))
-        pieces = F.transform(starts, lambda i: F.substr(F.col(label), i, F.lit(n)))
-        return F.when(F.length(label) >= n, pieces).otherwise(F.array().cast("array<string>"))
-
-    subs = F.flatten(F.array(*[cut(n) for n in lengths]))
-    return df.withColumn("_part", F.explode(F.array_distinct(subs)))
+def _marks(label: Column, width: int) -> Column:
+    """The characters at both ends of a label."""
+    return F.concat(F.left(label, F.lit(width)), F.right(label, F.lit(width)))
+
+
+def _label_parts(df: DataFrame, label: str, marks: dict[int, list[str]], width: int) -> DataFrame:
+    """The distinct substrings of ``label`` with one of the given lengths, and one of the
+    marks of that length."""
+    text, i = F.col(label), F.col("_i")
+    d = spread(df).withColumn("_i", F.explode(F.when(F.length(text) > 0, F.sequence(F.lit(1), F.length(text)))))
+    if 0 < width <= min(marks):
+        d = d.filter(F.substr(text, i, F.lit(width)).isin(sorted({m[:width] for own in marks.values() for m in own})))
+    parts = []
+    for n in sorted(marks):
+        ends = min(width, n)
+        mark = F.concat(F.substr(text, i, F.lit(ends)), F.substr(text, i + (n - ends), F.lit(ends)))
+        known = mark.isin(marks[n]) if width else F.lit(True)
+        parts.append(F.when((i + (n - 1) <= F.length(text)) & known, F.substr(text, i, F.lit(n))))
+    d = d.withColumn("_part", F.explode(F.array(*parts)))
+    # a part that comes twice counts where it is first
+    return d.filter(F.col("_part").isNotNull() & (F.position(F.col("_part"), text) == i)).drop("_i")
 
 
 def contains_join(
-    frames: DataFrame, report: DataFrame, frame_label: str, report_label: str
+    frames: DataFrame, report: DataFrame, frame_label: str, report_label: str, most: int = 4096
 ) -> DataFrame:
     """Pairs where the frame label contains the report label.
 
     Containment becomes an equality: the few distinct lengths of the report
     labels are read first, and every frame label is cut into its parts of
-    those lengths. No pair is compared that does not match.
+    those lengths. No pair is compared that does not match. Where the report labels have
+    few beginnings and ends (up to ``most`` of two characters each, or of one), only
+    parts with these are shuffled; else all parts are.
     """
-    found = report.agg(F.collect_set(F.length(report_label)).alias("n")).first()["n"]
-    lengths = sorted(n for n in found if n)
-    if not lengths:
+    width = 3
+    while width:
+        width -= 1
+        d = report.select(F.length(report_label).alias("n"), _marks(F.col(report_label), width).alias("m")).distinct()
+        found = (d.limit(most + 1) if width else d).collect()
+        if len(found) <= most:
+            break
+    marks = {}
+    for r in found:
+        if r["n"]:
+            marks.setdefault(r["n"], []).append(r["m"])
+    if not marks:
         return frames.join(report, F.lit(False))
-    parts = _label_parts(frames, frame_label, lengths)
-    return parts.join(report, parts["_part"] == report[report_label]).drop("_part")
+    parts = _label_parts(frames, frame_label, marks, width)
+    return apart(parts).join(report, parts["_part"] == report[report_label]).drop("_part")
 
 
 def join_by_label(report: DataFrame, frames: DataFrame, masks: DataFrame | None = None) -> DataFrame:
@@ -229,9 +251,9 @@ def join_by_label(report: DataFrame, frames: DataFrame, masks: DataFrame | None
             F.min("_s").alias(out)
         )
 
-    d = report.join(first(frames, "slice"), "label", "left")
+    d = report.join(apart(first(frames, "slice")), "label", "left")
     if masks is not None:
-        d = d.join(first(masks, "mask_slice"), "label", "left")
+        d = d.join(apart(first(masks, "mask_slice")), "label", "left")
     return d.withColumn("missing", F.col("slice").isNull())
 
 
@@ -250,15 +272,15 @@ def assign_reports(subframes: DataFrame, report: DataFrame) -> DataFrame:
     )
     s = subframes.select("slice", F.col("label").alias("_fl"))
     labels = r.select("_rl").distinct()
-    hit = contains_join(s, labels, "_fl", "_rl").select("slice", "_rl")
+    hit = cut_lineage(contains_join(s, labels, "_fl", "_rl").select("slice", "_rl"))
     first = hit.groupBy("_rl").agg(F.min("slice").alias("_first"))
-    r = r.join(first, "_rl").withColumn("_first", F.coalesce("_first", "slice_hint"))
+    r = r.join(apart(first), "_rl").withColumn("_first", F.coalesce("_first", "slice_hint"))
     own = (
-        hit.join(r, "_rl")
+        apart(hit).join(r, "_rl")
         .filter((F.col("slice") >= F.col("_first")) & (F.col("slice") < F.col("_first") + F.col("n_sf")))
         .groupBy("slice").agg(F.max("rep_id").alias("rep_id"))
     )
-    return subframes.join(own, "slice", "left")
+    return subframes.join(apart(own), "slice", "left")
 
 
 def upsert_by_label(old: DataFrame, new: DataFrame, order: list[str]) -> DataFrame:
