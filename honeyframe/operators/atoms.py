@@ -8,13 +8,21 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
+from honeyframe.operators.nudge import Moves
 from honeyframe.operators.statistics import pearson
-from honeyframe.session import cut_lineage
+from honeyframe.session import apart, cut_lineage, ship, spread
 
 Kernel = list[tuple[int, int, float]]
 
+# Pixels of the frames whose atoms a task moves side by side.
+BLOCK = 1 << 14
+
 
 def gaussian_kernel(fwhm: float, radius: int) -> Kernel:
     """Gaussian of a full width at half maximum, peak 1, on a square."""
@@ -156,63 +164,53 @@ def nudge_atoms(
     with a new weight and keep the best; colliding atoms merge.
 
     Of atoms that could disturb each other only the one with the largest gain
-    moves in a round, so the residual falls; the rounds end when no move lowers
-    the squared residual by more than ``least_gain``.
+    moves in a round, so the residual falls; the rounds of a frame end when no move lowers
+    the squared residual by more than ``least_gain``. Frames are independent, so each is
+    one row with the lists of its pixels and atoms, and runs through its rounds in a task.
     """
-    steps = [(a, b) for a in range(-wobble, wobble + 1) for b in range(-wobble, wobble + 1) if a * a + b * b <= wobble * wobble]
-    reach = 2 * max(max(abs(a), abs(b)) for a, b, _ in kernel) + wobble
-    atoms = cut_lineage(atoms.select("frame_id", "x", "y", "weight"))
-    res = cut_lineage(residual)
-    offs = F.array(*[F.struct(F.lit(a).alias("ox"), F.lit(b).alias("oy")) for a, b in steps])
-    while True:
-        base = atoms.select("frame_id", F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("weight").alias("aw"))
-        t = base.select("frame_id", "ax", "ay", "aw", F.inline(offs))
-        t = t.select("frame_id", "ax", "ay", "aw", (F.col("ax") + F.col("ox")).alias("x"), (F.col("ay") + F.col("oy")).alias("y"))
-        t = t.filter((F.col("x") >= 0) & (F.col("x") < width) & (F.col("y") >= 0) & (F.col("y") < height))
-        t = t.withColumns({"tx": F.col("x"), "ty": F.col("y")})
-        keys = ["ax", "ay", "aw", "tx", "ty"]
-        cells = _spread(t, kernel, width, height, False, keys)
-        # residual without the atom itself: r + w k(cell - atom)
-        own = F.map_from_arrays(F.array(*[F.lit(f"{a},{b}") for a, b, _ in kernel]), F.array(*[F.lit(float(k)) for _, _, k in kernel]))
-        cells = cells.join(res.select("frame_id", "x", "y", F.col("value").alias("_r")), ["frame_id", "x", "y"])
-        at = F.concat_ws(",", (F.col("x") - F.col("ax")).cast("string"), (F.col("y") - F.col("ay")).cast("string"))
-        cells = cells.withColumn("_ko", F.coalesce(F.try_element_at(own, at), F.lit(0.0)))
-        free = F.col("_r") + F.col("aw") * F.col("_ko")
-        s = cells.groupBy("frame_id", *keys).agg(
-            F.sum(F.col("k") * free).alias("_kr"), F.sum(F.col("k") * F.col("k")).alias("_kk"),
-            F.sum(F.col("k") * F.col("_ko")).alias("_cross"),
-        )
-        w = F.col("_kr") / F.nullif(F.col("_kk"), F.lit(0.0))
-        # fall of the squared residual of the atom-free image by an atom here
-        s = s.select("frame_id", *keys, w.alias("weight"), (F.col("_kr") * w).alias("_fall"))
-        # what the atom reached where it is, from the trial of no move
-        stay = (F.col("tx") == F.col("ax")) & (F.col("ty") == F.col("ay"))
-        pick = F.max_by(F.struct("tx", "ty", "weight", "_fall"), F.struct(F.round("_fall", 9), stay, -F.col("ty"), -F.col("tx"))).alias("b")
-        best = s.groupBy("frame_id", "ax", "ay", "aw").agg(pick, F.max(F.when(stay, F.col("_fall"))).alias("_now"), F.max(F.when(stay, F.col("weight"))).alias("_w0"))
-        kk = sum(k * k for _, _, k in kernel)
-        # present fall with the present weight is at most the refitted one at the same place
-        gain = F.col("b._fall") - (F.col("_now") - kk * F.pow(F.col("aw") - F.col("_w0"), 2))
-        best = best.select("frame_id", "ax", "ay", "aw", "b.tx", "b.ty", "b.weight", gain.alias("gain")).filter((F.col("gain") > least_gain) & (F.col("weight") > 0))
-        tile = {"_tx": F.floor(F.col("ax") / reach), "_ty": F.floor(F.col("ay") / reach)}
-        rank = F.struct(F.round("gain", 9).alias("g"), (-F.col("ay")).alias("ny"), (-F.col("ax")).alias("nx"))
-        best = cut_lineage(best.withColumns(tile).withColumn("_rank", rank))
-        top = best.groupBy("frame_id", "_tx", "_ty").agg(F.max("_rank").alias("_rank"))
-        around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-        near = top.select("frame_id", "_tx", "_ty", "_rank", F.inline(around)).groupBy(
-            "frame_id", (F.col("_tx") + F.col("i")).alias("_tx"), (F.col("_ty") + F.col("j")).alias("_ty")).agg(F.max("_rank").alias("_top"))
-        move = cut_lineage(best.join(near, ["frame_id", "_tx", "_ty"]).filter(F.col("_rank") == F.col("_top")))
-        if move.isEmpty():
-            break
-        gone = move.select("frame_id", F.col("ax").alias("x"), F.col("ay").alias("y"), F.col("aw").alias("weight"))
-        came = move.select("frame_id", F.col("tx").alias("x"), F.col("ty").alias("y"), "weight")
-        draw = _spread(gone, kernel, width, height, False, ["weight"]).select("frame_id", "x", "y", (F.col("weight") * F.col("k")).alias("_d")).unionByName(
-            _spread(came, kernel, width, height, False, ["weight"]).select("frame_id", "x", "y", (-F.col("weight") * F.col("k")).alias("_d")))
-        draw = draw.groupBy("frame_id", "x", "y").agg(F.sum("_d").alias("_d"))
-        res = cut_lineage(res.join(draw, ["frame_id", "x", "y"], "left").select("frame_id", "x", "y", (F.col("value") + F.coalesce("_d", F.lit(0.0))).alias("value")))
-        stay_put = atoms.join(gone.select("frame_id", "x", "y"), ["frame_id", "x", "y"], "left_anti")
-        # atoms that come to one place are one atom
-        atoms = cut_lineage(stay_put.unionByName(came).groupBy("frame_id", "x", "y").agg(F.sum("weight").alias("weight")))
-    return atoms, res
+    ship(atoms.sparkSession)
+    moves = Moves(kernel, wobble, width, height, least_gain)
+    types = {f.name: f.dataType for f in atoms.schema.fields}
+    spot = [T.StructField(c, types[c]) for c in ("x", "y")]
+    out = T.StructType([
+        T.StructField("frame_id", types["frame_id"]),
+        T.StructField("_a", T.ArrayType(T.StructType([*spot, T.StructField("weight", T.DoubleType())]))),
+        T.StructField("_d", T.ArrayType(T.StructType([*spot, T.StructField("_d", T.DoubleType())]))),
+    ])
+
+    def flat(column, names):
+        """Row numbers and fields of a column of lists."""
+        n = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+        items = column.flatten()
+        return np.repeat(np.arange(len(n)), n), *(items.field(c).to_numpy(zero_copy_only=False) for c in names)
+
+    def lists(found, count, field):
+        """Arrays (row, x, y, value) as a column of lists."""
+        f, x, y, v = found
+        order = np.argsort(f, kind="stable")
+        kind = to_arrow_type(out[field].dataType)
+        inner = kind.value_type
+        items = pa.StructArray.from_arrays(
+            [pa.array(c[order]).cast(g.type) for c, g in zip((x, y, v), inner)], fields=list(inner))
+        return pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(np.bincount(f, minlength=count))]).astype(np.int32), items, type=kind)
+
+    def rows(batches):
+        for whole in batches:
+            sizes = np.cumsum(pc.fill_null(pc.list_value_length(whole["_p"]), 0).to_numpy(zero_copy_only=False))
+            block = sizes // BLOCK if len(sizes) else sizes
+            for lo, hi in zip(*(np.searchsorted(block, np.unique(block), side) for side in ("left", "right"))):
+                batch = whole.slice(lo, hi - lo)
+                f, x, y, v = flat(batch["_p"], ("x", "y", "value"))
+                g, ax, ay, w = flat(batch["_a"], ("x", "y", "weight"))
+                done, added = moves.run(len(batch), (f, x, y, v.astype(float)), (g, ax, ay, w.astype(float)))
+                yield pa.RecordBatch.from_arrays([batch["frame_id"], lists(done, len(batch), "_a"), lists(added, len(batch), "_d")], names=out.names)
+
+    a = atoms.groupBy("frame_id").agg(F.collect_list(F.struct("x", "y", F.col("weight").cast("double").alias("weight"))).alias("_a"))  # one frame
+    p = residual.groupBy("frame_id").agg(F.collect_list(F.struct("x", "y", F.col("value").cast("double").alias("value"))).alias("_p"))
+    done = cut_lineage(spread(a.join(apart(p), "frame_id", "left"), "frame_id").mapInArrow(rows, out))
+    drawn = done.select("frame_id", F.inline("_d"))
+    res = residual.join(apart(drawn), ["frame_id", "x", "y"], "left").select("frame_id", "x", "y", (F.col("value") + F.coalesce("_d", F.lit(0.0))).alias("value"))
+    return done.select("frame_id", F.inline("_a")), res
 
 
 def merge_close_atoms(atoms: DataFrame, diameter: int) -> DataFrame:
