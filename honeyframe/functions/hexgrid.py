@@ -85,6 +85,18 @@ def with_wrap(df: DataFrame, n: int, x: str = "x", y: str = "y", z: str = "z") -
     return d.withColumn(y, -F.col(x) - F.col(z)).drop("_wi", "_wj")
 
 
+def fold(x, z, n: int):
+    """``with_wrap`` of whole numbers or arrays of them."""
+    b = (x + z) // n
+    i, j = (x // n + b + 2) // 3, (z // n + b + 2) // 3
+    return x - 2 * n * i + n * j, z + n * i - 2 * n * j
+
+
+def home_places(n: int) -> list[tuple[int, int]]:
+    """The pixels (x, z) of the home hexagon in the order of ``hex_index``."""
+    return [(x, z) for x in range(-n, n) for z in range(-n, n) if -n <= x + z < n]
+
+
 def hex_index(x, z, n: int) -> Column:
     """Dense number 0 .. 3n^2-1 of a home pixel, ordered by (x, z).
 

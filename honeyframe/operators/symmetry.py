@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from honeyframe.functions import hexgrid as H
 from honeyframe.operators.pixels import offsets_within
-from honeyframe.session import bounded, spread
+from honeyframe.session import bounded, ship, spread
+
+# Pixels of the frames that a task looks at side by side.
+BLOCK = 1 << 14
 
 
 def expand_orbit(
@@ -211,40 +217,76 @@ def hex_shape(cells: DataFrame, n: int, key: str = "frame_id", mirror: bool = Tr
     its copies) / 2. With a target (hp, value) the shift that fits it best is
     taken instead.
 
-    Rows are spread by the frame once; all later groupings contain the frame,
-    so they need no further shuffle.
+    Rows are spread by the frame once; a frame becomes a row with the list of its pixels,
+    and a task takes blocks of frames through the shifts and copies, which are orders of
+    the pixels of the home hexagon.
     """
-    d = _zscore(spread(cells.select(key, "x", "z", "value"), key), [key], "value", "_v")
-    d = d.select(key, "x", "z", "_v", F.inline(cell_shifts(n)))
-    d = d.withColumns({"x": F.col("x") - F.col("dx"), "z": F.col("z") - F.col("dz"), "y": F.lit(0)})
-    d = H.with_wrap(d, n)
-    n_sym = 12 if mirror else 6
-    d = d.select(key, "dx", "dz", "x", "z", "_v", F.inline(F.slice(H.symmetry_array(n, n), 1, n_sym)))
-    d = H.with_transform(d, n)
-    at = d.groupBy(key, "dx", "dz", F.col("tx").alias("x"), F.col("tz").alias("z")).agg(
-        *[F.max(F.when(F.col("sym") == k, F.col("_v"))).alias(f"v{k}") for k in range(n_sym)],
-        F.avg("_v").alias("_sym"),
-    )
-    if target is not None:
-        at = at.withColumn("hp", H.hex_index("x", "z", n)).join(
-            target.select("hp", F.col("value").alias("_t")), "hp"
-        )
-    v0 = F.col("v0")
-    pts = 3 * n * n
-    g = at.groupBy(key, "dx", "dz").agg(
-        (F.sum(v0 * H.sq_distance("x", "z")) * (10 / (pts * n * n))).alias("moment"),
-        (F.sum(F.col("_sym") * v0) / pts).alias("_cross"),
-        F.sqrt(F.sum(F.col("_sym") * F.col("_sym")) / pts).alias("_std"),
-        *[(F.sum(F.col(f"v{k}") * v0) / pts).alias(f"c{k}") for k in range(n_sym)],
-        (F.sum(F.col("_t") * v0) / pts if target is not None else F.lit(None).cast("double")).alias("_loc"),
-    )
-    least = F.least(*[F.col(f"c{k}") for k in range(n_sym)])
-    shape = F.col("moment") * F.col("_cross") / F.nullif(F.col("_std"), F.lit(0.0)) * (1 + least) / 2
-    g = g.select(key, "dx", "dz", "moment", shape.alias("hex_shape"), "_loc")
-    rank = F.col("hex_shape") if target is None else F.col("_loc")
-    best = F.max(
-        F.struct(F.round(rank, 9).alias("r"), (-F.col("dx")).alias("nx"), (-F.col("dz")).alias("nz"), "moment", "hex_shape")
-    ).alias("b")
-    return g.groupBy(key).agg(best).select(
-        key, (-F.col("b.nx")).alias("dx"), (-F.col("b.nz")).alias("dz"), "b.hex_shape", F.col("b.moment").alias("moment2")
-    )
+    ship(cells.sparkSession)
+    z = _zscore(spread(cells.select(key, "x", "z", "value"), key), [key], "value", "_v")
+    lists = z.groupBy(key).agg(F.collect_list(F.struct("x", "z", "_v")).alias("_px"))  # one frame
+    home = H.home_places(n)
+    at = {p: k for k, p in enumerate(home)}
+    px, pz = np.array(home).T
+    ops = H.operation_table()[: 12 if mirror else 6]
+    copies = [np.array([at[p] for p in zip(*H.fold(ia * px + ib * pz, ic * px + id_ * pz, n))]) for *_, ia, ib, ic, id_ in ops]
+    far, pts = px * px + pz * pz + px * pz, len(home)
+    asked = None
+    if target is not None:  # one cell
+        asked = np.full(pts, np.nan)
+        for r in target.select("hp", F.col("value").cast("double").alias("t")).collect():
+            asked[r["hp"]] = np.nan if r["t"] is None else r["t"]
+
+    def shapes(x, zz, v, row, count):
+        """Best (dx, dz, shape, moment) of frames whose pixels come as flat arrays."""
+        x, zz = H.fold(x, zz, n)
+        grid = np.full((2 * n, 2 * n), -1)
+        grid[px + n, pz + n] = np.arange(pts)
+        place = row * pts + grid[x + n, zz + n]
+        ok = ~np.isnan(v)
+        # a pixel that comes twice counts by its largest value, and by its mean in the mean copy
+        top = np.full(count * pts, -np.inf)
+        np.maximum.at(top, place[ok], v[ok])
+        times = np.bincount(place[ok], minlength=count * pts).reshape(count, pts).astype(float)
+        total = np.bincount(place[ok], weights=v[ok], minlength=count * pts).reshape(count, pts)
+        top = np.where(times > 0, top.reshape(count, pts), 0.0)
+        known = (times > 0).astype(float)
+        inside = np.ones(pts) if asked is None else (~np.isnan(asked)).astype(float)
+        best = [np.full(count, np.nan) for _ in range(5)]
+        for k, (dx, dz) in enumerate(home):
+            moved = np.array([at[p] for p in zip(*H.fold(px + dx, pz + dz, n))])
+            v0, has, s, c = (a[:, moved] for a in (top, known, total, times))
+            mine, here = v0 * inside, has * inside
+            mean, often, least = np.zeros_like(v0), np.zeros_like(v0), np.full(count, np.nan)
+            for q in copies:
+                mean, often = mean + s[:, q], often + c[:, q]
+                pair = (v0[:, q] * mine).sum(axis=1) / pts
+                least = np.fmin(least, np.where((has[:, q] * here).any(axis=1), pair, np.nan))
+            mean = np.where(often > 0, mean / often, 0.0)
+            any_ = here.any(axis=1)
+            moment = np.where(any_, (mine * far).sum(axis=1) * (10 / (pts * n * n)), np.nan)
+            std = np.sqrt((mean * mean * inside).sum(axis=1) / pts)
+            shape = moment * ((mean * mine).sum(axis=1) / pts) / np.where(std == 0, np.nan, std) * (1 + least) / 2
+            rank = shape if asked is None else np.where(any_, (np.nan_to_num(asked) * mine).sum(axis=1) / pts, np.nan)
+            rank = np.round(rank, 9)
+            better = np.ones(count, bool) if k == 0 else (rank > best[0]) | (np.isnan(best[0]) & ~np.isnan(rank))
+            for old, new in zip(best, (rank, dx, dz, shape, moment)):
+                old[better] = np.broadcast_to(new, count)[better]
+        return best[1:]
+
+    def rows(batches):
+        step = max(1, BLOCK // pts)
+        for whole in batches:
+            for lo in range(0, len(whole), step):
+                batch = whole.slice(lo, step)
+                sizes = pc.list_value_length(batch["_px"]).to_numpy(zero_copy_only=False)
+                items = batch["_px"].flatten()
+                x, zz, v = (items.field(c).to_numpy(zero_copy_only=False) for c in ("x", "z", "_v"))
+                with np.errstate(all="ignore"):
+                    dx, dz, shape, moment = shapes(x, zz, v.astype(float), np.repeat(np.arange(len(batch)), sizes), len(batch))
+                yield pa.RecordBatch.from_arrays([
+                    batch[key], pa.array(dx.astype(np.int32)), pa.array(dz.astype(np.int32)),
+                    pa.array(shape, from_pandas=True), pa.array(moment, from_pandas=True)], names=out.names)
+
+    out = T.StructType([z.schema[key], T.StructField("dx", T.IntegerType()), T.StructField("dz", T.IntegerType()),
+                        T.StructField("hex_shape", T.DoubleType()), T.StructField("moment2", T.DoubleType())])
+    return lists.mapInArrow(rows, out)
