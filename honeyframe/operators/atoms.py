@@ -74,7 +74,7 @@ def _fit(spots: DataFrame, residual: DataFrame, kernel: Kernel, width: int, heig
     top = max(k for _, _, k in kernel)
     core = [k for _, _, k in kernel if k > top / 4]
     cells = _spread(spots, kernel, width, height, False, keys)
-    d = cells.join(residual.select("frame_id", "x", "y", F.col("value").alias("_r")), ["frame_id", "x", "y"])
+    d = apart(cells).join(residual.select("frame_id", "x", "y", F.col("value").alias("_r")), ["frame_id", "x", "y"])
     in_core = F.col("k") > top / 4
     s = d.groupBy("frame_id", *keys).agg(
         F.sum(F.when(in_core, F.col("k") * F.col("_r"))).alias("_kr"),
@@ -136,20 +136,20 @@ def find_atoms(
         closed = closed.unionByName(peaks.select("frame_id", "x", "y"))
         upd = draw.withColumn("_c", F.lit(0)).unionByName(closed.withColumns({"_d": F.lit(0.0), "_c": F.lit(1)}))
         upd = upd.groupBy("frame_id", "x", "y").agg(F.sum("_d").alias("_d"), F.max("_c").alias("_c"))
-        res2 = res.join(upd, ["frame_id", "x", "y"], "left").select(
+        res2 = res.join(apart(upd), ["frame_id", "x", "y"], "left").select(
             "frame_id", "x", "y", (F.col("value") + F.coalesce("_d", F.lit(0.0))).alias("value"),
             (F.col("open") & (F.coalesce("_c", F.lit(0)) == 0)).alias("open"),
         )
         res2 = cut_lineage(res2)
         # frames whose joint change does not lower the residual keep the old state
         sq = F.sum(F.col("value") * F.col("value"))
-        worse = res2.groupBy("frame_id").agg(sq.alias("_n")).join(res.groupBy("frame_id").agg(sq.alias("_o")), "frame_id").filter(F.col("_n") > F.col("_o")).select("frame_id")
+        worse = apart(res2.groupBy("frame_id").agg(sq.alias("_n"))).join(res.groupBy("frame_id").agg(sq.alias("_o")), "frame_id").filter(F.col("_n") > F.col("_o")).select("frame_id")
         worse = cut_lineage(worse)
-        kept = res.join(worse, "frame_id", "left_semi").join(
-            peaks.select("frame_id", "x", "y", F.lit(True).alias("_s")), ["frame_id", "x", "y"], "left"
+        kept = res.join(apart(worse), "frame_id", "left_semi").join(
+            apart(peaks.select("frame_id", "x", "y", F.lit(True).alias("_s"))), ["frame_id", "x", "y"], "left"
         ).select("frame_id", "x", "y", "value", (F.col("open") & F.col("_s").isNull()).alias("open"))
-        res = cut_lineage(res2.join(worse, "frame_id", "left_anti").unionByName(kept))
-        new = new.join(worse, "frame_id", "left_anti")
+        res = cut_lineage(res2.join(apart(worse), "frame_id", "left_anti").unionByName(kept))
+        new = new.join(apart(worse), "frame_id", "left_anti")
         atoms = cut_lineage(new if atoms is None else atoms.unionByName(new))
     if atoms is None:
         atoms = pixels.select("frame_id", "x", "y", F.lit(0.0).alias("weight")).limit(0)

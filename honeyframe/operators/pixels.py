@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 
 from honeyframe.functions import hexgrid as H, lattice as L
 from honeyframe.functions.numbers import col
-from honeyframe.session import cut_lineage, ship, spread
+from honeyframe.session import apart, cut_lineage, ship, spread
 
 # -- sparse form -------------------------------------------------------------
 
@@ -449,7 +449,7 @@ def clean_spots(
         near = best.select("frame_id", "_tx", "_ty", "_rank", F.inline(around)).groupBy(
             "frame_id", (F.col("_tx") + F.col("dx")).alias("_tx"), (F.col("_ty") + F.col("dz")).alias("_ty")
         ).agg(F.max("_rank").alias("_top"))
-        now = best.join(near, ["frame_id", "_tx", "_ty"]).filter(F.col("_rank") == F.col("_top"))
+        now = best.join(apart(near), ["frame_id", "_tx", "_ty"]).filter(F.col("_rank") == F.col("_top"))
         now = now.select(
             "frame_id", (-F.col("_rank.nx")).alias("x"), (-F.col("_rank.ny")).alias("y"), F.col("_rank.dist").alias("dist")
         )
@@ -460,6 +460,7 @@ def clean_spots(
         ).select(
             "frame_id", "_cx", "_cy", (F.col("_tx") + F.col("dx")).alias("_tx"), (F.col("_ty") + F.col("dz")).alias("_ty")
         )
+        boxes = apart(boxes)
         hit = (
             (live.frame_id == boxes.frame_id) & (live._tx == boxes._tx) & (live._ty == boxes._ty)
             & (live.x >= boxes._cx - span) & (live.x < boxes._cx + span)
