@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from honeyframe import catalog
 from honeyframe.catalog import topology as CT
-from honeyframe.operators import atoms as A, lattice as Q, reports as R, search as SE
+from honeyframe.operators import atoms as A, lattice as Q, reports as R, search as SE, symmetry as Y, topology as T
+from honeyframe.sources.lines import carry_last, numbered_lines
 
 catalog.load()
 
@@ -86,3 +87,47 @@ def test_atoms_move_until_no_move_gains(spark):
     drawn = {(r["frame_id"], r["x"], r["y"]): r["model"] for r in A.render_atoms(p, atoms, CT.KERNEL, 8, 8).collect()}
     rest = {(r["frame_id"], r["x"], r["y"]): r["value"] for r in left.collect()}
     assert len(rest) == len(px) and all(math.isclose(v - drawn[(f, x, y)], rest[(f, x, y)], abs_tol=1e-6) for f, x, y, v in px)
+
+
+# -- meshes, lines and shapes ---------------------------------------------------------
+
+
+def test_patterns_are_not_joined_on_the_driver(spark):
+    rings = {1: [1, 2, 3, 4, 5], 2: [2, 1, 6, 7, 8], 3: [1, 5, 20, 21, 22, 23, 6], 4: [2, 8, 30, 31, 32, 33, 3]}
+    r = spark.createDataFrame([(0, k, s, a) for k, v in rings.items() for s, a in enumerate(v)], "view long, ring_id long, seq long, atom_id long")
+    a = r.select("view", "atom_id").distinct().select("view", "atom_id", F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))
+    b = T.ring_edges(r).select("view", "a", "b").distinct()
+    assert "BroadcastHashJoin" not in plan(T.defect_patterns(r, b, a))
+    assert "BroadcastHashJoin" not in plan(T.second_neighbor_distances(b, a))
+
+
+def test_first_radius_looks_at_few_points(spark):
+    """Before, cells of up to ``max_cell`` points were joined with their neighbours."""
+    rng = random.Random(4)
+    d = spark.createDataFrame([(0, i, rng.uniform(0, 50), rng.uniform(0, 50)) for i in range(2500)], "view int, id long, x double, y double")
+    assert math.pi * T._first_radius(d, 6, 256).first()["_r"] ** 2 < 4 * 6
+
+
+def test_lines_of_a_long_file(spark, tmp_path):
+    """Marks are carried over chunks, and a window holds one chunk."""
+    n = 150_000
+    (tmp_path / "a.txt").write_text("\n".join(f"#{i}" if i % 70_000 == 5 else str(i) for i in range(n)))
+    lines = numbered_lines(spark, str(tmp_path))
+    d = carry_last(lines, F.col("line").startswith("#"), F.col("line"), "mark", "nr")
+    assert "_c" in plan(d)
+    got = d.filter("line not like '#%'").groupBy("mark", "nr").agg(F.count(F.lit(1)).alias("n")).collect()
+    assert sorted((r["mark"] or "", r["nr"], r["n"]) for r in got) == [("", -1, 5), ("#140005", 2, 9994), ("#5", 0, 69_999), ("#70005", 1, 69_999)]
+
+
+def test_shapes_do_not_multiply_pixels(spark):
+    """Pixels are not copied for every shift and turn; missing and double ones count."""
+    rng = random.Random(5)
+    home = [(x, z) for x in range(-2, 2) for z in range(-2, 2) if -2 <= x + z < 2]
+    px = [(1, x, z, rng.randint(0, 9)) for x, z in home] + [(2, x, z, 3) for x, z in home]
+    d = spark.createDataFrame(px, "frame_id long, x long, z long, value long")
+    shape = Y.hex_shape(d, 2)
+    assert "Generate" not in plan(shape)
+    one, flat = (r.asDict() for r in shape.orderBy("frame_id").collect())
+    assert flat["hex_shape"] is None and (flat["dx"], flat["dz"]) == (-2, 0)
+    twice = Y.hex_shape(d.unionAll(d), 2).orderBy("frame_id").first().asDict()
+    assert twice == pytest.approx(one)
