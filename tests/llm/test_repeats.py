@@ -129,3 +129,22 @@ def test_query_against_brute_force(spark, sf):
     }
     got = {r[0]: tuple(r)[1:] for r in llm.QUERIES["op13_prefix_free_parsing"](spark, sf).collect()}
     assert got == want and any(v[1] for v in want.values())
+
+
+def test_rows_of_keys_are_not_written_before_they_are_sorted(spark):
+    """Of all keys only the places of those that repeat are written, also where a key lies
+    in every block and where a partition has a single key."""
+    rows = [(k, block, b"\1\0\0\0", 1) for block in range(40) for k in (7, 1000 + block, 2000 + block // 2)] + [(5, 3, b"\2\0\0\0", 2)]
+    rows = spark.createDataFrame(rows, "k0 long, block long, at binary, n long").repartition(9)
+
+    class Counted(P.Written):
+        tables = 0
+
+        def write(self, *args):
+            self.tables += 1
+            return super().write(*args)
+
+    store = Counted(spark)
+    got = {r["block"]: sorted(r["hits"]) for r in P._repeated(rows, ["k0"], "k0", store).collect()}
+    assert got == {b: sorted([7, 2000 + b // 2] + [5] * (b == 3)) for b in range(40)}
+    assert store.tables == 1
