@@ -63,7 +63,7 @@ def order_neighbors(spark, sf):
 @query("trace_rings", with_(MESH, "s AS (SELECT ring_id, count(*) AS size, sum(atom_id) AS total, min(atom_id) AS low FROM rings GROUP BY ring_id)",
        body="SELECT CAST(low AS BIGINT) AS low, CAST(total AS BIGINT) AS total, size FROM s"))
 def trace_rings(spark, sf):
-    a, b, _ = mesh(spark, sf)
+    a, b = cut_lineage(X.mesh_atoms(spark, sf)), cut_lineage(X.mesh_bonds(spark, sf))
     r = T.trace_rings(b, a)
     return r.groupBy("view", F.col("low").alias("name")).agg(
         F.count(F.lit(1)).alias("size"), F.sum("atom_id").alias("total"), F.min("atom_id").alias("low")

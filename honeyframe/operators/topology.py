@@ -12,8 +12,9 @@ import math
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from honeyframe.operators.faces import SCHEMA, partition_faces
 from honeyframe.operators.numbering import number_rows
-from honeyframe.session import Store, apart, bounded, cut_lineage
+from honeyframe.session import Store, apart, bounded, cut_lineage, ship
 
 # -- neighbours ------------------------------------------------------------------
 
@@ -180,64 +181,104 @@ def order_neighbors(bonds: DataFrame, atoms: DataFrame) -> DataFrame:
 # -- rings -----------------------------------------------------------------------
 
 
-def trace_rings(bonds: DataFrame, atoms: DataFrame) -> DataFrame:
-    """Rings of the bond graph: its inner faces.
-
-    At each atom the bond after the arriving one, by angle, goes on. Following
-    that pointer closes a face. Directed bonds are numbered by (view, atom, place),
-    so the pointer of the opposite bond is the number before, and all state is whole
-    numbers. Doubling the pointer finds the smallest number ahead and how far ahead
-    it is: the first names the face, the second ranks its corners. A face is closed
-    when the bond after its name sees the name again; closed faces leave, so
-    that long borders alone go through the later rounds. Faces that turn the other
-    way (outer borders) or visit an atom twice are open and dropped.
+def _placed(bonds: DataFrame, atoms: DataFrame, rows: int = 250_000) -> DataFrame:
+    """Both directions (view, p, q, angle, turn) of every bond, dealt by the places of
+    their first ends: range partitions of about ``rows`` rows, of neighbouring atoms, with
+    all bonds of an atom in one of them. Strips of a view are about as wide as a
+    partition is high."""
+    area = (F.max("x") - F.min("x")) * (F.max("y") - F.min("y"))
+    box = bounded(atoms.groupBy("view").agg(
+        F.min("x").alias("_x"), F.min("y").alias("_y"), F.nullif(F.max("y") - F.min("y"), F.lit(0.0)).alias("_high"),
+        F.nullif(F.sqrt(area * rows / F.count(F.lit(1)) / 3), F.lit(0.0)).alias("_w"),
+    ))
+    d = bonds.select("view", "a", "b")
+    for end in ("a", "b"):
+        d = apart(d).join(atoms.select("view", F.col("atom_id").alias(end), F.struct("x", "y").alias("_" + end)), ["view", end])
+    x, y = F.col("_p.x"), F.col("_p.y")
+    ways = F.array(*[F.struct(*[F.col(c).alias(n) for c, n in zip(e, ("p", "q", "_p", "_q"))]) for e in (("a", "b", "_a", "_b"), ("b", "a", "_b", "_a"))])
+    d = d.select("view", F.inline(ways)).join(box, "view")
+    strip = F.coalesce(F.floor((x - F.col("_x")) / F.col("_w")), F.lit(0)) * F.lit(1 << 31)
+    place = strip + F.coalesce(F.floor((y - F.col("_y")) / F.col("_high") * F.lit((1 << 31) - 1)), F.lit(0))
+    angle = F.round(F.atan2(F.col("_q.y") - y, F.col("_q.x") - x), 9)
+    d = d.select(F.col("view").cast("long"), F.col("p").cast("long"), F.col("q").cast("long"), angle.alias("angle"), (x * F.col("_q.y") - F.col("_q.x") * y).alias("turn"), place.alias("_place"))
+    n = max(int(bonds.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-2 * bonds.count() // rows))
+    return d.repartitionByRange(n, "view", "_place", "p").drop("_place")
+
+
+def _join_paths(paths: DataFrame, store: Store) -> DataFrame:
+    """Paths (view, u, v, n, last_u, last_v), each followed by the one that its last bond
+    leads to, as faces: (view, u, v, low, ahead), the smallest path of the face and the bonds
+    from the start of the path to the start of that one.
+
+    Doubling the pointer finds the smallest path ahead and how far ahead it is. A face is
+    closed when the path after its name sees the name again; closed faces leave, so
+    that long borders alone go through the later rounds.
     """
-    store = Store(bonds.sparkSession)
-    n = F.count(F.lit(1)).over(W.partitionBy("view", "p"))
-    o = number_rows(_around(bonds, atoms).withColumn("_n", n), ["view", "p", "place"], "h")
-    # arriving q -> p, go on to the neighbour of p before q in angle order
-    goes_on = F.when(F.col("place") == 1, F.col("h") + F.col("_n") - 1).otherwise(F.col("h") - 1)
-    back = o.select("view", F.col("p").alias("q"), F.col("q").alias("p"), F.col("h").alias("e"))
-    state = store.write(o.join(back, ["view", "p", "q"]).select("e", goes_on.alias("nx")).select(
-        "e", "nx", F.col("nx").alias("jump"), F.col("e").alias("low"), F.lit(0).cast("long").alias("ahead")
+    o = number_rows(paths, ["view", "u", "v"], "e")
+    after = o.select("view", F.col("u").alias("last_u"), F.col("v").alias("last_v"), F.col("e").alias("nx"))
+    state = store.write(o.join(after, ["view", "last_u", "last_v"]).select(
+        "e", "nx", F.col("nx").alias("jump"), F.col("e").alias("low"), F.lit(0).cast("long").alias("ahead"), F.col("n").alias("span")
     ))
     width, closed = 1, []
 
     def names(d):
-        """Closed faces: the bond after the name sees the name again."""
+        """Closed faces: the path after the name sees the name again."""
         first = d.filter(F.col("e") == F.col("low")).select(F.col("nx").alias("e"), F.col("low").alias("_m"))
         return d.select("e", "low").join(first, "e").filter(F.col("low") == F.col("_m")).select("low")
 
     while not state.isEmpty():
-        here = state.select(F.col("e").alias("jump"), F.col("jump").alias("_j"), F.col("low").alias("_l"), F.col("ahead").alias("_a"))
+        here = state.select(F.col("e").alias("jump"), F.col("jump").alias("_j"), F.col("low").alias("_l"), F.col("ahead").alias("_a"), F.col("span").alias("_s"))
         d = state
-        for k in (1, 2, 3):  # three looks ahead in one job make the pointer four times as long
-            ahead = F.when(F.col("_l") < F.col("low"), F.col("_a") + k * width).otherwise(F.col("ahead"))
-            d = d.join(here, "jump").select("e", "nx", F.col("_j").alias("jump"), F.least("low", "_l").alias("low"), ahead.alias("ahead"))
+        for _ in range(3):  # three looks ahead in one job make the pointer four times as long
+            ahead = F.when(F.col("_l") < F.col("low"), F.col("_a") + F.col("span")).otherwise(F.col("ahead"))
+            d = d.join(here, "jump").select(
+                "e", "nx", F.col("_j").alias("jump"), F.least("low", "_l").alias("low"), ahead.alias("ahead"), (F.col("span") + F.col("_s")).alias("span")
+            )
         d = store.write(d)
         store.drop(state)
         state, width = d, 4 * width
-        if width == 4:  # most faces are rings of five to seven
-            continue
         done = store.write(names(state))
         if width > 16 and done.count() < state.filter(F.col("e") == F.col("low")).count():
             store.drop(done)
             continue  # a few long borders: they leave together
         closed.append(store.write(state.join(done, "low", "left_semi").select("e", "low", "ahead")))
-        rest = store.write(state.join(done, "low", "left_anti").select("e", "nx", "jump", "low", "ahead"))
+        rest = store.write(state.join(done, "low", "left_anti").select("e", "nx", "jump", "low", "ahead", "span"))
         store.drop(state, done)
         state = rest
-    if not closed:
-        return o.select("view", F.struct(F.col("p").alias("u"), F.col("q").alias("v")).alias("low"), F.col("h").alias("seq"), F.col("p").alias("atom_id"), F.col("h").alias("size"))
-    cross = F.col("px") * F.col("qy") - F.col("qx") * F.col("py")
-    e = functools.reduce(DataFrame.unionByName, closed).join(o.select(F.col("h").alias("e"), "view", "p", "q", cross.alias("_turn")), "e")
+    faces = functools.reduce(DataFrame.unionByName, closed) if closed else state.select("e", "low", "ahead")
+    return faces.join(o.select("e", "view", "u", "v"), "e").drop("e")
+
+
+def trace_rings(bonds: DataFrame, atoms: DataFrame) -> DataFrame:
+    """Rings of the bond graph: its inner faces.
+
+    At each atom the bond after the arriving one, by angle, goes on. Following
+    that pointer closes a face. Directed bonds are dealt by place, so most faces lie
+    in one partition and are closed there (``faces``). Of a face that passes several,
+    each partition has paths; the paths, one row each, are joined by rounds of
+    pointers. The smallest atom names the face and ranks its corners. Faces that turn
+    the other way (outer borders) or visit an atom twice are open and dropped.
+    """
+    ship(bonds.sparkSession)
+    store = Store(bonds.sparkSession)
+    d = store.write(_placed(bonds, atoms).mapInArrow(partition_faces, SCHEMA))
+    rest = d.filter("size IS NULL")
+    paths = _join_paths(rest.filter("n IS NOT NULL").select("view", "u", "v", "n", "last_u", "last_v"), store)
+    e = apart(rest.select("view", "u", "v", "seq", "atom_id", "q", "turn")).join(paths, ["view", "u", "v"])
+    e = store.write(e.select("view", "low", (F.col("seq") - F.col("ahead")).alias("at"), "atom_id", "q", "turn"))
     faces = e.groupBy("low").agg(
-        F.count(F.lit(1)).alias("size"), F.sum("_turn").alias("_turn"), F.count_distinct("p").alias("_atoms"),
-        F.max(F.when(F.col("ahead") == 0, F.struct(F.col("p").alias("u"), F.col("q").alias("v")))).alias("name"),
+        F.count(F.lit(1)).alias("size"), F.sum("turn").alias("_turn"), F.count_distinct("atom_id").alias("_atoms"),
+        F.min(F.struct("atom_id", "q", "at")).alias("_first"),
+    )
+    faces = faces.filter((F.col("_turn") > 0) & (F.col("size") > 2) & (F.col("_atoms") == F.col("size")))
+    far = e.join(faces, "low").select(
+        "view", F.col("_first.atom_id").alias("u"), F.col("_first.q").alias("v"), F.pmod(F.col("at") - F.col("_first.at"), F.col("size")).alias("seq"), "atom_id", "size"
     )
-    faces = faces.filter((F.col("_turn") > 0) & (F.col("size") > 2) & (F.col("_atoms") == F.col("size"))).select("low", "size", "name")
-    return e.join(faces, "low").select(
-        "view", F.col("name").alias("low"), ((F.col("size") - F.col("ahead")) % F.col("size")).alias("seq"), F.col("p").alias("atom_id"), "size"
+    every = d.filter("size IS NOT NULL").select(*far.columns).unionByName(far)
+    view, atom = bonds.schema["view"].dataType, bonds.schema["a"].dataType
+    return every.select(
+        F.col("view").cast(view).alias("view"), F.struct(F.col("u").cast(atom).alias("u"), F.col("v").cast(atom).alias("v")).alias("low"),
+        "seq", F.col("atom_id").cast(atom).alias("atom_id"), "size",
     )
 
 

@@ -131,3 +131,32 @@ def test_shapes_do_not_multiply_pixels(spark):
     assert flat["hex_shape"] is None and (flat["dx"], flat["dz"]) == (-2, 0)
     twice = Y.hex_shape(d.unionAll(d), 2).orderBy("frame_id").first().asDict()
     assert twice == pytest.approx(one)
+
+
+def test_faces_over_many_partitions(spark):
+    """Rings that pass several partitions of bonds are joined from their paths, with the
+    same corners as rings within one; all rows that are dealt are written once."""
+    from honeyframe.operators import faces, topology as T
+
+    n = 12
+    xy = [(0, i * (n + 1) + j, float(j) + 0.01 * i, float(i), 0.0, 1.0) for i in range(n + 1) for j in range(n + 1)]
+    atoms = spark.createDataFrame(xy, "view int, atom_id long, x double, y double, z double, weight double")
+    at = lambda i, j: i * (n + 1) + j
+    pairs = [(at(i, j), at(i, j + 1)) for i in range(n + 1) for j in range(n)] + [(at(i, j), at(i + 1, j)) for i in range(n) for j in range(n + 1)]
+    bonds = spark.createDataFrame([(0, a, b) for a, b in pairs if (a, b) != (at(5, 5), at(5, 6))], "view int, a long, b long")
+    dealt = T._placed(bonds, atoms, rows=40)
+    assert dealt.rdd.getNumPartitions() >= 2 * len(pairs) // 40
+    assert not dealt.mapInArrow(faces.partition_faces, faces.SCHEMA).filter("size IS NULL").isEmpty()
+    placed = T._placed
+    try:
+        T._placed = lambda b, a: placed(b, a, rows=40)
+        got = T.trace_rings(bonds, atoms).collect()
+    finally:
+        T._placed = placed
+    rings = {}
+    for r in got:
+        rings.setdefault((r["low"]["u"], r["low"]["v"]), {})[r["seq"]] = r["atom_id"]
+    want = {(at(i, j), at(i, j + 1)): [at(i, j), at(i, j + 1), at(i + 1, j + 1), at(i + 1, j)] for i in range(n) for j in range(n) if (i, j) not in ((4, 5), (5, 5))}
+    want[at(4, 5), at(4, 6)] = [at(4, 5), at(4, 6), at(5, 6), at(6, 6), at(6, 5), at(5, 5)]
+    assert {k: [v[s] for s in sorted(v)] for k, v in rings.items()} == want
+    assert {r["size"] for r in got} == {4, 6} and all(set(v) == set(range(len(v))) for v in rings.values())
