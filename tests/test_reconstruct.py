@@ -94,3 +94,13 @@ def test_one_ring_of_many_corners(spark):
     assert (d["n"], d["places"], d["size"], d["last"]) == (n, n, n, n - 1)
     step = r.alias("p").join(r.alias("q"), F.col("q.seq") == F.col("p.seq") + 1).select((F.col("q.atom_id") - F.col("p.atom_id")).alias("s"))
     assert step.filter("abs(s) <> 1 and abs(s) <> 99999").isEmpty()
+
+
+def test_tables_that_grow_with_the_frames_are_no_broadcasts(small):
+    frames, models, weights, table = small
+    ll = cut_lineage(M.baseline_loglik(frames, models, table, N, N))
+    marg = cut_lineage(M.marginal_loglik(ll))
+    resp = M.responsibilities(marg)
+    for d in (M.em_models(frames, ll, resp, N, N, 0.0, 10.0, LEVELS), M.copy_weights(ll, resp), M._frame_rows(ll, M.frame_terms(marg, weights))):
+        plan = d._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin [sf_id" in plan and "BroadcastHashJoin [sf_id" not in plan
