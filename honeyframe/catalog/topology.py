@@ -267,7 +267,7 @@ SELECT DISTINCT tl.v AS view, atom_id + {_SHIFT} AS atom_id, st.v IS NULL AS is_
 def merge_views(spark, sf):
     """Every tile of the mesh is a view that joins the whole mesh from the ring
     in its middle; a tile without that ring only brings new atoms."""
-    a, _, r = mesh(spark, sf)
+    a, r = cut_lineage(X.mesh_atoms(spark, sf)), cut_lineage(X.mesh_rings(spark, sf))
     row, c = F.floor(F.col("ring_id") / 40), F.col("ring_id") % 40
     tile = (1 + F.floor(c / 8) + 5 * F.floor(row / 8)).alias("view")
     vr = cut_lineage(r.select(tile, "ring_id", "seq", (F.col("atom_id") + _SHIFT).alias("atom_id")))

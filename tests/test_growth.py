@@ -160,3 +160,45 @@ def test_faces_over_many_partitions(spark):
     want[at(4, 5), at(4, 6)] = [at(4, 5), at(4, 6), at(5, 6), at(6, 6), at(6, 5), at(5, 5)]
     assert {k: [v[s] for s in sorted(v)] for k, v in rings.items()} == want
     assert {r["size"] for r in got} == {4, 6} and all(set(v) == set(range(len(v))) for v in rings.values())
+
+
+def test_buckets_stay_where_they_are(spark):
+    """A join with a table in buckets shuffles the other side only."""
+    from honeyframe.session import Buckets
+
+    tables = Buckets(spark)
+    big = tables.write(spark.range(1000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v")).repartition(9, "k"), 9, "k")
+    got = spark.range(5).select((F.col("id") * 7).alias("k")).join(big, "k")
+    assert sorted(map(tuple, got.collect())) == [(7 * i, 14 * i) for i in range(5)]
+    assert plan(got).split("Initial Plan")[-1].count("Exchange hashpartitioning") == 1
+    tables.drop()
+    assert not [t for t in spark.catalog.listTables() if t.name in tables.names]
+
+
+def test_views_are_linked_along_a_strip(spark):
+    """A strip of hexagons is linked ring by ring from one end: a round does not shuffle the
+    meshes again. One view has a ring of another size at the far end, one has no start, one
+    has rows that come twice, one starts from an atom with two masters."""
+    n = 6
+    strip = lambda at=0: [(k, s, at + a) for k in range(n) for s, a in enumerate([2 * k, 2 * k + 1, 1000 + k, 2 * k + 3, 2 * k + 2, 2000 + k])]
+    master = [(0, *c) for c in strip()]
+    views = [(1, *c) for c in strip(10_000)] + [(2, *c) for c in strip()] + [(2, n - 1, 6, 77)] + [(3, *c) for c in strip()]
+    views += 2 * [(4, *c) for c in strip()] + [(5, *c) for c in strip()]
+    r, xy = "view long, ring_id long, seq long, atom_id long", "view long, atom_id long, x double, y double"
+    place = lambda rows: sorted({(v, a, float(a), float(v)) for v, _, _, a in rows})
+    first = [(1, 10_000, 0), (1, 10_001, 1)] + [(v, a, a) for v in (2, 4, 5) for a in (0, 1)] + [(5, 0, 3)]
+    seen = []
+    write = T.Buckets.write
+    try:
+        T.Buckets.write = lambda self, df, k, *keys: seen.append(keys) or write(self, df, k, *keys)
+        links, nodes = T.merge_views(
+            spark.createDataFrame(place(master), xy), spark.createDataFrame(master, r), spark.createDataFrame(place(views), xy),
+            spark.createDataFrame(views, r), spark.createDataFrame(first, "view long, atom_id long, master long"))
+    finally:
+        T.Buckets.write = write
+    assert sorted(seen) == [("ma", "mb"), ("mr",), ("view", "va"), ("view", "vr")]
+    got = {(x["view"], x["atom_id"]): (x["master"], x["is_new"]) for x in links.collect()}
+    names = {a for _, _, a in strip()}
+    assert {k[1]: v for k, v in got.items() if k[0] == 1} == {10_000 + a: (a, False) for a in names}
+    assert {k[0] for k in got} == {1, 3} and all(v[1] for k, v in got.items() if k[0] == 3)
+    assert {x["observers"] for x in nodes.collect() if x["master"] >= 0} == {1}
