@@ -148,3 +148,37 @@ def test_rows_of_keys_are_not_written_before_they_are_sorted(spark):
     got = {r["block"]: sorted(r["hits"]) for r in P._repeated(rows, ["k0"], "k0", store).collect()}
     assert got == {b: sorted([7, 2000 + b // 2] + [5] * (b == 3)) for b in range(40)}
     assert store.tables == 1
+
+
+@pytest.mark.parametrize("lane", [0, 1])
+def test_hashes_depend_on_bytes_only(lane):
+    """Ranges over pieces and in them, at any place; strings that agree in their counts of
+    bytes, or in how often they change, do not agree in their hashes."""
+    rng = np.random.default_rng(7)
+    part = rng.integers(0, 256, 700).astype(np.uint8)
+    data = np.concatenate([np.zeros(P._PIECE - 350, np.uint8), part, rng.integers(0, 256, 2 * P._PIECE + 11).astype(np.uint8), part])
+    h = P.Hashes(data, lane)
+    at = np.arange(len(data) - 700 + 1)
+    one, two = P._PIECE - 350, len(data) - 700
+    for lo, hi in ((0, 700), (3, 403), (349, 351), (699, 700)):
+        assert h.of(np.array([one + lo]), np.array([one + hi])) == h.of(np.array([two + lo]), np.array([two + hi]))
+    random = at[at > P._PIECE + 350]
+    assert len(np.unique(h.of(random, random + 400))) == len(random)
+    turns = np.array([bin(i).count("1") % 2 for i in range(256)], np.uint8)
+    both = P.Hashes(np.r_[turns, 1 - turns, turns[::-1][:200], np.roll(turns, 1)[:200]], lane)
+    assert len(set(both.of(np.array([0, 256]), np.array([256, 512])).tolist())) == 2
+    assert both.of(np.array([5, 5]), np.array([5, 6])).tolist()[0] == 0
+
+
+def test_digests_are_made_for_a_block_at_once():
+    """Before, each place was cut out and digested alone."""
+    rng = np.random.default_rng(8)
+    text = rng.integers(97, 123, 5000).astype(np.uint8).tobytes()
+    s = P.Block(text * 2, np.array([5000, 5000]))
+    i = np.arange(5000 - P.LEAST + 1)
+    names = [np.zeros(len(s.at), np.int64) for _ in range(4)]
+    for k, level in enumerate(names):  # equal ranges of phrases have equal names
+        level[:] = s.at % 5000 + 1 + 10_000 * k
+    ok, keys = s.keys(names, np.r_[i, i + 5000])
+    assert ok.all() and (keys[: len(i)] == keys[len(i) :]).all()
+    assert len(np.unique(keys[: len(i), 0])) == len(np.unique(keys[: len(i), 1])) == len(i)
