@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from honeyframe.llm.common import Written, components, widths
+from honeyframe.llm.common import Written, components, few, widths
 from honeyframe.llm.encoding import kept
 
 SHINGLE = 5
@@ -40,6 +40,8 @@ ROWS, MISSED = 6, 1e-6
 #: Base of the register spacing and rate of the hash values.
 BASE, RATE = 1.001, 20.0
 TOP = (1 << 16) - 1
+#: Sets or sketches that a task writes.
+WIDE = 2_000
 #: Estimates this far below the limit are not verified: about five deviations.
 SLACK = 0.14
 
@@ -244,23 +246,25 @@ def near_duplicates(docs: DataFrame, percent: int = 85, id_col: str = "doc_id",
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = store.write(source.mapInArrow(_sketch, "doc_id long, n long, c long, sketch binary"))
     # one class for each set, known by the digest of the set; a document of it has its text
-    classes = store.write(rows.where("n > 0").groupBy("c").agg(
+    classes = store.write(few(rows.where("n > 0").groupBy("c").agg(
         F.min("n").alias("n"), F.min("doc_id").alias("doc_id"), F.min("sketch").alias("sketch"),
-    ))
+    ), rows.count(), WIDE))
     slim = classes.select("c", "n", "sketch")
-    placed = classes.select("c", F.posexplode(_bands(band_rows(percent))).alias("band", "value"))
+    size, total = band_rows(percent), classes.count()
+    placed = classes.select("c", F.posexplode(_bands(size)).alias("band", "value"))
     buckets = placed.groupBy("band", "value").agg(F.count(F.lit(1)).alias("met")).where("met > 1")
-    placed = store.write(placed.join(buckets, ["band", "value"]))
+    placed = store.write(few(placed.join(buckets, ["band", "value"]), total * (M // size)))
     popular = placed.groupBy("c").agg(F.sum("met").alias("met_all"))
     leaders = placed.join(popular, "c").groupBy("band", "value").agg(F.max_by("c", F.struct("met_all", "c")).alias("leader"))
     pairs = placed.join(leaders, ["band", "value"]).where("c <> leader").select(F.col("leader").alias("a"), F.col("c").alias("b")).distinct()
+    # a place in a bucket is one pair at most
     near = store.write(
-        pairs.join(slim.toDF("b", "nb", "sb"), "b").join(slim.toDF("a", "na", "sa"), "a")
+        few(pairs.join(slim.toDF("b", "nb", "sb"), "b").join(slim.toDF("a", "na", "sa"), "a"), placed.count(), 10 * WIDE)
         .select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_near(percent / 100), "a long, b long")
     )
     sets = _sets_of(source, classes, near.select(F.explode(F.array("a", "b")).alias("c")), store)
     links = store.write(
-        near.join(sets.toDF("b", "y"), "b").join(sets.toDF("a", "x"), "a").select("a", "b", "x", "y")
+        few(near.join(sets.toDF("b", "y"), "b").join(sets.toDF("a", "x"), "a").select("a", "b", "x", "y"), near.count(), WIDE)
         .mapInArrow(_verify(percent), "a long, b long")
     )
     store.drop(sets)
@@ -283,7 +287,7 @@ def _sets_of(source: DataFrame, classes: DataFrame, wanted: DataFrame, store: Wr
     ids = classes.join(wanted.select("c").distinct(), "c").select("doc_id", "c")
     texts = source.join(ids.select("doc_id"), source["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
     sets = texts.mapInArrow(_sets, "c long, shingles binary").join(ids.select("c"), "c", "left_semi")
-    return store.write(sets.dropDuplicates(["c"]))
+    return store.write(few(sets.dropDuplicates(["c"]), classes.count(), WIDE))
 
 
 def _rest(
@@ -299,10 +303,10 @@ def _rest(
     # equal lists of classes in several bands need one look
     mixed = mixed.groupBy("size", "lo", "hi", "who").agg(F.min(F.struct("band", "value")).alias("at")).select("at.band", "at.value", "size")
     blocks = F.ceil(F.col("size") / block_rows).cast("int")
-    inside = store.write(
+    inside = store.write(few(
         named.join(mixed, ["band", "value"])
-        .select("band", "value", "c", "component", blocks.alias("blocks"), F.pmod(F.xxhash64("c"), blocks).cast("int").alias("block"))
-    )
+        .select("band", "value", "c", "component", blocks.alias("blocks"), F.pmod(F.xxhash64("c"), blocks).cast("int").alias("block")), placed.count()
+    ))
     if inside.isEmpty():
         return source.sparkSession.createDataFrame([], "a long, b long")
     sets = _sets_of(source, classes, inside.select("c"), store)

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from honeyframe import llm
-from honeyframe.llm import exact_dedup as X, language, licenses, packing, planes, setsketch, sharding, suffix_tree
+from honeyframe.llm import common, exact_dedup as X, language, licenses, packing, planes, setsketch, sharding, suffix_tree
 from honeyframe.llm.bpe import decode_ids, encode_texts, round_trip
 from honeyframe.llm.encoding import ByteEncoder, StreamDecoder, WordEncoder
 from honeyframe.llm.ship import ship
@@ -359,6 +359,32 @@ def test_hub_whose_copies_are_not_linked_with_each_other(spark):
     assert Counter(rows(setsketch.near_duplicates(d, block_rows=7))) == near_groups(table)
 
 
+def test_rounds_of_components_write_few_files(spark, monkeypatch):
+    """Small tables are not a file for each of many partitions."""
+    files = []
+    write = common.Written.write
+
+    def counted(self, df, *args):
+        out = write(self, df, *args)
+        files.append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(common.Written, "write", counted)
+    store = common.Written(spark)
+    conf = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        edges = store.write(spark.range(2000).where("id % 100 <> 99").selectExpr("id AS a", "id + 1 AS b"))
+        got = common.components(spark.range(2000).select(F.col("id").alias("node")), edges, store).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {(r["node"], r["component"]) for r in got} == {(i, i - i % 100) for i in range(2000)}
+    assert max(files) <= spark.sparkContext.defaultParallelism
+
+
 def test_stage_of_near_copies_links_from_four_fifths_on(spark, tmp_path):
     """Pairs at 0.80 and 0.84 are linked, one below 0.80 is not."""
     import corpus_pipeline
