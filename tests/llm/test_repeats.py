@@ -55,6 +55,22 @@ def test_windows_without_a_whole_phrase():
     assert sorted(P._ranges(lo, hi)) == sorted(places)
 
 
+def test_only_repeat_starts_in_a_piece_whose_first_place_has_no_whole_phrase(spark):
+    ship(spark)
+    rng = np.random.default_rng(3)
+    while True:  # texts with the same two triggers, both in the common end
+        q, z, x = rng.choice(list("qrstuvwxyz"), 3, replace=False).tolist()
+        word = "".join(chr(97 + c) for c in rng.integers(0, 16, 24))
+        tail = x * 100 + word + x * 200 + word + x * 117
+        texts = [q * 269 + tail, z * 224 + tail]
+        if all((P.triggers(np.frombuffer(t.encode(), np.uint8)) - len(t) + len(tail) > 65).sum() == len(P.triggers(np.frombuffer(t.encode(), np.uint8))) == 2 for t in texts):
+            break
+    for t in texts:
+        (lo,), (hi,), (bare,) = P.Block(t.encode(), np.array([len(t)])).gaps()
+        assert lo <= bare < hi
+    check(spark, [*enumerate(texts), (2, prose(rng, 200)), (3, None)])
+
+
 def test_triggers_do_not_depend_on_pieces():
     data = np.random.default_rng(2).integers(0, 256, 5000).astype(np.uint8)
     assert (P.triggers(data, 64) == P.triggers(data)).all()
