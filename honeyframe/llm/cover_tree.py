@@ -31,6 +31,8 @@ from honeyframe.llm.common import Written, components, widths
 
 #: Points of a block, centres of the top level at most, and the sample for them.
 BLOCK, CENTRES, SAMPLE = 4096, 1024, 8192
+#: Bytes of vectors in a batch that is sent to pairs of blocks, and pairs that wait in a list.
+SENT, WAITING = 8 << 20, 1 << 18
 _EPS = 1e-9
 
 
@@ -208,6 +210,7 @@ def link_blocks(ids_a, weights_a, tree_a: Tree, ids_b, weights_b, tree_b: Tree,
     """Links of each point (by weight), and pairs that join the components."""
     got_a, got_b = np.zeros(len(ids_a), np.int64), np.zeros(len(ids_b), np.int64)
     edges: list[tuple[np.ndarray, np.ndarray]] = []
+    waiting = known = 0
     for i, j, x, y in traverse(tree_a, tree_b, limit, cosine, same):
         na, nb = len(tree_a.centre[i]), len(tree_b.centre[j])
         wa = np.bincount(tree_a.node[i], weights_a, minlength=na).astype(np.int64)
@@ -232,6 +235,10 @@ def link_blocks(ids_a, weights_a, tree_a: Tree, ids_b, weights_b, tree_b: Tree,
                 to[hit], of[hit] = other, True
                 inner = of[tree.node[level]]
                 edges.append((ids[inner], to[tree.node[level][inner]]))
+        waiting += sum(len(p) for p, _ in edges[known:])
+        if waiting > WAITING:  # as many pairs as there are links would not fit
+            edges, waiting = [tuple(np.array(c, np.int64) for c in _forest(edges))], 0
+        known = len(edges)
     return got_a, got_b, edges
 
 
@@ -271,7 +278,7 @@ def _assign(centres: np.ndarray):
     """Nearest centre of each point and its distance."""
 
     def run(batches):
-        for b in batches:
+        for b in (batch.slice(lo, BLOCK // 4) for batch in batches for lo in range(0, batch.num_rows, BLOCK // 4)):
             unit, _ = _unit(np.stack(b.column(2).to_numpy(zero_copy_only=False)))
             d = distances(unit, centres)
             k = d.argmin(axis=1)
@@ -283,12 +290,15 @@ def _assign(centres: np.ndarray):
 
 
 def _send(centres: np.ndarray, radius: np.ndarray, blocks: np.ndarray, limit: float):
-    """Each point to the pairs of blocks that it can have a link in."""
+    """Each point to the pairs of blocks that it can have a link in. A point goes to as many
+    as there are blocks, so a batch is taken in parts whose rows stay within ``SENT``."""
 
     def run(batches):
         gap = distances(centres, centres)
         meet = gap - radius[:, None] - radius[None, :] <= limit + _EPS  # pairs of top nodes that stay
-        for b in batches:
+        most = max(1, SENT // (8 * centres.shape[1]))
+        step = max(1, most // max(1, int(blocks.sum())))
+        for b in (batch.slice(lo, step) for batch in batches for lo in range(0, batch.num_rows, step)):
             unit, _ = _unit(np.stack(b.column(2).to_numpy(zero_copy_only=False)))
             d = distances(unit, centres)
             cell, block = b.column(3).to_numpy(), b.column(4).to_numpy()
@@ -302,10 +312,11 @@ def _send(centres: np.ndarray, radius: np.ndarray, blocks: np.ndarray, limit: fl
             theirs = np.stack([other, part], axis=1)
             first = (mine[:, 0] < theirs[:, 0]) | ((mine[:, 0] == theirs[:, 0]) & (mine[:, 1] <= theirs[:, 1]))
             lo, hi = np.where(first[:, None], mine, theirs), np.where(first[:, None], theirs, mine)
-            yield pa.RecordBatch.from_arrays([
-                pa.array(lo[:, 0], pa.int32()), pa.array(lo[:, 1], pa.int32()), pa.array(hi[:, 0], pa.int32()), pa.array(hi[:, 1], pa.int32()),
-                pa.array(~first), *(b.column(k).take(pa.array(row)) for k in (0, 1, 2, 5)),
-            ], names=["c1", "b1", "c2", "b2", "second", "id", "weight", "vector", "levels"])
+            for s in (slice(k, k + most) for k in range(0, len(row), most)):
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(lo[s, 0], pa.int32()), pa.array(lo[s, 1], pa.int32()), pa.array(hi[s, 0], pa.int32()), pa.array(hi[s, 1], pa.int32()),
+                    pa.array(~first[s]), *(b.column(k).take(pa.array(row[s])) for k in (0, 1, 2, 5)),
+                ], names=["c1", "b1", "c2", "b2", "second", "id", "weight", "vector", "levels"])
 
     return run
 

@@ -74,3 +74,46 @@ def test_levels_are_nested_nets():
         assert (tree.node[k - 1][tree.centre[k]] == tree.node[k - 1][tree.centre[k]]).all()
         d = C.distances(tree.points, tree.points)
         assert all(d[i, tree.centre[k][tree.node[k][i]]] <= tree.radius[k][tree.node[k][i]] + 1e-6 for i in range(len(p)))
+
+
+def _sent(n, dim, n_cells):
+    import pyarrow as pa
+
+    v = np.random.default_rng(3).normal(size=(n, dim))
+    centres, _ = C._unit(v[:n_cells])
+    columns = [np.arange(n), np.ones(n, np.int64), list(v), np.arange(n, dtype=np.int32) % n_cells, np.zeros(n, np.int32), [[0, 1]] * n]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["id", "weight", "vector", "cell", "block", "levels"])
+    blocks = np.ones(n_cells, np.int64)
+    blocks[1] = 3
+    return list(C._send(centres, np.full(n_cells, 2.0), blocks, 0.3)([batch])), int(blocks.sum())
+
+
+def test_sent_batches_do_not_grow_with_the_blocks(monkeypatch):
+    whole, total = _sent(300, 8, 20)
+    monkeypatch.setattr(C, "SENT", 64 * 8 * 5)
+    cut, _ = _sent(300, 8, 20)
+    assert max(b.num_rows for b in cut) <= 64 * 5 // 8
+    rows = lambda bs: sorted(str(r) for b in bs for r in b.to_pylist())
+    assert rows(cut) == rows(whole) and sum(b.num_rows for b in cut) == 300 * total
+
+
+def test_waiting_links_do_not_grow_with_the_pairs(monkeypatch):
+    """Links of all points of a block become a forest as they come."""
+    monkeypatch.setattr(C, "WAITING", 50)
+    unit, _ = C._unit(np.random.default_rng(4).normal(size=(200, 3)))
+    limit, cosine = float(np.sqrt(2 - 2 * 0.8)), 0.8
+    table = C.levels(unit, limit)
+    order = np.lexsort(table.T[::-1])
+    tree, ids, ones = C.Tree(unit[order], table[order]), np.arange(200)[order], np.ones(200, np.int64)
+    _, _, edges = C.link_blocks(ids, ones, tree, ids, ones, tree, limit, cosine, True)
+    assert sum(len(p) for p, _ in edges) <= 2 * 200 + 50
+    near = unit @ unit.T >= cosine
+
+    def parts(links):
+        root = list(range(200))
+        for a, b in links:
+            old, new = root[a], root[b]
+            root = [new if r == old else r for r in root]
+        return [[root[i] == root[j] for j in range(200)] for i in range(200)]
+
+    assert parts((int(a), int(b)) for p, q in edges for a, b in zip(p, q)) == parts(np.argwhere(near).tolist())
