@@ -10,7 +10,7 @@ from honeyframe.catalog.frames import square
 from honeyframe.catalog.views import PT, PX, r6 as S6, with_
 from honeyframe.functions.numbers import r6
 from honeyframe.operators import atoms as A, topology as T
-from honeyframe.session import cut_lineage
+from honeyframe.session import Buckets, cut_lineage, parts_for
 
 MESH = """cells AS (SELECT o_orderkey AS ring_id, 2 * (o_orderkey % 40) + (o_orderkey // 40) % 2 AS cx, 3 * (o_orderkey // 40) AS cy FROM orders),
 c0 AS (SELECT ring_id, s, cx + a AS vx, cy + b AS vy FROM cells, (VALUES (0.0, 0, 2), (1.0, 1, 1), (2.0, 1, -1), (3.0, 0, -2), (4.0, -1, -1), (5.0, -1, 1)) t(s, a, b)),
@@ -176,9 +176,12 @@ SELECT DISTINCT kind, atom_id, 'drop' AS action, round(x, 6) + 0.0 AS x, round(y
 UNION ALL SELECT 'z5', NULL, 'add', round((p.x + q.x) / 2, 6), round((p.y + q.y) / 2, 6) FROM new JOIN atoms p ON p.atom_id = a JOIN atoms q ON q.atom_id = b"""))
 def defect_patterns(spark, sf):
     """Both kinds, by the rule's own sizes 5 and 7, on patches of many ring sizes."""
-    r = cut_lineage(X.patch_rings(spark, sf))
-    b = T.ring_edges(r).select("view", "a", "b").distinct()
-    d = T.defect_patterns(r, b, X.patch_atoms(spark, sf))
+    tables = Buckets(spark)
+    n = parts_for(X.table(spark, sf, "orders").count(), spark, 10_000)  # an order has about 30 corners
+    r = tables.write(X.patch_rings(spark, sf, n), n, "ring_id")
+    b = tables.write(T.ring_edges(r).select("view", "a", "b").repartition(n, "view", "a").distinct(), n, "view", "a")
+    d = T.defect_patterns(r, b, X.patch_atoms(spark, sf))  # its result is made of written tables
+    tables.drop()
     return d.select("kind", "atom_id", "action", r6("x").alias("x"), r6("y").alias("y"))
 
 

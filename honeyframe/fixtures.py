@@ -173,8 +173,8 @@ def mesh_bonds(spark: SparkSession, sf: str) -> DataFrame:
 # customer, so that some patches are defects and others are not.
 
 
-def patch_rings(spark: SparkSession, sf: str) -> DataFrame:
-    """(view, ring_id, seq, atom_id): atoms are order * 100 and a number, rings order * 10."""
+def _patches(spark: SparkSession, sf: str) -> DataFrame:
+    """(ring_id, k, atoms): the rings of order k, a row each."""
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     two = k % 2 == 1
     up, down = F.lit(5) + (c % 4 == 0).cast("int"), F.lit(5) + (c % 5 == 0).cast("int")
@@ -194,8 +194,19 @@ def patch_rings(spark: SparkSession, sf: str) -> DataFrame:
         for r, (head, rest, size) in enumerate(rings)
     ]
     d = table(spark, sf, "orders").select(k.alias("k"), F.inline(F.array(*items)))
-    d = d.select("k", "r", F.posexplode("atoms").alias("seq", "atom"))
-    return d.select(F.lit(0).alias("view"), (F.col("k") * 10 + F.col("r")).alias("ring_id"), F.col("seq").cast("long").alias("seq"), (F.col("k") * 100 + F.col("atom")).alias("atom_id"))
+    return d.select((F.col("k") * 10 + F.col("r")).alias("ring_id"), "k", "atoms")
+
+
+def _patch_corners(rings: DataFrame) -> DataFrame:
+    d = rings.select("ring_id", "k", F.posexplode("atoms").alias("seq", "atom"))
+    return d.select(F.lit(0).alias("view"), "ring_id", F.col("seq").cast("long").alias("seq"), (F.col("k") * 100 + F.col("atom")).alias("atom_id"))
+
+
+def patch_rings(spark: SparkSession, sf: str, parts: int | None = None) -> DataFrame:
+    """(view, ring_id, seq, atom_id): atoms are order * 100 and a number, rings order * 10.
+    With ``parts`` the rings are dealt to so many hash partitions before they become corners."""
+    rings = _patches(spark, sf)
+    return _patch_corners(rings if parts is None else rings.repartition(parts, "ring_id"))
 
 
 def patch_atoms(spark: SparkSession, sf: str) -> DataFrame:

@@ -447,41 +447,91 @@ def defect_patterns(rings: DataFrame, bonds: DataFrame, atoms: DataFrame, side:
     far ring. Only interior bonds count. ``side`` is the size of the two rings
     beside the bond, ``far_size`` the least size of the rings at its ends.
     """
-    size = ring_sizes(rings)
-    sides = bond_sides(rings).filter(F.col("sides") == 2)
-    for k in ("1", "2"):
-        sides = apart(sides).join(size.select("view", F.col("ring_id").alias("ring" + k), F.col("size").alias("s" + k)), ["view", "ring" + k])
-    five = sides.filter((F.col("s1") == side) & (F.col("s2") == side)).select("view", "a", "b", "ring1", "ring2")
-    five = apart(five).join(interior_bonds(bonds).filter("interior").select("view", "a", "b"), ["view", "a", "b"], "left_semi")
-    at = apart(rings).join(size, ["view", "ring_id"]).groupBy("view", "atom_id").agg(F.collect_list(F.struct("ring_id", "size")).alias("_r"))
-    for end in ("a", "b"):
-        five = apart(five).join(at.select("view", F.col("atom_id").alias(end), F.col("_r").alias("_r" + end)), ["view", end])
-    far = {e: F.filter(F.col("_r" + e), lambda r: (r["ring_id"] != F.col("ring1")) & (r["ring_id"] != F.col("ring2"))) for e in ("a", "b")}
-    big = {e: F.size(F.filter(far[e], lambda r: r["size"] >= far_size)) for e in ("a", "b")}
-    is7557 = (F.size("_ra") == 3) & (F.size("_rb") == 3) & (big["a"] == 1) & (big["b"] == 1)
-    # the ring at an end that shares no edge with the bond, of four
-    small = {e: F.size(F.filter(far[e], lambda r: r["size"] <= 5)) for e in ("a", "b")}
-    isz = (F.size("_ra") == 4) & (F.size("_rb") == 4) & (small["a"] >= 1) & (small["b"] >= 1)
-    f = five.withColumn("kind", F.when(is7557, "7557").when(isz, "z5")).filter(F.col("kind").isNotNull())
-    # the small far rings of each end, kept apart: only their own end's bonds count
-    near = [
-        F.struct(F.col(e).alias("atom_id"), F.transform(F.filter(far[e], lambda r: r["size"] <= 5), lambda r: r["ring_id"]).alias("_far"))
-        for e in ("a", "b")
-    ]
-    ends = cut_lineage(f.select("view", "kind", F.inline(F.array(*near)), "a", "b"))
-    drop = apart(ends.select("view", "kind", "atom_id").distinct()).join(atoms.select("view", "atom_id", "x", "y"), ["view", "atom_id"]).select(
-        "view", "kind", "atom_id", F.lit("drop").alias("action"), "x", "y"
-    )
-    z = ends.filter(F.col("kind") == "z5")
-    b = _both_ways(bonds).select("view", F.col("p").alias("atom_id"), "q")
-    z = apart(z).join(b, ["view", "atom_id"]).filter(~F.col("q").isin(F.col("a"), F.col("b"))).select("view", "kind", "_far", F.least("atom_id", "q").alias("a"), F.greatest("atom_id", "q").alias("b"))
-    z = apart(z).join(bond_sides(rings).select("view", "a", "b", "ring1", "ring2"), ["view", "a", "b"])
-    z = z.filter(F.array_contains("_far", F.col("ring1")) | F.array_contains("_far", F.col("ring2"))).select("view", "kind", "a", "b").distinct()
-    mid = bond_lengths(z, atoms)
+    store = Store(rings.sparkSession)
+    ends = _defect_ends(rings, side, far_size)
+    pair = ["view", "a", "b", "kind"]
+    both = ends.filter("atom_id = a").withColumnsRenamed({"atom_id": "_ea", "_far": "_fa", "_beside": "_ba"}).join(
+        apart(ends.filter("atom_id = b").withColumnsRenamed({"atom_id": "_eb", "_far": "_fb", "_beside": "_bb"})), pair)
+    end = [F.struct(F.col("_e" + e).alias("atom_id"), F.col("_f" + e).alias("_far"), F.col("_b" + e).alias("_beside")) for e in ("a", "b")]
+    ends = store.write(both.select(*pair, F.inline(F.array(*end))))
+    # bonds at the ends alone: the degrees of both, the bond itself, and the others of an end
+    p = ends.select("view", F.col("atom_id").alias("p")).distinct()
+    step = [apart(bonds.select("view", F.col(e).alias("p"), F.col(f).alias("q"), F.lit(e == "a").alias("_up"))).join(p, ["view", "p"], "left_semi") for e, f in (("a", "b"), ("b", "a"))]
+    step = store.write(step[0].unionByName(step[1]))
+    inner = step.groupBy("view", F.col("p").alias("atom_id")).agg((F.count(F.lit(1)) > 2).alias("_in"))
+    inner = ends.join(apart(inner), ["view", "atom_id"]).groupBy(*pair).agg(F.min("_in").alias("_in")).filter("_in").drop("_in")
+    inner = inner.join(apart(step.filter("_up").select("view", F.col("p").alias("a"), F.col("q").alias("b"))), ["view", "a", "b"], "left_semi")
+    ends = store.write(ends.join(apart(inner), pair, "left_semi"))
+    z = apart(ends.filter(F.col("kind") == "z5")).join(step.select("view", F.col("p").alias("atom_id"), "q"), ["view", "atom_id"]).filter(~F.col("q").isin(F.col("a"), F.col("b")))
+    touch = F.exists("_beside", lambda x: (x["q"] == F.col("q")) & (F.array_contains("_far", x["ring1"]) | F.array_contains("_far", x["ring2"])))
+    z = z.filter(touch).select("view", "kind", F.least("atom_id", "q").alias("a"), F.greatest("atom_id", "q").alias("b")).distinct()
+    z = store.write(z)
+    drop = ends.select("view", "kind", "atom_id").distinct()
+    spot = drop.select("view", "atom_id").union(z.select("view", "a")).union(z.select("view", "b")).distinct()
+    spots = store.write(apart(atoms.select("view", "atom_id", "x", "y", "z")).join(spot, ["view", "atom_id"], "left_semi"))
+    drop = apart(drop).join(spots, ["view", "atom_id"]).select("view", "kind", "atom_id", F.lit("drop").alias("action"), "x", "y")
+    mid = bond_lengths(z, spots)
     add = mid.select("view", F.lit("z5").alias("kind"), F.lit(None).cast("long").alias("atom_id"), F.lit("add").alias("action"), F.col("mx").alias("x"), F.col("my").alias("y"))
     return drop.unionByName(add)
 
 
+def _visits(rings: DataFrame) -> DataFrame:
+    """Corners (view, p, ring_id, size, q0, q1, corner) with the atoms before and after them,
+    the rings dealt by their own key once. In a ring with atoms that are null, bonds are as in
+    ``ring_edges`` and rows of their own."""
+    c = F.col("c")
+    first, none = F.get(c, F.lit(0))["atom"], F.lit(None).cast(rings.schema["atom_id"].dataType)
+
+    def row(p, q0, q1, corner):
+        return F.struct(p.alias("p"), q0.alias("q0"), q1.alias("q1"), F.lit(corner).alias("corner"))
+
+    plain = F.transform(c, lambda x, i: row(x["atom"], F.get(c, F.pmod(i - 1, F.size(c)))["atom"], F.get(c, F.pmod(i + 1, F.size(c)))["atom"], True))
+    after = lambda i: F.coalesce(F.get(c, i + 1)["atom"], first)
+    sides = F.transform(c, lambda x, i: F.struct(F.least(x["atom"], after(i)).alias("a"), F.greatest(x["atom"], after(i)).alias("b")))
+    odd = F.concat(
+        F.transform(c, lambda x: row(x["atom"], none, none, True)),
+        F.transform(sides, lambda e: row(e["a"], none, e["b"], False)),
+        F.transform(F.filter(sides, lambda e: e["a"] != e["b"]), lambda e: row(e["b"], none, e["a"], False)),
+    )
+    r = rings.filter("view is not null").groupBy("view", "ring_id").agg(F.sort_array(F.collect_list(F.struct("seq", F.col("atom_id").alias("atom")))).alias("c"))
+    rows = F.when(F.exists(c, lambda x: x["atom"].isNull()), odd).otherwise(plain)
+    return r.select("view", "ring_id", F.size("c").cast("long").alias("size"), F.inline(rows))
+
+
+def _defect_ends(rings: DataFrame, side: int, far_size: int) -> DataFrame:
+    """Ends of bonds between two rings of size ``side`` whose other rings are those of a
+    pattern: (view, a, b, kind, atom_id, _far, _beside). ``_far`` are the small rings of the
+    end that are not beside the bond, ``_beside`` its bonds (q, ring1, ring2).
+
+    All that is asked of an end lies at its atom, so corners are dealt by atom once."""
+    v = _visits(rings).filter("p is not null")
+    n = parts_for(rings.count(), rings.sparkSession)
+    ring = F.struct("ring_id", "size")
+    half = lambda q: F.struct(q.alias("q"), F.col("ring_id"), F.col("size"))
+    # a bond to the atom itself is seen from both its ends here, and counts once
+    halves = F.array_compact(F.array(F.when(F.col("q1").isNotNull(), half(F.col("q1"))), F.when(F.col("q0") != F.col("p"), half(F.col("q0")))))
+    at = v.repartition(n, "view", "p").groupBy("view", "p").agg(
+        F.collect_list(F.when(F.col("corner") & F.col("ring_id").isNotNull(), ring)).alias("_r"), F.flatten(F.collect_list(halves)).alias("_h"),
+    )
+    at = at.filter(F.size("_r").isin(3, 4) & F.exists("_h", lambda h: h["size"] == side))
+    known = lambda hs: F.filter(hs, lambda h: h["ring_id"].isNotNull())
+    beside = F.transform(F.array_distinct(F.transform("_h", lambda h: h["q"])), lambda q: F.struct(q.alias("q"), F.filter("_h", lambda h: h["q"] == q).alias("hs")))
+    beside = F.transform(beside, lambda e: F.struct(
+        e["q"].alias("q"), F.array_min(F.transform(e["hs"], lambda h: h["ring_id"])).alias("ring1"), F.array_max(F.transform(e["hs"], lambda h: h["ring_id"])).alias("ring2"),
+        ((F.size(e["hs"]) == 2) & (F.size(known(e["hs"])) > 0) & F.forall(known(e["hs"]), lambda h: h["size"] == side)).alias("five"),
+    ))
+    d = at.withColumn("_b", beside).filter(F.exists("_b", lambda e: e["five"]))
+    d = d.select("view", "p", "_r", F.transform("_b", lambda e: F.struct(e["q"], e["ring1"], e["ring2"])).alias("_beside"), F.inline(F.filter("_b", lambda e: e["five"])))
+    far = F.filter("_r", lambda r: (r["ring_id"] != F.col("ring1")) & (r["ring_id"] != F.col("ring2")))
+    d = d.withColumn("_o", far)
+    small = F.transform(F.filter("_o", lambda r: r["size"] <= 5), lambda r: r["ring_id"])
+    big = F.size(F.filter("_o", lambda r: r["size"] >= far_size))
+    # four rings: the ring at an end that shares no edge with the bond
+    kind = F.when((F.size("_r") == 3) & (big == 1), "7557").when((F.size("_r") == 4) & (F.size(small) >= 1), "z5")
+    d = d.select("view", F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), kind.alias("kind"), F.col("p").alias("atom_id"), small.alias("_far"), "_beside").filter("kind is not null")
+    return Store(rings.sparkSession).write(d)
+
+
 def straight_atoms(bonds: DataFrame, atoms: DataFrame, limit: float = -0.85) -> DataFrame:
     """Atoms with two bonds that lie nearly on one line; they are dropped."""
     o = _both_ways(bonds)

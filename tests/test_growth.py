@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from honeyframe import catalog
 from honeyframe.catalog import topology as CT
 from honeyframe.operators import atoms as A, lattice as Q, reports as R, search as SE, symmetry as Y, topology as T
+from honeyframe.session import cut_lineage
 from honeyframe.sources.lines import carry_last, numbered_lines
 
 catalog.load()
@@ -101,6 +102,19 @@ def test_patterns_are_not_joined_on_the_driver(spark):
     assert "BroadcastHashJoin" not in plan(T.second_neighbor_distances(b, a))
 
 
+def test_patterns_deal_the_corners_once(spark):
+    """What is returned is made of the ends found; before, it dealt all corners and bonds again.
+    Corners that are null or come twice count as in the lists of rings."""
+    rings = {1: [1, 2, 3, 4, 5], 2: [2, 1, 6, 7, 8], 3: [1, 5, 20, 21, 22, 23, 6], 4: [2, 8, 30, 31, 32, 33, 3], 5: [40, None, 41], None: [50, 51, 52]}
+    rows = [(0, k, s, a) for k, v in rings.items() for s, a in enumerate(v)] + [(None, 1, 0, 1), (1, 9, 0, 60), (1, 9, 0, 60), (1, 9, 1, 61)]
+    r = cut_lineage(spark.createDataFrame(rows, "view long, ring_id long, seq long, atom_id long"))
+    a = cut_lineage(r.select("view", "atom_id").distinct().select("view", "atom_id", F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z")))
+    b = cut_lineage(T.ring_edges(r).select("view", "a", "b").distinct())
+    d = T.defect_patterns(r, b, a)
+    assert {(x["kind"], x["atom_id"]) for x in d.collect()} == {("7557", 1), ("7557", 2)}
+    assert not {*r.inputFiles(), *b.inputFiles(), *a.inputFiles()} & {*d.inputFiles()}
+
+
 def test_first_radius_looks_at_few_points(spark):
     """Before, cells of up to ``max_cell`` points were joined with their neighbours."""
     rng = random.Random(4)
