@@ -119,7 +119,7 @@ sl AS (SELECT DISTINCT s.a, s.b, sqrt((x.x - y.x) ** 2 + (x.y - y.y) ** 2) AS le
 
 def _dense_bonds(spark, sf):
     """The bonds with some second neighbours bonded as well."""
-    a, b, _ = mesh(spark, sf)
+    a, b = (cut_lineage(t(spark, sf)) for t in (X.mesh_atoms, X.mesh_bonds))
     s = T.second_neighbor_distances(b, a).filter((F.col("a") + F.col("b")) % 11 == 0)
     return a, cut_lineage(b.unionByName(s.select("view", "a", "b")).distinct())
 

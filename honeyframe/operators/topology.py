@@ -350,12 +350,18 @@ def ring_census(rings: DataFrame) -> DataFrame:
     return interior_rings(rings).filter("interior").groupBy("view", "size").agg(F.count(F.lit(1)).alias("n"))
 
 
-def bond_lengths(bonds: DataFrame, atoms: DataFrame) -> DataFrame:
+def _with_ends(bonds: DataFrame, atoms: DataFrame) -> DataFrame:
+    """Bonds with the places of their ends and their length: (view, a, b, _a, _b, length)."""
     d = bonds.select("view", "a", "b")
     for end in ("a", "b"):
         d = apart(d).join(atoms.select("view", F.col("atom_id").alias(end), F.struct("x", "y", "z").alias("_" + end)), ["view", end])
     sq = sum((F.pow(F.col(f"_a.{c}") - F.col(f"_b.{c}"), 2) for c in ("x", "y", "z")), F.lit(0.0))
-    return d.select("view", "a", "b", F.sqrt(sq).alias("length"), ((F.col("_a.x") + F.col("_b.x")) / 2).alias("mx"), ((F.col("_a.y") + F.col("_b.y")) / 2).alias("my"))
+    return d.select("view", "a", "b", "_a", "_b", F.sqrt(sq).alias("length"))
+
+
+def bond_lengths(bonds: DataFrame, atoms: DataFrame) -> DataFrame:
+    d = _with_ends(bonds, atoms)
+    return d.select("view", "a", "b", "length", ((F.col("_a.x") + F.col("_b.x")) / 2).alias("mx"), ((F.col("_a.y") + F.col("_b.y")) / 2).alias("my"))
 
 
 def second_neighbor_distances(bonds: DataFrame, atoms: DataFrame) -> DataFrame:
@@ -380,14 +386,16 @@ def bond_conflicts(bonds: DataFrame, atoms: DataFrame, dual: bool = False) -> Da
 
     Plain bonds conflict when the other's midpoint is nearer than half their
     length; dual bonds (between rings) when they cross without sharing an end,
-    and then the longer one goes. Cells are as wide as the median bond of a view.
+    and then the longer one goes. Cells are as wide as the median bond of a view, for
+    dual bonds twice as wide: fewer bonds pass several, and each cell's are dealt once.
     A plain bond looks into the cells of the disc around its midpoint, and each
     midpoint lies in one cell; a dual bond lies in the cells it passes, column by
     column. So a very long bond has many cells of its own and makes no cell larger.
     """
-    d = bond_lengths(bonds, atoms)
-    width = d.groupBy("view").agg(F.greatest(F.percentile_approx("length", 0.5), F.lit(1e-9)).alias("_w"))
-    d = cut_lineage(d.join(bounded(width), "view"))
+    place = [F.col(f"_{end}.{c}").alias(c + end) for end in ("a", "b") for c in ("x", "y")]
+    d = cut_lineage(_with_ends(bonds, atoms).select("view", "a", "b", "length", *place) if dual else bond_lengths(bonds, atoms))
+    width = F.greatest(F.percentile_approx("length", 0.5), F.lit(1e-9)) * (2 if dual else 1)
+    d = d.join(bounded(d.groupBy("view").agg(width.alias("_w"))), "view")
     w = F.col("_w")
     if not dual:
         mx, my, r = F.col("mx") / w, F.col("my") / w, F.col("length") / w / 2
@@ -399,8 +407,6 @@ def bond_conflicts(bonds: DataFrame, atoms: DataFrame, dual: bool = False) -> Da
         gap2 = F.pow(F.col("mx") - F.col("mx2"), 2) + F.pow(F.col("my") - F.col("my2"), 2)
         p = left.join(right, ["view", "_i", "_j"]).filter((F.col("a") != F.col("a2")) | (F.col("b") != F.col("b2")))
         return p.filter(F.col("length") * F.col("length") / 4 > gap2).select("view", "a", "b", "a2", "b2", F.lit(True).alias("drop_first"))
-    for end in ("a", "b"):
-        d = d.join(atoms.select("view", F.col("atom_id").alias(end), F.col("x").alias("x" + end), F.col("y").alias("y" + end)), ["view", end])
     xa, ya, xb, yb = (F.col(c) / w for c in ("xa", "ya", "xb", "yb"))
     d = d.select("*", _columns(F.least(xa, xb), F.greatest(xa, xb)).alias("_i"))
     slope = (yb - ya) / F.nullif(xb - xa, F.lit(0.0))
@@ -413,9 +419,12 @@ def bond_conflicts(bonds: DataFrame, atoms: DataFrame, dual: bool = False) -> Da
     upright = slope.isNull()
     low = F.when(upright, F.least(ya, yb)).otherwise(F.least(height(first), height(last)))
     high = F.when(upright, F.greatest(ya, yb)).otherwise(F.greatest(height(first), height(last)))
-    d = cut_lineage(d.select("view", "a", "b", "length", "xa", "ya", "xb", "yb", "_i", _columns(low, high).alias("_j")))
+    d = d.select("view", "a", "b", "length", "xa", "ya", "xb", "yb", "_i", _columns(low, high).alias("_j"))
     cols = ["a", "b", "length", "xa", "ya", "xb", "yb"]
-    p = d.join(d.select("view", "_i", "_j", *[F.col(c).alias(c + "2") for c in cols]), ["view", "_i", "_j"])
+    # both sides are the same table under the same names: it is shuffled once
+    one, two, cell = apart(d).alias("one"), d.alias("two"), ("view", "_i", "_j")
+    p = one.join(two, [F.col(f"one.{c}") == F.col(f"two.{c}") for c in cell])
+    p = p.select("one.view", *[F.col(f"one.{c}") for c in cols], *[F.col(f"two.{c}").alias(c + "2") for c in cols])
     p = p.filter(F.struct("a", "b") < F.struct(F.col("a2").alias("a"), F.col("b2").alias("b")))
     shared = (F.col("a") == F.col("a2")) | (F.col("a") == F.col("b2")) | (F.col("b") == F.col("a2")) | (F.col("b") == F.col("b2"))
 

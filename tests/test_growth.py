@@ -102,6 +102,22 @@ def test_patterns_are_not_joined_on_the_driver(spark):
     assert "BroadcastHashJoin" not in plan(T.second_neighbor_distances(b, a))
 
 
+def test_crossings_deal_the_cells_once(spark):
+    """The bonds of a cell meet themselves; both sides come from one shuffle of the cells."""
+    rng = random.Random(6)
+    xy = {i: (rng.uniform(0, 9), rng.uniform(0, 9)) for i in range(60)}
+    links = sorted({(min(p), max(p)) for p in (rng.sample(range(60), 2) for _ in range(80))})
+    a = spark.createDataFrame([(v, i, x, y, 0.0) for v in (0, 1) for i, (x, y) in xy.items()], "view long, atom_id long, x double, y double, z double")
+    b = spark.createDataFrame([(v, *p) for v in (0, 1) for p in links], "view long, a long, b long")
+    d = T.bond_conflicts(b, a, dual=True)
+    got = sorted((r["view"], r["a"], r["b"], r["a2"], r["b2"], r["drop_first"]) for r in d.collect())
+    side = lambda p, q, r: (q[0] - p[0]) * (r[1] - p[1]) - (q[1] - p[1]) * (r[0] - p[0])
+    crossed = lambda p, q, r, s: side(p, q, r) * side(p, q, s) < 0 and side(r, s, p) * side(r, s, q) < 0
+    pairs = [(m, n) for m in links for n in links if m < n and not {*m} & {*n} and crossed(*(xy[i] for i in (*m, *n)))]
+    assert got == sorted((v, *m, *n, math.dist(*(xy[i] for i in m)) > math.dist(*(xy[i] for i in n))) for v in (0, 1) for m, n in pairs)
+    assert "ReusedExchange" in plan(d)
+
+
 def test_patterns_deal_the_corners_once(spark):
     """What is returned is made of the ends found; before, it dealt all corners and bonds again.
     Corners that are null or come twice count as in the lists of rings."""
