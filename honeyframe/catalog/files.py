@@ -11,11 +11,11 @@ from honeyframe import fixtures as X
 from honeyframe.catalog import query
 from honeyframe.catalog.frames import square
 from honeyframe.catalog.report import BIN_SQL, RULE_SQL, report_rows, weight_rows
-from honeyframe.catalog.topology import MESH, SIGNATURES, mesh, signature_lines
+from honeyframe.catalog.topology import MESH, SIGNATURES, signature_lines
 from honeyframe.catalog.views import HX, PT, PX, RP, r6 as S6, with_
 from honeyframe.functions.numbers import r6
 from honeyframe.operators import reports as R, topology as T
-from honeyframe.session import apart, checkpoint_dir
+from honeyframe.session import Buckets, apart, checkpoint_dir, cut_lineage, parts_for
 from honeyframe.sources import images as I, tables as S
 
 
@@ -169,13 +169,16 @@ SELECT concat('MASTER\t', count(*)) AS line FROM atoms UNION ALL SELECT printf('
 UNION ALL SELECT concat('BOND\t', a, '\t', b) FROM ok UNION ALL SELECT concat('RING\t', string_agg(CAST(atom_id AS VARCHAR), '\t' ORDER BY seq)) FROM rings GROUP BY ring_id
 UNION ALL SELECT 'VIEW\t0' UNION ALL SELECT printf('ATOM\t%d\t%.4f\t%.4f\t%.4f', CASE WHEN atom_id % 5 = 0 THEN -1 ELSE atom_id END, x, y, z) FROM atoms"""))
 def write_topology(spark, sf):
-    a, b, r = mesh(spark, sf)
-    inner = T.interior_rings(r).filter("interior").select("ring_id")
-    d = T.dual_edges(r)
+    tables = Buckets(spark)  # rings stay where they are for all that is asked of them
+    r = tables.write(X.mesh_rings(spark, sf), parts_for(X.table(spark, sf, "orders").count(), spark), "ring_id")
+    a, b, sides = cut_lineage(X.mesh_atoms(spark, sf, r)), cut_lineage(X.mesh_bonds(spark, sf, r)), cut_lineage(T.bond_sides(r))
+    inner = T.interior_rings(r, sides).filter("interior").select("ring_id")
+    d = T.dual_edges(r, sides)
     for k in ("1", "2"):
         d = d.join(apart(inner.withColumnRenamed("ring_id", "ring" + k)), "ring" + k, "left_semi")
     nodes = a.select(F.col("atom_id").alias("master"), F.lit(1).alias("observers"), "x", "y", "z")
     views = a.select("view", "atom_id", F.when(F.col("atom_id") % 5 != 0, F.col("atom_id")).alias("master"), "x", "y", "z")
     path = scratch(spark)
     S.write_topology(S.topology_lines(nodes, b, r, views, d), path)
+    tables.drop()
     return spark.read.text(path).select(F.col("value").alias("line"))

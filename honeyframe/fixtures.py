@@ -144,9 +144,10 @@ def mesh_rings(spark: SparkSession, sf: str) -> DataFrame:
     return d.select(F.lit(0).alias("view"), "ring_id", seq.cast("long").alias("seq"), _atom_id(vx, vy).alias("atom_id"))
 
 
-def mesh_atoms(spark: SparkSession, sf: str) -> DataFrame:
-    """(view, atom_id, x, y, z, weight): bond length 1, turned bonds lie flat."""
-    a = mesh_rings(spark, sf).select("atom_id").distinct()
+def mesh_atoms(spark: SparkSession, sf: str, rings: DataFrame | None = None) -> DataFrame:
+    """(view, atom_id, x, y, z, weight): bond length 1, turned bonds lie flat. ``rings`` are
+    the ``mesh_rings`` where they are written already."""
+    a = (mesh_rings(spark, sf) if rings is None else rings).select("atom_id").distinct()
     vx, vy = F.col("atom_id") % 100000 - 10, F.floor(F.col("atom_id") / 100000) - 10
     a = a.select("atom_id", vx.alias("vx"), vy.alias("vy"))
     vx, vy = F.col("vx"), F.col("vy")
@@ -159,11 +160,11 @@ def mesh_atoms(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def mesh_bonds(spark: SparkSession, sf: str) -> DataFrame:
-    """(view, a, b) with a < b: consecutive corners of the rings."""
+def mesh_bonds(spark: SparkSession, sf: str, rings: DataFrame | None = None) -> DataFrame:
+    """(view, a, b) with a < b: consecutive corners of the rings (``rings`` as above)."""
     from honeyframe.operators.topology import ring_edges
 
-    return ring_edges(mesh_rings(spark, sf)).select("view", "a", "b").distinct()
+    return ring_edges(mesh_rings(spark, sf) if rings is None else rings).select("view", "a", "b").distinct()
 
 
 # -- patches around one bond ---------------------------------------------------------

@@ -303,9 +303,10 @@ def ring_sizes(rings: DataFrame) -> DataFrame:
     return rings.groupBy("view", "ring_id").agg(F.count(F.lit(1)).alias("size"))
 
 
-def interior_rings(rings: DataFrame) -> DataFrame:
-    """(view, ring_id, size, interior): as many neighbour rings as edges."""
-    sides = bond_sides(rings).filter(F.col("sides") == 2)
+def interior_rings(rings: DataFrame, sides: DataFrame | None = None) -> DataFrame:
+    """(view, ring_id, size, interior): as many neighbour rings as edges. ``sides`` are the
+    ``bond_sides`` of the rings, where they are written already."""
+    sides = (bond_sides(rings) if sides is None else sides).filter(F.col("sides") == 2)
     link = sides.select("view", F.col("ring1").alias("ring_id"), F.col("ring2").alias("_o")).unionAll(
         sides.select("view", F.col("ring2").alias("ring_id"), F.col("ring1").alias("_o"))
     )
@@ -335,9 +336,9 @@ def interior_bonds(bonds: DataFrame) -> DataFrame:
     return d.select("view", "a", "b", ((F.col("_da") > 2) & (F.col("_db") > 2)).alias("interior"))
 
 
-def dual_edges(rings: DataFrame) -> DataFrame:
-    """Links (view, ring1, ring2, a, b) across shared bonds."""
-    return bond_sides(rings).filter((F.col("sides") == 2) & (F.col("ring1") != F.col("ring2"))).select("view", "ring1", "ring2", "a", "b")
+def dual_edges(rings: DataFrame, sides: DataFrame | None = None) -> DataFrame:
+    """Links (view, ring1, ring2, a, b) across shared bonds; ``sides`` as in ``interior_rings``."""
+    return (bond_sides(rings) if sides is None else sides).filter((F.col("sides") == 2) & (F.col("ring1") != F.col("ring2"))).select("view", "ring1", "ring2", "a", "b")
 
 
 def ring_intensity(rings: DataFrame, atoms: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from honeyframe import catalog
+from honeyframe import catalog, fixtures as X
 from honeyframe.catalog import topology as CT
 from honeyframe.operators import atoms as A, lattice as Q, reports as R, search as SE, symmetry as Y, topology as T
 from honeyframe.session import cut_lineage
@@ -118,6 +118,25 @@ def test_crossings_deal_the_cells_once(spark):
     assert "ReusedExchange" in plan(d)
 
 
+def test_topology_file_asks_for_the_sides_once(spark, tmp_path, monkeypatch):
+    """Interior rings and links share the sides of the bonds; both made them before."""
+    spark.range(400).select(F.col("id").alias("o_orderkey")).write.parquet(f"{tmp_path}/orders.parquet")
+    calls, real = [], T.bond_sides
+    monkeypatch.setattr(T, "bond_sides", lambda rings: calls.append(1) or real(rings))
+    lines = [r["line"].split("\t") for r in catalog.QUERIES["write_topology"](spark, str(tmp_path)).collect()]
+    assert len(calls) == 1
+    corners, beside = {}, {}
+    for r in X.mesh_rings(spark, str(tmp_path)).orderBy("ring_id", "seq").collect():
+        corners.setdefault(r["ring_id"], []).append(r["atom_id"])
+    for k, c in corners.items():
+        for p in zip(c, c[1:] + c[:1]):
+            beside.setdefault((min(p), max(p)), []).append(k)
+    links = {b: {*k} for b, k in beside.items() if len(k) == 2}
+    inner = {k for k, c in corners.items() if len({x for s in links.values() if k in s for x in s - {k}}) == len(c)}
+    assert sorted(tuple(map(int, x[1:])) for x in lines if x[0] == "RING") == sorted(map(tuple, corners.values()))
+    assert sorted(tuple(map(int, x[1:])) for x in lines if x[0] == "BOND") == sorted(b for b, s in links.items() if s <= inner)
+
+
 def test_patterns_deal_the_corners_once(spark):
     """What is returned is made of the ends found; before, it dealt all corners and bonds again.
     Corners that are null or come twice count as in the lists of rings."""
